@@ -111,3 +111,11 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, row_id: Column, s
 def ship(module: str) -> None:
     """Send this module's functions to the Python workers by value: they need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
+    """Cap the bytes of an Arrow batch, so that long texts or wide vectors can't fill a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > n_bytes:
+        spark.conf.set(key, str(n_bytes))
