@@ -54,12 +54,10 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and the n + 1 offsets of the texts' words."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word: a run of bytes that gaps (by byte value) does not mark, within one text."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = gaps[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     before = np.empty(n, bool)
@@ -67,12 +65,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(~space & (before | first[:-1]))
     after = np.empty(n, bool)
     after[-1], after[:-1] = True, space[1:]
-    ends = np.flatnonzero(~space & (after | first[1:])) + 1
+    return starts, np.flatnonzero(~space & (after | first[1:])) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, the n + 1 offsets of the texts' words, and the words' starts and ends."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts, ends = word_spans(data, offsets, gaps)
     up, down = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER[data] + np.uint64(1)) * up[:n], out=sums[1:])
     words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return words, np.searchsorted(starts, offsets)
+    return words, np.searchsorted(starts, offsets), starts, ends
 
 
 def shingle_sets(words: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -95,11 +101,18 @@ def shingle_sets(words: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]
             yield np.zeros(0, np.uint64)
 
 
-def batch_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """The shingle set of each text of a batch, worked through in pieces of about CHUNK bytes."""
+def chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of runs of whole texts of about CHUNK bytes."""
     data, offsets = texts_of(column)
     i = 0
     while i < len(offsets) - 1:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-        yield from shingle_sets(*word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+
+
+def batch_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle set of each text of a batch."""
+    for data, offsets in chunks(column):
+        words, places, *_ = word_hashes(data, offsets)
+        yield from shingle_sets(words, places)
