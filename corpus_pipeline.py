@@ -1,16 +1,42 @@
-"""The corpus pipeline: documents through five stages, each written as Parquet and read back."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read back.
+
+Toxic documents go, one document of each near-duplicate group stays, documents that hold a
+benchmark item go, small sources are repeated toward the target mixture, and what is left is dealt
+into shards. A stage's DataFrame may rest on scratch tables in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import common, mixing, sharding
+from ledgerloom.llm import common, decontaminate, mixing, ngram_join, sharding, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 N_SHARDS = 40
 
 
+def _without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """docs whose doc_id is not among ids."""
+    return docs.join(common.small(common.staged(ids, tag)), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(docs, labels, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each component stays."""
+    groups = ngram_join.jaccard_components(docs)
+    return _without(docs, groups.where("doc_id <> component_id").select("doc_id"), "stage-copies")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, leaks.select("doc_id").distinct(), "stage-leaks")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that small sources gain weight; every document stays at least once."""
     return mixing.mix_sources(docs, target_entropy=0.9, max_repeats=1.5, tag="stage-mix").select(*COLUMNS)
@@ -21,7 +47,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.interleave_shards(docs, N_SHARDS, key=["doc_id"])
 
 
-STAGES = [("mixing", mix_sources), ("sharding", shard)]
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("sharding", shard)]
+#: SQL can't express the fitted toxicity model nor the similarity join; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

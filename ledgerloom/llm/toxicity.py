@@ -175,12 +175,13 @@ def _values(models):
     return values
 
 
-def _score(model, key: str):
+def _score(model, keep: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = text_values(model.value, batch.column("text"))
+            values = text_values(model.value, batch.column("scored_text"))
             p = 1 / (1 + np.exp(-np.clip(_features(values) @ model.value["curve"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(values[:, 0])], [key, "score", "predicted", "gain"])
+            own = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(values[:, 0])], [*keep, "score", "predicted", "gain"])
 
     return score
 
@@ -217,16 +218,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     return model((0, 1)) | {"curve": fit_curve(x, labels_seen, weights / weights.mean())}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> DataFrame:
-    """Per row of docs: key, score double, predicted int, gain double (mean difference of log-likelihoods); labels must hold training rows only."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> DataFrame:
+    """Per row of docs: the columns to keep (the key), score double, predicted int, gain double (mean difference of log-likelihoods).
+
+    labels must hold training rows only. Columns of docs named like the new ones are replaced.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = docs.select(F.col(key), F.col(text).alias("text"))
-    model = fit(rows.withColumnRenamed(key, "doc_id"), labels, max_toxic, max_ordinary)
+    made = ("score", "predicted", "gain")
+    keep = [c for c in keep or [key] if c not in made]
+    rows = docs.select(*keep, F.col(text).alias("scored_text"))
+    model = fit(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels, max_toxic, max_ordinary)
     if model is None:
-        return rows.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("gain"))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(model), key), f"{key} {kind}, score double, predicted int, gain double")
+        return rows.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("gain"))
+    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep], "score double", "predicted int", "gain double"])
+    return rows.mapInArrow(_score(spark.sparkContext.broadcast(model), keep), schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
