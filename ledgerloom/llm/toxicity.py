@@ -29,7 +29,8 @@ from ledgerloom.llm.shingles import chunks, word_hashes
 
 ship(__name__)
 
-ORDER = 7
+ORDER = 6
+LEAST = 2
 DISCOUNT = 0.75
 STRONG = 1.5
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
@@ -79,11 +80,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _level(codes: np.ndarray, counts: np.ndarray) -> tuple:
-    """Of one order: grams with their discounted share after their context, contexts with their backoff weight."""
+    """Of one order: grams with their discounted share after their context, contexts with their backoff weight.
+
+    Grams counted less than LEAST times are left to the backoff, which keeps the tables small.
+    """
+    held = counts >= LEAST
+    codes, counts = codes[held], counts[held]
     context, at = np.unique(codes >> np.uint64(8), return_inverse=True)
-    total, kinds = np.bincount(at, counts), np.bincount(at, counts > 0)
-    held = counts > 0
-    return codes[held], (np.maximum(counts - DISCOUNT, 0) / np.maximum(total[at], 1))[held], context, np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+    total = np.bincount(at, counts)
+    share, weight = (counts - DISCOUNT) / total[at], DISCOUNT * np.bincount(at) / total
+    return codes, share.astype(np.float32), context, weight.astype(np.float32)
 
 
 def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[tuple]:
@@ -212,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
 
     halves = spark.sparkContext.broadcast([model((0,)), model((1,))])
     values = rows.select("toxic", "half", "text").mapInArrow(_values(halves), "toxic int, mean double, strong double").toArrow()
+    halves.destroy()
     labels_seen = values["toxic"].to_numpy()
     x = np.stack([values["mean"].to_numpy(), values["strong"].to_numpy()], axis=1)
     weights = np.where(labels_seen == 1, totals[1] / max(1, (labels_seen == 1).sum()), totals[0] / max(1, (labels_seen == 0).sum()))
