@@ -32,10 +32,11 @@ def write_vouchers(vouchers: DataFrame, path: str, order: list[str]) -> None:
     def framed(batches):
         import pyarrow as pa
 
-        one = lambda text: pa.RecordBatch.from_arrays([pa.array([text])], ["xml"])
-        yield one("<ENVELOPE><BODY>")
-        yield from batches
-        yield one("</BODY></ENVELOPE>")
+        batch = lambda column: pa.RecordBatch.from_arrays([column], ["xml"])
+        yield batch(pa.array(["<ENVELOPE><BODY>"]))
+        for b in batches:
+            yield batch(b.column(0))
+        yield batch(pa.array(["</BODY></ENVELOPE>"]))
 
     lines.mapInArrow(framed, "xml string").write.mode("overwrite").text(path)
 
