@@ -172,11 +172,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _may_link(percent: int, a: str, b: str) -> Column:
-    """Length and positional filters of postings a and b: overlap at most what stands before, at and after the shared shingle."""
+    """Length and positional filters of postings a and b for the first shingle that two sets share.
+
+    In one global order nothing common stands before it, so the overlap is at most what stands from it on in either set.
+    """
     n, place = (lambda s: F.col(f"{s}.n").cast("long")), (lambda s: F.col(f"{s}.place"))
-    most = F.least(place(a), place(b)) + 1 + F.least(n(a) - place(a), n(b) - place(b)) - 1
     need = F.ceil((n(a) + n(b)) * F.lit(percent) / F.lit(100.0 + percent) - F.lit(1e-9))
-    return (100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))) & (most >= need)
+    return (100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))) & (n(a) - place(a) >= need) & (n(b) - place(b) >= need)
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
