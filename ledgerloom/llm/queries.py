@@ -72,8 +72,30 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
 
 
+def _license_sql() -> str:
+    """Base phrases word by word and every window against every template, without filters."""
+    split = lambda x: x.split(" ")
+    templates = ", ".join(f"('{label}', {length}, [{', '.join(repr(w) for w in sorted(tokens))}])" for label, length, tokens in licenses.template_sets(licenses.TEMPLATES))
+    phrases = ", ".join(f"('{label}', {split(p)!r})" for p, label in licenses.BASE_PHRASES.items())
+    return rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{licenses.WORD}') AS w FROM documents),
+templates(label, size, tokens) AS (VALUES {templates}),
+phrases(label, p) AS (VALUES {phrases}),
+likely AS (SELECT * FROM words WHERE len(list_intersect(w, ['license', 'licensed', 'cc', 'reserved', 'free', 'software', 'provided', 'mpl', 'source', 'gnu', 'apache', 'redistribution', 'public'])) > 0),
+places AS (SELECT doc_id, label, i - 1 AS i FROM likely, phrases, (SELECT unnest(range(1, 40000)) AS i) WHERE i <= len(w) AND w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS f, max(i) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, label, tokens, list_distinct(w[k * size + 1:(k + 2) * size]) AS b FROM likely, templates, (SELECT unnest(range(0, 14000)) AS k) WHERE k * size < len(w)),
+shares AS (SELECT doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS share FROM blocks GROUP BY doc_id, label),
+met AS (SELECT doc_id, label, share FROM shares WHERE share >= {licenses.THRESHOLD} - 1e-9),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM met) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)
+SELECT x.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, f AS first_word, l AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(labels.labels, '') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM words x LEFT JOIN base ON base.doc_id = x.doc_id LEFT JOIN labels ON labels.doc_id = x.doc_id LEFT JOIN best ON best.doc_id = x.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 ORACLE = {
@@ -91,6 +113,19 @@ said AS (
   FROM sized GROUP BY conv_id)
 SELECT conv_id, n AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM said""",
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id""",
+    "op4_license_scan": _license_sql(),
     "op10_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
