@@ -12,8 +12,7 @@ gives exact results; counts only make common shingles fall outside the prefixes.
 
 Results are components, so pairs inside a group need not be listed. Documents with equal sets are
 one class, and only its least doc_id takes part. Then come rounds in which every prefix shingle
-links its documents to one of them (first the least, then the greatest, then one by hash); the
-documents of a shingle that are in one component already are left out. After the rounds, all pairs
+links its documents to one of them (first the least, then one by hash); the documents of a shingle that are in one component already are left out. After the rounds, all pairs
 left whose documents share a prefix shingle but not a component are verified, so no link between
 components is lost.
 
@@ -37,7 +36,7 @@ ship(__name__)
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
-ROUNDS = 3
+ROUNDS = 2
 THRESHOLD = 80
 NARROW_ROWS = 250_000
 MEMBERS_PER_TASK_GROUP = 256
@@ -199,8 +198,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     post_path = scratch_path(spark, "ngram-hits")
     postings = alone.mapInArrow(_prefixes(steps, percent), "s long, doc long, place int, n int")
-    group = Window.partitionBy("s")
-    hits = postings.withColumn("low", F.min("doc").over(group)).withColumn("high", F.max("doc").over(group)).where("low < high")
+    # kept: postings of documents that have another one of a fitting size beside them, the next in size being the most fitting
+    group, by_size = Window.partitionBy("s"), Window.partitionBy("s").orderBy("n", "doc")
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    fits = (100 * before.cast("long") >= percent * F.col("n")) | (100 * F.col("n").cast("long") >= percent * after.cast("long"))
+    hits = postings.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits")
     hits.select("s", "doc", "place", "n").write.parquet(post_path)
     hits = spark.read.schema("s long, doc long, place int, n int").parquet(post_path)
 
@@ -216,7 +218,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         placed = hits.join(_narrow(component.withColumnRenamed("node", "doc")), "doc")
         mixed = placed.withColumn("c0", F.min("component").over(group)).withColumn("c1", F.max("component").over(group)).where("c0 < c1")
         if turn < ROUNDS:
-            rank = [F.col("doc"), -F.col("doc"), F.xxhash64(F.lit(turn), "doc")][turn]
+            rank = F.col("doc") if turn == 0 else F.xxhash64(F.lit(turn), "doc")
             post = F.struct(rank.alias("rank"), "doc", "place", "n", "component")
             led = mixed.select("s", F.struct("doc", "place", "n", "component").alias("b"), F.min(post).over(group).alias("a"))
             found = led.where(F.col("a.component") != F.col("b.component")).where(_may_link(percent, "a", "b"))
