@@ -1,17 +1,22 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
+"""Benchmark decontamination: SimHash of item-sized windows and rarest shingles propose, an exact check decides.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. A leak of an item
-shares 5-word shingles with it, so only windows that hold one of the benchmark's shingles are
-looked at: for a shared shingle at word p of a text and word j of an item of L words, the window of
-L words from p - j. Each window's SimHash (over its distinct words) is looked up among the items of
-its length: the 64 bits are cut into BLOCKS of 8, and of two fingerprints at most RADIUS apart one
-block differs in at most RADIUS // BLOCKS = 1 bit, so items are indexed under every block value and
-its one-bit neighbours. Fingerprints found are kept if within RADIUS, and verified by the share of the
-item's shingle weight that the window holds; a shingle weighs ln(1 + N / (1 + the times it occurs in
-the N documents)). A document is contaminated if a window holds at least THRESHOLD of an item.
-
-RADIUS covers the windows that can pass: 0.8 of a text of 15 to 60 words in 5-word shingles leaves
-room for one or two other words, some 4 bits of 64. Only DataFrame functions are used.
+shares 5-word shingles with it; a shingle weighs ln(1 + N / (1 + the times it occurs in the N
+documents)). A document is contaminated if a window of as many words as an item holds at least
+THRESHOLD of the item's shingle weight.
+
+Pairs of document and item are proposed in two ways. For a shared shingle at word p of a text and
+word j of an item of L words, the SimHash (over distinct words) of the window of L words from p - j
+is looked up among the items of its length: the 64 bits are cut into BLOCKS of 8, and of two
+fingerprints at most RADIUS apart one block differs in at most RADIUS // BLOCKS = 1 bit, so items are
+indexed under every block value and its one-bit neighbours. No radius holds all windows that can
+pass, as few lost shingles can be many words and light shingles can be most of them. So a document
+is also proposed for every item with which it shares one of the item's heaviest shingles, as many
+as weigh more than 1 - THRESHOLD of it: whoever shares none of them can't hold THRESHOLD.
+
+The check looks at every window that begins with one of the item's shingles. Any other window holds
+no more than the one from its first such shingle, so no window that passes is missed. Only DataFrame
+functions are used.
 
 Items of fewer than five words are left out: they can't be told from chance. Null and empty texts
 are clean; repeated rows of a document share its windows and are each reported; doc_id is taken to
@@ -20,7 +25,7 @@ name one text; an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import small, staged
@@ -53,7 +58,7 @@ def _block(fingerprint: Column, b: int) -> Column:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, start, similarity): the windows (from word start) that hold at least threshold of an item."""
+    """(doc_id, item_id, start, similarity): the windows (from word start, an item's shingle) that hold at least threshold of an item."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(lowered(F.col(item_text))).alias("words"))
     items = items.where(F.size("words") >= SHINGLE).withColumn("shingles", shingle_hashes(F.col("words"))).withColumn("length", F.size("words"))
     items = staged(items, "leak-items")
@@ -73,7 +78,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     shape = F.transform("windows", lambda w: F.struct(w.length.alias("length"), F.greatest(F.least(w.start, F.size("words") - w.length), F.lit(0)).alias("start")))
     cut = rows.join(small(windows), "doc_id").withColumn("windows", F.array_distinct(shape))
     cut = cut.select("doc_id", F.explode(F.transform("windows", lambda w: F.struct(w.length.alias("length"), w.start.alias("start"), F.slice("words", w.start + 1, w.length).alias("words")))).alias("w")).select("doc_id", "w.*")
-    cut = staged(cut.select("doc_id", "length", "start", simhash(F.col("words")).alias("own"), shingle_hashes(F.col("words")).alias("held")), "leak-fingerprints")
+    cut = staged(cut.select("doc_id", "length", "start", simhash(F.col("words")).alias("own")), "leak-fingerprints")
 
     near = lambda v: F.concat(F.array(v), F.array(*[v.bitwiseXOR(F.lit(1 << i)) for i in range(8)]))
     prints = items.select("item_id", "length", simhash(F.col("words")).alias("theirs"))
@@ -81,15 +86,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     index = staged(index.select("item_id", "length", "theirs", F.col("x.block").alias("block"), F.explode("x.values").alias("value")), "leak-index")
     probe = cut.select("doc_id", "length", "start", "own", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("own"), b).alias("value")) for b in range(BLOCKS)])).alias("x"))
     probe = probe.select("doc_id", "length", "start", "own", F.col("x.block").alias("block"), F.col("x.value").alias("value"))
-    pairs = probe.join(small(index), ["length", "block", "value"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("theirs"))) <= RADIUS)
-    pairs = pairs.select("doc_id", "length", "start", "item_id").distinct()
+    by_prints = probe.join(small(index), ["length", "block", "value"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("theirs"))) <= RADIUS)
 
+    # the heaviest shingles of each item, of which a document that can pass has one
     weight = F.log(F.lit(1.0) + F.lit(float(n_docs)) / (F.lit(1.0) + F.coalesce("n", F.lit(0))))
-    weighed = items.select("item_id", F.explode(F.array_distinct("shingles")).alias("shingle")).join(counts, "shingle", "left").select("item_id", "shingle", weight.alias("weight"))
-    weighed = staged(weighed.groupBy("item_id").agg(F.collect_list(F.struct("shingle", "weight")).alias("weights"), F.sum("weight").alias("whole")), "leak-weights")
-    checked = pairs.join(cut.select("doc_id", "length", "start", "held").distinct(), ["doc_id", "length", "start"]).join(small(weighed), "item_id")
-    common = F.aggregate(F.filter("weights", lambda x: F.array_contains("held", x.shingle)), F.lit(0.0), lambda s, x: s + x.weight)
-    return checked.select("doc_id", "item_id", "start", (common / F.col("whole")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    weighed = items.select("item_id", "length", F.explode(F.array_distinct("shingles")).alias("shingle")).join(counts, "shingle", "left").select("item_id", "length", "shingle", weight.alias("weight"))
+    item = Window.partitionBy("item_id")
+    heavier = item.orderBy(F.desc("weight"), "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    weighed = staged(weighed.withColumn("whole", F.sum("weight").over(item)).withColumn("before", F.coalesce(F.sum("weight").over(heavier), F.lit(0.0))), "leak-weights")
+    heavy = weighed.where(F.col("before") <= (1 - threshold + 1e-9) * F.col("whole")).select("shingle", "item_id")
+    spots = hits.select("doc_id", "shingle", "place").distinct()
+    by_shingles = spots.select("doc_id", "shingle").distinct().join(small(heavy), "shingle")
+    pairs = staged(by_prints.select("doc_id", "item_id").union(by_shingles.select("doc_id", "item_id")).distinct(), "leak-pairs")
+
+    # what the windows from each of the item's shingles hold; places differ, so a window holds at most length - 4 of them
+    held = pairs.join(small(weighed), "item_id").join(spots, ["doc_id", "shingle"])
+    held = held.groupBy("doc_id", "item_id", "length", "whole").agg(F.sort_array(F.collect_list(F.struct("place", "shingle", "weight"))).alias("spots"))
+    total = lambda xs: F.aggregate(F.array_distinct(F.transform(xs, lambda x: F.struct(x.shingle, x.weight.alias("weight")))), F.lit(0.0), lambda s, x: s + x.weight)
+    within = lambda x, i: F.filter(F.slice("spots", i + 1, F.col("length") - (SHINGLE - 1)), lambda y: y.place <= x.place + F.col("length") - SHINGLE)
+    held = held.where(total(F.col("spots")) >= (threshold - 1e-9) * F.col("whole"))
+    windows = F.transform("spots", lambda x, i: F.struct(x.place.alias("start"), (total(within(x, i)) / F.col("whole")).alias("similarity")))
+    return held.select("doc_id", "item_id", F.explode(windows).alias("w")).select("doc_id", "item_id", "w.*").where(F.col("similarity") >= threshold - 1e-9)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,53 @@ def test_decontamination(spark):
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def shares_by_force(docs, items):
+    """The best share over all windows of every document and item that reaches 0.8."""
+    shingles = lambda ws: [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    words = {i: WORD.findall(t.lower()) for i, t in docs}
+    times = Counter(s for ws in words.values() for s in shingles(ws))
+    out = {}
+    for k, x in items:
+        theirs = WORD.findall(x.lower())
+        weights = {s: math.log(1 + len(docs) / (1 + times[s])) for s in shingles(theirs)}
+        for i, ws in words.items():
+            held = (set(shingles(ws[p : p + len(theirs)])) for p in range(max(1, len(ws) - len(theirs) + 1)))
+            best = max(sum(w for s, w in weights.items() if s in h) for h in held) / sum(weights.values())
+            if best >= 0.8 - 1e-9:
+                out[i, k] = best
+    return out
+
+
+def test_decontamination_equals_brute_force_on_cut_items(spark):
+    rng = random.Random(17)
+    light = sentence(rng, 12, 3000).split()  # a run that many documents hold weighs little
+    items = [(k, sentence(rng, rng.randrange(15, 60), 3000)) for k in range(36)]
+    items += [(k, " ".join(light + sentence(rng, 12, 3000).split())) for k in range(36, 40)]
+    docs = [(i, " ".join(sentence(rng, 20, 3000).split() + light)) for i in range(120)]
+    for k, x in items:
+        for kind in range(5):
+            item = x.split()
+            n = rng.randrange(1, max(2, len(item) // 5 + 2))
+            other = sentence(rng, n, 3000).split()
+            if kind == 0:
+                item[:n] = other
+            elif kind == 1:
+                item[-n:] = other
+            elif kind == 2:
+                del item[:n]
+            elif kind == 3:
+                item[len(item) // 2 : len(item) // 2] = other[:2]
+            else:
+                item[:12] = sentence(rng, 12, 3000).split()
+            docs.append((1000 + 10 * k + kind, " ".join([*sentence(rng, rng.randrange(40), 3000).split(), *item, *sentence(rng, rng.randrange(40), 3000).split()])))
+    force = shares_by_force(docs, items)
+    assert sum(0.8 <= x < 0.95 for x in force.values()) > 60
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    best = {(r["doc_id"], r["item_id"]): r["best"] for r in found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("best")).collect()}
+    assert best.keys() == force.keys(), sorted(force.keys() ^ best.keys())
+    assert all(best[k] == pytest.approx(force[k]) for k in force)
+
+
 def test_simhash_blocks_hold_all_within_radius():
     assert decontaminate.RADIUS // decontaminate.BLOCKS == 1 and decontaminate.BLOCKS * 8 == decontaminate.BITS
 
