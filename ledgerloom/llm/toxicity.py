@@ -15,8 +15,12 @@ Models are fitted on a bounded sample of labelled rows: at most max_toxic and ma
 documents, taken by hash, whole texts. Scores read the text only. Null and empty texts have value
 0 and so the score of that value; null labels are left out; without both classes every score is 0;
 repeated rows are each scored; an empty table gives an empty result.
+
+Every gram counts, those met once too. What is broadcast is the deflated table of counts; each
+worker builds its levels from that.
 """
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +33,7 @@ from ledgerloom.llm.shingles import chunks, word_hashes
 
 ship(__name__)
 
-ORDER = 6
-LEAST = 2
+ORDER = 7
 DISCOUNT = 0.75
 STRONG = 1.5
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
@@ -80,11 +83,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _level(codes: np.ndarray, counts: np.ndarray) -> tuple:
-    """Of one order: grams with their discounted share after their context, contexts with their backoff weight.
-
-    Grams counted less than LEAST times are left to the backoff, which keeps the tables small.
-    """
-    held = counts >= LEAST
+    """Of one order: grams with their discounted share after their context, contexts with their backoff weight."""
+    held = counts > 0
     codes, counts = codes[held], counts[held]
     context, at = np.unique(codes >> np.uint64(8), return_inverse=True)
     total = np.bincount(at, counts)
@@ -102,6 +102,35 @@ def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[tuple]:
     return levels[::-1]
 
 
+def _deflated(numbers: np.ndarray) -> bytes:
+    """Non-negative integers below 2^64, byte plane after byte plane, deflated without loss."""
+    return zlib.compress(np.ascontiguousarray(numbers, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _inflated(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def packed_table(codes: np.ndarray, counts: dict[tuple[int, int], np.ndarray]) -> dict:
+    """Sorted distinct codes as steps, and their counts by (class, half): the one table that all models are made of."""
+    return {"steps": _deflated(np.diff(codes, prepend=np.uint64(0))), "counts": {k: _deflated(n) for k, n in counts.items()}}
+
+
+def build(table: dict, halves: tuple[int, ...]) -> dict:
+    """The model of these halves' documents."""
+    codes = np.cumsum(_inflated(table["steps"]), dtype=np.uint64)
+    own = [sum(_inflated(table["counts"][k, h]).astype(np.float64) for h in halves) for k in (0, 1)]
+    seen = own[0] + own[1] > 0
+    return {"both": kneser_ney(codes[seen], (own[0] + own[1])[seen]), "ordinary": _level(codes, own[0]), "toxic": _level(codes, own[1])}
+
+
+def _model(shared: dict, halves: tuple[int, ...]) -> dict:
+    """The model of a broadcast table, built once in each worker."""
+    if halves not in shared:
+        shared[halves] = build(shared, halves)
+    return shared[halves]
+
+
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), other)
@@ -167,7 +196,7 @@ def fit_curve(values: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np
     return w
 
 
-def _values(models):
+def _values(table):
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             half = np.array(batch.column("half"))
@@ -175,17 +204,17 @@ def _values(models):
             for k in (0, 1):
                 rows = np.flatnonzero(half == k)
                 if len(rows):
-                    out[rows] = text_values(models.value[1 - k], batch.column("text").take(pa.array(rows)))
+                    out[rows] = text_values(_model(table.value, (1 - k,)), batch.column("text").take(pa.array(rows)))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out[:, 0]), pa.array(out[:, 1])], ["toxic", "mean", "strong"])
 
     return values
 
 
-def _score(model, keep: list[str]):
+def _score(table, keep: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = text_values(model.value, batch.column("scored_text"))
-            p = 1 / (1 + np.exp(-np.clip(_features(values) @ model.value["curve"], -30, 30)))
+            values = text_values(_model(table.value, (0, 1)), batch.column("scored_text"))
+            p = 1 / (1 + np.exp(-np.clip(_features(values) @ table.value["curve"], -30, 30)))
             own = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(values[:, 0])], [*keep, "score", "predicted", "gain"])
 
@@ -193,7 +222,7 @@ def _score(model, keep: list[str]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> dict | None:
-    """Model from docs (doc_id, text) and labels (doc_id, toxic), or None without both classes."""
+    """Table and curve of the model from docs (doc_id, text) and labels (doc_id, toxic), or None without both classes."""
     spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = staged(known.withColumn("h", F.xxhash64(F.lit(5), "doc_id")), "toxicity-labels")
@@ -208,21 +237,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     table = table.na.fill(0).toArrow()
     codes = table["gram"].to_numpy().view(np.uint64)
     order = np.argsort(codes)
-    counts = {(k, h): table[f"{k}_h{h}"].to_numpy().astype(np.float64)[order] for k in (0, 1) for h in (0, 1)}
-    codes = codes[order]
-
-    def model(halves: tuple[int, ...]) -> dict:
-        own = [sum(counts[k, h] for h in halves) for k in (0, 1)]
-        seen = own[0] + own[1] > 0
-        return {"both": kneser_ney(codes[seen], (own[0] + own[1])[seen]), "ordinary": _level(codes, own[0]), "toxic": _level(codes, own[1])}
+    packed = packed_table(codes[order], {(k, h): table[f"{k}_h{h}"].to_numpy()[order] for k in (0, 1) for h in (0, 1)})
 
-    halves = spark.sparkContext.broadcast([model((0,)), model((1,))])
+    halves = spark.sparkContext.broadcast(packed)
     values = rows.select("toxic", "half", "text").mapInArrow(_values(halves), "toxic int, mean double, strong double").toArrow()
     halves.destroy()
     labels_seen = values["toxic"].to_numpy()
     x = np.stack([values["mean"].to_numpy(), values["strong"].to_numpy()], axis=1)
     weights = np.where(labels_seen == 1, totals[1] / max(1, (labels_seen == 1).sum()), totals[0] / max(1, (labels_seen == 0).sum()))
-    return model((0, 1)) | {"curve": fit_curve(x, labels_seen, weights / weights.mean())}
+    return packed | {"curve": fit_curve(x, labels_seen, weights / weights.mean())}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> DataFrame:

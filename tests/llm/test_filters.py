@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,22 @@ def test_toxicity_holds_out(spark):
     assert [r["predicted"] for r in out if r["doc_id"] >= 1000] == [0, 0, 0]
 
 
+def test_toxicity_keeps_grams_met_once():
+    assert toxicity._level(np.array([5, 9], np.uint64), np.array([1.0, 3.0]))[0].tolist() == [5, 9]
+
+    def codes_of(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return toxicity.grams(data, np.array([0]), np.array([len(data)]))[0]
+
+    once, often = codes_of("zqxwvkjz"), codes_of("letters")
+    codes = np.unique(np.concatenate([once, often]))
+    counts = {(k, h): np.where(np.isin(codes, often), 50, 0) for k in (0, 1) for h in (0, 1)}
+    counts[1, 0] = counts[1, 0] + np.isin(codes, once)  # a toxic word met once
+    model = toxicity.build(toxicity.packed_table(codes, counts), (0, 1))
+    assert model["toxic"][0].tolist() == codes.tolist()
+    assert toxicity.gram_gains(model, once).sum() > 1 > abs(toxicity.gram_gains(model, often).sum())
+
+
 def test_toxicity_without_classes(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
