@@ -2,11 +2,11 @@ r"""Line dedup with a fixed-depth template tree.
 
 Every line (split at \n) is trimmed and its variable fields, tokens with a digit, become <*>. The
 tree's leaves are (token count, first DEPTH tokens). Equal masked lines are one variant. Where a
-leaf holds several variants, a token past the leading ones is a constant of the leaf if variants
-with it at that place stand in at least min_docs documents (summed over variants), else a variable
-field; a variant whose constants make up at least `alike` of the tokens past the leading ones gets
+leaf holds several variants, a token past the leading ones is a constant of the leaf if at least
+min_docs documents hold a variant with it at that place, else a variable field; a variant whose constants make up at least `alike` of the tokens past the leading ones gets
 its template from them, others keep their masked line. A template found in at least min_docs
 documents is recurring, and its lines are dropped, save the first (least doc_id, then line).
+A document counts once, however many variants of a template it holds.
 
 The tree needs no order of arrival: what a token is depends on counts over all documents only.
 Blank lines are kept and never counted. Lines of at most DEPTH tokens are matched whole. Null
@@ -41,6 +41,19 @@ def _keys(lines: DataFrame) -> DataFrame:
     return lines.withColumn("variant", F.md5("masked")).withColumn("n", n).withColumn("leaf", F.xxhash64("n", lead))
 
 
+def _in_enough(rows: DataFrame, keys: list[str], slim: DataFrame, min_docs: int) -> DataFrame:
+    """The keys whose variants at least min_docs documents hold. rows has keys, variant and docs, slim the lines' doc_id and variant.
+
+    A key is settled by one variant in so many documents, or by a sum below that; the others are counted, each document once.
+    """
+    sums = rows.groupBy(*keys).agg(F.sum("docs").alias("all"), F.max("docs").alias("most")).where(F.col("all") >= min_docs)
+    sums = staged(sums, "line-sums")
+    unclear = rows.join(sums.where(F.col("most") < min_docs).select(*keys), keys, "left_semi")
+    holders = slim.join(small(staged(unclear.select("variant").distinct(), "line-unclear")), "variant", "left_semi").select("variant", "doc_id").distinct()
+    counted = unclear.join(holders, "variant").select(*keys, "doc_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sums.where(F.col("most") >= min_docs).select(*keys).union(counted.where(F.col("n") >= min_docs).select(*keys))
+
+
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
     """(doc_id, line_no, template, first): the lines of recurring templates; first marks the one to keep."""
     lines = masked_lines(docs, doc_id, text)
@@ -48,26 +61,27 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     variants = slim.select("leaf", "variant", "n", "doc_id").distinct().groupBy("leaf", "variant", "n").agg(F.count(F.lit(1)).alias("docs"))
     variants = staged(variants, "line-variants")
 
-    # leaves in which variants can make a template together
+    # leaves in which variants can make a template together; the sum is never less than the documents
     leaves = variants.where(F.col("n") > DEPTH).groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select("leaf")
     mixed = variants.join(small(staged(leaves, "line-leaves")), "leaf").select("variant", "leaf", "docs")
     mixed = staged(mixed, "line-mixed")
     texts = _keys(lines).select("variant", "masked").join(small(mixed.select("variant")), "variant", "left_semi").groupBy("variant").agg(F.first("masked").alias("masked"))
     tokens = mixed.join(texts, "variant").select("leaf", "variant", "docs", F.posexplode(F.split("masked", r"[\x20\x09-\x0D]+")).alias("place", "token"))
     tokens = staged(tokens, "line-tokens")
-    support = tokens.where(F.col("place") >= DEPTH).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
-    constant = F.col("support").isNotNull() & (F.col("token") != FIELD)
+    support = _in_enough(tokens.where((F.col("place") >= DEPTH) & (F.col("token") != FIELD)), ["leaf", "place", "token"], slim, min_docs)
+    support = support.withColumn("support", F.lit(True))
+    constant = F.col("support").isNotNull()
     marked = tokens.join(support, ["leaf", "place", "token"], "left").withColumn("kept", F.when((F.col("place") < DEPTH) | constant, F.col("token")).otherwise(F.lit(FIELD)))
     templates = marked.groupBy("leaf", "variant").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "kept"))), lambda x: x.kept), " ").alias("line"),
         F.sum(F.when((F.col("place") >= DEPTH) & constant, 1).otherwise(0)).alias("constants"),
         F.sum(F.when(F.col("place") >= DEPTH, 1).otherwise(0)).alias("rest"),
     )
-    templates = templates.where(F.col("constants") >= alike * F.col("rest")).select("variant", F.md5("line").alias("general"))
+    templates = templates.where((F.col("constants") > 0) & (F.col("constants") >= alike * F.col("rest"))).select("variant", F.md5("line").alias("general"))
 
     named = variants.select("variant", "docs").join(templates, "variant", "left").withColumn("template", F.coalesce("general", "variant"))
     known = staged(named.select("variant", "template", "docs"), "line-named")
-    often = known.groupBy("template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("template")
+    often = _in_enough(known, ["template"], slim, min_docs)
     dropped = staged(known.join(often, "template").select("variant", "template"), "line-recurring")
     found = salted_lookup(slim.select("doc_id", "line_no", "variant"), dropped, "variant", F.xxhash64("doc_id", "line_no")).where("template IS NOT NULL")
     found = staged(found.select("doc_id", "line_no", "template"), "line-found")

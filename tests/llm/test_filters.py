@@ -215,6 +215,15 @@ def test_line_templates(spark):
     assert line_templates.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_templates_count_a_document_once(spark):
+    table = lambda names: "\n".join(f"the user called hello from {n} today please" for n in names)
+    spread = lambda n: f"our staff were happy to meet {n} again here"
+    both = lambda n: f"all shops will open again on {n} next week"
+    docs = [(1, table(["Ann", "Bob", "Cyd"])), (2, spread("Ann")), (3, spread("Bob")), (4, spread("Cyd")), (5, both("Monday") + "\n" + both("Friday")), (6, both("Sunday"))]
+    rows = {r["doc_id"]: r["n_dropped"] for r in line_templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0}
+
+
 def toxic_corpus():
     rng = random.Random(2)
     bad = ["idiot", "moron", "scumbag"]
