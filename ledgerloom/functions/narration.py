@@ -29,17 +29,21 @@ def is_word(w: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
 
 
 def phrases(normal: Column, longest: int = 3, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Distinct runs of one to `longest` neighbouring words, none of which is left out by is_word."""
-    words = F.split(normal, " ")
-    ok = F.transform(words, lambda w: is_word(w, stop_words))
+    """Distinct runs of one to `longest` neighbouring words, none of which is left out by is_word.
 
-    def runs(n: int) -> Column:
-        size = F.size(words)
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
-        whole = F.filter(starts, lambda i: F.forall(F.slice(ok, i, n), lambda x: x))
-        return F.transform(whole, lambda i: F.array_join(F.slice(words, i, n), " "))
+    Words left out become null, and a run with a null is null; words and runs are bound once, by
+    the one-element arrays around them, so that each text is split and judged once.
+    """
+    words = F.transform(F.split(normal, " "), lambda w: F.when(is_word(w, stop_words), w))
 
-    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])))
+    def runs_of(words: Column, n: int) -> Column:
+        after = lambda i: [x for k in range(1, n) for x in (F.lit(" "), F.get(words, i + k))]
+        return F.transform(words, lambda w, i: F.concat(w, *after(i)))
+
+    def runs(words: Column) -> Column:
+        return F.array_distinct(F.array_compact(F.concat(*[runs_of(words, n) for n in range(1, longest + 1)])))
+
+    return F.get(F.transform(F.array(words), runs), 0)
 
 
 def tokens(c: Column) -> Column:

@@ -4,15 +4,15 @@ Candidates have the same type, amounts within a cent and dates within some days.
 what speaks for a pair. Each booked voucher is given to one import at most; imports are served in
 their order, each taking its best voucher left. Candidates are an equi-join on type and cents (with
 their neighbours), so no pair beyond them is made. Serving in order only ties imports to each other
-that share a voucher, so it is done apart for each island of amounts: cents that follow each other
-without a gap, within an account and type.
+that share a voucher: an import whose vouchers nobody else wants just takes its best one. The
+others are served apart for each island of amounts and days, within an account and type: cents,
+and then days, that follow each other without a gap.
 """
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import MONEY
@@ -25,7 +25,7 @@ BASE, SAME_DAY, NEAR_DAY, EACH_TEXT, MOST = 50, 20, 10, 5, 100
 
 
 def candidates(imports: DataFrame, booked: DataFrame, days: int = 0, keys: tuple[str, ...] = ("account",)) -> DataFrame:
-    """Scored pairs (keys, import_seq, booked_seq, score, reasons).
+    """Scored pairs (keys, type, cents, booked_date, import_seq, booked_seq, score, reasons), cents and date of the booked row.
 
     Both tables: keys, seq, gl_date, amount, type, vch_type, narration, particulars.
     """
@@ -42,38 +42,50 @@ def candidates(imports: DataFrame, booked: DataFrame, days: int = 0, keys: tuple
     narration, particulars = (alike(F.col(f"i_{c}"), F.col(f"b_{c}")) for c in ("narration", "particulars"))
     reasons = F.array_compact(F.array(F.when(apart == 0, "same day").otherwise("near day"), F.when(same_type, "voucher type"), F.when(narration, "narration"), F.when(particulars, "particulars")))
     points = F.lit(BASE) + F.when(apart == 0, SAME_DAY).otherwise(NEAR_DAY) + sum(F.when(F.coalesce(x, F.lit(False)), EACH_TEXT).otherwise(0) for x in (same_type, narration, particulars))
-    return pairs.select(*keys, "type", F.round(F.col("b_amount") * 100).cast("long").alias("cents"), F.col("i_seq").alias("import_seq"), F.col("b_seq").alias("booked_seq"), F.least(points, F.lit(MOST)).alias("score"), reasons.alias("reasons"))
+    return pairs.select(*keys, "type", F.round(F.col("b_amount") * 100).cast("long").alias("cents"), F.col("b_gl_date").alias("booked_date"), F.col("i_seq").alias("import_seq"), F.col("b_seq").alias("booked_seq"), F.least(points, F.lit(MOST)).alias("score"), reasons.alias("reasons"))
 
 
 def _serve(pairs: pd.DataFrame) -> pd.DataFrame:
-    """One block's pairs: imports in order, best score left, earliest voucher among equals."""
-    used, taken = set(), []
-    for _, own in pairs.sort_values(["import_seq", "score", "booked_seq"], ascending=[True, False, True]).groupby("import_seq", sort=True):
-        for row in own.itertuples():
-            if row.booked_seq not in used:
-                used.add(row.booked_seq)
-                taken.append(row.Index)
-                break
+    """One island's pairs: imports in order, best score left, earliest voucher among equals."""
+    ordered = pairs.sort_values(["import_seq", "score", "booked_seq"], ascending=[True, False, True])
+    served, used, taken = set(), set(), []
+    for row, import_seq, booked_seq in zip(ordered.index, ordered["import_seq"], ordered["booked_seq"]):
+        if import_seq not in served and booked_seq not in used:
+            served.add(import_seq)
+            used.add(booked_seq)
+            taken.append(row)
     return pairs.loc[taken]
 
 
-def islands(pairs: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:
-    """pairs with island: imports of different islands share no voucher, as cents between them are missing.
+def _breaks(values: DataFrame, within: list[str], value: str, number: Column, most: int, out: str) -> DataFrame:
+    """Distinct values with `out`, raised by one wherever the step from the value before is more than `most`."""
+    order = Window.partitionBy(*within).orderBy(value)
+    marked = values.select(*within, value).distinct().withColumn("_start", F.coalesce((number - F.lag(number).over(order) > most).cast("int"), F.lit(1)))
+    return marked.withColumn(out, F.sum("_start").over(order)).drop("_start")
+
+
+def islands(pairs: DataFrame, keys: tuple[str, ...] = ("account",), days: int = 3) -> DataFrame:
+    """pairs with amounts and island: imports of different islands share no voucher.
 
-    Two vouchers a cent apart can both suit one import two cents wide, so a gap is three cents or more.
+    Vouchers of one import are up to two cents and twice the days apart, so wider gaps part islands.
     """
-    cents = pairs.select(*keys, "type", "cents").distinct()
-    order = Window.partitionBy(*keys, "type").orderBy("cents")
-    start = (F.col("cents") - F.lag("cents").over(order) > 2).cast("int")
-    marked = cents.withColumn("_start", F.coalesce(start, F.lit(1)))
-    marked = marked.withColumn("island", F.sum("_start").over(order)).drop("_start")
-    return pairs.join(marked, [*keys, "type", "cents"])
-
-
-def assign(pairs: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:
-    """One-to-one matches of candidates, greedy in import order."""
-    placed = islands(pairs, keys)
-    return placed.groupBy(*keys, "type", "island").applyInPandas(_serve, placed.schema).drop("island")
+    cents = _breaks(pairs, [*keys, "type"], "cents", F.col("cents"), 2, "amounts")
+    pairs = pairs.join(cents, [*keys, "type", "cents"])
+    dates = _breaks(pairs, [*keys, "type", "amounts"], "booked_date", F.unix_date("booked_date"), 2 * days, "island")
+    return pairs.join(dates, [*keys, "type", "amounts", "booked_date"])
+
+
+def assign(pairs: DataFrame, keys: tuple[str, ...] = ("account",), days: int = 3) -> DataFrame:
+    """One-to-one matches of candidates, greedy in import order. days: at least those the candidates were made with."""
+    wanted = F.count(F.lit(1)).over(Window.partitionBy(*keys, "booked_seq"))
+    rivals = F.max("_wanted").over(Window.partitionBy(*keys, "import_seq"))
+    seen = pairs.withColumn("_wanted", wanted).withColumn("_wanted", rivals)
+    columns = [c for c in pairs.columns if c not in keys and c != "import_seq"]
+    best = F.max_by(F.struct(*columns), F.struct("score", -F.col("booked_seq"))).alias("best")
+    alone = seen.where("_wanted = 1").groupBy(*keys, "import_seq").agg(best).select(*keys, "import_seq", "best.*").select(*pairs.columns)
+    contested = islands(seen.where("_wanted > 1").drop("_wanted"), keys, days)
+    served = contested.groupBy(*keys, "type", "amounts", "island").applyInPandas(_serve, contested.schema)
+    return alone.unionByName(served.select(*pairs.columns))
 
 
 def best_candidates(pairs: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:

@@ -315,7 +315,7 @@ def best_candidates(spark, d):
 
 @query()
 def duplicate_matches(spark, d):
-    matches = linkage.assign(_pairs(spark, d))
+    matches = linkage.assign(_pairs(spark, d), days=2)
     return linkage.annotate(V.ledger(spark, d), matches).select("account", "seq", "status", "matched_seq", "score")
 
 

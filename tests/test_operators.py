@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal as D
 
 import pytest
@@ -95,6 +96,23 @@ def test_matching_is_greedy_in_import_order(spark):
         linkage.candidates(imports, booked, days=4)
 
 
+def test_matching_equals_serving_one_by_one(spark):
+    for days, seed in ((0, 1), (1, 2), (3, 3)):
+        rng = random.Random(seed)
+        some = lambda n: [(1, i, dt.date(2024, 4, 1) + dt.timedelta(rng.randrange(20)), D(1000 + rng.choice((0, 1, 2, 3, 9, 10, 40))) / 100, rng.choice(("DEBIT", "CREDIT")), "Receipt", rng.choice(("", "rent", "rent april", "tea")), "P") for i in range(n)]  # noqa: E731, B023
+        imports, booked = some(80), some(60)
+        pairs = linkage.candidates(spark.createDataFrame(imports, VOUCHER), spark.createDataFrame(booked, VOUCHER), days=days)
+        scores = {(r["import_seq"], r["booked_seq"]): r["score"] for r in pairs.collect()}
+        assert set(scores) == {(i[1], b[1]) for i in imports for b in booked if i[4] == b[4] and abs(i[3] - b[3]) <= D("0.01") and abs((i[2] - b[2]).days) <= days}
+        left, want = {b[1] for b in booked}, {}
+        for i, *_ in sorted((i[1],) for i in imports):
+            own = [(-scores[i, b], b) for b in left if (i, b) in scores]
+            if own:
+                want[i] = min(own)[1]
+                left.remove(want[i])
+        assert {r["import_seq"]: r["booked_seq"] for r in linkage.assign(pairs, days=days).collect()} == want
+
+
 def test_tables(spark):
     head = ["Txn Date", "Narration", "Debit", "Credit", "Balance"]
     rows = [("d", 0, 0, 0, ["x"]), ("d", 1, 0, 0, head), ("d", 1, 0, 1, ["1/4/2024", "A", "10", "", "90"]), ("d", 1, 0, 2, ["", "more", "", "", ""]), ("d", 1, 0, 3, ["", None, "", "", " "]), ("d", 2, 0, 0, head), ("d", 2, 0, 1, ["2/4/2024", "B", "", "5", "95"]), ("d", 2, 0, 2, ["short"])]
