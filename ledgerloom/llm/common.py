@@ -40,19 +40,17 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no pending plan reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def staged_path(df: DataFrame) -> str:
-    """Folder of a table that staged() returned."""
-    files = df.inputFiles()
-    return files[0].rsplit("/", 1)[0] if files else ""
+def discard(*tables: DataFrame) -> None:
+    """Delete what staged() wrote for these tables; no pending plan may read them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

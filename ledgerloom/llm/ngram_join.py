@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bound_batches, discard, salted_lookup, scratch_path, ship, small, staged
+from ledgerloom.llm.common import bound_batches, discard, salted_lookup, ship, small, staged
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.shingles import batch_sets, mix
 
@@ -186,9 +186,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     bound_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    first_path = scratch_path(spark, "ngram-digests")
-    rows.mapInArrow(_digests, "doc_id long, n long, digest binary, part int, counts binary").write.parquet(first_path)
-    first = spark.read.schema("doc_id long, n long, digest binary, part int, counts binary").parquet(first_path)
+    first = staged(rows.mapInArrow(_digests, "doc_id long, n long, digest binary, part int, counts binary"), "ngram-digests")
     steps = spark.sparkContext.broadcast(frequency_steps(first.where("part IS NOT NULL").select("part", "counts")))
     digests = first.where("part IS NULL").select("doc_id", "n", "digest")
 
@@ -196,21 +194,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     copies = salted_lookup(digests.where("digest IS NOT NULL"), classes, "digest", F.col("doc_id")).where("doc_id <> rep").select("doc_id").distinct()
     alone = rows.join(_narrow(staged(copies, "ngram-copies")), "doc_id", "left_anti")
 
-    post_path = scratch_path(spark, "ngram-hits")
     postings = alone.mapInArrow(_prefixes(steps, percent), "s long, doc long, place int, n int")
     # kept: postings of documents that have another one of a fitting size beside them, the next in size being the most fitting
     group, by_size = Window.partitionBy("s"), Window.partitionBy("s").orderBy("n", "doc")
     before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
     fits = (100 * before.cast("long") >= percent * F.col("n")) | (100 * F.col("n").cast("long") >= percent * after.cast("long"))
     hits = postings.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits")
-    hits.select("s", "doc", "place", "n").write.parquet(post_path)
-    hits = spark.read.schema("s long, doc long, place int, n int").parquet(post_path)
+    hits = staged(hits.select("s", "doc", "place", "n"), "ngram-hits")
 
     active = staged(hits.select("doc").distinct(), "ngram-active")
-    set_path = scratch_path(spark, "ngram-sets")
     wanted = rows.join(_narrow(active.withColumnRenamed("doc", "doc_id")), "doc_id", "left_semi")
-    wanted.mapInArrow(_sets, "doc long, shingles binary").write.parquet(set_path)
-    sets = spark.read.schema("doc long, shingles binary").parquet(set_path)
+    sets = staged(wanted.mapInArrow(_sets, "doc long, shingles binary"), "ngram-sets")
 
     component = active.select(F.col("doc").alias("node"), F.col("doc").alias("component"))
     edges = failed = None
@@ -242,8 +236,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         component = connected_components(edges, "ngram-components")
         component = staged(active.withColumnRenamed("doc", "node").join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "ngram-labels")
 
-    for path in (post_path, set_path):
-        discard(spark, path)
+    discard(hits, sets)
     known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = salted_lookup(digests, known, "digest", F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -126,6 +126,31 @@ least AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id""",
     "op4_license_scan": _license_sql(),
+    "op8_line_dedup": rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+masked AS (
+  SELECT doc_id, line_no, regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), '[^ ]*[0-9][^ ]*', '{line_templates.FIELD}', 'g') AS m
+  FROM (SELECT doc_id, line_no, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM lines) WHERE line <> ''),
+held AS (SELECT DISTINCT doc_id, m FROM masked),
+variants AS (SELECT m, len(w) AS n, string_split(m, ' ')[1:{line_templates.DEPTH}] AS lead, w FROM (SELECT m, string_split(m, ' ') AS w FROM (SELECT DISTINCT m FROM held))),
+mixed AS (SELECT * FROM variants JOIN (SELECT n, lead FROM variants WHERE n > {line_templates.DEPTH} GROUP BY ALL HAVING count(*) > 1) USING (n, lead)),
+tokens AS (SELECT m, n, lead, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS place FROM mixed),
+constants AS (
+  SELECT n, lead, place, t, true AS constant FROM tokens JOIN held USING (m) WHERE place >= {line_templates.DEPTH} AND t <> '{line_templates.FIELD}'
+  GROUP BY n, lead, place, t HAVING count(DISTINCT doc_id) >= {line_templates.MIN_DOCS}),
+made AS (
+  SELECT m, string_agg(CASE WHEN place < {line_templates.DEPTH} OR constant THEN t ELSE '{line_templates.FIELD}' END, ' ' ORDER BY place) AS template,
+    count(*) FILTER (constant) AS c, count(*) FILTER (place >= {line_templates.DEPTH}) AS rest
+  FROM tokens LEFT JOIN constants USING (n, lead, place, t) GROUP BY m),
+named AS (SELECT v.m, coalesce(made.template, v.m) AS template FROM variants v LEFT JOIN made ON made.m = v.m AND c > 0 AND c >= {line_templates.ALIKE} * rest),
+often AS (SELECT template FROM named JOIN held USING (m) GROUP BY template HAVING count(DISTINCT doc_id) >= {line_templates.MIN_DOCS}),
+dropped AS (SELECT DISTINCT doc_id, line_no FROM masked JOIN named USING (m) JOIN often USING (template)),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines ANTI JOIN dropped USING (doc_id, line_no) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM dropped GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS n_lines, CAST(coalesce(n.n, 0) AS INTEGER) AS n_dropped, CAST(length(x) AS BIGINT) AS kept_chars, sha256(x) AS kept_sha256
+FROM (SELECT documents.doc_id, documents.text, CASE WHEN documents.text IS NOT NULL THEN coalesce(kept.text, '') END AS x FROM documents LEFT JOIN kept USING (doc_id)) d LEFT JOIN n USING (doc_id)""",
     "op10_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings

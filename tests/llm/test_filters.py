@@ -155,73 +155,90 @@ def test_simhash_blocks_hold_all_within_radius():
     assert decontaminate.RADIUS // decontaminate.BLOCKS == 1 and decontaminate.BLOCKS * 8 == decontaminate.BITS
 
 
-def lines_by_force(docs):
-    """The template rules, on lists."""
+def lines_by_force(docs, keep_first=False):
+    """Places of the lines dropped, from sets of documents."""
     rows = []
     for i, t in docs:
-        for n, line in enumerate((t or "").split("\n") if t is not None else []):
+        for n, line in enumerate(t.split("\n") if t is not None and i is not None else []):
             line = line.strip(" \t\r\x0b\x0c")
             if line:
-                words = re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", line)
-                rows.append((i, n, words))
-    docs_of = {}
-    for i, _, w in rows:
-        docs_of.setdefault(w, set()).add(i)
-    leaf = lambda w: (len(w.split()), tuple(w.split(" ")[:3]))
-    support, kinds = {}, {}
-    for w, d in docs_of.items():
-        kinds.setdefault(leaf(w), []).append(w)
-        for p, t in enumerate(w.split()):
-            if p >= 3:
-                support[leaf(w), p, t] = support.get((leaf(w), p, t), 0) + len(d)
-    template = {}
-    for w in docs_of:
-        tokens = w.split()
-        if len(tokens) > 3 and len(kinds[leaf(w)]) > 1:
-            const = [support[leaf(w), p, t] >= 3 and t != "<*>" for p, t in enumerate(tokens) if p >= 3]
-            if sum(const) >= 0.6 * len(const):
-                template[w] = " ".join(t if p < 3 or const[p - 3] else "<*>" for p, t in enumerate(tokens))
-    often = {}
-    for w, d in docs_of.items():
-        t = template.get(w, w)
-        often[t] = often.get(t, 0) + len(d)
-    found = [(i, n, template.get(w, w)) for i, n, w in rows if often[template.get(w, w)] >= 3]
-    first = {}
-    for i, n, t in found:
-        first[t] = min(first.get(t, (i, n)), (i, n))
-    return {(i, n) for i, n, t in found if first[t] != (i, n)}
-
-
-def test_line_templates(spark):
+                rows.append((i, n, " ".join("<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line))))
+    holders, kinds, support = {}, {}, {}
+    for i, _, m in rows:
+        leaf = (len(m.split(" ")), tuple(m.split(" ")[:3]))
+        holders.setdefault(m, set()).add(i)
+        kinds.setdefault(leaf, set()).add(m)
+        for p, t in enumerate(m.split(" ")):
+            if p >= 3 and t != "<*>":
+                support.setdefault((leaf, p, t), set()).add(i)
+    template = {m: m for m in holders}
+    for leaf, own in kinds.items():
+        for m in own if leaf[0] > 3 and len(own) > 1 else ():
+            tokens = m.split(" ")
+            const = [p >= 3 and len(support.get((leaf, p, t), ())) >= 3 for p, t in enumerate(tokens)]
+            if sum(const) and sum(const) >= 0.6 * (len(tokens) - 3):
+                template[m] = " ".join(t if p < 3 or const[p] else "<*>" for p, t in enumerate(tokens))
+    said = {}
+    for m, own in holders.items():
+        said.setdefault(template[m], set()).update(own)
+    places = {}
+    for i, n, m in rows:
+        if len(said[template[m]]) >= 3:
+            places.setdefault(template[m], set()).add((i, n))
+    return {x for own in places.values() for x in own if not keep_first or x != min(own)}
+
+
+def dropped_places(spark, docs, **more):
+    """Places of the lines that are missing from each text that dedup_lines returns, by its n_dropped and the rest of the text."""
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = lines_by_force(docs, **more)
+    out = line_templates.dedup_lines(df, **more).collect()
+    assert len(out) == len(docs)
+    for r, (i, t) in zip(sorted(out, key=lambda r: (r["doc_id"] is None, r["doc_id"])), sorted(docs, key=lambda x: (x[0] is None, x[0]))):
+        left = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want)
+        assert r["text"] == left, i
+        assert r["n_dropped"] == sum(j == i for j, _ in want) and r["n_lines"] == (0 if t is None else len(t.split("\n")))
+    return want
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_line_templates(spark, keep_first):
     rng = random.Random(11)
     docs = []
     for i in range(60):
         lines = [sentence(rng, rng.randrange(1, 30)) for _ in range(rng.randrange(4))]
+        lines += [" ".join(rng.choice("abcd") for _ in range(rng.randrange(3, 8))) for _ in range(2)]
         if i % 3 == 0:
             lines.append("Subscribe to our weekly letter")
         if i % 4 == 0:
             lines.insert(0, f"Posted by user {i} on day {i * 7} of the year")
         if i % 5 == 0:
-            lines.append(f"Contact our team member {rng.choice(['Ann', 'Bob', 'Cyd'])}xyz{'abcdefgh'[i % 8]} for all further details please")
+            lines.append(f"Contact our team member {rng.choice(['Ann', 'Bob', 'Cyd'])}xyz{'abcdefgh'[i % 8]} for  all further\tdetails please")
         docs.append((i, "\n".join(lines)))
-    docs += [(100, None), (101, ""), (102, "\n \n"), (103, "Subscribe to our weekly letter\n" * 50)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    found = line_templates.recurring_lines(df).where("NOT first").collect()
-    assert {(r["doc_id"], r["line_no"]) for r in found} == lines_by_force(docs)
-    out = {r["doc_id"]: r for r in line_templates.dedup_lines(df).collect()}
-    assert len(out) == len(docs) and out[100]["text"] is None and out[101]["text"] == "" and out[103]["n_dropped"] == 50
-    assert sum("letter" in (r["text"] or "") for r in out.values()) == 1
-    assert not any("Posted by" in (out[i]["text"] or "") for i in range(1, 60))
-    assert line_templates.dedup_lines(df.limit(0)).count() == 0
+    letter = "Subscribe to our weekly letter"
+    docs += [(100, None), (101, ""), (102, "\n \n"), (103, f"{letter}\n" * 50), (104, "word " * 40000 + "\n" + letter), (105, "line\n" * 3000), (None, letter), (None, None)]
+    dropped = dropped_places(spark, docs, keep_first=keep_first)
+    assert len([x for x in dropped if x[0] == 103]) == 50 and ((0, docs[0][1].split("\n").index(letter)) in dropped) != keep_first
+    assert line_templates.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_line_templates_on_random_words(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        docs = [(i, "\n".join(" ".join(rng.choice(["a", "b", "c", "d1", "e"]) for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(8)))) for i in range(40)]
+        assert dropped_places(spark, docs)
 
 
 def test_line_templates_count_a_document_once(spark):
     table = lambda names: "\n".join(f"the user called hello from {n} today please" for n in names)
     spread = lambda n: f"our staff were happy to meet {n} again here"
     both = lambda n: f"all shops will open again on {n} next week"
-    docs = [(1, table(["Ann", "Bob", "Cyd"])), (2, spread("Ann")), (3, spread("Bob")), (4, spread("Cyd")), (5, both("Monday") + "\n" + both("Friday")), (6, both("Sunday"))]
-    rows = {r["doc_id"]: r["n_dropped"] for r in line_templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert rows == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0}
+    docs = [(1, table(["Ann", "Bob", "Cyd", "Dee"])), (2, spread("Ann")), (3, spread("Bob")), (4, spread("Cyd")), (5, both("Monday") + "\n" + both("Friday")), (6, both("Sunday")), (6, both("Sunday")), (7, letter := "a line of its own\n" * 5), (7, letter)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r["doc_id"]: r["n_dropped"] for r in line_templates.dedup_lines(df).collect()}
+    assert rows == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
+    with pytest.raises(ValueError):
+        line_templates.dedup_lines(df, min_docs=4)
 
 
 def toxic_corpus():
