@@ -58,11 +58,6 @@ def signed(amount: Column, side: Column) -> Column:
     return F.when(side == "DEBIT", amount).when(side == "CREDIT", -amount).otherwise(F.lit(0)).cast(MONEY)
 
 
-def entry_amount(amount: Column, is_debit: Column) -> Column:
-    """Amount text of a voucher entry: two decimals, debits negative."""
-    return F.when(is_debit, -amount).otherwise(amount).cast(MONEY).cast("string")
-
-
 def voucher_type(side: Column) -> Column:
     return F.when(side == "CREDIT", "Payment").when(side == "DEBIT", "Receipt")
 

@@ -19,8 +19,8 @@ HONORIFICS = ("sri", "shri", "smt", "srimati", "mr", "mrs", "ms", "dr", "kum")
 
 
 def normalised(c: Column) -> Column:
-    """Lower case, punctuation as spaces, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    """Lower case, single spaces for whatever is no letter, mark or digit of any script."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\pL\pM\pN]+", " "))
 
 
 def is_word(w: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:

@@ -23,9 +23,9 @@ def check_character(first14: Column) -> Column:
 
 
 def valid_gstin(c: Column) -> Column:
-    """15 characters of the prescribed shape and the right check character."""
+    """15 characters of the prescribed shape (state, PAN, entity number from 1, a letter or digit, mostly Z) and the right check character."""
     text = F.upper(F.trim(c))
-    shape = text.rlike(r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$")
+    shape = text.rlike(r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z][0-9A-Z][0-9A-Z]$")
     return F.coalesce(shape & (F.substring(text, 15, 1) == check_character(F.substring(text, 1, 14))), F.lit(False))
 
 

@@ -39,7 +39,7 @@ def receipt_audit(cash: DataFrame) -> DataFrame:
     """By month, in order: receipts and sum; and receipt numbers that stand more than once in it."""
     twice = cash.groupBy("rc_no").agg(F.count(F.lit(1)).alias("_n"))
     rows = cash.join(twice, "rc_no", "left")
-    return rows.groupBy("month_label").agg(F.min(F.trunc("gl_date", "month")).alias("month"), F.count(F.lit(1)).alias("n"), F.sum("amount").cast(MONEY).alias("total"), F.lit(0).cast(MONEY).alias("credit"), F.count_if(F.col("_n") > 1).alias("repeated_numbers"))
+    return rows.groupBy("month_label").agg(F.min(F.trunc("gl_date", "month")).alias("month"), F.count(F.lit(1)).alias("n"), F.sum("amount").cast(MONEY).alias("total"), F.lit(0).cast(MONEY).alias("credit"), F.count_if(F.col("_n") > 1).alias("repeated_numbers")).orderBy("month")
 
 
 def apply_lexicon(names: DataFrame, lexicon: DataFrame, name: str = "name") -> DataFrame:

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import tax
 from ledgerloom.functions.amounts import MONEY
+from ledgerloom.functions.dates import any_date
 
 REQUIRED = ("recipient", "invoice", "invoice_date", "invoice_value", "place", "taxable", "rate")
 
-#: Our spellings of HSN headers.
+#: Headings of the public HSN summary template and short forms of them, by our names.
 HSN_ALIASES = {"hsn/sac": "hsn", "hsn code": "hsn", "unit": "uqc", "total quantity": "qty", "quantity": "qty", "total value": "value", "taxable value": "taxable", "integrated tax": "igst", "integrated tax amount": "igst", "central tax": "cgst", "central tax amount": "cgst", "state/ut tax": "sgst", "state/ut tax amount": "sgst", "cess amount": "cess", "tax rate": "rate", "desc": "description"}
 
 
+#: Headings of the public B2B template, by our names.
+B2B_ALIASES = {"gstin/uin of recipient": "recipient", "invoice number": "invoice", "invoice date": "invoice_date", "invoice value": "invoice_value", "place of supply": "place", "reverse charge": "reverse_charge", "invoice type": "invoice_type", "taxable value": "taxable", "cess amount": "cess"}
+
+
 def require_columns(register: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
     """The register, or an error that names the columns it lacks."""
     missing = [c for c in required if c not in register.columns]
@@ -51,16 +56,30 @@ def reject_invalid(register: DataFrame) -> DataFrame:
 def taxed(register: DataFrame) -> DataFrame:
     """cgst, sgst and igst of each row; a supply within the state has place equal to state."""
     cgst, sgst, igst = tax.tax_split(F.col("taxable"), F.col("rate"), F.col("place") == F.col("state"))
-    return register.withColumns({"cgst": cgst, "sgst": sgst, "igst": igst})
+    return filled(register).withColumns({"cgst": cgst, "sgst": sgst, "igst": igst})
+
+
+TAXES = ("taxable", "cgst", "sgst", "igst", "cess")
+
+
+def filled(register: DataFrame) -> DataFrame:
+    """The register with its optional columns: cess (0), reverse charge (N) and invoice type (R) in the codes of returns."""
+    text = lambda c: F.col(c).cast("string") if c in register.columns else F.lit(None).cast("string")
+    cess = F.coalesce(text("cess").try_cast(MONEY), F.lit(0).cast(MONEY))
+    return register.withColumns({"cess": cess, "reverse_charge": tax.reverse_charge(text("reverse_charge")), "invoice_type": tax.invoice_type(text("invoice_type"))})
 
 
-TAXES = ("taxable", "cgst", "sgst", "igst")
+def typed_register(register: DataFrame, gstin: str) -> DataFrame:
+    """A register as files give it, all text, with amounts, dates, rates and place codes read; state is that of the taxpayer's number."""
+    money = lambda c: F.regexp_replace(F.col(c).cast("string"), ",", "").try_cast(MONEY)
+    return register.withColumns({"invoice_value": money("invoice_value"), "taxable": money("taxable"), "rate": tax.rate(F.col("rate")), "place": tax.place_code(F.col("place")), "invoice_date": any_date(F.col("invoice_date").cast("string")), "state": F.lit(gstin[:2])})
 
 
 def invoices(register: DataFrame) -> DataFrame:
     """By recipient and invoice: the first row's header, item count and sums."""
-    head = ("invoice_date", "invoice_value", "place", "state")
-    return taxed(register).groupBy("recipient", "invoice").agg(*[F.min_by(c, "row_no").alias(c) for c in head if c in register.columns], F.count(F.lit(1)).alias("items"), *[F.sum(c).cast(MONEY).alias(c) for c in TAXES])
+    head = ("invoice_date", "invoice_value", "place", "state", "reverse_charge", "invoice_type")
+    rows = taxed(register)
+    return rows.groupBy("recipient", "invoice").agg(*[F.min_by(c, "row_no").alias(c) for c in head if c in rows.columns], F.count(F.lit(1)).alias("items"), *[F.sum(c).cast(MONEY).alias(c) for c in TAXES])
 
 
 def register_totals(register: DataFrame) -> DataFrame:
@@ -75,12 +94,13 @@ def item_numbers(register: DataFrame) -> DataFrame:
 
 
 def return_documents(register: DataFrame) -> DataFrame:
-    """One row per recipient with its part of the return, nested as recipient, invoices, items, item details."""
+    """One row per recipient with its part of the return, nested as recipient, invoices, items, item details, in order."""
     items = item_numbers(taxed(register))
-    detail = F.struct(F.col("rate").cast("double").alias("rt"), F.col("taxable").alias("txval"), F.col("cgst").alias("camt"), F.col("sgst").alias("samt"), F.col("igst").alias("iamt"))
-    head = [F.min_by("invoice_value", "row_no").alias("val"), F.date_format(F.min_by("invoice_date", "row_no"), "dd-MM-yyyy").alias("idt"), F.min_by("place", "row_no").alias("pos")]
+    detail = F.struct(F.col("rate").cast("double").alias("rt"), F.col("taxable").alias("txval"), F.col("cgst").alias("camt"), F.col("sgst").alias("samt"), F.col("igst").alias("iamt"), F.col("cess").alias("csamt"))
+    first = lambda c: F.min_by(c, "row_no")
+    head = [first("invoice_value").alias("val"), F.date_format(first("invoice_date"), "dd-MM-yyyy").alias("idt"), first("place").alias("pos"), first("reverse_charge").alias("rchrg"), first("invoice_type").alias("inv_typ")]
     per = items.groupBy("recipient", "invoice").agg(*head, F.sort_array(F.collect_list(F.struct(F.col("item_no").alias("num"), detail.alias("itm_det")))).alias("itms"))
-    inv = F.struct(F.col("invoice").cast("string").alias("inum"), "idt", "val", "pos", "itms")
+    inv = F.struct(F.col("invoice").cast("string").alias("inum"), "idt", "val", "pos", "rchrg", "inv_typ", "itms")
     return per.groupBy("recipient").agg(F.sort_array(F.collect_list(inv)).alias("inv")).select(F.col("recipient").alias("ctin"), "inv")
 
 
@@ -96,7 +116,8 @@ def fill_sections(rows: DataFrame, label: str = "hsn") -> DataFrame:
 def hsn_rows(rows: DataFrame) -> DataFrame:
     """Cleaned rows with num, their place in their section."""
     order = Window.partitionBy("file", "section").orderBy("row_no")
-    clean = rows.withColumn("hsn", tax.hsn_code(F.col("hsn"))).withColumn("uqc", tax.unit_code(F.col("uqc"))).withColumn("rate", tax.rate(F.col("rate")))
+    text = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+    clean = rows.withColumns({"hsn": tax.hsn_code(F.col("hsn")), "uqc": tax.unit_code(F.col("uqc")), "rate": tax.rate(F.col("rate")), "description": F.coalesce(F.trim(text("description")), F.lit("")), "cess": F.coalesce(text("cess").try_cast(MONEY), F.lit(0).cast(MONEY))})
     return clean.withColumn("num", F.row_number().over(order))
 
 

@@ -68,6 +68,11 @@ def month_closings(ledger: DataFrame, opening: Column | None = None, rolling: bo
     return months.withColumn("closing", (start + (F.sum("net").over(order) if rolling else F.col("net"))).cast(MONEY))
 
 
+def largest_months(months: DataFrame) -> DataFrame:
+    """By account: the largest sum of any month on either side, the scale of a chart of the months."""
+    return months.groupBy("account").agg(F.max(F.greatest("debit", "credit")).alias("largest"))
+
+
 def with_grand_total(months: DataFrame, key: str, sums: list[str]) -> DataFrame:
     """Sums by key and a row "TOTAL" over all."""
     rolled = months.rollup(key).agg(F.grouping(key).alias("all"), *[F.sum(c).cast(months.schema[c].dataType).alias(c) for c in sums])
@@ -130,8 +135,8 @@ def counters(vouchers: DataFrame) -> DataFrame:
 
 
 def ledger_names(vouchers: DataFrame, part: str = "") -> DataFrame:
-    """Distinct names that hold the text (case aside), for completion; order by name to show them."""
-    return vouchers.where(F.lower("particulars").contains(part.lower())).select(F.col("particulars").alias("name")).distinct()
+    """Distinct names that hold the text (case aside), in order, for completion."""
+    return vouchers.where(F.lower("particulars").contains(part.lower())).select(F.col("particulars").alias("name")).distinct().orderBy("name")
 
 
 def bounds(vouchers: DataFrame) -> DataFrame:

@@ -113,6 +113,29 @@ def reconciliation(imports: DataFrame, booked: DataFrame) -> DataFrame:
     return rows.groupBy("account", "month").agg(*sums, *[F.count(kind).alias(f"{kind}_n") for kind in ("imported", "booked", "duplicate")])
 
 
+def by_match_status(imports: DataFrame, status: str) -> DataFrame:
+    """Annotated imports that are Duplicate or New, or all."""
+    if status not in ("all", "Duplicate", "New"):
+        raise ValueError("status must be all, Duplicate or New")
+    return imports if status == "all" else imports.where(F.col("status") == status)
+
+
+def duplicate_closing(imports: DataFrame, opening: Column) -> DataFrame:
+    """By account: sums of the duplicates and the opening moved by them."""
+    sums = by_match_status(imports, "Duplicate").groupBy("account").agg(side_sum("DEBIT").alias("debit"), side_sum("CREDIT").alias("credit"), F.count(F.lit(1)).alias("n"))
+    return sums.withColumn("closing", (opening + F.col("debit") - F.col("credit")).cast(MONEY))
+
+
+def with_closings(months: DataFrame, opening: Column) -> DataFrame:
+    """reconciliation() with the running closing of each of its three series, and a row "TOTAL" for each account with its last closings."""
+    order = Window.partitionBy("account").orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kinds = ("imported", "booked", "duplicate")
+    months = months.withColumns({f"{k}_closing": (opening + F.sum(F.col(f"{k}_debit") - F.col(f"{k}_credit")).over(order)).cast(MONEY) for k in kinds})
+    sums = [F.sum(c).cast(months.schema[c].dataType).alias(c) for k in kinds for c in (f"{k}_debit", f"{k}_credit", f"{k}_n")]
+    total = months.groupBy("account").agg(F.lit("TOTAL").alias("month"), *sums, *[F.max_by(f"{k}_closing", "month").alias(f"{k}_closing") for k in kinds])
+    return months.unionByName(total)
+
+
 def full_outer_months(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Month tables side by side with zeros for months that one of them lacks, and whether they agree to a cent."""
     left = a.select("account", "month", *[F.col(c).alias(f"a_{c}") for c in columns])

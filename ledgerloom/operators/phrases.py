@@ -15,3 +15,8 @@ def phrase_frequency(vouchers: DataFrame, narration: str = "narration", least: i
     if search:
         said = said.where(F.col("phrase").contains(search.lower()))
     return said.groupBy("phrase", "words").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def ranked(frequency: DataFrame, most: int = 50) -> DataFrame:
+    """The most frequent phrases in order, ties by phrase."""
+    return frequency.orderBy(F.desc("n"), "phrase").limit(most)

@@ -11,6 +11,10 @@ from ledgerloom.operators import ledger as L
 from ledgerloom.operators.linkage import full_outer_months
 
 
+#: What a report says of each count that isn't 0.
+FAULTS = {"months_off": "months differ", "rows_off": "rows differ", "repeated": "vouchers share a number", "without_digits": "numbers end without a digit"}
+
+
 def voucher_months(vouchers: DataFrame, bank: str = "bank") -> DataFrame:
     """By account and month: count and sums of the bank ledger's entries. bank names the column with the ledger."""
     entries = vouchers.select("account", "date", F.col(bank).alias("bank"), F.explode("entries").alias("e")).where(F.col("e.ledger") == F.col("bank"))
@@ -44,9 +48,9 @@ def sequence_check(vouchers: DataFrame) -> DataFrame:
 
 
 def report(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
-    """By account: counts, sums, closing movement, unknown rows, months and rows that disagree, number faults, and the verdict.
+    """By account: counts, sums, closing movement, unknown rows, months and rows that disagree, number faults, verdict and message.
 
-    warning marks statements whose directions rest on a fallback.
+    warning marks statements whose directions rest on a fallback; message says so too.
     """
     fallback = F.coalesce(F.bool_or("is_fallback_type"), F.lit(False)) if "is_fallback_type" in ledger.columns else F.lit(False)
     base = ledger.groupBy("account").agg(F.count(F.lit(1)).alias("transactions"), F.count_if(~F.coalesce("type", F.lit("")).isin(*L.SIDES)).alias("unknown"), L.side_sum("DEBIT").alias("debit"), L.side_sum("CREDIT").alias("credit"), fallback.alias("warning"))
@@ -56,4 +60,7 @@ def report(ledger: DataFrame, vouchers: DataFrame) -> DataFrame:
     counts = ("months_off", "rows_off", "vouchers", "repeated", "without_digits")
     out = out.na.fill(0, list(counts)).withColumn("closing_movement", (F.col("debit") - F.col("credit")).cast(MONEY))
     bad = F.col("months_off") + F.col("rows_off") + F.col("repeated") + F.col("without_digits")
-    return out.withColumn("passed", bad == 0)
+    faults = [F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {what}"))) for c, what in FAULTS.items()]
+    message = F.when(bad == 0, "all checks passed").otherwise(F.concat_ws(", ", *faults))
+    message = F.concat(message, F.when(F.col("warning"), "; directions rest on a fallback, check them").otherwise(""))
+    return out.withColumn("passed", bad == 0).withColumn("message", message)

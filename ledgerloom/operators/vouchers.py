@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts
-from ledgerloom.operators.ledger import numbered
+from ledgerloom.operators.ledger import numbered, running_balance
 
 #: Names by which a bank's own ledger is told where entries carry no party flag.
 BANK_NAMES = r"(?i)\b(bank|cash|a/c|account)\b"
@@ -30,12 +30,12 @@ def double_entries(ledger: DataFrame, bank: Column, other: Column, keys: list[st
     return rows.select(*keys, "index", F.date_format("gl_date", "yyyyMMdd").alias("date"), amounts.voucher_number(bank, F.col("gl_date"), F.col("index"), fallback).alias("number"), kind.alias("vch_type"), text.alias("narration"), entries.alias("entries"))
 
 
-def ledger_masters(bank: str, other: str, opening: Column | None, spark) -> DataFrame:
-    """The two masters a voucher file starts with; an opening balance is stored negated."""
-    rows = spark.range(1)
-    start = F.lit(None).cast(amounts.MONEY) if opening is None else (-opening).cast(amounts.MONEY)
+def ledger_masters(openings: DataFrame, bank: str, other: str) -> DataFrame:
+    """The two masters (name, parent, opening) a voucher file starts with; the openings' sum is stored negated."""
+    start = (-F.sum("opening")).cast(amounts.MONEY)
     master = lambda name, parent, value: F.struct(F.lit(name).alias("name"), F.lit(parent).alias("parent"), value.alias("opening"))
-    return rows.select(F.inline(F.array(master(bank, "Bank Accounts", start), master(other, "Suspense A/c", F.lit(None).cast(amounts.MONEY)))))
+    both = F.array(master(bank, "Bank Accounts", F.col("opening")), master(other, "Suspense A/c", F.lit(None).cast(amounts.MONEY)))
+    return openings.agg(start.alias("opening")).select(F.inline(both))
 
 
 def flatten(vouchers: DataFrame, key: str = "id") -> DataFrame:
@@ -62,8 +62,6 @@ def of_ledger(vouchers: DataFrame, bank: str, key: str = "id") -> DataFrame:
 
 def audit_rows(vouchers: DataFrame, keys: list[str], opening: Column | None = None) -> DataFrame:
     """The audit sheet: flat rows in order with the running balance."""
-    from ledgerloom.operators.ledger import running_balance
-
     flat = flatten(vouchers.withColumn("_id", F.struct(*keys, "index")), "_id")
     rows = flat.select(F.concat_ws("/", *[F.col(f"_id.{k}").cast("string") for k in keys]).alias("account"), F.col("_id.index").alias("seq"), "gl_date", "particulars", "vch_type", "vch_no", "narration", "debit", "credit")
     rows = rows.withColumn("amount", F.col("debit") + F.col("credit")).withColumn("type", F.when(F.col("debit") > 0, "DEBIT").otherwise("CREDIT"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, narration, tax
 from ledgerloom.operators import cash, gst, linkage, phrases, signs, statements, tables, validate, vouchers
 from ledgerloom.operators import ledger as L
+from ledgerloom.plans import jobs
 from ledgerloom.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,8 +46,13 @@ DECIMALS = {
     "closing_balance": "closing",
     "month_reconciliation": "imported_debit imported_credit booked_debit booked_credit duplicate_debit duplicate_credit",
     "full_outer_months": "a_debit a_credit b_debit b_credit",
-    "gst_invoices": "invoice_value taxable cgst sgst igst",
-    "gst_totals": "taxable cgst sgst igst value",
+    "gst_invoices": "invoice_value taxable cgst sgst igst cess",
+    "gst_totals": "taxable cgst sgst igst cess value",
+    "gst_documents": "value taxable cgst sgst igst cess",
+    "hsn_rows": "cess",
+    "largest_months": "largest",
+    "duplicate_closing": "debit credit closing",
+    "reconciliation_report": "imported_debit imported_credit booked_debit booked_credit duplicate_debit duplicate_credit imported_closing booked_closing duplicate_closing",
     "hsn_totals": "qty taxable cgst sgst igst value",
     "parse_dash_dates": "amount balance",
     "parse_printed_side": "amount balance",
@@ -211,7 +217,7 @@ def review_filters(spark, d):
     return found.select("id", "account", "gl_date", "particulars", "narration")
 
 
-@query("SELECT id, particulars FROM v_ledger WHERE modified AND particulars = '1-URGENT' AND trim(regexp_replace(regexp_replace(lower(narration), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) LIKE '%urgent ref 1%'", V.LEDGER)
+@query("SELECT id, particulars FROM v_ledger WHERE modified AND particulars = '1-URGENT' AND trim(regexp_replace(lower(narration), '[^\\pL\\pM\\pN]+', ' ', 'g')) LIKE '%urgent ref 1%'", V.LEDGER)
 def review_phrase(spark, d):
     return L.review(V.ledger(spark, d), status="modified", ledger="1-URGENT", phrase="urgent ref 1").select("id", "particulars")
 
@@ -263,7 +269,7 @@ def voucher_index(spark, d):
 
 
 STOPS = ", ".join(f"'{w}'" for w in narration.STOP_WORDS)
-NORMAL = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+NORMAL = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\pL\\pM\\pN]+', ' ', 'g'))"
 WORDS = f"""v_words AS (
   SELECT conv_id, turn, i, w, length(w) > 1 AND w NOT IN ({STOPS}) AND (NOT regexp_full_match(w, '[0-9]+') OR length(w) = 10) AS ok FROM (
     SELECT conv_id, turn, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS i FROM (SELECT conv_id, turn, {NORMAL.format('text')} AS t FROM conversations))),
@@ -328,8 +334,7 @@ UNION ALL SELECT account, {MONTH}, amount, type, 'duplicate' FROM v_ledger WHERE
     V.BOOKED,
 )
 def month_reconciliation(spark, d):
-    marked = V.ledger(spark, d).withColumn("status", F.when(F.col("id") % 5 == 0, "Duplicate").otherwise("New"))
-    return linkage.reconciliation(marked, V.booked(spark, d))
+    return linkage.reconciliation(_annotated(spark, d), V.booked(spark, d))
 
 
 SUMS = f"SELECT account, {MONTH} AS month, count(*) AS n, {DEBIT} AS debit, {CREDIT} AS credit FROM {{0}} WHERE type IN ('DEBIT', 'CREDIT') GROUP BY ALL"
@@ -346,49 +351,72 @@ def full_outer_months(spark, d):
     return linkage.full_outer_months(L.month_closings(V.ledger(spark, d)), L.month_closings(V.booked(spark, d)), ["n", "debit", "credit"])
 
 
-@query("SELECT recipient, invoice, any_value(invoice_date) AS invoice_date, any_value(invoice_value) AS invoice_value, any_value(place) AS place, count(*) AS items, CAST(sum(taxable) AS DECIMAL(18,2)) AS taxable, CAST(sum(half) AS DECIMAL(18,2)) AS cgst, CAST(sum(half) AS DECIMAL(18,2)) AS sgst, CAST(sum(igst) AS DECIMAL(18,2)) AS igst FROM v_taxed GROUP BY recipient, invoice", V.REGISTER)
+TAX_SUMS = "CAST(sum(taxable) AS DECIMAL(18,2)) AS taxable, CAST(sum(half) AS DECIMAL(18,2)) AS cgst, CAST(sum(half) AS DECIMAL(18,2)) AS sgst, CAST(sum(igst) AS DECIMAL(18,2)) AS igst, CAST(sum(cess) AS DECIMAL(18,2)) AS cess"
+
+
+def _register(spark, d):
+    """The whole register, checked."""
+    return gst.reject_invalid(gst.usable_rows(V.register(spark, d)))
+
+
+@query(f"SELECT recipient, invoice, any_value(invoice_date) AS invoice_date, any_value(invoice_value) AS invoice_value, any_value(place) AS place, any_value(reverse_charge) AS reverse_charge, any_value(invoice_type) AS invoice_type, count(*) AS items, {TAX_SUMS} FROM v_taxed GROUP BY recipient, invoice", V.REGISTER)
 def gst_invoices(spark, d):
-    rows = V.register(spark, d)
-    return gst.invoices(rows.where(tax.known_rate(F.col("rate")))).drop("state")
+    return gst.invoices(_register(spark, d)).drop("state")
 
 
 @query(
-    """SELECT CAST(sum(taxable) AS DECIMAL(18,2)) AS taxable, CAST(sum(half) AS DECIMAL(18,2)) AS cgst, CAST(sum(half) AS DECIMAL(18,2)) AS sgst, CAST(sum(igst) AS DECIMAL(18,2)) AS igst,
-(SELECT CAST(sum(v) AS DECIMAL(18,2)) FROM (SELECT any_value(invoice_value) AS v FROM v_taxed GROUP BY recipient, invoice)) AS value, count(DISTINCT invoice) AS invoices, count(DISTINCT recipient) AS recipients FROM v_taxed""",
+    f"""SELECT {TAX_SUMS}, (SELECT CAST(sum(v) AS DECIMAL(18,2)) FROM (SELECT any_value(invoice_value) AS v FROM v_taxed GROUP BY recipient, invoice)) AS value,
+count(DISTINCT invoice) AS invoices, count(DISTINCT recipient) AS recipients FROM v_taxed""",
     V.REGISTER,
 )
 def gst_totals(spark, d):
-    return gst.register_totals(V.register(spark, d).where(tax.known_rate(F.col("rate"))))
+    return gst.register_totals(_register(spark, d))
+
+
+@query("SELECT recipient, count(*) AS n FROM v_register WHERE invoice % 11 > 3 GROUP BY recipient", V.REGISTER)
+def usable_register_rows(spark, d):
+    """Recipients missing, in totals or too short, and blank invoices, each in one of eleven invoices."""
+    k = F.col("invoice") % 11
+    planted = V.register(spark, d).withColumn("recipient", F.when(k == 0, None).when(k == 1, "Grand Total").when(k == 2, "x").otherwise(F.col("recipient"))).withColumn("invoice", F.when(k == 3, " ").otherwise(F.col("invoice").cast("string")))
+    return gst.usable_rows(planted).groupBy("recipient").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT rate, count(*) AS n FROM v_register WHERE rate NOT IN (0, 1, 3, 5, 6) GROUP BY rate", V.REGISTER)
+@query("SELECT tax, count(*) AS n FROM (SELECT CAST(round(l_tax * 100) AS INTEGER) AS tax FROM lineitem) WHERE tax NOT IN (0, 1, 3, 5, 6) GROUP BY tax")
 def gst_invalid_rates(spark, d):
-    return gst.invalid_rates(V.register(spark, d)).groupBy(F.col("rate").cast("int").alias("rate")).agg(F.count(F.lit(1)).alias("n"))
+    lines = V.table(spark, d, "lineitem").select(F.round(F.col("l_tax") * 100).cast("decimal(9,3)").alias("rate"))
+    return gst.invalid_rates(lines).groupBy(F.col("rate").cast("int").alias("tax")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT recipient, count(DISTINCT invoice) AS invoices, count(*) AS items FROM v_taxed GROUP BY recipient", V.REGISTER)
+@query(
+    f"""SELECT recipient, CAST(invoice AS VARCHAR) AS invoice, strftime(invoice_date, '%d-%m-%Y') AS dated, invoice_value AS value, place, reverse_charge, invoice_type, CAST(item_no AS INTEGER) AS item_no,
+CAST(rate AS DOUBLE) AS rate, taxable, half AS cgst, half AS sgst, igst, cess FROM v_taxed""",
+    V.REGISTER,
+)
 def gst_documents(spark, d):
-    docs = gst.return_documents(V.register(spark, d).where(tax.known_rate(F.col("rate"))))
-    items = F.aggregate("inv", F.lit(0), lambda n, i: n + F.size(i.itms))
-    return docs.select(F.col("ctin").alias("recipient"), F.size("inv").cast("long").alias("invoices"), items.cast("long").alias("items"))
+    """Every item of the return, read back from the nested documents."""
+    invoices = gst.return_documents(_register(spark, d)).select(F.col("ctin").alias("recipient"), F.explode("inv").alias("i"))
+    items = invoices.select("recipient", "i", F.explode("i.itms").alias("t"))
+    t = lambda c: F.col(f"t.itm_det.{c}")
+    return items.select("recipient", F.col("i.inum").alias("invoice"), F.col("i.idt").alias("dated"), F.col("i.val").alias("value"), F.col("i.pos").alias("place"), F.col("i.rchrg").alias("reverse_charge"), F.col("i.inv_typ").alias("invoice_type"), F.col("t.num").alias("item_no"), t("rt").alias("rate"), t("txval").alias("taxable"), t("camt").alias("cgst"), t("samt").alias("sgst"), t("iamt").alias("igst"), t("csamt").alias("cess"))
 
 
 HSN = """v_hsn AS (
   SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY file ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'B2B') AS section FROM (
-    SELECT p_partkey % 10 AS file, p_partkey AS row_no, p_size AS qty, CAST(p_retailprice AS DECIMAL(18,2)) AS value, p_partkey % 4 AS rate,
+    SELECT p_partkey % 10 AS file, p_partkey AS row_no, p_size AS qty, CAST(p_retailprice AS DECIMAL(18,2)) AS value, CAST([0, 1.5, 5, 18][p_partkey % 4 + 1] AS DOUBLE) AS rate, trim(p_name) AS description,
+      CAST(p_partkey % 7 AS DECIMAL(18,2)) AS cess, CAST(round(CAST(p_retailprice AS DECIMAL(18,2)) * CAST(0.025 AS DECIMAL(4,3)), 2) AS DECIMAL(18,2)) AS half,
       CASE p_partkey % 50 WHEN 0 THEN 'B2C' WHEN 25 THEN 'B2B' END AS mark, p_partkey % 50 = 49 AS total, CAST(p_partkey * 7 + 123 AS VARCHAR) AS hsn, CASE WHEN p_partkey % 3 = 0 THEN 'NOS' ELSE 'OTH' END AS uqc FROM part)),
 v_hsn_rows AS (SELECT * EXCLUDE (hsn), CASE WHEN length(hsn) IN (3, 5, 7) THEN '0' || hsn ELSE hsn END AS hsn FROM v_hsn WHERE mark IS NULL AND NOT total)"""
 
 
-@query("SELECT file, row_no, section, hsn, uqc, rate, row_number() OVER (PARTITION BY file, section ORDER BY row_no) AS num FROM v_hsn_rows", HSN)
+@query("SELECT file, row_no, section, hsn, uqc, rate, description, cess, row_number() OVER (PARTITION BY file, section ORDER BY row_no) AS num FROM v_hsn_rows", HSN)
 def hsn_rows(spark, d):
-    found = gst.hsn_rows(gst.fill_sections(V.hsn_file(spark, d)))
-    return found.select("file", "row_no", "section", "hsn", "uqc", F.col("rate").cast("long").alias("rate"), F.col("num").cast("long").alias("num"))
+    found = jobs.hsn_return(V.hsn_file(spark, d))["rows"]
+    return found.select("file", "row_no", "section", "hsn", "uqc", F.col("rate").cast("double").alias("rate"), "description", "cess", F.col("num").cast("long").alias("num"))
 
 
-@query("SELECT CAST(sum(qty) AS DECIMAL(18,2)) AS qty, CAST(sum(value) AS DECIMAL(18,2)) AS taxable, CAST(0 AS DECIMAL(18,2)) AS cgst, CAST(0 AS DECIMAL(18,2)) AS sgst, CAST(0 AS DECIMAL(18,2)) AS igst, CAST(sum(value) AS DECIMAL(18,2)) AS value, count(*) AS n FROM v_hsn_rows", HSN)
+@query("SELECT CAST(sum(qty) AS DECIMAL(18,2)) AS qty, CAST(sum(value) AS DECIMAL(18,2)) AS taxable, CAST(sum(CASE WHEN row_no % 2 = 0 THEN half ELSE 0 END) AS DECIMAL(18,2)) AS cgst, CAST(sum(CASE WHEN row_no % 2 = 0 THEN half ELSE 0 END) AS DECIMAL(18,2)) AS sgst, CAST(sum(CASE WHEN row_no % 2 = 1 THEN 2 * half ELSE 0 END) AS DECIMAL(18,2)) AS igst, CAST(sum(value) AS DECIMAL(18,2)) AS value, count(*) AS n FROM v_hsn_rows", HSN)
 def hsn_totals(spark, d):
-    return gst.hsn_totals(gst.hsn_rows(gst.fill_sections(V.hsn_file(spark, d))))
+    return jobs.hsn_return(V.hsn_file(spark, d))["totals"]
 
 
 FIRST14 = "lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') || 'ABCDE' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || 'F1Z'"
@@ -422,47 +450,62 @@ def parse_printed_side(spark, d):
     return statements.printed_side(V.statement_lines(spark, d, "side")).select("statement_id", "seq", "gl_date", "narration", "amount", "balance", "bank_indicator")
 
 
-WRAPPED = f"SELECT {PLACES}, narration || CASE WHEN id % 4 = 0 THEN ' to shop' ELSE '' END AS narration, amount, CAST(abs(balance) AS DECIMAL(18,2)) AS balance FROM v_balanced WHERE amount <> abs(balance)"
+WRAPPED = f"SELECT {PLACES}, narration || CASE WHEN id % 4 = 0 THEN ' to shop' ELSE '' END AS narration, amount, CAST(abs(balance) AS DECIMAL(18,2)) AS balance FROM v_balanced"
 
 
-def _unlike(rows):
-    """A row whose amount equals its balance can't be told apart in these layouts."""
-    return rows.where("amount <> balance").select("statement_id", "seq", "gl_date", "narration", "amount", "balance")
+def _parsed(rows):
+    return rows.select("statement_id", "seq", "gl_date", "narration", "amount", "balance")
 
 
 @query(WRAPPED, V.LEDGER, V.BALANCED)
 def parse_slash_dates(spark, d):
-    return _unlike(statements.slash_posted(V.statement_lines(spark, d, "slash")))
+    return _parsed(statements.slash_posted(V.statement_lines(spark, d, "slash")))
 
 
 @query(WRAPPED, V.LEDGER, V.BALANCED)
 def parse_slash_valued(spark, d):
-    return _unlike(statements.slash_valued(V.statement_lines(spark, d, "slash")))
+    return _parsed(statements.slash_valued(V.statement_lines(spark, d, "slash")))
 
 
 @query(WRAPPED, V.LEDGER, V.BALANCED)
 def parse_month_names(spark, d):
-    return _unlike(statements.month_names(V.statement_lines(spark, d, "month")))
+    return _parsed(statements.month_names(V.statement_lines(spark, d, "month")))
 
 
 @query(WRAPPED, V.LEDGER, V.BALANCED)
 def parse_wrapped(spark, d):
-    return _unlike(statements.wrapped(V.statement_lines(spark, d, "month")))
+    return _parsed(statements.wrapped(V.statement_lines(spark, d, "month")))
 
 
-@query()
+CASCADE = """v_printed_slash AS (SELECT account, seq, amount, CAST(abs(balance) AS DECIMAL(18,2)) AS balance FROM v_balanced),
+v_steps AS (SELECT *, balance - lag(balance) OVER (PARTITION BY account ORDER BY seq) AS step, balance - coalesce(lag(balance) OVER (PARTITION BY account ORDER BY seq), 1000) AS delta FROM v_printed_slash),
+v_sided AS (SELECT *, CASE WHEN delta > 0 OR (delta = 0 AND amount > 0) THEN 'DEBIT' WHEN delta < 0 THEN 'CREDIT' ELSE 'UNKNOWN' END AS type FROM v_steps),
+v_good AS (
+  SELECT account FROM (SELECT account, abs(CASE WHEN type = 'DEBIT' THEN amount ELSE -amount END - step) > 0.01 AS wrong FROM v_sided)
+  GROUP BY account HAVING count(wrong) = 0 OR count(*) FILTER (wrong) < 0.25 * count(wrong))"""
+
+
+@query("SELECT account AS statement_id, seq * 10 AS seq, 0 AS parser, type, CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance FROM v_sided SEMI JOIN v_good USING (account)", V.LEDGER, V.BALANCED, CASCADE)
 def parse_cascade(spark, d):
-    return statements.cascade(V.statement_lines(spark, d, "slash"), statements.opening_balances(V.statement_lines(spark, d, "slash"))).select("statement_id", "seq", "parser", "type", "amount", "balance")
+    """All parsers of the cascade read these lines alike or not at all, so the first is taken where the balances add up."""
+    lines = V.statement_lines(spark, d, "slash")
+    return statements.cascade(lines, statements.opening_balances(lines)).select("statement_id", "seq", "parser", "type", "amount", "balance")
 
 
-@query("SELECT DISTINCT account AS statement_id, CAST(1000 AS DECIMAL(18,2)) AS opening FROM v_balanced", V.LEDGER, V.BALANCED)
+@query("SELECT DISTINCT account AS statement_id, CAST(CASE WHEN account % 3 = 0 THEN -1 ELSE 1 END * (1000 + account % 700 + 0.25) AS DECIMAL(18,2)) AS opening FROM v_balanced", V.LEDGER, V.BALANCED)
 def opening_balances(spark, d):
-    return statements.opening_balances(V.statement_lines(spark, d, "dash"))
+    """Openings that differ by statement in amount, mark and wording, and a later line that looks like one."""
+    k = F.col("statement_id")
+    amount = F.format_number((1000 + k % 700 + F.lit(0.25)), 2)
+    first = F.concat(F.when(k % 2 == 0, "Opening Balance : ").otherwise("B/F "), amount, F.when(k % 3 == 0, "Dr").when(k % 3 == 1, " Cr").otherwise(""))
+    lines = V.statement_lines(spark, d, "dash").withColumn("line", F.when(F.col("line_no") == -1, first).otherwise(F.col("line")))
+    late = lines.where("line_no = -1").select("statement_id", F.lit(1 << 60).cast("long").alias("line_no"), F.lit("Opening Balance : 1.00 Cr").alias("line"))
+    return statements.opening_balances(lines.union(late))
 
 
-@query("SELECT statement_id, count(*) AS n FROM (SELECT account AS statement_id FROM v_balanced WHERE gl_date >= DATE '1997-01-01' UNION ALL SELECT DISTINCT account FROM v_balanced) GROUP BY statement_id", V.LEDGER, V.BALANCED)
+@query("SELECT account AS statement_id, seq * 10 AS line_no FROM v_balanced WHERE gl_date >= DATE '1997-01-01' UNION ALL SELECT DISTINCT account, -1 FROM v_balanced", V.LEDGER, V.BALANCED)
 def sliced_lines(spark, d):
-    return statements.slice_from(V.statement_lines(spark, d, "dash"), "1997-01-01").groupBy("statement_id").agg(F.count(F.lit(1)).alias("n"))
+    return statements.slice_from(V.statement_lines(spark, d, "dash"), "1997-01-01").select("statement_id", "line_no")
 
 
 MAPPING = {"date": 0, "narration": 1, "debit": 2, "credit": 3, "balance": 4}
@@ -478,12 +521,12 @@ def parse_tables(spark, d):
     return tables.transactions(V.table_rows(spark, d), MAPPING)
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS sheet, event_id AS row_no, gl_date, CAST(event_id AS VARCHAR) AS rc_no, 'Sri ' || event_type AS raw_name, amount FROM v_receipts", V.CASH)
+@query("SELECT CAST(user_id AS VARCHAR) AS sheet, event_id AS row_no, gl_date, rc_no, 'Sri ' || event_type AS raw_name, amount FROM v_receipts", V.CASH)
 def cash_receipts(spark, d):
     return cash.receipts(V.cash_cells(spark, d)).select("sheet", "row_no", "gl_date", "rc_no", "raw_name", "amount")
 
 
-@query("SELECT strftime(gl_date, '%b %Y') AS month_label, CAST(date_trunc('month', any_value(gl_date)) AS DATE) AS month, count(*) AS n, CAST(sum(amount) AS DECIMAL(18,2)) AS total, CAST(0 AS DECIMAL(18,2)) AS credit, 0 AS repeated_numbers FROM v_receipts GROUP BY 1", V.CASH)
+@query("SELECT strftime(gl_date, '%b %Y') AS month_label, CAST(date_trunc('month', any_value(gl_date)) AS DATE) AS month, count(*) AS n, CAST(sum(amount) AS DECIMAL(18,2)) AS total, CAST(0 AS DECIMAL(18,2)) AS credit, count(*) FILTER (n_same > 1) AS repeated_numbers FROM (SELECT *, count(*) OVER (PARTITION BY rc_no) AS n_same FROM v_receipts) GROUP BY 1", V.CASH)
 def cash_audit(spark, d):
     return cash.receipt_audit(cash.receipts(V.cash_cells(spark, d)))
 
@@ -530,20 +573,42 @@ def audit_sheet(spark, d):
     return vouchers.audit_rows(_vouchers(spark, d), ["account"]).select("account", F.col("seq").cast("long").alias("seq"), "balance")
 
 
+def _misread(rows):
+    """Every tenth amount is one too high."""
+    return rows.withColumn("amount", F.when(F.col("id") % 10 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast(amounts.MONEY))
+
+
+MISREAD = """v_misread AS (SELECT * REPLACE (CAST(CASE WHEN id % 10 = 0 THEN amount + 1 ELSE amount END AS DECIMAL(18,2)) AS amount), id % 10 = 0 AND type <> 'UNKNOWN' AS off FROM v_ledger)"""
+
+
 @query(
-    f"""SELECT account, count(*) AS transactions, count(*) FILTER (type = 'UNKNOWN') AS unknown, {DEBIT} AS debit, {CREDIT} AS credit, CAST(coalesce(sum({S}), 0) AS DECIMAL(18,2)) AS closing_movement, count(*) FILTER (type <> 'UNKNOWN') AS vouchers, true AS passed
-FROM v_ledger GROUP BY account""",
+    f"""SELECT *, rows_off = 0 AS passed, CASE WHEN rows_off = 0 THEN 'all checks passed' ELSE months_off || ' months differ, ' || rows_off || ' rows differ' END AS message FROM (
+SELECT account, count(*) AS transactions, count(*) FILTER (type = 'UNKNOWN') AS unknown, {DEBIT} AS debit, {CREDIT} AS credit, CAST(coalesce(sum({S}), 0) AS DECIMAL(18,2)) AS closing_movement, count(*) FILTER (type <> 'UNKNOWN') AS vouchers,
+  count(DISTINCT CASE WHEN off THEN {MONTH} END) AS months_off, count(*) FILTER (off) AS rows_off
+FROM v_misread GROUP BY account)""",
     V.LEDGER,
+    MISREAD,
 )
 def validation_report(spark, d):
-    return validate.report(V.ledger(spark, d), _vouchers(spark, d)).select("account", "transactions", "unknown", "debit", "credit", "closing_movement", "vouchers", "passed")
+    """Vouchers against a statement of which every tenth amount is misread."""
+    return validate.report(_misread(V.ledger(spark, d)), _vouchers(spark, d)).select("account", "transactions", "unknown", "debit", "credit", "closing_movement", "vouchers", "months_off", "rows_off", "passed", "message")
+
+
+@query(
+    """SELECT account, count(*) AS vouchers, count(*) FILTER (odd AND n > 1) AS repeated, count(*) FILTER (odd) AS without_digits
+FROM (SELECT account, index % 5 = 0 AS odd, count(*) OVER (PARTITION BY account, index % 5 = 0) AS n FROM v_numbered) GROUP BY account""",
+    V.LEDGER,
+    NUMBERED,
+)
+def voucher_sequence(spark, d):
+    """Every fifth voucher of an account bears the same number, without digits."""
+    made = _vouchers(spark, d)
+    return validate.sequence_check(made.withColumn("number", F.when(F.col("index") % 5 == 0, "none").otherwise(F.col("number"))))
 
 
 @query("SELECT account, index, 'amount' AS reason FROM v_numbered WHERE id % 10 = 0 AND amount <> 0", V.LEDGER, NUMBERED)
 def row_mismatches(spark, d):
-    rows = V.ledger(spark, d)
-    changed = rows.withColumn("amount", F.when(F.col("id") % 10 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast(amounts.MONEY))
-    return validate.row_match(changed, _vouchers(spark, d)).select("account", F.col("index").cast("long").alias("index"), F.array_join("reasons", ",").alias("reason"))
+    return validate.row_match(_misread(V.ledger(spark, d)), _vouchers(spark, d)).select("account", F.col("index").cast("long").alias("index"), F.array_join("reasons", ",").alias("reason"))
 
 
 @query(
@@ -564,9 +629,55 @@ def date_forms(spark, d):
 
 
 @query(
-    """SELECT account, seq, sum(is_start) OVER (PARTITION BY account ORDER BY seq) AS island FROM (SELECT account, seq, CASE WHEN id % 4 <> 0 THEN 1 ELSE 0 END AS is_start FROM v_ledger)""",
+    """SELECT account AS statement_id, island, min(seq) AS seq, coalesce(string_agg(CASE WHEN NOT is_start THEN narration END, ' ' ORDER BY seq), '') AS more
+FROM (SELECT *, sum(CAST(is_start AS INTEGER)) OVER (PARTITION BY account ORDER BY seq) AS island FROM (SELECT *, id % 4 <> 0 AS is_start FROM v_ledger)) WHERE island > 0 GROUP BY account, island""",
     V.LEDGER,
 )
 def continuation_islands(spark, d):
-    order = Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return V.ledger(spark, d).select("account", "seq", F.sum((F.col("id") % 4 != 0).cast("int")).over(order).alias("island"))
+    """Narrations as lines, three of four of which begin a transaction."""
+    lines = V.ledger(spark, d).select(F.col("account").alias("statement_id"), F.col("seq").alias("line_no"), F.col("narration").alias("line"), "id", F.array().cast("array<string>").alias("t"))
+    return statements.islands(lines, F.col("id") % 4 != 0).select("statement_id", F.col("_island").alias("island"), "seq", "more")
+
+
+@query("SELECT phrase, CAST(words AS INTEGER) AS words, count(*) AS n FROM v_phrases GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, phrase LIMIT 50", WORDS)
+def top_phrases(spark, d):
+    return phrases.ranked(phrases.phrase_frequency(V.narrations(spark, d)))
+
+
+@query(f"SELECT account, max(greatest(debit, credit)) AS largest FROM (SELECT account, {MONTH} AS month, {DEBIT} AS debit, {CREDIT} AS credit FROM v_ledger WHERE type IN ('DEBIT', 'CREDIT') GROUP BY ALL) GROUP BY account", V.LEDGER)
+def largest_months(spark, d):
+    return L.largest_months(L.month_closings(V.ledger(spark, d)))
+
+
+def _annotated(spark, d):
+    """The ledger as annotated imports, every fifth a duplicate."""
+    return V.ledger(spark, d).withColumn("status", F.when(F.col("id") % 5 == 0, "Duplicate").otherwise("New"))
+
+
+@query("SELECT account, id FROM v_ledger WHERE id % 5 <> 0", V.LEDGER)
+def new_imports(spark, d):
+    return linkage.by_match_status(_annotated(spark, d), "New").select("account", "id")
+
+
+@query(f"SELECT account, {DEBIT} AS debit, {CREDIT} AS credit, count(*) AS n, CAST(1000 + coalesce(sum({S}), 0) AS DECIMAL(18,2)) AS closing FROM v_ledger WHERE id % 5 = 0 GROUP BY account", V.LEDGER)
+def duplicate_closing(spark, d):
+    return linkage.duplicate_closing(_annotated(spark, d), F.lit(1000))
+
+
+KINDS = ("imported", "booked", "duplicate")
+RECONCILED = f"""v_kinds AS (
+  SELECT account, {MONTH} AS month, {', '.join(f"CAST(coalesce(sum(CASE WHEN kind = '{k}' AND type = '{s}' THEN amount END), 0) AS DECIMAL(18,2)) AS {k}_{s.lower()}" for k in KINDS for s in L.SIDES)},
+    {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}_n" for k in KINDS)}
+  FROM (SELECT account, gl_date, amount, type, 'imported' AS kind FROM v_ledger UNION ALL SELECT account, gl_date, amount, type, 'booked' FROM v_booked UNION ALL SELECT account, gl_date, amount, type, 'duplicate' FROM v_ledger WHERE id % 5 = 0) GROUP BY ALL),
+v_closed AS (SELECT *, {', '.join(f"CAST(1000 + sum({k}_debit - {k}_credit) OVER (PARTITION BY account ORDER BY month) AS DECIMAL(18,2)) AS {k}_closing" for k in KINDS)} FROM v_kinds)"""
+
+
+@query(
+    f"""SELECT * FROM v_closed UNION ALL BY NAME SELECT account, 'TOTAL' AS month, {', '.join(f"CAST(sum({k}_{c}) AS DECIMAL(18,2)) AS {k}_{c}" for k in KINDS for c in ('debit', 'credit'))},
+{', '.join(f"CAST(sum({k}_n) AS BIGINT) AS {k}_n, arg_max({k}_closing, month) AS {k}_closing" for k in KINDS)} FROM v_closed GROUP BY account""",
+    V.LEDGER,
+    V.BOOKED,
+    RECONCILED,
+)
+def reconciliation_report(spark, d):
+    return linkage.with_closings(linkage.reconciliation(_annotated(spark, d), V.booked(spark, d)), F.lit(1000))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import MONEY
@@ -80,23 +80,35 @@ BOOKED = """v_booked AS (
     CASE WHEN id % 2 = 0 THEN narration ELSE 'cheque' END AS narration, particulars, vch_type FROM v_ledger WHERE id % 3 <> 0)"""
 
 
+#: The rate that stands for a tax of 0 %, 1 % and so on.
+RATES = (0, 1, 1.5, 3, 5, 12, 18, 28, 40)
+
+
 def register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as a sales register; customer and supplier nations stand for states."""
+    """Order lines as a sales register; customer and supplier nations stand for states, taxes of 0 to 8 % for the rates of RATES."""
+    rates = F.array(*[F.lit(r).cast("decimal(9,3)") for r in RATES])
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     lines = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     taxable = F.round(F.col("l_extendedprice").cast(MONEY) * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2).cast(MONEY)
-    return lines.select(F.col("o_custkey").alias("recipient"), F.col("l_orderkey").alias("invoice"), F.col("l_linenumber").alias("row_no"), F.col("o_orderdate").cast("date").alias("invoice_date"), F.col("o_totalprice").cast(MONEY).alias("invoice_value"), F.col("c_nationkey").alias("place"), F.col("s_nationkey").alias("state"), taxable.alias("taxable"), F.round(F.col("l_tax") * 100).cast("decimal(9,3)").alias("rate"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return lines.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("recipient"), F.col("l_orderkey").alias("invoice"), F.row_number().over(order).alias("row_no"), F.col("o_orderdate").cast("date").alias("invoice_date"), F.col("o_totalprice").cast(MONEY).alias("invoice_value"), F.col("c_nationkey").alias("place"), F.col("s_nationkey").alias("state"), taxable.alias("taxable"), rates[F.round(F.col("l_tax") * 100).cast("int")].alias("rate"), F.when(F.col("l_linenumber") == 3, F.lit("1.25")).alias("cess"), F.when(F.col("l_orderkey") % 4 == 0, F.lit("Yes")).alias("reverse_charge"), F.when(F.col("l_orderkey") % 5 == 0, F.lit("SEZ supplies without payment")).alias("invoice_type"))
 
 
-REGISTER = """v_register AS (
-  SELECT o_custkey AS recipient, l_orderkey AS invoice, CAST(o_orderdate AS DATE) AS invoice_date, CAST(o_totalprice AS DECIMAL(18,2)) AS invoice_value,
-    c_nationkey AS place, s_nationkey AS state, CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))), 2) AS DECIMAL(18,2)) AS taxable, CAST(round(l_tax * 100) AS INTEGER) AS rate
+REGISTER = f"""v_register AS (
+  SELECT 'C' || o_custkey AS recipient, l_orderkey AS invoice, CAST(o_orderdate AS DATE) AS invoice_date, CAST(o_totalprice AS DECIMAL(18,2)) AS invoice_value,
+    c_nationkey AS place, s_nationkey AS state, CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))), 2) AS DECIMAL(18,2)) AS taxable,
+    CAST([{', '.join(map(str, RATES))}][CAST(round(l_tax * 100) AS INTEGER) + 1] AS DECIMAL(9,3)) AS rate, CAST(CASE WHEN l_linenumber = 3 THEN 1.25 ELSE 0 END AS DECIMAL(18,2)) AS cess,
+    CASE WHEN l_orderkey % 4 = 0 THEN 'Y' ELSE 'N' END AS reverse_charge, CASE WHEN l_orderkey % 5 = 0 THEN 'SEWOP' ELSE 'R' END AS invoice_type,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS item_no
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
 v_taxed AS (
   SELECT *, CAST(CASE WHEN place = state THEN round(CAST(total AS DECIMAL(18,2)) * CAST(0.5 AS DECIMAL(2,1)), 2) ELSE 0 END AS DECIMAL(18,2)) AS half, CAST(CASE WHEN place = state THEN 0 ELSE total END AS DECIMAL(18,2)) AS igst
-  FROM (SELECT *, CAST(round(CAST(taxable * rate AS DECIMAL(24,4)) * 0.01, 2) AS DECIMAL(18,4)) AS total FROM v_register WHERE rate IN (0, 1, 3, 5, 6)))"""
+  FROM (SELECT *, CAST(round(CAST(taxable * rate AS DECIMAL(26,5)) * 0.01, 2) AS DECIMAL(18,4)) AS total FROM v_register))"""
+
+
+HSN_RATES = ("0", "1.5", "5", "18")
 
 
 def hsn_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +116,10 @@ def hsn_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     label = F.when(k % 50 == 0, "B2C supplies").when(k % 50 == 25, "B2B supplies").when(k % 50 == 49, "Total").otherwise((k * 7 + 123).cast("string"))
     value = F.col("p_retailprice").cast(MONEY)
-    zero = F.lit(0).cast(MONEY)
-    return table(spark, sf_dir, "part").select((k % 10).alias("file"), k.alias("row_no"), label.alias("hsn"), F.concat(F.when(k % 3 == 0, "nos-numbers").otherwise(""), F.lit("")).alias("uqc"), F.col("p_size").cast(MONEY).alias("qty"), value.alias("value"), value.alias("taxable"), zero.alias("igst"), zero.alias("cgst"), zero.alias("sgst"), F.concat((k % 4).cast("string"), F.lit("%")).alias("rate"))
+    half = F.round(value * F.lit("0.025").cast("decimal(4,3)"), 2).cast(MONEY)
+    within = lambda c: F.when(k % 2 == 0, c).otherwise(0).cast(MONEY)
+    beyond = F.when(k % 2 == 1, half * 2).otherwise(0).cast(MONEY)
+    return table(spark, sf_dir, "part").select((k % 10).alias("file"), k.alias("row_no"), label.alias("hsn"), F.concat(F.when(k % 3 == 0, "nos-numbers").otherwise(""), F.lit("")).alias("uqc"), F.col("p_size").cast(MONEY).alias("qty"), value.alias("value"), value.alias("taxable"), beyond.alias("igst"), within(half).alias("cgst"), within(half).alias("sgst"), (k % 7).cast("string").alias("cess"), F.concat(F.lit(" "), F.col("p_name")).alias("desc"), F.concat(F.get(F.array(*map(F.lit, HSN_RATES)), k % 4), F.lit("%")).alias("rate"))
 
 
 def narrations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +150,9 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     debit = F.when(F.col("type") == "CREDIT", F.col("amount"))
     credit = F.when(F.col("type") == "DEBIT", F.col("amount"))
     cells = F.array(F.date_format("gl_date", "d/M/yyyy"), F.col("narration"), text(debit), text(credit), F.col("balance").cast("string"))
-    page = F.floor(F.col("id") % 1).cast("int")
-    place = [F.col("account").alias("statement_id"), page.alias("page"), F.lit(0).alias("table_no")]
+    page = F.floor((F.row_number().over(Window.partitionBy("account").orderBy("seq")) - 1) / 20).cast("int")
+    rows = rows.withColumn("page", page)
+    place = [F.col("account").alias("statement_id"), F.col("page"), F.lit(0).alias("table_no")]
     body = rows.select(*place, (F.col("seq") * 10).alias("row_no"), cells.alias("cells"))
     more = rows.where("id % 4 = 0").select(*place, (F.col("seq") * 10 + 1).alias("row_no"), F.array(F.lit(""), F.lit("to shop"), F.lit(""), F.lit(""), F.lit("")).alias("cells"))
     header = F.array(*[F.lit(h) for h in ("Txn Date", "Narration", "Withdrawal", "Deposit", "Balance")])
@@ -147,13 +162,13 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cash_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as cash sheets: a sheet per user, dates blank in every third row, days alone in every fifth."""
+    """Events as cash sheets: a sheet per user, dates blank in every third row, days alone in every fifth, every twentieth receipt number used twice."""
     e = table(spark, sf_dir, "events")
     day = F.date_format("ts", "dd-MM-yyyy")
     first = F.min("event_id").alias("first")
     sheets = e.groupBy("user_id").agg(first)
     cell = F.when(F.col("event_id") == F.col("first"), day).when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 5 == 0, F.dayofmonth("ts").cast("string")).otherwise(day)
-    return e.join(sheets, "user_id").select(F.lit("book").alias("workbook"), F.col("user_id").cast("string").alias("sheet"), F.col("event_id").alias("row_no"), cell.alias("c0"), F.concat(F.col("event_id").cast("string"), F.lit(".0")).alias("c1"), F.concat(F.lit("Sri "), F.col("event_type")).alias("c2"), F.lit("").alias("c3"), F.floor(F.abs("value")).cast("long").cast("string").alias("c4"))
+    return e.join(sheets, "user_id").select(F.lit("book").alias("workbook"), F.col("user_id").cast("string").alias("sheet"), F.col("event_id").alias("row_no"), cell.alias("c0"), F.concat((F.col("event_id") - (F.col("event_id") % 20 == 1).cast("int")).cast("string"), F.lit(".0")).alias("c1"), F.concat(F.lit("Sri "), F.col("event_type")).alias("c2"), F.lit("").alias("c3"), F.floor(F.abs("value")).cast("long").cast("string").alias("c4"))
 
 
 CASH = """v_cash AS (
@@ -166,7 +181,7 @@ v_carried AS (
     SELECT *, max(CASE WHEN kind IS NOT NULL THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS src FROM v_cash) c
   JOIN v_cash s ON s.user_id = c.user_id AND s.event_id = c.src JOIN v_cash f ON f.user_id = c.user_id AND f.event_id = c.first),
 v_receipts AS (
-  SELECT user_id, event_id, amount, event_type,
+  SELECT user_id, event_id, amount, event_type, CAST(CASE WHEN event_id % 20 = 1 THEN event_id - 1 ELSE event_id END AS VARCHAR) AS rc_no,
     CASE WHEN from_kind = 'd' THEN CAST(from_ts AS DATE)
       WHEN day(from_ts) <= day(last_day(CAST(first_ts AS DATE))) THEN CAST(date_trunc('month', CAST(first_ts AS DATE)) AS DATE) + CAST(day(from_ts) - 1 AS INTEGER)
       ELSE CAST(first_ts AS DATE) END AS gl_date FROM v_carried)"""

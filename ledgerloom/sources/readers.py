@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import io
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,16 +46,22 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 def read_register(spark: SparkSession, path: str, header_row: int = 4) -> DataFrame:
     """CSV register whose header stands in row header_row (from 1) of each file; columns in lower case, file and row_no added.
 
-    The header of the first file names the columns: one row reaches the driver.
+    Quoted cells may hold line ends; blank rows go. The header of the first file names the columns: one row reaches the driver.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("row_no", "line"))
-    head = lines.where(F.col("row_no") == header_row - 1).orderBy("file").select("line").first()
+
+    def cells(batches):
+        for batch in batches:
+            for file, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [(file, n, row) for n, row in enumerate(csv.reader(io.StringIO(text, newline=""))) if any(c.strip() for c in row)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [(), (), ()], (pa.string(), pa.int32(), pa.list_(pa.string())))], ["file", "row_no", "cells"])
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = files.mapInArrow(cells, "file string, row_no int, cells array<string>")
+    head = rows.where(F.col("row_no") == header_row - 1).orderBy("file").select("cells").first()
     if head is None:
         raise ValueError(f"no header in row {header_row}")
-    names = [n.strip().lower() for n in next(csv.reader([head["line"]]))]
-    schema = ", ".join(f"`{n or f'c{i}'}` string" for i, n in enumerate(names))
-    body = lines.where((F.col("row_no") >= header_row) & (F.trim("line") != ""))
-    return body.select("file", "row_no", F.from_csv("line", F.lit(schema)).alias("r")).select("file", "row_no", "r.*")
+    names = [c.strip().lower() or f"c{i}" for i, c in enumerate(head["cells"])]
+    return rows.where(F.col("row_no") >= header_row).select("file", "row_no", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def read_settings(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -101,8 +109,6 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
     """(statement_id, page, page_text) of PDF files; needs the optional pypdf package on the executors."""
 
     def pages(frames):
-        import io
-
         import pandas as pd
         from pypdf import PdfReader
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +27,24 @@ def voucher_xml(vouchers: DataFrame) -> DataFrame:
     return vouchers.withColumn("xml", _tag("VOUCHER", F.concat(head, F.array_join(F.transform("entries", entry), ""))))
 
 
-def write_vouchers(vouchers: DataFrame, path: str, order: list[str]) -> None:
-    """Voucher XML, one envelope per file: each task sorts its range of vouchers and frames them, so no single task writes all."""
+def master_xml(masters: DataFrame) -> DataFrame:
+    """masters (name, parent, opening) with xml, the ledger as one line; a null opening is left out."""
+    opening = F.coalesce(_tag("OPENINGBALANCE", F.col("opening").cast("string")), F.lit(""))
+    name = F.concat(F.lit('<LEDGER NAME="'), _escaped(F.col("name")), F.lit('">'))
+    return masters.withColumn("xml", F.concat(name, _tag("NAME", _escaped(F.col("name"))), _tag("PARENT", _escaped(F.col("parent"))), opening, F.lit("</LEDGER>")))
+
+
+def write_vouchers(vouchers: DataFrame, path: str, order: list[str], masters: DataFrame | None = None) -> None:
+    """Voucher XML, one envelope per file: each task sorts its range of vouchers and frames them, so no single task writes all.
+
+    masters, a few ledgers, stand at the head of the first file, which is read before the others.
+    """
+    head = [r["xml"] for r in master_xml(masters).collect()] if masters is not None else []
     lines = voucher_xml(vouchers).repartitionByRange(*order).sortWithinPartitions(*order).select("xml")
 
     def framed(batches):
-        import pyarrow as pa
-
-        batch = lambda column: pa.RecordBatch.from_arrays([column], ["xml"])
-        yield batch(pa.array(["<ENVELOPE><BODY>"]))
+        batch = lambda rows: pa.RecordBatch.from_arrays([rows], ["xml"])
+        yield batch(pa.array(["<ENVELOPE><BODY>", *(head if TaskContext.get().partitionId() == 0 else [])]))
         for b in batches:
             yield batch(b.column(0))
         yield batch(pa.array(["</BODY></ENVELOPE>"]))
@@ -41,15 +52,29 @@ def write_vouchers(vouchers: DataFrame, path: str, order: list[str]) -> None:
     lines.mapInArrow(framed, "xml string").write.mode("overwrite").text(path)
 
 
+def save_review(vouchers: DataFrame, audit: DataFrame, path: str, order: list[str], masters: DataFrame | None = None) -> None:
+    """What a review ends with: the edited vouchers and the audit sheet made of them, under vouchers and audit."""
+    write_vouchers(vouchers, f"{path}/vouchers", order, masters)
+    write_audit(audit, f"{path}/audit")
+
+
 def return_json(documents: DataFrame, gstin: str, period: str) -> DataFrame:
-    """One JSON line per recipient document of a return, each with the return's head."""
-    head = F.struct(F.lit(gstin).alias("gstin"), F.lit(period).alias("fp"), F.array(F.struct(*documents.columns)).alias("b2b"))
-    return documents.select(F.to_json(head).alias("json"))
+    """The return as one JSON document, recipients in order and the fixed block of supplies at nil rate.
+
+    A return is one value, so its recipients meet in one row.
+    """
+    #: The four kinds of supplies that the block lists.
+    kinds = ("INTRB2B", "INTRAB2B", "INTRB2C", "INTRAB2C")
+    zero = F.lit(0).cast("decimal(18,2)")
+    nil = F.struct(F.array(*[F.struct(F.lit(k).alias("sply_ty"), zero.alias("expt_amt"), zero.alias("nil_amt"), zero.alias("ngsup_amt")) for k in kinds]).alias("inv"))
+    b2b = F.sort_array(F.collect_list(F.struct(*documents.columns))).alias("b2b")
+    head = F.struct(F.lit(gstin).alias("gstin"), F.lit(period).alias("fp"), "b2b", nil.alias("nil"))
+    return documents.agg(b2b).select(F.to_json(head).alias("json"))
 
 
 def hsn_json(rows: DataFrame) -> DataFrame:
     """By file one JSON document with the rows of its two sections, in order."""
-    item = F.struct("num", F.col("hsn").alias("hsn_sc"), "uqc", F.col("qty").cast("double").alias("qty"), F.col("rate").cast("double").alias("rt"), F.col("taxable").alias("txval"), F.col("igst").alias("iamt"), F.col("cgst").alias("camt"), F.col("sgst").alias("samt"))
+    item = F.struct("num", F.col("hsn").alias("hsn_sc"), F.col("description").alias("desc"), "uqc", F.col("qty").cast("double").alias("qty"), F.col("rate").cast("double").alias("rt"), F.col("taxable").alias("txval"), F.col("igst").alias("iamt"), F.col("cgst").alias("camt"), F.col("sgst").alias("samt"), F.col("cess").alias("csamt"))
     part = lambda s: F.sort_array(F.collect_list(F.when(F.col("section") == s, item)))
     return rows.groupBy("file").agg(part("B2B").alias("hsn_b2b"), part("B2C").alias("hsn_b2c")).select("file", F.to_json(F.struct("hsn_b2b", "hsn_b2c")).alias("json"))
 

@@ -59,6 +59,8 @@ def test_similarity(spark):
 
 def test_names(spark):
     assert values(spark, ["Sri. Rāma-kṛṣṇa", "Abcdefghijklmnopq x", "Bob"], narration.clean_name(T()), narration.odd_name(T())) == [("Rama Krsna", True), ("Abcdefghijklmnopq X", True), ("Bob", False)]
+    assert values(spark, ["UPI/Ram Stores, April rent"], narration.ledger_keywords(T())) == [("UPI RAM STORES",)]
+    assert values(spark, ["యూపీఐ/రామ 12"], narration.normalised(T())) == [("యూపీఐ రామ 12",)]
     assert values(spark, ['a/b:"c"?'], narration.safe_filename(T())) == [("abc",)]
     assert values(spark, ["Account No: 12345 - My Shop (INR)"], narration.account_name(T())) == [("My Shop",)]
 
@@ -76,7 +78,8 @@ def test_gstin(spark):
     first = ["27AAPFU0939F1Z", "29ABCDE1234F2Z", "07ZZZZZ9999Z9Z"]
     good = [x + check_digit(x) for x in first]
     assert good[0] == "27AAPFU0939F1ZV"
-    assert values(spark, [*good, good[0][:-1] + "A", "27", None, good[0].lower()], tax.valid_gstin(T())) == [(True,)] * 3 + [(False,)] * 3 + [(True,)]
+    odd = [x + check_digit(x) for x in ("27AAPFU0939F0Z", "27AAPFU0939F1C")]  # entity number 0; a collector's number
+    assert values(spark, [*good, good[0][:-1] + "A", "27", None, good[0].lower(), *odd], tax.valid_gstin(T())) == [(True,)] * 3 + [(False,)] * 3 + [(True,), (False,), (True,)]
 
 
 def test_tax_codes(spark):

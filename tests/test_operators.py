@@ -124,6 +124,8 @@ def test_tables(spark):
     assert [(r["narration"], r["amount"], r["type"], r["balance"]) for r in out] == [("A more", D(10), "CREDIT", D(90)), ("B", D(5), "DEBIT", D(95))]
     assert [r["narration"] for r in tables.transactions(df, mapping, "2024-04-02").collect()] == ["B"]
     assert tables.first_tables(df).count() == 4
+    job = jobs.convert_tables(df, mapping, "My Bank")
+    assert job["vouchers"].count() == 2 and job["report"].first()["message"] == "all checks passed"
 
 
 def test_register(spark):

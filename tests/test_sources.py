@@ -1,11 +1,15 @@
 import datetime as dt
+import json
 import time
 import zipfile
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import statements
 from ledgerloom.operators import vouchers as V
+from ledgerloom.plans import jobs
 from ledgerloom.sources import readers, writers
 from ledgerloom.streaming import ingest
 
@@ -36,9 +40,79 @@ def test_references_are_scrubbed(spark):
 
 
 def test_register_csv(spark, tmp_path):
-    (tmp_path / "r.csv").write_text('x\ny\n\nGSTIN,Invoice,"Value, total"\na,1,"2,5"\n\nb,2,3\n')
+    (tmp_path / "r.csv").write_text('x\ny\n\nGSTIN,Invoice,"Value, total"\na,1,"2,5"\n\nb,"2\nand more",3\n')
     got = readers.read_register(spark, str(tmp_path)).orderBy("row_no").collect()
-    assert [(r["gstin"], r["invoice"], r["value, total"]) for r in got] == [("a", "1", "2,5"), ("b", "2", "3")]
+    assert [(r["gstin"], r["invoice"], r["value, total"]) for r in got] == [("a", "1", "2,5"), ("b", "2\nand more", "3")]
+
+
+RETURN = """Summary,,
+of,,
+sales,,
+GSTIN/UIN of Recipient,Invoice Number,Invoice date,Invoice Value,Place Of Supply,Reverse Charge,Invoice Type,Rate,Taxable Value,Cess Amount
+27AAPFU0939F1ZV,A1,1-Apr-2024,"1,180.00",27-Maharashtra,N,Regular,18%,"1,000.00",2.5
+27AAPFU0939F1ZV,A1,1-Apr-2024,"1,180.00",27-Maharashtra,N,Regular,5,100,
+29ABCDE1234F2Z5,B7,05/04/2024,50,29.0,Y,SEZ supplies with payment,12,44.64,
+Total,,,,,,,,,
+"""
+
+
+def test_register_file_to_return(spark, tmp_path):
+    (tmp_path / "r.csv").write_text(RETURN)
+    out = jobs.register_return(readers.read_register(spark, str(tmp_path)), "27AAPFU0939F1ZV", "042024")
+    said = json.loads(out["json"].first()["json"])
+    assert said["gstin"] == "27AAPFU0939F1ZV" and said["fp"] == "042024" and len(said["nil"]["inv"]) == 4
+    first, second = said["b2b"]
+    assert first["inv"][0]["itms"] == [{"num": 1, "itm_det": {"rt": 18.0, "txval": 1000.0, "camt": 90.0, "samt": 90.0, "iamt": 0.0, "csamt": 2.5}}, {"num": 2, "itm_det": {"rt": 5.0, "txval": 100.0, "camt": 2.5, "samt": 2.5, "iamt": 0.0, "csamt": 0.0}}]
+    assert {k: second["inv"][0][k] for k in ("inum", "idt", "val", "pos", "rchrg", "inv_typ")} == {"inum": "B7", "idt": "05-04-2024", "val": 50.0, "pos": "29", "rchrg": "Y", "inv_typ": "SEWP"}
+    assert second["inv"][0]["itms"][0]["itm_det"]["iamt"] == 5.36 and second["inv"][0]["itms"][0]["itm_det"]["camt"] == 0
+    heads = spark.createDataFrame([("27AAPFU0939F1ZV", "042024"), ("27AAPFU0939F1ZV", "132024"), ("x", "042024")], "gstin string, period string")
+    assert [r["valid"] for r in jobs.check_return_head(heads).collect()] == [True, False, False]
+
+
+def test_summary_file_to_return(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("a\nb\nc\nHSN/SAC,Desc,UQC,Total Quantity,Total Value,Tax Rate,Taxable Value,Integrated Tax,Central Tax,State/UT Tax,Cess\n100,Tea,NOS-NUMBERS,2,10,5%,9.5,0,0.24,0.24,1\nB2C,,,,,,,,,,\n2001.0,Oil,,1,5,18,4,0.72,0,0,\nTotal,,,,,,,,,,\n")
+    rows = readers.read_register(spark, str(tmp_path))
+    money = {c: F.col(c).try_cast("decimal(18,2)") for c in ("total quantity", "total value", "taxable value", "integrated tax", "central tax", "state/ut tax")}
+    out = jobs.hsn_return(rows.withColumns(money))
+    said = json.loads(writers.hsn_json(out["rows"]).first()["json"])
+    assert said["hsn_b2b"] == [{"num": 1, "hsn_sc": "0100", "desc": "Tea", "uqc": "NOS", "qty": 2.0, "rt": 5.0, "txval": 9.5, "iamt": 0.0, "camt": 0.24, "samt": 0.24, "csamt": 1.0}]
+    assert [(r["num"], r["hsn_sc"], r["uqc"], r["csamt"]) for r in said["hsn_b2c"]] == [(1, "2001", "OTH", 0.0)]
+    with pytest.raises(Exception, match="unknown rate"):
+        jobs.hsn_return(rows.withColumns(money | {"tax rate": F.lit("7")}))["rows"].collect()
+
+
+def test_review_is_saved_with_its_masters(spark, tmp_path):
+    text = "Opening Balance : 100.00 Cr\n01-04-2024 01-04-2024 UPI RAM 20.00 120.00Cr\n02-04-2024 02-04-2024 RENT 150.00 30.00Dr"
+    out = jobs.convert_statement(spark.createDataFrame([("a", text)], "statement_id string, text string"), "dash_two_dates", "My & Bank")
+    assert [(r["name"], r["parent"], r["opening"]) for r in out["masters"].collect()] == [("My & Bank", "Bank Accounts", D(-100)), ("Suspense", "Suspense A/c", None)]
+    writers.save_review(out["vouchers"], out["audit"], f"{tmp_path}/r", ["date", "index"], out["masters"])
+    found = "".join(r[0] for r in spark.read.text(f"{tmp_path}/r/vouchers").collect())
+    assert found.count("<LEDGER NAME=") == 2 and "<OPENINGBALANCE>-100.00</OPENINGBALANCE>" in found and "My &amp; Bank" in found
+    assert readers.read_vouchers(spark, f"{tmp_path}/r/vouchers").count() == 2
+    assert spark.read.csv(f"{tmp_path}/r/audit", header=True).count() == 2
+
+
+def test_settings_and_cash_months(spark, tmp_path):
+    rows = spark.createDataFrame([("bank", {"date": 0}, ["Date"], 5)], readers.LAYOUT)
+    writers.write_settings(rows, f"{tmp_path}/s")
+    assert readers.read_settings(spark, f"{tmp_path}/s", readers.LAYOUT).collect() == rows.collect()
+    cash = spark.createDataFrame([("Apr 2024", 1), ("Apr 2024", 2), ("x" * 40, 3)], "month_label string, n int")
+    writers.write_cash_months(cash, f"{tmp_path}/c")
+    assert {r["sheet"]: r["count"] for r in spark.read.csv(f"{tmp_path}/c", header=True).groupBy("sheet").count().collect()} == {"Apr 2024": 2, "x" * 31: 1}
+
+
+def test_pages_and_connectors(spark):
+    pages = spark.createDataFrame([("a", 1, "second"), ("a", 0, "first " * 20), ("a", 2, " "), ("b", 0, None)], "statement_id string, page int, page_text string")
+    assert {r[0]: r[1] for r in statements.is_readable(pages).collect()} == {"a": True, "b": False}
+    assert {r[0]: r[1] for r in readers.page_texts(pages).collect()} == {"a": "first " * 20 + "\nsecond"}
+    xml = writers.voucher_xml(made(spark)).select("xml").collect()
+    asked = []
+    booked = readers.booked_vouchers(lambda first, last: asked.append((first, last)) or [r[0] for r in xml], spark, "2024-04-01", "2024-04-03")
+    assert booked.count() == 3 and asked == [("2024-04-01", "2024-04-03")]
+    placed = readers.row_order(spark.createDataFrame([("a", 5), ("a", 2), ("b", 1)], "k string, v int"), ["k"], ["v"])
+    assert {(r["k"], r["v"], r["seq"]) for r in placed.collect()} == {("a", 2, 1), ("a", 5, 2), ("b", 1, 1)}
+    texts = spark.createDataFrame([("Value Date x",), ("nothing",)], "t string")
+    assert [r[0] for r in texts.select(statements.matches_profile(F.col("t"), statements.PROFILE_MARKS["dash_two_dates"])).collect()] == [True, False]
 
 
 SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>5</v></c></row><row r="2"><c r="E2" t="inlineStr"><is><t>z</t></is></c></row></sheetData></worksheet>'
@@ -53,6 +127,8 @@ def test_workbook(spark, tmp_path):
     rows = readers.read_workbook_pages(spark, str(tmp_path))
     assert [(r["sheet"], r["row_no"], r["cells"]) for r in rows.orderBy("row_no").collect()] == [("One", 1, ["head", None, "5"]), ("One", 2, [None, None, None, None, "z"])]
     assert [r["c4"] for r in readers.cash_cells(rows).collect()] == ["z"]
+    table = readers.sheet_table(rows, "ONE", 1)
+    assert table.columns == ["file", "row_no", "head", "c1", "5"] and [r["row_no"] for r in table.collect()] == [2]
 
 
 def test_lexicon(spark, tmp_path):
