@@ -2,7 +2,8 @@
 
 Toxic documents go, one document of each near-duplicate group stays, documents that hold a
 benchmark item go, small sources are repeated toward the target mixture, and what is left is dealt
-into shards. A stage's DataFrame may rest on scratch tables in the shared folder.
+into shards. A stage's DataFrame may rest on scratch tables in the shared folder. Columns beside
+those of documents are left out before the first stage, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -22,17 +23,25 @@ def _without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go, each row by its own text; null and empty texts and null doc_ids stay."""
     labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_toxicity(docs, labels, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component stays."""
-    groups = ngram_join.jaccard_components(docs)
-    return _without(docs, groups.where("doc_id <> component_id").select("doc_id"), "stage-copies")
+    """The document with the least doc_id of each component stays, and one row of it; rows with a null doc_id stay."""
+    groups = common.staged(ngram_join.jaccard_components(docs), "stage-groups")
+    left = _without(docs, groups.where("doc_id <> component_id").select("doc_id"), "stage-copies")
+    twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = common.staged(twice.select("doc_id"), "stage-repeats")
+    if twice.isEmpty():
+        return left
+    once = left.join(common.small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(common.small(twice), "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; rows with a null doc_id stay."""
     leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, leaks.select("doc_id").distinct(), "stage-leaks")
 
