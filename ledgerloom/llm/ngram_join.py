@@ -12,13 +12,14 @@ gives exact results; counts only make common shingles fall outside the prefixes.
 
 Results are components, so pairs inside a group need not be listed. Documents with equal sets are
 one class, and only its least doc_id takes part. Then come rounds in which every prefix shingle
-links its documents to one of them (first the least, then one by hash); the documents of a shingle that are in one component already are left out. After the rounds, all pairs
-left whose documents share a prefix shingle but not a component are verified, so no link between
-components is lost.
+links its documents to one of them (first the least, then one by hash); shingles whose documents
+are in one component already are left out. After the rounds, all pairs left whose documents share
+a prefix shingle but not a component are verified, so no link between components is lost.
 
 Null and empty texts have no shingles and link with nothing; rows that share a doc_id are one
-document if their texts are equal, and doc_id is taken to name one text; null doc_ids link with
-nothing; an empty table gives an empty result.
+document if their texts are equal, and doc_id is taken to name one text; rows with a null doc_id
+link with nothing and have no component; other columns are left out, whatever their names; a very
+long text takes its own size of hashes in its task; an empty table gives an empty result.
 """
 
 from collections.abc import Iterator
@@ -180,6 +181,13 @@ def _may_link(percent: int, a: str, b: str) -> Column:
     return (100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))) & (n(a) - place(a) >= need) & (n(b) - place(b) >= need)
 
 
+def _with_pivot(postings: DataFrame, turn: int) -> DataFrame:
+    """Postings with the one of their shingle that the others are joined with: the least document at first, then one by hash."""
+    rank = F.col("doc") if turn == 0 else F.xxhash64(F.lit(turn), "doc")
+    least = F.min(F.struct(rank.alias("rank"), "doc", "place", "n", "component")).over(Window.partitionBy("s"))
+    return postings.select("s", "doc", "place", "n", "component", least.alias("pivot"))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id long."""
     spark = docs.sparkSession
@@ -196,11 +204,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     postings = alone.mapInArrow(_prefixes(steps, percent), "s long, doc long, place int, n int")
     # kept: postings of documents that have another one of a fitting size beside them, the next in size being the most fitting
-    group, by_size = Window.partitionBy("s"), Window.partitionBy("s").orderBy("n", "doc")
+    by_size = Window.partitionBy("s").orderBy("n", "doc")
     before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
     fits = (100 * before.cast("long") >= percent * F.col("n")) | (100 * F.col("n").cast("long") >= percent * after.cast("long"))
-    hits = postings.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits")
-    hits = staged(hits.select("s", "doc", "place", "n"), "ngram-hits")
+    hits = postings.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").withColumn("component", F.col("doc"))
+    hits = staged(_with_pivot(hits, 0), "ngram-hits")
 
     active = staged(hits.select("doc").distinct(), "ngram-active")
     wanted = rows.join(_narrow(active.withColumnRenamed("doc", "doc_id")), "doc_id", "left_semi")
@@ -209,34 +217,36 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     component = active.select(F.col("doc").alias("node"), F.col("doc").alias("component"))
     edges = failed = None
     for turn in range(ROUNDS + 1):
-        placed = hits.join(_narrow(component.withColumnRenamed("node", "doc")), "doc")
-        mixed = placed.withColumn("c0", F.min("component").over(group)).withColumn("c1", F.max("component").over(group)).where("c0 < c1")
+        a, b = F.col("pivot"), F.struct("doc", "place", "n", "component")
         if turn < ROUNDS:
-            rank = F.col("doc") if turn == 0 else F.xxhash64(F.lit(turn), "doc")
-            post = F.struct(rank.alias("rank"), "doc", "place", "n", "component")
-            led = mixed.select("s", F.struct("doc", "place", "n", "component").alias("b"), F.min(post).over(group).alias("a"))
-            found = led.where(F.col("a.component") != F.col("b.component")).where(_may_link(percent, "a", "b"))
+            found = hits.select(a.alias("a"), b.alias("b"))
         else:
-            mixed = mixed.select("s", F.struct("doc", "place", "n", "component").alias("x"))
-            a, b = mixed.withColumnRenamed("x", "a"), mixed.withColumnRenamed("x", "b")
-            found = a.join(b, "s").where(F.col("a.doc") < F.col("b.doc")).where(F.col("a.component") != F.col("b.component")).where(_may_link(percent, "a", "b"))
+            left, right = hits.select("s", b.alias("a")), hits.select("s", b.alias("b"))
+            found = left.join(right, "s").where(F.col("a.doc") < F.col("b.doc"))
+        found = found.where(F.col("a.component") != F.col("b.component")).where(_may_link(percent, "a", "b"))
         pairs = found.select(F.col("a.doc").alias("pivot"), F.col("b.doc").alias("doc")).distinct()
         if failed is not None:
             pairs = pairs.join(failed, [pairs.pivot == failed.x, pairs.doc == failed.y], "left_anti").join(failed, [pairs.pivot == failed.y, pairs.doc == failed.x], "left_anti")
         pairs = staged(pairs, "ngram-pairs")
-        if pairs.isEmpty():
-            if turn == ROUNDS:
-                break
-            continue
-        checked = staged(verified(pairs, sets, percent), "ngram-checked")
-        new = checked.where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-        missed = checked.where("NOT linked").select(F.col("pivot").alias("x"), F.col("doc").alias("y"))
-        edges = new if edges is None else edges.union(new)
-        failed = missed if failed is None else failed.union(missed)
-        component = connected_components(edges, "ngram-components")
-        component = staged(active.withColumnRenamed("doc", "node").join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "ngram-labels")
+        if not pairs.isEmpty():
+            checked = staged(verified(pairs, sets, percent), "ngram-checked")
+            new = checked.where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+            missed = checked.where("NOT linked").select(F.col("pivot").alias("x"), F.col("doc").alias("y"))
+            edges = new if edges is None else edges.union(new)
+            failed = missed if failed is None else failed.union(missed)
+            component = connected_components(edges, "ngram-components")
+            component = staged(active.withColumnRenamed("doc", "node").join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "ngram-labels")
+        if turn < ROUNDS:
+            # components only merge, so what is settled stays settled: the next round reads what this one left
+            placed = hits.select("s", "doc", "place", "n").join(_narrow(component.withColumnRenamed("node", "doc")), "doc")
+            group = Window.partitionBy("s")
+            mixed = placed.withColumn("c0", F.min("component").over(group)).withColumn("c1", F.max("component").over(group)).where("c0 < c1").drop("c0", "c1")
+            left_over = staged(_with_pivot(mixed, turn + 1), "ngram-hits")
+            discard(hits)
+            hits = left_over
 
     discard(hits, sets)
     known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = salted_lookup(digests, known, "digest", F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"))
