@@ -5,19 +5,24 @@ projections on any orthonormal directions. Vectors are projected on their leadin
 directions, put in the order of their eps-grid cells, and cut into blocks of that sequence, each
 with the box of its projections. Intervals of the sequence are joined recursively: a pair of
 intervals whose boxes are more than eps apart is skipped, any other is taken apart into pairs of
-its parts, down to pairs of blocks, which are compared in full. Skipping is provable, so no pair
-is lost; where vectors fill all directions alike little can be skipped and the join compares
-nearly all blocks.
+its parts, down to pairs of blocks. Inside a pair of blocks a pair of vectors is skipped if the
+product of their leading projections and of the norms of what is left over can't reach c. Skipping
+is provable, so no pair is lost. Where vectors fill all directions alike few blocks are far apart,
+and the second bound, a product of LEADING + 1 numbers instead of all, does most of the work; the
+number of block pairs then still grows with the square of the blocks.
+
+Pairs of blocks are compared by tiles, all pairs of two runs of 2^TILE_BITS neighbouring blocks in
+one task, so a block's matrix moves once for each run that it meets.
 
 The principal directions are fitted on at most FIT_ROWS vectors (by hash); they only steer the
-order. Equal vectors are one class. A block pair yields, for each vector that links, its number of
+order and the bounds. Equal vectors are one class. A block pair yields, for each vector that links, its number of
 links and the least vector of its component in that pair, never the pairs themselves, so results
 grow with the vectors however large a group is.
 
 Null, empty or zero vectors and those with null or non-finite components link with nothing;
 vectors of different lengths don't link. Rows that share a vec_id and a vector link with each other;
-vec_id is taken to name one vector. An empty table gives
-an empty result.
+vec_id is taken to name one vector. Rows with a null vec_id link with nothing and have neither a
+component nor are they kept; other columns are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +37,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bound_batches, salted_lookup, ship, small, staged
+from ledgerloom.llm.common import bound_batches, discard, salted_lookup, ship, staged
 from ledgerloom.llm.components import connected_components
 
 ship(__name__)
 
 FIT_ROWS = 4096
 DIRECTIONS = 4
+LEADING = 16
 BLOCK_ROWS = 1024
+BLOCK_BYTES = 1 << 20
+TILE_BITS = 3
 FAN_OUT = 8
 
 
@@ -67,23 +75,24 @@ def _basis(classes: DataFrame) -> dict[int, np.ndarray]:
     out: dict[int, list] = {}
     for r in fit:
         out.setdefault(len(r[0]) // 8, []).append(np.frombuffer(r[0]))
-    return {d: np.linalg.eigh(np.cov(np.array(rows).T, bias=True).reshape(d, d))[1][:, ::-1][:, : min(DIRECTIONS, d)].copy() for d, rows in out.items()}
+    return {d: np.linalg.eigh(np.cov(np.array(rows).T, bias=True).reshape(d, d))[1][:, ::-1][:, : min(LEADING, d)].copy() for d, rows in out.items()}
 
 
 def _project(units: list[bytes], basis: dict[int, np.ndarray]) -> np.ndarray:
-    """Projections, as wide as DIRECTIONS; without a basis of that length all are 0."""
-    out = np.zeros((len(units), DIRECTIONS))
+    """LEADING projections and the norm of the rest; without a basis of that length, 0s and 1."""
+    out = np.zeros((len(units), LEADING + 1))
     for i, u in enumerate(units):
         b = basis.get(len(u) // 8)
         if b is not None:
             out[i, : b.shape[1]] = np.frombuffer(u) @ b
+    out[:, LEADING] = np.sqrt(np.maximum(1 - (out**2).sum(axis=1), 0))
     return out
 
 
 def _cells(basis: dict[int, np.ndarray], eps: float):
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grid = np.floor(_project(batch.column("unit").to_pylist(), basis) / eps).astype(np.int32)
+            grid = np.floor(_project(batch.column("unit").to_pylist(), basis)[:, :DIRECTIONS] / eps).astype(np.int32)
             width = pa.array([len(u.as_py()) // 8 for u in batch.column("unit")], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, width, *[pa.array(grid[:, k]) for k in range(DIRECTIONS)]], [*batch.schema.names, "width", *[f"c{k}" for k in range(DIRECTIONS)]])
 
@@ -100,7 +109,7 @@ def _blocks(basis: dict[int, np.ndarray], block_rows: int):
         def cut():
             nonlocal number
             reps, sizes, units, _ = zip(*held)
-            box = _project(list(units), basis)
+            box = _project(list(units), basis)[:, :DIRECTIONS]
             row = {"block": number, "reps": list(reps), "sizes": list(sizes), "width": len(units[0]) // 8, "matrix": b"".join(units), "low": box.min(axis=0).tolist(), "high": box.max(axis=0).tolist()}
             number += 1
             held.clear()
@@ -109,7 +118,7 @@ def _blocks(basis: dict[int, np.ndarray], block_rows: int):
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("rep", "size", "unit", "width"))):
-                if held and (len(held) >= block_rows or held[-1][3] != row[3]):
+                if held and (len(held) >= min(block_rows, max(64, BLOCK_BYTES // (8 * row[3]))) or held[-1][3] != row[3]):
                     yield cut()
                 held.append(row)
         if held:
@@ -179,34 +188,74 @@ def _sparse(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left[r] = False
 
 
-def _compare(cosine: float):
+def _linked(a: np.ndarray, b: np.ndarray, lead_a: np.ndarray, lead_b: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of a and b reach the cosine; decided in double precision wherever it is close."""
+    slack = 4e-7 * (a.shape[1] + LEADING)
+    mask = lead_a @ lead_b.T >= cosine - slack
+    r, c = np.nonzero(mask)
+    if len(r) > mask.size // 16:
+        near = a.astype(np.float32) @ b.astype(np.float32).T
+        mask = near >= cosine - slack
+        r, c = np.nonzero(mask & (near < cosine + slack))
+    for k in range(0, len(r), 1 << 16):
+        s = slice(k, k + (1 << 16))
+        mask[r[s], c[s]] = np.einsum("ij,ij->i", a[r[s]], b[c[s]]) >= cosine
+    return mask
+
+
+def _block_links(x: dict, y: dict, cosine: float) -> pa.RecordBatch | None:
+    """For each vector of two blocks that links: its number of links and the least vector of its component, in this pair of blocks."""
+    same = x["block"] == y["block"]
+    mask = _linked(x["matrix"], y["matrix"], x["lead"], y["lead"], cosine)
+    if same:
+        np.fill_diagonal(mask, False)
+    if not mask.any():
+        return None
+    links = [mask @ y["sizes"], np.zeros(0) if same else x["sizes"] @ mask]
+    r, c = _sparse(mask)
+    n = len(x["reps"])
+    roots = _local_roots(r, c if same else c + n, n if same else n + len(y["reps"]))
+    members = x["reps"] if same else np.concatenate([x["reps"], y["reps"]])
+    least = members.copy()
+    np.minimum.at(least, roots, members)
+    counts = np.concatenate(links)
+    live = counts > 0
+    return pa.RecordBatch.from_arrays([pa.array(members[live]), pa.array(counts[live].astype(np.int64)), pa.array(least[roots][live])], ["rep", "links", "root"])
+
+
+def _compare(basis: dict[int, np.ndarray], cosine: float, eps: float):
+    def loaded(batch: pa.RecordBatch, p: int) -> dict:
+        row = {c: batch.column(c)[p].as_py() for c in ("i", "j", "block", "width")}
+        row |= {c: batch.column(c)[p].values.to_numpy() for c in ("reps", "low", "high")}
+        row["sizes"] = batch.column("sizes")[p].values.to_numpy().astype(np.float64)
+        row["matrix"] = np.frombuffer(batch.column("matrix")[p].as_py()).reshape(-1, row["width"])
+        b = basis.get(row["width"], np.zeros((row["width"], 0)))
+        lead = np.zeros((len(row["matrix"]), LEADING + 1))
+        lead[:, : b.shape[1]] = row["matrix"] @ b
+        lead[:, LEADING] = np.sqrt(np.maximum(1 - (lead**2).sum(axis=1), 0))
+        row["lead"] = lead.astype(np.float32)
+        return row
+
+    def tile(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for x in rows:
+            for y in rows:
+                if x["block"] > y["block"] or x["width"] != y["width"] or (x["block"] >> TILE_BITS, y["block"] >> TILE_BITS) != (x["i"], x["j"]):
+                    continue
+                gap = np.maximum(np.maximum(x["low"] - y["high"], y["low"] - x["high"]), 0)
+                if (gap**2).sum() <= eps * eps + 1e-9 and (found := _block_links(x, y, cosine)) is not None:
+                    yield found
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks sorted by tile."""
+        held: list[dict] = []
         for batch in batches:
             for p in range(batch.num_rows):
-                row = {c: batch.column(c)[p].as_py() for c in ("i", "j", "width")}
-                ids = [batch.column(f"{s}reps")[p].values.to_numpy() for s in "ij"]
-                sizes = [batch.column(f"{s}sizes")[p].values.to_numpy().astype(np.float64) for s in "ij"]
-                a, b = (np.frombuffer(batch.column(f"{s}matrix")[p].as_py()).reshape(-1, row["width"]) for s in "ij")
-                near = a.astype(np.float32) @ b.astype(np.float32).T
-                slack = 4e-7 * (row["width"] + 16)
-                mask = near >= cosine - slack
-                r, c = np.nonzero(mask & (near < cosine + slack))
-                mask[r, c] = np.einsum("ij,ij->i", a[r], b[c]) >= cosine
-                same = row["i"] == row["j"]
-                if same:
-                    np.fill_diagonal(mask, False)
-                if not mask.any():
-                    continue
-                links = [mask @ sizes[1], np.zeros(0) if same else sizes[0] @ mask]
-                r, c = _sparse(mask)
-                n = len(ids[0])
-                roots = _local_roots(r, c if same else c + n, n if same else n + len(ids[1]))
-                members = ids[0] if same else np.concatenate(ids)
-                least = members.copy()
-                np.minimum.at(least, roots, members)
-                counts = np.concatenate(links)
-                live = counts > 0
-                yield pa.RecordBatch.from_arrays([pa.array(members[live]), pa.array(counts[live].astype(np.int64)), pa.array(least[roots][live])], ["rep", "links", "root"])
+                row = loaded(batch, p)
+                if held and (held[0]["i"], held[0]["j"]) != (row["i"], row["j"]):
+                    yield from tile(held)
+                    held = []
+                held.append(row)
+        yield from tile(held)
 
     return compare
 
@@ -226,25 +275,31 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     placed = classes.mapInArrow(_cells(basis, eps), "digest binary, rep long, size long, unit binary, width int, " + ", ".join(f"c{k} int" for k in range(DIRECTIONS)))
     parts = max(1, math.ceil(n / (4 * block_rows)))
     placed = placed.repartitionByRange(parts, *grid, "rep").sortWithinPartitions(*grid, "rep")
-    blocks = staged(placed.mapInArrow(_blocks(basis, block_rows), "block long, reps array<long>, sizes array<long>, width int, matrix binary, low array<double>, high array<double>"), "ego-blocks")
+    blocks_table = staged(placed.mapInArrow(_blocks(basis, block_rows), "block long, reps array<long>, sizes array<long>, width int, matrix binary, low array<double>, high array<double>"), "ego-blocks")
 
     # block numbers are sparse (partition, place): recursion needs their rank, over a table of block numbers only
-    numbered = blocks.select("block", F.shiftright("block", 24).alias("part"), F.col("block").bitwiseAND(F.lit((1 << 24) - 1)).alias("place"))
+    numbered = blocks_table.select("block", F.shiftright("block", 24).alias("part"), F.col("block").bitwiseAND(F.lit((1 << 24) - 1)).alias("place"))
     deepest = numbered.agg(F.max("place"), F.max("part")).first()
     wide = max(1, (deepest[0] or 0).bit_length())
     spread = wide + max(1, (deepest[1] or 0).bit_length())
     dense = F.shiftleft(F.shiftright("block", 24), wide).bitwiseOR(F.col("block").bitwiseAND(F.lit((1 << 24) - 1)))
-    blocks = blocks.withColumn("block", dense)
+    blocks = blocks_table.withColumn("block", dense)
     pairs = staged(block_pairs(blocks.select("block", "width", "low", "high"), eps, spread), "ego-pairs")
 
-    side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}{c}") for c in ("reps", "sizes", "matrix")], *["width"] * (s == "i"))
-    tasks = max(spark.sparkContext.defaultParallelism * 2, pairs.count() // 64)
-    work = pairs.repartition(tasks, "i", "j").join(small(side("i"), 64), "i").join(small(side("j"), 64), "j")
-    found = staged(work.mapInArrow(_compare(cosine), "rep long, links long, root long"), "ego-links")
+    run = lambda c: F.shiftright(c, TILE_BITS)
+    tiles = pairs.select(run("i").alias("i"), run("j").alias("j"), F.explode(F.array("i", "j")).alias("block")).distinct()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, 2 * tiles.select("i", "j").distinct().count())
+    work = tiles.join(blocks, "block").repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "block")
+    work = work.select("i", "j", "block", "width", "reps", "sizes", "matrix", "low", "high")
+    found = staged(work.mapInArrow(_compare(basis, cosine, eps), "rep long, links long, root long"), "ego-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "ego-components")
+    discard(blocks_table, pairs)
 
     known = classes.select("digest", "rep", "size").join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("digest", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = salted_lookup(rows.select("vec_id", "digest"), known, "digest", F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.col("vec_id").eqNullSafe(F.coalesce("component_id", "vec_id")).alias("kept"))
+    named = F.col("vec_id").isNotNull()
+    component_id = F.when(named, F.coalesce("component_id", "vec_id"))
+    out = out.select("vec_id", F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component_id.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
