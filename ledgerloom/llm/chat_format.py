@@ -15,9 +15,10 @@ away restores the text. In roles `%` and newline become %25 and %0A. Neither lea
 the template did not write, so rendered text splits back into its turns without loss.
 
 Null texts and roles are empty, a null op is a delta, events equal in seq are ordered by op, role
-and text, repeated rows count each time, an empty log gives no conversations. A rendered
-conversation is one value, so its turns meet in one row; nothing before that gathers more than a
-message.
+and text, repeated rows count each time, an empty log gives no conversations. Null conv_ids are one
+conversation of their own, null messages and turns come first; other columns are left out, whatever
+their names. A rendered conversation is one value, so its turns meet in one row; nothing before
+that gathers more than a message.
 """
 
 from __future__ import annotations
@@ -83,11 +84,22 @@ def read_back(rendered: DataFrame) -> DataFrame:
     return rendered.withColumn("turns", F.transform(pieces, turn))
 
 
-def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log in which each row is a message of its own."""
+def conversation_events(conversations: DataFrame, pieces: int = 4, trained_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as the log of a chat that streams: what fold_events makes of it are these rows.
+
+    Every row is a message of its own. A draft, the first piece, is streamed and then replaced by a
+    regeneration (of trained roles) or an edit (of others) without text, after which the text's
+    pieces follow as deltas. Events come in no order but their seq.
+    """
     again = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     message = F.struct(F.col("turn"), F.row_number().over(again).alias("again"))
-    return conversations.select("conv_id", message.alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("op"), "role", "text")
+    text, size = F.coalesce("text", F.lit("")), F.ceil(F.length(F.coalesce("text", F.lit(""))) / F.lit(pieces)).cast("int")
+    event = lambda seq, op, text: F.struct(F.lit(seq).cast("long").alias("seq"), op.alias("op"), text.alias("text"))
+    piece = lambda i: F.substring(text, F.lit(i) * size + 1, size)
+    replaced = F.when(F.col("role").isin(*trained_roles), "regenerate").otherwise("edit")
+    log = F.array(event(0, F.lit("delta"), piece(0)), event(1, replaced, F.lit("")), *[event(2 + i, F.lit("delta"), piece(i)) for i in range(pieces)])
+    messages = conversations.select("conv_id", message.alias("message"), "role", log.alias("log"))
+    return messages.select("conv_id", "message", "role", F.inline("log")).select("conv_id", "message", "seq", "op", "role", "text")
 
 
 def format_digests(rendered: DataFrame) -> DataFrame:

@@ -68,6 +68,12 @@ def hash_bits(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     return max(0, min(40, math.ceil(math.log2(max(1, n_rows / rows_per_bucket)))))
 
 
+def portable_hash(seed: int, *cols: str | Column) -> Column:
+    """A signed 64-bit hash of the columns' texts, from MD5, which other engines have too."""
+    texts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts)), 1, 16), 16, -10).cast("long")
+
+
 def hash_bucket(h: Column, bits: int) -> Column:
     """Order-preserving bucket of a signed 64-bit hash: its top bits."""
     return F.shiftright(h, 64 - bits) + F.lit(1 << (bits - 1)) if bits else F.lit(0).cast("long")

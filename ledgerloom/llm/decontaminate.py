@@ -18,9 +18,11 @@ The check looks at every window that begins with one of the item's shingles. Any
 no more than the one from its first such shingle, so no window that passes is missed. Only DataFrame
 functions are used.
 
-Items of fewer than five words are left out: they can't be told from chance. Null and empty texts
-are clean; repeated rows of a document share its windows and are each reported; doc_id is taken to
-name one text; an empty benchmark leaves every document clean.
+An item of fewer than five words is one shingle, its whole sequence, and leaks where a text has
+these words in a row; items without words leak nowhere. Null and empty texts are clean, and so are
+rows with a null doc_id, which are not looked at; repeated rows of a document share its windows and
+are each reported; doc_id is taken to name one text and item_id one item; other columns are left
+out; an empty benchmark leaves every document clean. Very long texts are cut into shingles whole.
 """
 
 from __future__ import annotations
@@ -34,12 +36,20 @@ from ledgerloom.llm.licenses import lowered, words_of
 SHINGLE = 5
 BITS, BLOCKS, RADIUS = 64, 8, 12
 THRESHOLD = 0.8
+#: 64-bit keys that may be broadcast after they were counted.
+BROADCAST_KEYS = 2_000_000
 
 
-def shingle_hashes(words: Column) -> Column:
-    """64-bit hashes of all runs of SHINGLE words, in order."""
-    run = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, SHINGLE)]))
-    return F.slice(run, F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(0)))
+def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
+    """64-bit hashes of all runs of `size` words, in order."""
+    run = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, size)]))
+    return F.slice(run, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
+
+
+def _placed_shingles(words: Column, sizes: list[int]) -> Column:
+    """(place, shingle) of all runs of these sizes."""
+    runs = [F.transform(shingle_hashes(words, k), lambda h, i: F.struct(i.alias("place"), h.alias("shingle"))) for k in sizes]
+    return F.concat(*runs) if len(runs) > 1 else runs[0]
 
 
 def simhash(words: Column) -> Column:
@@ -59,24 +69,26 @@ def _block(fingerprint: Column, b: int) -> Column:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, start, similarity): the windows (from word start, an item's shingle) that hold at least threshold of an item."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(lowered(F.col(item_text))).alias("words"))
-    items = items.where(F.size("words") >= SHINGLE).withColumn("shingles", shingle_hashes(F.col("words"))).withColumn("length", F.size("words"))
-    items = staged(items, "leak-items")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words_of(lowered(F.col(text))).alias("words"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(lowered(F.col(item_text))).alias("words")).withColumn("length", F.size("words")).where("length > 0")
+    short = [F.when(F.col("length") == k, shingle_hashes(F.col("words"), k)) for k in range(1, SHINGLE)]
+    items = staged(items.withColumn("shingles", F.coalesce(*short, shingle_hashes(F.col("words")))), "leak-items")
+    sizes = [SHINGLE, *[r["length"] for r in items.where(F.col("length") < SHINGLE).select("length").distinct().collect()]]
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), words_of(lowered(F.col(text))).alias("words"))
     n_docs = docs.count()
 
     # places of the benchmark's shingles in all documents
     places = items.select(F.posexplode("shingles").alias("at", "shingle"), "length")
     wanted = staged(places.groupBy("shingle").agg(F.collect_set(F.struct("length", "at")).alias("items")), "leak-shingles")
-    found = rows.select("doc_id", F.posexplode(shingle_hashes(F.col("words"))).alias("place", "shingle"))
-    hits = staged(found.join(small(wanted), "shingle"), "leak-hits")
+    found = rows.select("doc_id", F.inline(_placed_shingles(F.col("words"), sizes)))
+    hits = staged(found.join(small(wanted.select("shingle"), BROADCAST_KEYS), "shingle", "left_semi"), "leak-hits")
     counts = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    starts = hits.select("doc_id", "place", F.explode("items").alias("item")).select("doc_id", F.col("item.length").alias("length"), F.greatest(F.col("place") - F.col("item.at"), F.lit(0)).alias("start")).distinct()
+    starts = hits.join(wanted, "shingle").select("doc_id", "place", F.explode("items").alias("item")).select("doc_id", F.col("item.length").alias("length"), F.greatest(F.col("place") - F.col("item.at"), F.lit(0)).alias("start")).distinct()
     windows = staged(starts.groupBy("doc_id").agg(F.collect_list(F.struct("length", "start")).alias("windows")), "leak-windows")
 
     # fingerprints of those windows; short texts are one window, and a window ends where the text ends
     shape = F.transform("windows", lambda w: F.struct(w.length.alias("length"), F.greatest(F.least(w.start, F.size("words") - w.length), F.lit(0)).alias("start")))
-    cut = rows.join(small(windows), "doc_id").withColumn("windows", F.array_distinct(shape))
+    held = rows.join(small(windows.select("doc_id"), BROADCAST_KEYS), "doc_id", "left_semi")
+    cut = held.join(windows, "doc_id").withColumn("windows", F.array_distinct(shape))
     cut = cut.select("doc_id", F.explode(F.transform("windows", lambda w: F.struct(w.length.alias("length"), w.start.alias("start"), F.slice("words", w.start + 1, w.length).alias("words")))).alias("w")).select("doc_id", "w.*")
     cut = staged(cut.select("doc_id", "length", "start", simhash(F.col("words")).alias("own")), "leak-fingerprints")
 
@@ -99,14 +111,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     by_shingles = spots.select("doc_id", "shingle").distinct().join(small(heavy), "shingle")
     pairs = staged(by_prints.select("doc_id", "item_id").union(by_shingles.select("doc_id", "item_id")).distinct(), "leak-pairs")
 
-    # what the windows from each of the item's shingles hold; places differ, so a window holds at most length - 4 of them
-    held = pairs.join(small(weighed), "item_id").join(spots, ["doc_id", "shingle"])
-    held = held.groupBy("doc_id", "item_id", "length", "whole").agg(F.sort_array(F.collect_list(F.struct("place", "shingle", "weight"))).alias("spots"))
+    # what the windows from each of the item's shingles hold; places differ, so a window of L words holds at most L - 4 of them
+    spotted = pairs.join(small(weighed), "item_id").join(spots, ["doc_id", "shingle"])
+    spotted = spotted.groupBy("doc_id", "item_id", "length", "whole").agg(F.sort_array(F.collect_list(F.struct("place", "shingle", "weight"))).alias("spots"))
     total = lambda xs: F.aggregate(F.array_distinct(F.transform(xs, lambda x: F.struct(x.shingle, x.weight.alias("weight")))), F.lit(0.0), lambda s, x: s + x.weight)
-    within = lambda x, i: F.filter(F.slice("spots", i + 1, F.col("length") - (SHINGLE - 1)), lambda y: y.place <= x.place + F.col("length") - SHINGLE)
-    held = held.where(total(F.col("spots")) >= (threshold - 1e-9) * F.col("whole"))
+    last = F.greatest(F.col("length") - SHINGLE, F.lit(0))
+    within = lambda x, i: F.filter(F.slice("spots", i + 1, last + 1), lambda y: y.place <= x.place + last)
+    spotted = spotted.where(total(F.col("spots")) >= (threshold - 1e-9) * F.col("whole"))
     windows = F.transform("spots", lambda x, i: F.struct(x.place.alias("start"), (total(within(x, i)) / F.col("whole")).alias("similarity")))
-    return held.select("doc_id", "item_id", F.explode(windows).alias("w")).select("doc_id", "item_id", "w.*").where(F.col("similarity") >= threshold - 1e-9)
+    return spotted.select("doc_id", "item_id", F.explode(windows).alias("w")).select("doc_id", "item_id", "w.*").where(F.col("similarity") >= threshold - 1e-9)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
@@ -114,6 +127,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     leaks = find_leaks(docs, benchmark, doc_id, text, **more)
     found = leaks.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
     found = staged(found, "leak-documents")
-    rows = docs.select(F.col(doc_id).alias("doc_id")).join(small(found), "doc_id", "left")
+    rows = docs.select(F.col(doc_id).alias("doc_id")).join(found, "doc_id", "left")
     none = F.array().cast(found.schema["item_ids"].dataType)
     return rows.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(F.coalesce("item_ids", none)).alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

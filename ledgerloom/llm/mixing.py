@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import exact_rank, hash_bits, hash_bucket, running_before, small, staged, stratum
+from ledgerloom.llm.common import exact_rank, hash_bits, hash_bucket, portable_hash, running_before, small, staged, stratum
 
 SEED = 29
 SECTIONS, STEPS = 32, 5
@@ -97,7 +97,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     # The cut block: the bucket in which a source's rest ends is found from bucket sums, and only
     # that bucket's rows are sorted. The last row taken is the source's threshold.
     bits = hash_bits(n)
-    slim = slim.join(small(plan), "_stratum").withColumn("_h", F.xxhash64(F.lit(seed), "_passes", *names)).withColumn("_b", hash_bucket(F.col("_h"), bits))
+    slim = slim.join(small(plan), "_stratum").withColumn("_h", portable_hash(seed, "_passes", *names)).withColumn("_b", hash_bucket(F.col("_h"), bits))
     sums = slim.groupBy("_stratum", "_b").agg(F.sum("_n").alias("_t"))
     sums = running_before(sums, ["_stratum"], "_b", "_t", "_before").join(small(plan.select("_stratum", "_rest")), "_stratum")
     cut = sums.where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_t") > F.col("_rest"))).select("_stratum", "_b", "_before")
@@ -112,7 +112,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     made = ("epoch", "weight", "repeats", "n_tokens")
     row = F.struct(*[c for c in docs.columns if c not in made])
     out = docs.select(row.alias("row"), stratum(source).alias("_stratum"), token_count(F.col(text)).alias("n_tokens"), *[F.col(k).alias(name) for k, name in zip(key, names)])
-    out = out.join(small(plan), "_stratum").withColumn("_h", F.xxhash64(F.lit(seed), "_passes", *names))
+    out = out.join(small(plan), "_stratum").withColumn("_h", portable_hash(seed, "_passes", *names))
     b = hash_bucket(F.col("_h"), bits)
     more = F.col("_cut").isNotNull() & ((b < F.col("_cut")) | ((b == F.col("_cut")) & F.col("_last").isNotNull() & (place <= F.col("_last"))))
     out = out.withColumn("_copies", F.col("_passes") + F.coalesce(more, F.lit(False)).cast("int")).where("_copies > 0")
@@ -124,7 +124,7 @@ def block_slots(mixed: DataFrame, source: str = "source", key: list[str] | None
     """mixed with `slot` long: each (source, epoch) block's place in its seeded permutation, gapless from 0."""
     key = key or ["doc_id"]
     bits = hash_bits(mixed.count())
-    rows = mixed.withColumn("_stratum", stratum(source)).withColumn("_h", F.xxhash64(F.lit(seed), "epoch", *key))
+    rows = mixed.withColumn("_stratum", stratum(source)).withColumn("_h", portable_hash(seed, "epoch", *key))
     rows = rows.withColumn("_b", hash_bucket(F.col("_h"), bits))
     rows = exact_rank(rows, ["_stratum", "epoch"], "_b", ["_h", *key], "_r")
     return rows.withColumn("slot", F.col("_r") - 1).drop("_stratum", "_h", "_b", "_r")

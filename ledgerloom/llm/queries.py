@@ -11,6 +11,9 @@ from ledgerloom.llm import chat_format, decontaminate, ego_join, licenses, line_
 from ledgerloom.llm.common import scratch_path
 
 N_SHARDS = 40
+TARGET_ENTROPY, MAX_REPEATS = 0.95, 4.0
+#: Only A-Z in lower case, null as empty.
+LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +47,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "offset", "length")
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +58,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix_sources(docs, target_entropy=0.95, max_repeats=4.0)
-    return mixing.block_slots(mixed.select("doc_id", "source", "n_tokens", "weight", "repeats", "epoch"))
+    mixed = mixing.mix_sources(docs, target_entropy=TARGET_ENTROPY, max_repeats=MAX_REPEATS)
+    rounded = [F.round(c, 9).alias(c) for c in ("weight", "repeats")]
+    return mixing.block_slots(mixed.select("doc_id", "source", "n_tokens", *rounded, "epoch"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +69,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "n_items", F.array_join("item_ids", ",").alias("item_ids"), F.round("similarity", 6).alias("similarity"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +83,17 @@ def _license_sql() -> str:
     templates = ", ".join(f"('{label}', {length}, [{', '.join(repr(w) for w in sorted(tokens))}])" for label, length, tokens in licenses.template_sets(licenses.TEMPLATES))
     phrases = ", ".join(f"('{label}', {split(p)!r})" for p, label in licenses.BASE_PHRASES.items())
     return rf"""
-WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{licenses.WORD}') AS w FROM documents),
+WITH words AS (SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '{licenses.WORD}') AS w FROM documents),
 templates(label, size, tokens) AS (VALUES {templates}),
 phrases(label, p) AS (VALUES {phrases}),
-likely AS (SELECT * FROM words WHERE len(list_intersect(w, ['license', 'licensed', 'cc', 'reserved', 'free', 'software', 'provided', 'mpl', 'source', 'gnu', 'apache', 'redistribution', 'public'])) > 0),
-places AS (SELECT doc_id, label, i - 1 AS i FROM likely, phrases, (SELECT unnest(range(1, 40000)) AS i) WHERE i <= len(w) AND w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+likely AS (SELECT * FROM words WHERE len(list_intersect(w, ['license', 'licensed', 'cc', 'reserved', 'free', 'software', 'provided', 'mpl', 'source', 'gnu', 'apache', 'redistribution', 'public', 'warranty'])) > 0),
+starts AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM likely),
+runs AS (SELECT *, lead(x) OVER o AS x2, lead(x, 2) OVER o AS x3, lead(x, 3) OVER o AS x4 FROM starts WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+places AS (SELECT doc_id, label, i FROM runs JOIN phrases ON x = p[1] AND x2 = p[2] AND x3 = p[3] AND (len(p) = 3 OR x4 = p[4])),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS f, max(i) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, label, tokens, list_distinct(w[k * size + 1:(k + 2) * size]) AS b FROM likely, templates, (SELECT unnest(range(0, 14000)) AS k) WHERE k * size < len(w)),
-shares AS (SELECT doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS share FROM blocks GROUP BY doc_id, label),
+held AS (SELECT label, size, tokens, unnest(tokens) AS x FROM templates),
+marks AS (SELECT doc_id, label, size, tokens, x, unnest([i // size, i // size - 1]) AS k FROM starts JOIN held USING (x)),
+shares AS (SELECT doc_id, label, max(share) AS share FROM (SELECT doc_id, label, count(DISTINCT x) / len(tokens) AS share FROM marks WHERE k >= 0 GROUP BY doc_id, label, size, tokens, k) GROUP BY doc_id, label),
 met AS (SELECT doc_id, label, share FROM shares WHERE share >= {licenses.THRESHOLD} - 1e-9),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM met) GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)
@@ -94,6 +102,44 @@ SELECT x.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, f
 FROM words x LEFT JOIN base ON base.doc_id = x.doc_id LEFT JOIN labels ON labels.doc_id = x.doc_id LEFT JOIN best ON best.doc_id = x.doc_id"""
 
 
+def _signed(text: str) -> str:
+    """SQL of common.portable_hash over '|'-joined texts."""
+    top = f"CAST(CAST('0x' || substr(md5({text}), 1, 16) AS UBIGINT) AS HUGEINT)"
+    return f"({top} - CASE WHEN {top} >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END)"
+
+
+ID = "coalesce(CAST(doc_id AS VARCHAR), '')"
+
+
+def _mixing_sql() -> str:
+    """The same repeated section and cut, over the list of the sources' logarithmic shares."""
+    point = f"lo + (hi - lo) * CAST(i AS DOUBLE) / {mixing.SECTIONS}"
+    total = lambda inner: f"list_sum(list_transform(lps, lambda l: {inner}))"
+    z, e = total(f"exp(({point}) * l)"), total(f"exp(({point}) * l) * l")
+    measure = f"CASE kind WHEN 'entropy' THEN ln({z}) - ({point}) * {e} / {z} ELSE exp((1 - ({point})) * (top - low)) END"
+    return rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS stratum, CAST(greatest(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')), 1) AS BIGINT) AS n FROM documents),
+totals AS (SELECT stratum, sum(n) AS tokens FROM docs GROUP BY stratum),
+logs AS (SELECT stratum, tokens, ln(CAST(tokens AS DOUBLE) / CAST((SELECT sum(tokens) FROM totals) AS DOUBLE)) AS lp FROM totals),
+stats AS (SELECT list(lp ORDER BY stratum) AS lps, max(lp) AS top, min(lp) AS low, count(*) AS k, -sum(exp(lp) * lp) AS entropy FROM logs),
+search(kind, step, lo, hi, done, wanted, lps, top, low) AS (
+  SELECT kind, 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), kind = 'entropy' AND entropy >= {TARGET_ENTROPY} * ln(k), CASE kind WHEN 'entropy' THEN {TARGET_ENTROPY} * ln(k) ELSE {MAX_REPEATS} END, lps, top, low
+  FROM stats, (VALUES ('entropy'), ('repeats')) t(kind) WHERE k > 1
+  UNION ALL
+  SELECT kind, step + 1, CASE WHEN g IS NULL THEN hi WHEN g = 0 THEN lo ELSE lo + (hi - lo) * CAST(g - 1 AS DOUBLE) / {mixing.SECTIONS} END,
+    CASE WHEN g IS NULL THEN hi WHEN g = 0 THEN lo ELSE lo + (hi - lo) * CAST(g AS DOUBLE) / {mixing.SECTIONS} END, g IS NULL OR g = 0, wanted, lps, top, low
+  FROM (SELECT *, list_filter(range({mixing.SECTIONS + 1}), lambda i: {measure} <= wanted)[1] AS g FROM search WHERE step < {mixing.STEPS} AND NOT done)),
+reached AS (SELECT coalesce(max(hi), 0.0) AS a FROM (SELECT kind, arg_max(hi, step) AS hi FROM search GROUP BY kind)),
+weighed AS (SELECT stratum, tokens, exp(a * lp) / (SELECT sum(exp(a * lp)) FROM logs, reached) AS weight, (SELECT max(tokens) / exp(any_value(a) * ln(max(tokens) / CAST(sum(tokens) AS DOUBLE))) FROM logs, reached) * (SELECT sum(exp(a * lp)) FROM logs, reached) AS spent FROM logs, reached),
+shared AS (SELECT stratum, tokens, weight, weight * spent / tokens AS share, CAST(floor(weight * spent / tokens + 1e-9) AS INTEGER) AS passes FROM weighed),
+plan AS (SELECT *, greatest(floor((share - passes) * tokens + 1e-6), 0) AS rest FROM shared),
+cut AS (SELECT doc_id, source, stratum, n, weight, share, passes, rest, sum(n) OVER (PARTITION BY stratum ORDER BY {_signed(f"concat_ws('|', {mixing.SEED}, passes, {ID})")}, doc_id NULLS FIRST) AS upto FROM docs JOIN plan USING (stratum)),
+blocks AS (SELECT *, unnest(range(passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS e FROM cut)
+SELECT doc_id, source, n AS n_tokens, round(weight, 9) AS weight, round(share, 9) AS repeats, CAST(e AS INTEGER) AS epoch,
+  row_number() OVER (PARTITION BY stratum, e ORDER BY {_signed(f"concat_ws('|', {mixing.SEED}, e, {ID})")}, doc_id NULLS FIRST) - 1 AS slot FROM blocks"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -113,6 +159,17 @@ said AS (
   FROM sized GROUP BY conv_id)
 SELECT conv_id, n AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM said""",
+    "op2_sharding": rf"""
+WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT doc_id, source, text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+sized AS (
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS stratum, CAST(len(b) + 16 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, steps),
+shuffled AS (SELECT *, {_signed(f"concat_ws('|', {sharding.SEED}, {ID}, text_crc32, size)")} AS h FROM sized),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST, text_crc32, size) AS r, count(*) OVER (PARTITION BY stratum) AS own, count(*) OVER () AS n FROM shuffled),
+placed AS (SELECT *, row_number() OVER (ORDER BY (CAST(r AS DOUBLE) - CAST(0.5 AS DOUBLE)) / CAST(own AS DOUBLE), stratum, h) - 1 AS p FROM ranked)
+SELECT doc_id, size, text_crc32, '{sharding.LAW}' AS law, CAST(p * {N_SHARDS} // n AS INTEGER) AS shard, CAST(p - ((p * {N_SHARDS} // n) * n + {N_SHARDS - 1}) // {N_SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
+FROM placed""",
     "op3_ngram_jaccard": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -126,6 +183,12 @@ least AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id""",
     "op4_license_scan": _license_sql(),
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS least, list_transform(range(4), lambda k: CAST('0x' || substr(hex, 10 * k + 1, 10) AS BIGINT)) AS parts FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, CASE WHEN page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to, url,
+  array_to_string(flatten(list_transform(parts, lambda v: list_transform(range(8), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> CAST(35 - 5 * j AS INTEGER)) & 31) + 1, 1)))), '') AS payload_digest FROM d""",
+    "op7_mixing": _mixing_sql(),
     "op8_line_dedup": rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
@@ -151,6 +214,25 @@ kept AS (
 n AS (SELECT doc_id, count(*) AS n FROM dropped GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS n_lines, CAST(coalesce(n.n, 0) AS INTEGER) AS n_dropped, CAST(length(x) AS BIGINT) AS kept_chars, sha256(x) AS kept_sha256
 FROM (SELECT documents.doc_id, documents.text, CASE WHEN documents.text IS NOT NULL THEN coalesce(kept.text, '') END AS x FROM documents LEFT JOIN kept USING (doc_id)) d LEFT JOIN n USING (doc_id)""",
+    "op9_decontamination": rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '{licenses.WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
+items AS (SELECT item_id, w, len(w) AS length, least(len(w), {decontaminate.SHINGLE}) AS span FROM (SELECT item_id, regexp_extract_all({LOWER.format('text')}, '{licenses.WORD}') AS w FROM benchmark) WHERE len(w) > 0),
+theirs AS (SELECT DISTINCT item_id, length, span, unnest(list_transform(range(1, length - span + 2), lambda i: array_to_string(w[i:i + span - 1], ' '))) AS s FROM items),
+spans AS (SELECT DISTINCT span FROM items),
+own AS (SELECT doc_id, span, unnest(list_transform(range(1, len(w) - span + 2), lambda i: array_to_string(w[i:i + span - 1], ' '))) AS s, generate_subscripts(list_transform(range(1, len(w) - span + 2), lambda i: i), 1) AS place FROM words, spans WHERE len(w) >= span),
+hits AS (SELECT * FROM own WHERE s IN (SELECT s FROM theirs)),
+n AS (SELECT s, count(*) AS n FROM hits GROUP BY s),
+weighed AS (SELECT item_id, length, span, theirs.s, ln(1 + (SELECT count(*) FROM documents) / (1 + coalesce(n, 0))) AS weight FROM theirs LEFT JOIN n ON n.s = theirs.s),
+whole AS (SELECT item_id, sum(weight) AS whole FROM weighed GROUP BY item_id),
+spots AS (SELECT DISTINCT doc_id, item_id, length, span, place, h.s, weight FROM hits h JOIN weighed w USING (s, span)),
+likely AS (SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, item_id, s, weight FROM spots) JOIN whole USING (item_id) GROUP BY doc_id, item_id, whole HAVING sum(weight) >= ({decontaminate.THRESHOLD} - 1e-9) * whole),
+near AS (SELECT * FROM spots SEMI JOIN likely USING (doc_id, item_id)),
+shares AS (
+  SELECT doc_id, item_id, place, sum(weight) AS held FROM (SELECT DISTINCT a.doc_id, a.item_id, a.place, b.s, b.weight FROM near a JOIN near b USING (doc_id, item_id) WHERE b.place BETWEEN a.place AND a.place + a.length - a.span)
+  GROUP BY doc_id, item_id, place),
+met AS (SELECT doc_id, item_id, max(held / whole) AS share FROM shares JOIN whole USING (item_id) GROUP BY doc_id, item_id HAVING max(held / whole) >= {decontaminate.THRESHOLD} - 1e-9),
+found AS (SELECT doc_id, count(*) AS k, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS ids, max(share) AS share FROM met GROUP BY doc_id)
+SELECT d.doc_id, k IS NOT NULL AS contaminated, CAST(coalesce(k, 0) AS INTEGER) AS n_items, coalesce(ids, '') AS item_ids, round(coalesce(share, 0.0), 6) AS similarity FROM documents d LEFT JOIN found USING (doc_id)""",
     "op10_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings

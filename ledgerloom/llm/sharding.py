@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ROWS_PER_BUCKET, exact_rank, hash_bits, hash_bucket, stratum
+from ledgerloom.llm.common import ROWS_PER_BUCKET, exact_rank, hash_bits, hash_bucket, portable_hash, stratum
 
 LAW = "rows"
+SEED = 17
 
 
 def text_size(text: Column) -> Column:
@@ -30,7 +31,7 @@ def text_crc32(text: Column) -> Column:
     return F.coalesce(F.crc32(text), F.lit(0)).cast("long")
 
 
-def interleave_shards(rows: DataFrame, n_shards: int, source: str = "source", key: list[str | Column] | None = None, seed: int = 17, n_rows: int | None = None) -> DataFrame:
+def interleave_shards(rows: DataFrame, n_shards: int, source: str = "source", key: list[str | Column] | None = None, seed: int = SEED, n_rows: int | None = None) -> DataFrame:
     """rows with `shard` int and `slot` long (gapless from 0 within a shard) added, in place of columns so named.
 
     key: what the seeded shuffle and its ties are ordered by. n_rows: the row count, if known.
@@ -44,7 +45,7 @@ def interleave_shards(rows: DataFrame, n_shards: int, source: str = "source", ke
     taken = ("shard", "slot")
     row = F.struct(*[c for c in rows.columns if c not in taken])
     placed = rows.select(row.alias("row"), stratum(source).alias("stratum"), *[k.alias(name) for k, name in zip(key, names)])
-    placed = placed.withColumn("h", F.xxhash64(F.lit(seed), *names))
+    placed = placed.withColumn("h", portable_hash(seed, *names))
     placed = placed.withColumn("bucket", hash_bucket(F.col("h"), hash_bits(n)))
     placed = exact_rank(placed, ["stratum"], "bucket", ["h", *names], "rank").drop("bucket")
 

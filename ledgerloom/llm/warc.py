@@ -1,19 +1,21 @@
 """WARC archives packed in ZIP files: written by Spark tasks, read back by range.
 
-Writing: each task writes one ZIP file (through Spark's text writer, so with its commit protocol
-and on any file system it reaches). A ZIP holds stored members: `archive/data-N.warc.gz`, WARC/1.1
-records each in a gzip member of its own, and `indexes/data-N.cdxj`, one JSON line per record with
-its offset and length inside the archive member. ZIP64 records are written where 32-bit fields are
-too small, or always if asked. The writer's line ends fall between members; the last one is the
-ZIP's comment.
+Writing: tasks write ZIP files (through Spark's text writer, so with its commit protocol and on any
+file system it reaches). A ZIP holds up to ZIP_MEMBERS pairs of stored members:
+`archive/data-N.warc.gz`, WARC/1.1 records each in a gzip member of its own, of about MEMBER_BYTES
+together, and `indexes/data-N.cdxj`, one JSON line per record with its offset and length inside the
+archive member. A full ZIP is always the same number of pieces, by which the writer begins the next
+file, so files stay near 64 MB. ZIP64 records are written where 32-bit fields are too small, or
+always if asked. The writer's line ends fall between members; the last one is the ZIP's comment.
 
 Reading: the end-of-directory record, the ZIP64 record if there is one, and the central directory
 give each stored member's place; the index member gives each record's; records are then read by
 range and checked against their digests. Nothing is extracted. On local and shared paths only the
-ranges are read; on stores that only Spark reaches, a file's bytes come through Spark's binaryFile
-source, which takes files up to 2 GB.
+ranges are read; on stores that only Spark reaches, each file's bytes come once through Spark's
+binaryFile source, which takes files up to 2 GB, and the ranges are taken from them.
 
-Payloads are UTF-8 html (null: empty). Of equal payloads of at least min_bytes, the smallest
+Payloads are UTF-8 html (null: empty); a record is built whole in its task, so a very long page
+takes its own size there, and makes its member and file as long. Of equal payloads of at least min_bytes, the smallest
 page_id is a response and the others revisit it. Repeated rows of that page_id are responses too;
 null page_ids come after all others. An empty table writes no archive and reads back no rows.
 """
@@ -39,6 +41,7 @@ from ledgerloom.llm.common import salted_lookup, ship
 ship(__name__)
 
 MEMBER_BYTES = 8 << 20
+ZIP_MEMBERS = 8
 DATE = "2020-01-01T00:00:00Z"
 LIMIT32, LIMIT16 = 0xFFFFFFFF, 0xFFFF
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, length long"
@@ -118,8 +121,9 @@ class _Zip:
         return body + end64 + struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, *tail, 1)
 
 
-def _write_zip(member_bytes: int, always64: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _write_zips(member_bytes: int, zip_members: int, always64: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of one ZIP after the other; full ones are 2 * zip_members + 1 pieces."""
         packed, rows, size, number = [], [], 0, 0
         out = _Zip(always64)
         piece = lambda data: pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["piece"])
@@ -138,6 +142,9 @@ def _write_zip(member_bytes: int, always64: bool) -> Callable[[Iterator[pa.Recor
                 if size >= member_bytes:
                     yield from close()
                     packed, rows, size, number = [], [], 0, number + 1
+                    if len(out.entries) == 2 * zip_members:
+                        yield piece(out.directory())
+                        out = _Zip(always64)
         if rows:
             yield from close()
         if out.entries:
@@ -146,11 +153,11 @@ def _write_zip(member_bytes: int, always64: bool) -> Callable[[Iterator[pa.Recor
     return write
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, member_bytes: int = MEMBER_BYTES, always64: bool = False) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, member_bytes: int = MEMBER_BYTES, zip_members: int = ZIP_MEMBERS, always64: bool = False) -> None:
     """Write pages (page_id, url, html) as WARC records in ZIP files under path."""
     rows = plan_records(pages, min_bytes).withColumn("html", F.col("html").cast("binary"))
-    pieces = rows.mapInArrow(_write_zip(member_bytes, always64), "piece binary")
-    pieces.select(F.col("piece").cast("string")).write.option("compression", "none").text(path)
+    pieces = rows.mapInArrow(_write_zips(member_bytes, zip_members, always64), "piece binary")
+    pieces.select(F.col("piece").cast("string")).write.option("compression", "none").option("maxRecordsPerFile", 2 * zip_members + 1).text(path)
 
 
 def _local(path: str) -> str | None:
@@ -232,39 +239,59 @@ def parse_record(data: bytes) -> dict:
     return {"page_id": page(headers["warc-record-id"]), "url": headers["warc-target-uri"], "payload_bytes": size, "payload_digest": digest, "record_type": headers["warc-type"], "refers_to": page(headers.get("warc-refers-to")), "payload": payload}
 
 
+FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
+def _member_places(size: int, read: Callable[[int, int], bytes]) -> list[dict]:
+    """Where a ZIP's archive members and their indexes stand."""
+    found = {name: (at, n) for name, at, n in zip_members(size, read)}
+    index_of = lambda name: found["indexes/" + name[8:].removesuffix(".warc.gz") + ".cdxj"]
+    return [{"at": at, "index_at": index_of(name)[0], "index_size": index_of(name)[1]} for name, (at, _) in found.items() if name.startswith("archive/")]
+
+
+def _member_records(path: str, member: dict, read: Callable[[int, int], bytes]) -> pa.RecordBatch:
+    rows = []
+    for line in read(member["index_at"], member["index_size"]).splitlines():
+        entry = json.loads(line)
+        at = member["at"] + entry["offset"]
+        record = parse_record(zlib.decompress(read(at, entry["length"]), 31))
+        record.pop("payload")
+        rows.append(record | {"path": path, "offset": at, "length": entry["length"]})
+    return pa.RecordBatch.from_pylist(rows, FIELDS)
+
+
 def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    places = pa.schema([("path", pa.string()), ("at", pa.int64()), ("index_at", pa.int64()), ("index_size", pa.int64())])
     for batch in batches:
         for row in batch.to_pylist():
-            if not row["length"]:
-                continue
-            size, read = _ranges(row["path"], row.get("content"))
-            found = {name: (at, n) for name, at, n in zip_members(size, read)}
-            rows = [{"path": row["path"], "at": at, "index_at": i[0], "index_size": i[1]} for name, (at, _) in found.items() if name.startswith("archive/") and (i := found["indexes/" + name[8:].removesuffix(".warc.gz") + ".cdxj"])]
-            getattr(read, "close", int)()
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("at", pa.int64()), ("index_at", pa.int64()), ("index_size", pa.int64())]))
+            if row["length"]:
+                size, read = _ranges(row["path"], None)
+                yield pa.RecordBatch.from_pylist([m | {"path": row["path"]} for m in _member_places(size, read)], places)
+                read.close()
 
 
 def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
     for batch in batches:
         for row in batch.to_pylist():
-            _, read = _ranges(row["path"], row.get("content"))
-            rows = []
-            for line in read(row["index_at"], row["index_size"]).splitlines():
-                entry = json.loads(line)
-                at = row["at"] + entry["offset"]
-                record = parse_record(zlib.decompress(read(at, entry["length"]), 31))
-                record.pop("payload")
-                rows.append(record | {"path": row["path"], "offset": at, "length": entry["length"]})
-            getattr(read, "close", int)()
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
+            _, read = _ranges(row["path"], None)
+            yield _member_records(row["path"], row, read)
+            read.close()
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of whole files, one member after the other."""
+    for batch in batches:
+        for path, content in zip(*batch.columns):
+            if len(content.as_py()):
+                size, read = _ranges(path.as_py(), content.as_py())
+                for member in _member_places(size, read):
+                    yield _member_records(path.as_py(), member, read)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the ZIP files under path: its headers and where it stands (path, offset, length)."""
     files = spark.read.format("binaryFile").load(path)
-    local = _local(path) is not None
-    members = files.select("path", "length", *[] if local else ["content"]).mapInArrow(_list_members, "path string, at long, index_at long, index_size long")
-    if not local:
-        members = members.join(files.select("path", "content"), "path")
+    if _local(path) is None:
+        return files.select("path", "content").mapInArrow(_read_files, RECORD)
+    members = files.select("path", "length").mapInArrow(_list_members, "path string, at long, index_at long, index_size long")
     return members.mapInArrow(_read_members, RECORD)

@@ -71,6 +71,9 @@ def test_jaccard_components(spark, docs, no_docs):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert ngram_join.jaccard_components(no_docs).count() == 0
+    unnamed = spark.createDataFrame([(None, rows[3][1]), (None, rows[3][1]), (None, "a text of its own and more")], "doc_id long, text string")
+    out = ngram_join.jaccard_components(docs.select("doc_id", "text").union(unnamed)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == want | {None: None} and len(out) == len(rows) + 3
     again = ngram_join.jaccard_components(docs.union(docs)).collect()
     assert len(again) == 2 * len(rows) and all(want[r["doc_id"]] == r["component_id"] for r in again)
 
@@ -118,8 +121,11 @@ def test_embedding_join_equals_brute_force(spark):
     links = [(a, b) for a in unit for b in unit if a != b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
     low = least_reachable([i for i, _ in rows], links)
     n = Counter(a for a, _ in links)
-    for size in (8, 1024):
-        got = {r["vec_id"]: r for r in ego_join.near_duplicates(df, block_rows=size).collect()}
+    unnamed = df.where("vec_id IN (0, 100)").selectExpr("CAST(NULL AS LONG) AS vec_id", "embedding")
+    for size in (2, 8, 1024):  # 2: more than 64 blocks and several tiles
+        found = ego_join.near_duplicates(df.union(unnamed), block_rows=size).collect()
+        assert [(r["n_links"], r["component_id"], r["kept"]) for r in found if r["vec_id"] is None] == [(0, None, False)] * 2
+        got = {r["vec_id"]: r for r in found if r["vec_id"] is not None}
         assert {i: r["n_links"] for i, r in got.items()} == {i: n[i] for i, _ in rows}
         assert {i: r["component_id"] for i, r in got.items()} == low
         assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
@@ -143,12 +149,17 @@ def test_block_recursion_skips_only_distant_blocks(spark):
 PAGES = [(i, f"http://x/{i}", t) for i, t in enumerate(["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "é" * 5000, "<p>a</p>\r\n\r\nWARC/1.1"])] + [(50, None, "<p>b</p>"), (51, "http://a\r\nb", "z" * 200000)]
 
 
-@pytest.mark.parametrize("always64,member_bytes", [(False, 8 << 20), (True, 100)])
-def test_warc_round_trip(spark, always64, member_bytes):
+@pytest.mark.parametrize("always64,member_bytes,zip_members,files", [(False, 8 << 20, 8, 1), (True, 100, 8, 2), (False, 100, 2, 5)])
+def test_warc_round_trip(spark, monkeypatch, always64, member_bytes, zip_members, files):
     path = scratch_path(spark, "warc-test")
-    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    warc.write_archives(df, path, member_bytes=member_bytes, always64=always64)
-    got = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, path, member_bytes=member_bytes, zip_members=zip_members, always64=always64)
+    assert len(glob.glob(path.replace("file://", "") + "/part-*")) == files
+    rows = warc.read_archives(spark, path).collect()
+    got = {r["page_id"]: r for r in rows}
+    with monkeypatch.context() as m:  # as on a store that only Spark reaches
+        m.setattr(warc, "_local", lambda path: None)
+        assert sorted(warc.read_archives(spark, path).collect(), key=str) == sorted(rows, key=str)
     first = {}
     for i, _, h in PAGES:
         first.setdefault(h or "", i)

@@ -19,15 +19,18 @@ def scan(spark, texts):
     return [r for r in sorted(licenses.scan_licenses(df).collect(), key=lambda r: r["doc_id"])]
 
 
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
 def brute_base(text):
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = WORD.findall(low)
+    words = WORD.findall(lowered(text))
     hits = [(i, label) for p, label in licenses.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
     return len(words), len(hits), min((i for i, _ in hits), default=None), max((i for i, _ in hits), default=None), ",".join(sorted({x for _, x in hits}))
 
 
 def brute_met(text):
-    words = WORD.findall((text or "").lower())
+    words = WORD.findall(lowered(text))
     met = {}
     for label, length, tokens in licenses.template_sets(licenses.TEMPLATES):
         for k in range(0, max(1, -(-len(words) // length))):
@@ -40,7 +43,7 @@ def brute_met(text):
 def test_license_scan_equals_brute_force(spark):
     rng = random.Random(3)
     notices = [n for t in licenses.TEMPLATES.values() for n in t] + list(licenses.BASE_PHRASES)
-    texts = [None, "", "...", "Under the MIT License!under-the mit\nlicense", "sunder the mit license", "cc byé nc", "CC BY-NC", "Apache License, Version 2.0", "all RIGHTS (reserved)", "x " * 30000 + "under the mit license"]
+    texts = [None, "", "...", "Under the MIT License!under-the mit\nlicense", "sunder the mit license", "cc byé nc", "CC BY-NC", "Apache License, Version 2.0", "all RIGHTS (reserved)", "this wor\u212a is licensed under the GNU General Public License version 3", "CC by nc \u00c9 ALL RIGHTS RESERVED", "x " * 30000 + "under the mit license"]
     for _ in range(40):
         words = sentence(rng, rng.randrange(0, 60)).split()
         for _ in range(rng.randrange(3)):
@@ -58,25 +61,32 @@ def test_license_scan_equals_brute_force(spark):
         assert r["score"] == pytest.approx(1.0 if base else max(met.values(), default=0.0))
 
 
-def test_license_scan_of_nothing(spark):
+def test_license_scan_of_odd_tables(spark):
     assert scan(spark, []) == []
+    notice = "Released under the MIT license."
+    rows = [(1, notice, "x", "own", 1), (1, notice, "x", "own", 1), (None, "all rights reserved", "y", "own", 2), (None, "nothing", None, "own", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, low string, labels string, t1 int")
+    got = licenses.scan_licenses(df, keep=("doc_id", "low", "labels", "t1", "text")).collect()
+    assert sorted((r["t1"], r["low"] or "", r["labels"], r["text"]) for r in got) == [(1, "x", "mit", notice)] * 2 + [(2, "y", "all-rights-reserved", "all rights reserved"), (3, "", "", "nothing")]
+    few = licenses.scan_licenses(df, templates={"mine": ("nothing",)}, phrases={"rights reserved": "base"}).collect()
+    assert sorted(r["labels"] for r in few) == ["", "", "base", "mine"]
 
 
 def leaks_by_force(docs, items):
     words = lambda t: WORD.findall((t or "").lower())
     out = set()
     for i, t in docs:
-        own = words(t)
+        own = words(t if i is not None else None)
         have = " " + " ".join(own) + " "
         for k, x in items:
-            if len(words(x)) >= 5 and " " + " ".join(words(x)) + " " in have:
+            if words(x) and " " + " ".join(words(x)) + " " in have:
                 out.add((i, k))
     return out
 
 
 def test_decontamination(spark):
     rng = random.Random(5)
-    items = [(k, sentence(rng, rng.randrange(15, 60), 3000)) for k in range(30)] + [(30, "too short here"), (31, None), (32, "")]
+    items = [(k, sentence(rng, rng.randrange(15, 60), 3000)) for k in range(30)] + [(30, "too short here"), (31, None), (32, ""), (33, "brief")]
     docs = []
     for i in range(120):
         words = sentence(rng, rng.randrange(0, 200), 3000).split()
@@ -91,7 +101,7 @@ def test_decontamination(spark):
     assert len(long) >= 15
     edited = next(x.split() for _, x in items if x and len(x.split()) > 45)
     edited[5] = "changed"
-    docs += [(200, None), (201, ""), (202, " ".join(edited)), (203, " ".join(["the"] * 3000)), (204, items[1][1]), (204, items[1][1]), (205, "too short here")]
+    docs += [(200, None), (201, ""), (202, " ".join(edited)), (203, " ".join(["the"] * 3000)), (204, items[1][1]), (204, items[1][1]), (205, "too short here"), (206, "Too short, here"), (207, "too short"), (208, "how brief"), (None, items[1][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     leaks = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench).collect()}
@@ -104,15 +114,15 @@ def test_decontamination(spark):
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
-def shares_by_force(docs, items):
-    """The best share over all windows of every document and item that reaches 0.8."""
+def shares_by_force(docs, items, n_docs=None):
+    """The best share over all windows of every document and item that reaches 0.8. n_docs: rows, if more than docs."""
     shingles = lambda ws: [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
     words = {i: WORD.findall(t.lower()) for i, t in docs}
     times = Counter(s for ws in words.values() for s in shingles(ws))
     out = {}
     for k, x in items:
         theirs = WORD.findall(x.lower())
-        weights = {s: math.log(1 + len(docs) / (1 + times[s])) for s in shingles(theirs)}
+        weights = {s: math.log(1 + (n_docs or len(docs)) / (1 + times[s])) for s in shingles(theirs)}
         for i, ws in words.items():
             held = (set(shingles(ws[p : p + len(theirs)])) for p in range(max(1, len(ws) - len(theirs) + 1)))
             best = max(sum(w for s, w in weights.items() if s in h) for h in held) / sum(weights.values())
@@ -284,6 +294,56 @@ def test_toxicity_keeps_grams_met_once():
     assert toxicity.gram_gains(model, once).sum() > 1 > abs(toxicity.gram_gains(model, often).sum())
 
 
+def kneser_ney_by_force(words):
+    """P(next byte | up to six before it, class) from dictionaries. words: (word, class)."""
+    order, discount = toxicity.ORDER, toxicity.DISCOUNT
+    pad = lambda w: (0,) * (order - 2) + (1,) + tuple(w.encode()) + (1,)
+    counts = {k: Counter(x[i - order + 1 : i + 1] for w, c in words if c == k for x in [pad(w)] for i in range(order - 1, len(x))) for k in (0, 1)}
+    levels, now = [], counts[0] + counts[1]
+    for n in range(order, 0, -1):
+        levels.append(now)
+        now = Counter(g[1:] for g in now)
+
+    def interpolated(table, gram, lower):
+        own = {g: c for g, c in table.items() if g[:-1] == gram[:-1]}
+        if not own:
+            return lower
+        return (max(own.get(gram, 0) - discount, 0) + discount * len(own) * lower) / sum(own.values())
+
+    def shared(gram, n=order):
+        return interpolated(levels[order - n], gram, shared(gram[1:], n - 1) if n > 1 else 1 / 256)
+
+    return pad, lambda gram, k: interpolated(counts[k], gram, shared(gram))
+
+
+def test_toxicity_model_equals_brute_force():
+    rng = random.Random(13)
+    some = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 10))) for _ in range(25)]
+    words = [(rng.choice(some), rng.randrange(2)) for _ in range(120)] + [("rare", 1), ("plain", 0)]
+    pad, p = kneser_ney_by_force(words)
+    code = lambda w: toxicity.grams(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]
+    found = [np.concatenate([code(w) for w, c in words if c == k]) for k in (0, 1)]
+    codes = np.unique(np.concatenate(found))
+    counts = {(k, h): np.array([(found[k] == c).sum() for c in codes]) if h == 0 else np.zeros(len(codes)) for k in (0, 1) for h in (0, 1)}
+    model = toxicity.build(toxicity.packed_table(codes, counts), (0, 1))
+    for w in [*some, "rare", "plain", "plainly", "abba", "zz", "é"]:
+        x = pad(w)
+        want = sum(math.log(p(g, 1)) - math.log(p(g, 0)) for i in range(toxicity.ORDER - 1, len(x)) for g in [x[i - toxicity.ORDER + 1 : i + 1]])
+        assert toxicity.gram_gains(model, code(w)).sum() == pytest.approx(want, abs=1e-4), w
+
+
+def test_toxicity_of_long_and_odd_texts(spark):
+    rows, labels = toxic_corpus()
+    odd = [(9000, "word " * 60000), (9001, "x" * 300000), (9002, None), (9003, ""), (None, "idiot moron"), (9004, rows[0][1]), (9004, rows[0][1])]
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in [*rows, *odd]], "doc_id long, text string, score double")
+    out = toxicity.score_toxicity(df, spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int").select("doc_id", "toxic"), keep=["doc_id", "score", "text"]).collect()
+    assert len(out) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out)
+    scores = {}
+    for r in out:
+        scores.setdefault(r["text"] or "", set()).add(r["score"])
+    assert all(len(x) == 1 for x in scores.values())
+
+
 def test_toxicity_without_classes(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")

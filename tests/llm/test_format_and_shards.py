@@ -46,6 +46,8 @@ def test_digests_and_repeats(spark):
     rows = [(5, 1, "assistant", "b"), (5, 0, "user", SAID), (5, 1, "assistant", "b"), (6, 0, "assistant", None)]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in chat_format.format_digests(chat_format.render(chat_format.fold_events(chat_format.conversation_events(conv)))).collect()}
+    log = chat_format.conversation_events(conv).collect()
+    assert {r["op"] for r in log} == {"delta", "edit", "regenerate"} and len(log) == 6 * len(rows)
     whole = f"user\n{SAID}\nassistant\nb\nassistant\nb\n"
     assert got[5]["n_turns"] == 3 and got[5]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
     assert got[5]["loss_chars"] == 2 and got[5]["loss_sha256"] == hashlib.sha256(b"bb").hexdigest()
