@@ -629,7 +629,7 @@ def date_forms(spark, d):
 
 
 @query(
-    """SELECT account AS statement_id, island, min(seq) AS seq, coalesce(string_agg(CASE WHEN NOT is_start THEN narration END, ' ' ORDER BY seq), '') AS more
+    """SELECT account AS statement_id, CAST(island AS BIGINT) AS island, min(seq) AS seq, coalesce(string_agg(CASE WHEN NOT is_start THEN narration END, ' ' ORDER BY seq), '') AS more
 FROM (SELECT *, sum(CAST(is_start AS INTEGER)) OVER (PARTITION BY account ORDER BY seq) AS island FROM (SELECT *, id % 4 <> 0 AS is_start FROM v_ledger)) WHERE island > 0 GROUP BY account, island""",
     V.LEDGER,
 )
