@@ -12,7 +12,8 @@ gives exact results; counts only make common shingles fall outside the prefixes.
 
 Results are components, so pairs inside a group need not be listed. Documents with equal sets are
 one class, and only its least doc_id takes part. Then come rounds in which every prefix shingle
-links its documents to one of them (first the least, then one by hash); shingles whose documents
+links its documents to one of them (first the least, then one by hash). Whole sets are made again
+from the texts, for the documents of a round's pairs only, and never stored; shingles whose documents
 are in one component already are left out. After the rounds, all pairs left whose documents share
 a prefix shingle but not a component are verified, so no link between components is lost.
 
@@ -156,19 +157,25 @@ def _narrow(df: DataFrame) -> DataFrame:
     return small(df, NARROW_ROWS)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(pivot, doc, linked) of candidate pairs; each pivot's set is sent once to every group of its candidates."""
+def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(pivot, doc, linked) of candidate pairs of rows (doc_id, text); each pivot's set is sent once to every group of its candidates.
+
+    Sets are made where the texts are read, of the pairs' documents only, and go straight to where they are compared.
+    """
     sized = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
     groups = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(MEMBERS_PER_TASK_GROUP))).cast("int")
     salts = staged(sized.select("pivot", groups.alias("groups")), "ngram-salts")
-    dealt = pairs.join(_narrow(salts), "pivot").select("pivot", "doc", F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int").alias("salt"))
-    members = sets.join(_narrow(staged(dealt, "ngram-dealt")), "doc").select("pivot", "salt", F.lit(False).alias("is_pivot"), "doc", "shingles")
-    heads = salts.select(F.col("pivot").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
-    heads = sets.join(_narrow(heads), "doc").select(F.col("doc").alias("pivot"), "salt", F.lit(True).alias("is_pivot"), "doc", "shingles")
-    rows = members.unionByName(heads)
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("is_pivot"))
-    return rows.mapInArrow(_verify(percent), "pivot long, doc long, linked boolean")
+    members = pairs.join(_narrow(salts), "pivot").select("doc", "pivot", F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int").alias("salt"), F.lit(False).alias("is_pivot"))
+    heads = salts.select(F.col("pivot").alias("doc"), "pivot", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("is_pivot"))
+    roles = staged(members.unionByName(heads), "ngram-roles")
+    wanted = rows.join(_narrow(staged(roles.select(F.col("doc").alias("doc_id")).distinct(), "ngram-wanted")), "doc_id", "left_semi")
+    sets = wanted.mapInArrow(_sets, "doc long, shingles binary")
+    dealt = sets.join(_narrow(roles), "doc").select("pivot", "salt", "is_pivot", "doc", "shingles")
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = dealt.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.desc("is_pivot"))
+    out = staged(dealt.mapInArrow(_verify(percent), "pivot long, doc long, linked boolean"), "ngram-checked")
+    discard(salts, roles)
+    return out
 
 
 def _may_link(percent: int, a: str, b: str) -> Column:
@@ -196,7 +203,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     first = staged(rows.mapInArrow(_digests, "doc_id long, n long, digest binary, part int, counts binary"), "ngram-digests")
     steps = spark.sparkContext.broadcast(frequency_steps(first.where("part IS NOT NULL").select("part", "counts")))
-    digests = first.where("part IS NULL").select("doc_id", "n", "digest")
+    digests = staged(first.where("part IS NULL").select("doc_id", "n", "digest"), "ngram-documents")
+    discard(first)
 
     classes = staged(digests.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     copies = salted_lookup(digests.where("digest IS NOT NULL"), classes, "digest", F.col("doc_id")).where("doc_id <> rep").select("doc_id").distinct()
@@ -211,8 +219,6 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     hits = staged(_with_pivot(hits, 0), "ngram-hits")
 
     active = staged(hits.select("doc").distinct(), "ngram-active")
-    wanted = rows.join(_narrow(active.withColumnRenamed("doc", "doc_id")), "doc_id", "left_semi")
-    sets = staged(wanted.mapInArrow(_sets, "doc long, shingles binary"), "ngram-sets")
 
     component = active.select(F.col("doc").alias("node"), F.col("doc").alias("component"))
     edges = failed = None
@@ -229,13 +235,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             pairs = pairs.join(failed, [pairs.pivot == failed.x, pairs.doc == failed.y], "left_anti").join(failed, [pairs.pivot == failed.y, pairs.doc == failed.x], "left_anti")
         pairs = staged(pairs, "ngram-pairs")
         if not pairs.isEmpty():
-            checked = staged(verified(pairs, sets, percent), "ngram-checked")
+            checked = verified(pairs, rows, percent)
             new = checked.where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
             missed = checked.where("NOT linked").select(F.col("pivot").alias("x"), F.col("doc").alias("y"))
             edges = new if edges is None else edges.union(new)
             failed = missed if failed is None else failed.union(missed)
             component = connected_components(edges, "ngram-components")
             component = staged(active.withColumnRenamed("doc", "node").join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "ngram-labels")
+        discard(pairs)
         if turn < ROUNDS:
             # components only merge, so what is settled stays settled: the next round reads what this one left
             placed = hits.select("s", "doc", "place", "n").join(_narrow(component.withColumnRenamed("node", "doc")), "doc")
@@ -245,7 +252,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             discard(hits)
             hits = left_over
 
-    discard(hits, sets)
+    discard(hits)
     known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = salted_lookup(digests, known, "digest", F.col("doc_id"))
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
