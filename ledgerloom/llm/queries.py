@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, decontaminate, ego_join, licenses, line_templates, mixing, ngram_join, sharding, toxicity, warc
+from ledgerloom.llm import chat_format, decontaminate, ego_join, filter_audit, licenses, line_templates, mixing, ngram_join, prefix_trie, quality_forest, sharding, toxicity, warc
 from ledgerloom.llm.common import scratch_path
 
 N_SHARDS = 40
@@ -77,6 +77,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_rollup(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), _table(spark, sf_dir, "labels"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_forest.judge_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def _license_sql() -> str:
     """Base phrases word by word and every window against every template, without filters."""
     split = lambda x: x.split(" ")
@@ -243,6 +256,38 @@ least AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id""",
+    "op11_prefix_trie": rf"""
+WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS said FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+bytes AS (SELECT conv_id, said, conv_id - conv_id % {prefix_trie.FAMILY} AS base, list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM own),
+dealt AS (SELECT conv_id, said, base, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {prefix_trie.SHARED} AS h FROM bytes, steps),
+rebuilt AS (SELECT a.conv_id, list_concat(coalesce(o.said[1:h], []), a.said[h + 1:]) AS said FROM dealt a LEFT JOIN own o ON o.conv_id = base),
+paths AS (SELECT conv_id, unnest(range(len(said) + 1)) AS d, said FROM rebuilt),
+named AS (SELECT conv_id, d, len(said) AS n, sha256(array_to_string(list_transform(said[1:d], lambda x: sha256(length(x.role) || ':' || x.role || x.text)), ',')) AS key, length(said[d].text) AS chars, CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(said[1:d - 1], lambda x: sha256(length(x.role) || ':' || x.role || x.text)), ',')) END AS up FROM paths),
+nodes AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(up) AS up, (count(*) - 1) * coalesce(any_value(chars), 0) AS saved, sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM named GROUP BY d, key),
+kids AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, key)),
+above AS (SELECT w.conv_id AS low, w.d AS low_d, m.d, m.key, w.saved, CAST(w.n_children = 0 AS BIGINT) AS leaf FROM whole w JOIN named m ON m.conv_id = w.conv_id AND m.d <= w.d),
+sums AS (SELECT d, key, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM whole w JOIN sums USING (d, key) LEFT JOIN nodes p ON p.d = w.d - 1 AND p.key = w.up""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+masks AS (
+  SELECT doc_id, part, CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+    + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INTEGER) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(doc_id > least, false) AS INTEGER) AS mask FROM words),
+marked AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+counts AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM masks LEFT JOIN marked ON marked.doc_id = masks.doc_id GROUP BY part, mask),
+orders(name) AS (SELECT '' UNION ALL SELECT name || substr('ABCDE', CAST(i AS BIGINT), 1) FROM orders, range(1, 6) r(i) WHERE length(name) < 5 AND NOT contains(name, substr('ABCDE', CAST(i AS BIGINT), 1))),
+steps AS (SELECT name, k AS step, CAST(list_sum(list_transform(string_split(name[1:k - 1], ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)) AS INTEGER) AS gone, 1 << (ascii(name[k]) - 65) AS own FROM orders, range(1, 6) r(k) WHERE length(name) = 5),
+audit AS (
+  SELECT part, name, step, own, sum(CASE WHEN mask & (coalesce(gone, 0) | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & own > 0 AND mask & coalesce(gone, 0) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & own > 0 AND mask & coalesce(gone, 0) > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & own > 0 AND mask & coalesce(gone, 0) = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & own > 0 AND mask & coalesce(gone, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY part, name, step, own)
+SELECT part, name AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM audit""",
 }
 
 
