@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tried in this order; one-digit days and months are read by all.
-FORMATS = ("d-M-yyyy", "d-M-yy", "d-MMM-yyyy", "d-MMM-yy", "yyyy-M-d", "d-MMMM-yyyy", "MMM-d-yyyy", "yyyyMMdd")
-
-
-def any_date(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """First format that fits, after a time of day is dropped and / . and spaces become dashes; else null."""
+#: What a date looks like once its separators are dashes, and the pattern that reads it. No text fits two of them.
+SHAPES = {
+    r"\d{1,2}-\d{1,2}-\d{4}": "d-M-yyyy",
+    r"\d{1,2}-\d{1,2}-\d{2}": "d-M-yy",
+    r"\d{4}-\d{1,2}-\d{1,2}": "yyyy-M-d",
+    r"\d{1,2}-[A-Za-z]{3}-\d{4}": "d-MMM-yyyy",
+    r"\d{1,2}-[A-Za-z]{3}-\d{2}": "d-MMM-yy",
+    r"\d{1,2}-[A-Za-z]{4,}-\d{4}": "d-MMMM-yyyy",
+    r"\d{1,2}-[A-Za-z]{4,}-\d{2}": "d-MMMM-yy",
+    r"[A-Za-z]{3}-\d{1,2}-\d{4}": "MMM-d-yyyy",
+    r"[A-Za-z]{4,}-\d{1,2}-\d{4}": "MMMM-d-yyyy",
+    r"\d{8}": "yyyyMMdd",
+}
+
+
+def any_date(c: Column) -> Column:
+    """A date in any of SHAPES, after a time of day is dropped and / . and spaces become dashes; else null. One pattern is tried."""
     text = F.trim(F.regexp_replace(c, r"[ T]\d{1,2}:\d{2}(:\d{2})?.*$", ""))
     text = F.regexp_replace(F.regexp_replace(text, r"[/.,\s]+", "-"), "-+", "-")
-    tried = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
-    short = text.rlike(r"^\d{1,2}-([A-Za-z]+|\d{1,2})-\d{2}$")
-    return F.coalesce(*[F.when(short if f.endswith("-yy") else ~short, t) for f, t in zip(formats, tried)])
+    read = F
+    for shape, pattern in SHAPES.items():
+        read = read.when(text.rlike(f"^{shape}$"), F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
+    return read
 
 
 def day_month_year(c: Column) -> Column:

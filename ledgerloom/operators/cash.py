@@ -2,35 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import MONEY
 from ledgerloom.functions.dates import any_date, day_of_month
 from ledgerloom.functions.narration import clean_name, odd_name
+from ledgerloom.operators import scans
+from ledgerloom.operators.lexicon import UNKNOWN
+
+#: Words of a heading row.
+HEADINGS = ("date", "rc.no", "amount")
+
+
+def _number(c: Column) -> Column:
+    return F.regexp_replace(c, ",", "").try_cast("double")
+
+
+def _heading() -> Column:
+    """Rows that name their columns: one of HEADINGS stands in them, and neither number nor amount is one."""
+    text = F.lower(F.concat_ws(" ", "c0", "c1", "c2", "c3", "c4"))
+    named = F.exists(F.array(*map(F.lit, HEADINGS)), lambda w: text.contains(w))
+    return named & _number(F.col("c1")).isNull() & _number(F.col("c4")).isNull()
 
 
 def reference_dates(rows: DataFrame) -> DataFrame:
     """By sheet: the date of its first row with date, receipt and amount cells whose date can be read."""
-    full = rows.where(F.col("c0").isNotNull() & F.col("c1").isNotNull() & F.col("c4").isNotNull()).withColumn("_date", any_date(F.col("c0"))).where("_date IS NOT NULL")
-    return full.groupBy("workbook", "sheet").agg(F.min_by("_date", "row_no").alias("reference"))
+    full = rows.where(F.col("c0").isNotNull() & F.col("c1").isNotNull() & F.col("c4").isNotNull() & ~_heading())
+    return full.withColumn("_date", any_date(F.col("c0"))).where("_date IS NOT NULL").groupBy("workbook", "sheet").agg(F.min_by("_date", "row_no").alias("reference"))
+
+
+def undated_sheets(rows: DataFrame) -> DataFrame:
+    """Sheets that receipts() can't date: no row of theirs gives a reference date."""
+    return rows.select("workbook", "sheet").distinct().join(reference_dates(rows), ["workbook", "sheet"], "left_anti")
 
 
-def receipts(rows: DataFrame, cutoff: str | None = None) -> DataFrame:
+def receipts(rows: DataFrame, cutoff: str | None = None, most: int = scans.MOST) -> DataFrame:
     """Receipts of workbook cells (workbook, sheet, row_no, c0 date or day, c1 number, c2 name, c3, c4 amount).
 
-    A blank date cell carries the last date or day of its sheet on; a day alone belongs to the sheet's reference month, and a
-    day that month lacks to the reference date. Numbers and amounts are whole; rows without name and amount go.
+    All dates of a sheet lie in the month of its reference date: a cell gives the day, by a date or its first number, and
+    blank or unreadable cells go on with the day before them. A day that the month lacks is the reference date. Numbers and
+    amounts are whole, an amount that is no number is 0, a missing name is UNKNOWN. Rows without number or amount
+    and headings are no receipts; sheets without a reference date give none (undated_sheets).
     """
-    amount = F.coalesce(F.floor(F.regexp_replace("c4", ",", "").try_cast("double")), F.lit(0)).cast(MONEY)
-    number = F.coalesce(F.floor(F.col("c1").try_cast("double")).cast("string"), F.trim("c1"))
-    order = Window.partitionBy("workbook", "sheet").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dated = rows.withColumn("_cell", F.last(F.nullif(F.trim("c0"), F.lit("")), ignorenulls=True).over(order))
-    dated = dated.where(F.col("c2").isNotNull() & F.col("c4").isNotNull() & F.regexp_replace("c4", ",", "").try_cast("double").isNotNull())
+    amount = F.coalesce(_number(F.col("c4")).try_cast("long"), F.lit(0)).cast(MONEY)
+    number = F.coalesce(F.col("c1").try_cast("double").try_cast("long").cast("string"), F.trim("c1"))
+    cell = F.nullif(F.trim("c0"), F.lit(""))
+    fragment = F.regexp_extract(cell, r"^(\d+)(?:\.0+)?(?:[-./\s]+\d+[-./\s]*)?$", 1)
+    day = F.coalesce(F.dayofmonth(any_date(cell)), fragment.try_cast("int"))
+    given = rows.where(F.col("c1").isNotNull() & F.col("c4").isNotNull() & ~_heading()).withColumn("_given", day)
+    dated = scans.carried(given, ["workbook", "sheet"], ["row_no"], F.col("_given"), "_day", most)
     dated = dated.join(reference_dates(rows), ["workbook", "sheet"])
-    day = F.regexp_extract("_cell", r"^([0-9]{1,2})(\.0+)?$", 1)
-    date = F.coalesce(any_date(F.col("_cell")), F.when(day != "", day_of_month(F.col("reference"), day)), F.col("reference"))
-    out = dated.select("workbook", "sheet", "row_no", date.alias("gl_date"), number.alias("rc_no"), F.col("c2").alias("raw_name"), clean_name(F.col("c2")).alias("name"), odd_name(F.col("c2")).alias("flagged"), amount.alias("amount"), F.lit("DEBIT").alias("type"))
+    date = F.when(F.col("_day").isNull(), F.col("reference")).otherwise(day_of_month(F.col("reference"), F.col("_day").cast("string")))
+    name = F.nullif(F.trim("c2"), F.lit(""))
+    out = dated.select("workbook", "sheet", "row_no", date.alias("gl_date"), number.alias("rc_no"), F.col("c2").alias("raw_name"), F.coalesce(clean_name(name), F.lit(UNKNOWN)).alias("name"), F.coalesce(odd_name(name), F.lit(False)).alias("flagged"), amount.alias("amount"), F.lit("DEBIT").alias("type"))
     out = out.withColumn("month_label", F.date_format("gl_date", "MMM yyyy"))
     return out.where(F.col("gl_date") >= F.to_date(F.lit(cutoff))) if cutoff else out
 

@@ -1,7 +1,7 @@
 """Ledger operators: balances, monthly rollups, duplicate numbers, filters and edits of vouchers.
 
 A ledger table has (account, seq, gl_date, amount, type, ...): seq orders the rows of an account.
-Windows are always split by account.
+Windows are always split by account; scans over all rows of an account cut large ones (scans.py).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.amounts import MONEY, signed
 from ledgerloom.functions.dates import month_key
 from ledgerloom.functions.narration import normalised, search_pattern
+from ledgerloom.operators import scans
 
 SIDES = ("DEBIT", "CREDIT")
 
@@ -38,11 +39,11 @@ def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def running_balance(ledger: DataFrame, opening: Column | None = None) -> DataFrame:
+def running_balance(ledger: DataFrame, opening: Column | None = None, most: int = scans.MOST) -> DataFrame:
     """ledger with balance: the account's opening and all signed amounts up to the row."""
-    order = Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.lit(0) if opening is None else opening
-    return ledger.withColumn("balance", (start + F.sum(signed(F.col("amount"), F.col("type"))).over(order)).cast(MONEY))
+    rows = scans.running_sum(ledger, ["account"], ["seq"], signed(F.col("amount"), F.col("type")), "_moved", most)
+    return rows.withColumn("balance", (start + F.col("_moved")).cast(MONEY)).drop("_moved")
 
 
 def monthly_summary(ledger: DataFrame) -> DataFrame:
@@ -157,10 +158,11 @@ def delete_vouchers(vouchers: DataFrame, ids: DataFrame) -> DataFrame:
     return vouchers.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def numbered(ledger: DataFrame, keys: list[str]) -> DataFrame:
+def numbered(ledger: DataFrame, keys: list[str], most: int = scans.MOST) -> DataFrame:
     """index from 1 among the rows with a side, by date (missing dates first), then seq."""
-    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("gl_date"), "seq")
-    return valid_only(ledger).withColumn("index", F.row_number().over(order))
+    day = F.coalesce(F.unix_date("gl_date"), F.lit(-(1 << 31)))
+    rows = scans.running_sum(valid_only(ledger).withColumn("_day", day), keys, ["_day", "seq"], F.lit(1), "index", most)
+    return rows.drop("_day").withColumn("index", F.col("index").cast("int"))
 
 
 def viewport(rows: DataFrame, order: list[str], first: int, count: int) -> DataFrame:

@@ -3,15 +3,17 @@
 Candidates have the same type, amounts within a cent and dates within some days. A score adds up
 what speaks for a pair. Each booked voucher is given to one import at most; imports are served in
 their order, each taking its best voucher left. Candidates are an equi-join on type and cents (with
-their neighbours), so no pair beyond them is made. Serving in order only ties imports to each other
-that share a voucher: an import whose vouchers nobody else wants just takes its best one. The
-others are served apart for each island of amounts and days, within an account and type: cents,
-and then days, that follow each other without a gap.
+their neighbours), so no pair beyond them is made.
+
+Serving in order is done by deferred acceptance: every import proposes to its best voucher left, a voucher
+keeps the earliest import that proposes, and the rejected propose again. As all vouchers rank imports alike,
+this ends with what serving one after the other gives. Rounds are joins keyed by import or by voucher, so
+the rows of an account meet in many tasks. Imports that want the same vouchers in the same order, which
+nobody else wants, are served at once before the rounds: the k-th takes the k-th.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from ledgerloom.functions.amounts import MONEY
 from ledgerloom.functions.dates import month_key
 from ledgerloom.functions.narration import alike
 from ledgerloom.operators.ledger import side_sum
+from ledgerloom.operators.rounds import written
 
 #: Points of a pair.
 BASE, SAME_DAY, NEAR_DAY, EACH_TEXT, MOST = 50, 20, 10, 5, 100
@@ -45,47 +48,48 @@ def candidates(imports: DataFrame, booked: DataFrame, days: int = 0, keys: tuple
     return pairs.select(*keys, "type", F.round(F.col("b_amount") * 100).cast("long").alias("cents"), F.col("b_gl_date").alias("booked_date"), F.col("i_seq").alias("import_seq"), F.col("b_seq").alias("booked_seq"), F.least(points, F.lit(MOST)).alias("score"), reasons.alias("reasons"))
 
 
-def _serve(pairs: pd.DataFrame) -> pd.DataFrame:
-    """One island's pairs: imports in order, best score left, earliest voucher among equals."""
-    ordered = pairs.sort_values(["import_seq", "score", "booked_seq"], ascending=[True, False, True])
-    served, used, taken = set(), set(), []
-    for row, import_seq, booked_seq in zip(ordered.index, ordered["import_seq"], ordered["booked_seq"]):
-        if import_seq not in served and booked_seq not in used:
-            served.add(import_seq)
-            used.add(booked_seq)
-            taken.append(row)
-    return pairs.loc[taken]
-
-
-def _breaks(values: DataFrame, within: list[str], value: str, number: Column, most: int, out: str) -> DataFrame:
-    """Distinct values with `out`, raised by one wherever the step from the value before is more than `most`."""
-    order = Window.partitionBy(*within).orderBy(value)
-    marked = values.select(*within, value).distinct().withColumn("_start", F.coalesce((number - F.lag(number).over(order) > most).cast("int"), F.lit(1)))
-    return marked.withColumn(out, F.sum("_start").over(order)).drop("_start")
+def _like_minded(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """pairs with _taken: true for the pair an import of a closed group gets, false for the group's others, null outside such groups.
 
-
-def islands(pairs: DataFrame, keys: tuple[str, ...] = ("account",), days: int = 3) -> DataFrame:
-    """pairs with amounts and island: imports of different islands share no voucher.
-
-    Vouchers of one import are up to two cents and twice the days apart, so wider gaps part islands.
+    A group holds the imports with one list of vouchers, best first; it is closed if no other import wants any of them.
+    """
+    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "import_seq").orderBy(F.desc("score"), "booked_seq")))
+    lists = ranked.groupBy(*keys, "import_seq").agg(F.bit_xor(F.xxhash64("booked_seq", "_rank")).alias("_list"), F.count(F.lit(1)).alias("_wants"))
+    suitors = pairs.groupBy(*keys, "booked_seq").agg(F.count(F.lit(1)).alias("_suitors"))
+    whole = ranked.join(lists, [*keys, "import_seq"]).join(suitors, [*keys, "booked_seq"])
+    groups = whole.groupBy(*keys, "_list", "_wants").agg(F.count(F.lit(1)).alias("_n"), F.min("_suitors").alias("_fewest"), F.max("_suitors").alias("_most"))
+    closed = groups.where((F.col("_fewest") == F.col("_most")) & (F.col("_n") == F.col("_most") * F.col("_wants"))).select(*keys, "_list", "_wants")
+    places = lists.join(closed, [*keys, "_list", "_wants"]).withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_list", "_wants").orderBy("import_seq")))
+    served = ranked.join(places.select(*keys, "import_seq", "_place"), [*keys, "import_seq"], "left")
+    return served.withColumn("_taken", F.col("_rank") == F.col("_place")).select(*pairs.columns, "_taken")
+
+
+def _round(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Pairs still possible after one round of proposals, and those settled by it (_taken).
+
+    A voucher that an import holds is lost to all later imports. Where the holder is the earliest of all imports that
+    could still want it, the pair is settled and both leave.
     """
-    cents = _breaks(pairs, [*keys, "type"], "cents", F.col("cents"), 2, "amounts")
-    pairs = pairs.join(cents, [*keys, "type", "cents"])
-    dates = _breaks(pairs, [*keys, "type", "amounts"], "booked_date", F.unix_date("booked_date"), 2 * days, "island")
-    return pairs.join(dates, [*keys, "type", "amounts", "booked_date"])
-
-
-def assign(pairs: DataFrame, keys: tuple[str, ...] = ("account",), days: int = 3) -> DataFrame:
-    """One-to-one matches of candidates, greedy in import order. days: at least those the candidates were made with."""
-    wanted = F.count(F.lit(1)).over(Window.partitionBy(*keys, "booked_seq"))
-    rivals = F.max("_wanted").over(Window.partitionBy(*keys, "import_seq"))
-    seen = pairs.withColumn("_wanted", wanted).withColumn("_wanted", rivals)
-    columns = [c for c in pairs.columns if c not in keys and c != "import_seq"]
-    best = F.max_by(F.struct(*columns), F.struct("score", -F.col("booked_seq"))).alias("best")
-    alone = seen.where("_wanted = 1").groupBy(*keys, "import_seq").agg(best).select(*keys, "import_seq", "best.*").select(*pairs.columns)
-    contested = islands(seen.where("_wanted > 1").drop("_wanted"), keys, days)
-    served = contested.groupBy(*keys, "type", "amounts", "island").applyInPandas(_serve, contested.schema)
-    return alone.unionByName(served.select(*pairs.columns))
+    best = Window.partitionBy(*keys, "import_seq").orderBy(F.desc("score"), "booked_seq")
+    asked = pairs.withColumn("_asks", F.row_number().over(best) == 1)
+    vouchers = asked.groupBy(*keys, "booked_seq").agg(F.min("import_seq").alias("_first"), F.min(F.when(F.col("_asks"), F.col("import_seq"))).alias("_holder"))
+    seen = asked.join(vouchers, [*keys, "booked_seq"]).withColumn("_taken", F.col("_asks") & (F.col("import_seq") == F.col("_first")))
+    settled = F.max("_taken").over(Window.partitionBy(*keys, "import_seq"))
+    free = F.col("_holder").isNull() | (F.col("_holder") != F.col("_first")) & (F.col("import_seq") <= F.col("_holder"))
+    return seen.withColumn("_settled", settled).where(F.col("_taken") | ~F.col("_settled") & free).select(*pairs.columns, "_taken")
+
+
+def assign(pairs: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:
+    """One-to-one matches of candidates, as serving imports in order gives them."""
+    pairs = written(pairs, "duplicate-pairs")
+    first = written(_like_minded(pairs, keys), "duplicate-rounds")
+    matches = first.where("_taken").drop("_taken")
+    rest = first.where("_taken IS NULL").drop("_taken")
+    while not rest.isEmpty():
+        step = written(_round(rest, keys), "duplicate-rounds")
+        matches = matches.unionByName(step.where("_taken").drop("_taken"))
+        rest = step.where("NOT _taken").drop("_taken")
+    return matches
 
 
 def best_candidates(pairs: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:

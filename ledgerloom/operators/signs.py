@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import MONEY
+from ledgerloom.operators import scans
 
 TOLERANCE = 0.01
 ACCEPTED_ERRORS = 0.25
@@ -15,9 +16,8 @@ def _moves(rows: DataFrame, opening: str) -> DataFrame:
     """balance_used (all -|balance| for an overdrawn opening) and delta to the row before, or to the opening."""
     used = F.when(F.col(opening) < 0, -F.abs("balance")).otherwise(F.col("balance"))
     rows = rows.withColumn("balance_used", used.cast(MONEY))
-    order = Window.partitionBy("account").orderBy("seq")
-    before = F.coalesce(F.lag("balance_used").over(order), F.col(opening))
-    return rows.withColumn("delta", (F.col("balance_used") - before).cast(MONEY))
+    rows = scans.row_before(rows, ["account"], ["seq"], F.col("balance_used"), "_before")
+    return rows.withColumn("delta", (F.col("balance_used") - F.coalesce("_before", opening)).cast(MONEY)).drop("_before")
 
 
 def _by_sign() -> Column:
@@ -52,9 +52,8 @@ def balance_errors(rows: DataFrame) -> DataFrame:
 
     One row, or none to check, is accepted.
     """
-    order = Window.partitionBy("account").orderBy("seq")
     effect = F.when(F.col("type") == "DEBIT", F.col("amount")).otherwise(-F.col("amount"))
-    wrong = F.abs(F.lag("balance").over(order) + effect - F.col("balance")) > F.lit(TOLERANCE).cast(MONEY)
-    checked = rows.withColumn("_wrong", wrong)
+    wrong = F.abs(F.col("_before") + effect - F.col("balance")) > F.lit(TOLERANCE).cast(MONEY)
+    checked = scans.row_before(rows, ["account"], ["seq"], F.col("balance"), "_before").withColumn("_wrong", wrong)
     out = checked.groupBy("account").agg(F.count("_wrong").alias("checked"), F.count_if("_wrong").alias("errors"))
     return out.withColumn("accepted", (F.col("checked") == 0) | (F.col("errors") < F.lit(ACCEPTED_ERRORS) * F.col("checked")))

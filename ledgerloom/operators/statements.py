@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts
 from ledgerloom.functions.dates import any_date, day_month_year
+from ledgerloom.operators import scans
 from ledgerloom.operators.ledger import from_date
 from ledgerloom.operators.signs import balance_errors, by_delta
 
@@ -57,11 +58,15 @@ def _starts(pattern: str, least: int) -> Column:
     return (F.size("t") >= least) & F.get("t", F.lit(0)).rlike(pattern) & F.get("t", F.lit(1)).rlike(pattern)
 
 
-def islands(lines: DataFrame, start: Column, stop: Column | None = None) -> DataFrame:
-    """One row per dated line: its tokens and the text of the lines that go on from it, up to a stop line."""
-    order = Window.partitionBy("statement_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _numbered_islands(lines: DataFrame, start: Column, most: int = scans.MOST) -> DataFrame:
+    """lines with _start and _island, the running count of starts, from the first start on."""
     marked = lines.withColumn("_start", F.coalesce(start, F.lit(False)))
-    marked = marked.withColumn("_island", F.sum(F.col("_start").cast("int")).over(order)).where("_island > 0")
+    return scans.running_sum(marked, ["statement_id"], ["line_no"], F.col("_start").cast("int"), "_island", most).where("_island > 0")
+
+
+def islands(lines: DataFrame, start: Column, stop: Column | None = None, most: int = scans.MOST) -> DataFrame:
+    """One row per dated line: its tokens and the text of the lines that go on from it, up to a stop line."""
+    marked = _numbered_islands(lines, start, most)
     if stop is not None:
         inner = Window.partitionBy("statement_id", "_island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         marked = marked.withColumn("_stopped", F.max(F.when(~F.col("_start"), stop.cast("int")).otherwise(0)).over(inner)).where("_stopped = 0")
@@ -132,8 +137,7 @@ def stitch_years(lines: DataFrame) -> DataFrame:
 def month_names(lines: DataFrame) -> DataFrame:
     """d Mon y d Mon y description, then lines; the last line with two two-decimal numbers gives amount and balance."""
     head = rf"^\s*({MONTH_DATE} \d{{4}}) ({MONTH_DATE} \d{{4}})\b"
-    order = Window.partitionBy("statement_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = stitch_years(lines).withColumn("_start", F.col("line").rlike(head)).withColumn("_island", F.sum(F.col("_start").cast("int")).over(order)).where("_island > 0")
+    rows = _numbered_islands(stitch_years(lines), F.col("line").rlike(head))
     rows = rows.withColumn("_rest", F.when(F.col("_start"), F.regexp_replace("line", head, "")).otherwise(F.col("line"))).withColumn("_t", words_of(F.col("_rest")))
     numbers = F.filter("_t", lambda w: w.rlike(DECIMAL))
     rows = rows.withColumn("_n", F.when(F.size(numbers) >= 2, numbers)).withColumn("_text", F.array_join(F.filter("_t", lambda w: ~w.rlike(DECIMAL)), " "))
@@ -181,7 +185,8 @@ def parser_of(profile: str) -> Callable[[DataFrame], DataFrame]:
     return PARSERS[profile]
 
 
-OPENING = r"(?i)(?:opening balance|balance brought forward|brought forward|b/f)[^0-9\-]*(-?[0-9,]+(?:\.[0-9]+)?\s*(?:cr|dr)?)"
+#: Labels of an opening balance, with a remark in brackets or a date after them, and the amount.
+OPENING = r"(?i)(?:(?<!closing )\bbalance\s+as\s+on\s+[^:]+:|(?:opening\s+balance|brought\s+forward|\bb/f|\bclear\s+balance)(?:\s*\([^)]*\))?(?:\s+as\s+on\s+[^:]*:)?)[^0-9\-]*(-?[0-9,]+(?:\.[0-9]+)?\s*(?:cr|dr)?)"
 
 
 def opening_balances(lines: DataFrame) -> DataFrame:

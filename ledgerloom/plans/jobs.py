@@ -29,7 +29,7 @@ def convert_statement(texts: DataFrame, profile: str, bank: str, other: str = "S
     return {"transactions": rows, "vouchers": made, "masters": masters, "audit": vouchers.audit_rows(made, ["account"]), "report": report}
 
 
-def convert_tables(rows: DataFrame, mapping: dict[str, int], bank: str, other: str = "Suspense", boundary: str | None = None) -> dict[str, DataFrame]:
+def convert_tables(rows: DataFrame, mapping: dict[str, int] | DataFrame | None, bank: str, other: str = "Suspense", boundary: str | None = None) -> dict[str, DataFrame]:
     """Mapped tables to transactions and vouchers."""
     found = tables.transactions(rows, mapping, boundary).withColumnRenamed("statement_id", "account")
     made = vouchers.double_entries(found, F.lit(bank), F.lit(other), ["account"]).withColumn("bank", F.lit(bank))

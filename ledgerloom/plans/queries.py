@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import amounts, dates, narration, tax
-from ledgerloom.operators import cash, gst, linkage, phrases, signs, statements, tables, validate, vouchers
+from ledgerloom.functions import amounts, dates, narration, script, tax
+from ledgerloom.operators import cash, gst, lexicon, linkage, phrases, signs, statements, tables, validate, vouchers
 from ledgerloom.operators import ledger as L
 from ledgerloom.plans import jobs
 from ledgerloom.plans import views as V
+from ledgerloom.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,7 +29,7 @@ def query(sql: str | None = None, *ctes: str):
 
         QUERIES[f.__name__] = run
         if sql:
-            ORACLE[f.__name__] = _plain_sql(f.__name__, ("WITH " + ", ".join(ctes) + " " if ctes else "") + sql)
+            ORACLE[f.__name__] = _plain_sql(f.__name__, ("WITH RECURSIVE " + ", ".join(ctes) + " " if ctes else "") + sql)
         return f
 
     return add
@@ -62,7 +63,10 @@ DECIMALS = {
     "parse_wrapped": "amount balance",
     "opening_balances": "opening",
     "parse_tables": "amount balance",
+    "parse_layouts": "amount balance",
+    "balance_of_one_account": "balance",
     "cash_receipts": "amount",
+    "workbook_receipts": "amount",
     "cash_audit": "total credit",
     "voucher_entries": "party_amount bank_amount",
     "flat_vouchers": "debit credit",
@@ -85,10 +89,12 @@ DATES = {
     "parse_month_names": "gl_date",
     "parse_wrapped": "gl_date",
     "parse_tables": "gl_date",
+    "parse_layouts": "gl_date",
     "cash_receipts": "gl_date",
+    "workbook_receipts": "gl_date",
     "cash_audit": "month",
     "flat_vouchers": "gl_date",
-    "date_forms": "a b c e",
+    "date_forms": "a b c e f g h",
 }
 
 
@@ -144,6 +150,24 @@ def running_balance(spark, d):
     return V.balanced(spark, d).select("account", "seq", "gl_date", "amount", "type", "balance")
 
 
+@query(f"SELECT id, CAST(1000 + sum({S}) OVER (ORDER BY seq) AS DECIMAL(18,2)) AS balance, row_number() OVER (ORDER BY seq) AS index FROM v_ledger WHERE type IN ('DEBIT', 'CREDIT')", V.LEDGER)
+def balance_of_one_account(spark, d):
+    """All orders as one account, scanned in blocks of 4,096 rows or so."""
+    one = L.valid_only(V.ledger(spark, d)).withColumn("account", F.lit("all"))
+    return L.numbered(L.running_balance(one, F.lit(1000), 4096), ["account"], 4096).select("id", "balance", F.col("index").cast("long").alias("index"))
+
+
+@query(
+    """SELECT CAST(island AS BIGINT) AS island, min(seq) AS seq, coalesce(string_agg(CASE WHEN NOT is_start THEN narration END, ' ' ORDER BY seq), '') AS more
+FROM (SELECT *, sum(CAST(is_start AS INTEGER)) OVER (ORDER BY seq) AS island FROM (SELECT *, id % 4 <> 0 AS is_start FROM v_ledger)) WHERE island > 0 GROUP BY island""",
+    V.LEDGER,
+)
+def islands_of_one_statement(spark, d):
+    """All narrations as the lines of one statement, scanned in blocks."""
+    lines = V.ledger(spark, d).select(F.lit("all").alias("statement_id"), F.col("seq").alias("line_no"), F.col("narration").alias("line"), "id", F.array().cast("array<string>").alias("t"))
+    return statements.islands(lines, F.col("id") % 4 != 0, most=4096).select(F.col("_island").alias("island"), "seq", "more")
+
+
 @query(
     f"""SELECT account, {MONTH} AS month, count(*) AS n, {DEBIT} AS debit, {CREDIT} AS credit, arg_min(balance, seq) AS first_balance,
 CAST(arg_min(balance - ({S}), seq) AS DECIMAL(18,2)) AS opening, arg_max(balance, seq) AS closing FROM v_balanced GROUP BY ALL""",
@@ -319,19 +343,32 @@ def best_candidates(spark, d):
     return linkage.best_candidates(_pairs(spark, d)).select("account", "import_seq", "booked_seq", "score")
 
 
-@query()
+#: Imports served one after the other, account by account, each with the vouchers it wants, best first, and those used before it.
+SERVED = """v_wants AS (SELECT account, import_seq, row_number() OVER (PARTITION BY account ORDER BY import_seq) AS k, list({'v': booked_seq, 's': score} ORDER BY score DESC, booked_seq) AS wants FROM v_pairs GROUP BY account, import_seq),
+v_served(account, k, import_seq, used, got) AS (
+  SELECT account, 0, NULL::BIGINT, []::BIGINT[], NULL::STRUCT(v BIGINT, s INTEGER) FROM v_wants WHERE k = 1
+  UNION ALL SELECT account, k, import_seq, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.v) END, got FROM (
+    SELECT w.account, w.k, w.import_seq, s.used, list_filter(w.wants, lambda x: NOT list_contains(s.used, x.v))[1] AS got FROM v_served s JOIN v_wants w ON w.account = s.account AND w.k = s.k + 1)),
+v_matched AS (SELECT l.*, got.v AS matched_seq, got.s AS score FROM v_ledger l LEFT JOIN (SELECT * FROM v_served WHERE got IS NOT NULL) m ON m.account = l.account AND m.import_seq = l.seq)"""
+MATCHED = (V.LEDGER, V.BOOKED, PAIRS, SERVED)
+
+
+@query("SELECT account, seq, CASE WHEN matched_seq IS NULL THEN 'New' ELSE 'Duplicate' END AS status, matched_seq, CAST(score AS INTEGER) AS score FROM v_matched", *MATCHED)
 def duplicate_matches(spark, d):
-    matches = linkage.assign(_pairs(spark, d), days=2)
-    return linkage.annotate(V.ledger(spark, d), matches).select("account", "seq", "status", "matched_seq", "score")
+    return _annotated(spark, d).select("account", "seq", "status", "matched_seq", "score")
+
+
+def _annotated(spark, d):
+    """The ledger as imports, matched to the vouchers booked before."""
+    return linkage.annotate(V.ledger(spark, d), linkage.assign(_pairs(spark, d)))
 
 
 @query(
     f"""SELECT account, month, {', '.join(f"CAST(coalesce(sum(CASE WHEN kind = '{k}' AND type = '{s}' THEN amount END), 0) AS DECIMAL(18,2)) AS {k}_{s.lower()}" for k in ('imported', 'booked', 'duplicate') for s in L.SIDES)},
 {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}_n" for k in ('imported', 'booked', 'duplicate'))} FROM (
 SELECT account, {MONTH} AS month, amount, type, 'imported' AS kind FROM v_ledger UNION ALL SELECT account, {MONTH}, amount, type, 'booked' FROM v_booked
-UNION ALL SELECT account, {MONTH}, amount, type, 'duplicate' FROM v_ledger WHERE id % 5 = 0) GROUP BY account, month""",
-    V.LEDGER,
-    V.BOOKED,
+UNION ALL SELECT account, {MONTH}, amount, type, 'duplicate' FROM v_matched WHERE matched_seq IS NOT NULL) GROUP BY account, month""",
+    *MATCHED,
 )
 def month_reconciliation(spark, d):
     return linkage.reconciliation(_annotated(spark, d), V.booked(spark, d))
@@ -494,10 +531,12 @@ def parse_cascade(spark, d):
 
 @query("SELECT DISTINCT account AS statement_id, CAST(CASE WHEN account % 3 = 0 THEN -1 ELSE 1 END * (1000 + account % 700 + 0.25) AS DECIMAL(18,2)) AS opening FROM v_balanced", V.LEDGER, V.BALANCED)
 def opening_balances(spark, d):
-    """Openings that differ by statement in amount, mark and wording, and a later line that looks like one."""
+    """Openings that differ by statement in amount, mark and label, some with a date or a remark between, and a later line that looks like one."""
     k = F.col("statement_id")
     amount = F.format_number((1000 + k % 700 + F.lit(0.25)), 2)
-    first = F.concat(F.when(k % 2 == 0, "Opening Balance : ").otherwise("B/F "), amount, F.when(k % 3 == 0, "Dr").when(k % 3 == 1, " Cr").otherwise(""))
+    labels = ("Opening Balance : ", "B/F ", "Balance as on 1 Apr 2024 : ", "Clear Balance : ", "Opening Balance (as on 01-04-2024) : ", "Closing balance as on 31 Mar 2024: none, brought forward ", "Balance  as on 01/04/2024:&")
+    label = F.coalesce(*[F.when(k % len(labels) == i, said) for i, said in enumerate(labels)])
+    first = F.concat(label, amount, F.when(k % 3 == 0, "Dr").when(k % 3 == 1, " Cr").otherwise(""))
     lines = V.statement_lines(spark, d, "dash").withColumn("line", F.when(F.col("line_no") == -1, first).otherwise(F.col("line")))
     late = lines.where("line_no = -1").select("statement_id", F.lit(1 << 60).cast("long").alias("line_no"), F.lit("Opening Balance : 1.00 Cr").alias("line"))
     return statements.opening_balances(lines.union(late))
@@ -521,9 +560,48 @@ def parse_tables(spark, d):
     return tables.transactions(V.table_rows(spark, d), MAPPING)
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS sheet, event_id AS row_no, gl_date, rc_no, 'Sri ' || event_type AS raw_name, amount FROM v_receipts", V.CASH)
+@query(
+    """SELECT account AS statement_id, row_number() OVER (PARTITION BY account ORDER BY seq) AS seq, gl_date, narration || CASE WHEN account % 5 = 3 THEN ' | ' || particulars ELSE '' END AS narration, amount, balance, type
+FROM v_balanced WHERE account % 5 <> 4""",
+    V.LEDGER,
+    V.BALANCED,
+)
+def parse_layouts(spark, d):
+    """Documents of five layouts: three told by their words, one saved before, one unknown."""
+    rows = V.layout_rows(spark, d)
+    return tables.transactions(rows, tables.column_maps(rows, V.layouts(spark)))
+
+
+ROLE_COLUMNS = {"date": (0, 4, 0, 0, -1), "narration": (1, 3, 1, 1, -1), "narration_2": (None, None, None, 2, None), "debit": (2, 2, 2, 3, -1), "credit": (3, 1, -1, 4, -1), "balance": (4, 0, 3, 5, -1)}
+
+
+@query(
+    f"""SELECT DISTINCT account AS statement_id, CASE WHEN account % 5 = 3 THEN '{V.SAVED_LAYOUT[0]}' END AS layout, account % 5 <> 4 AS trusted,
+{', '.join(f"CAST([{', '.join('NULL' if x is None else str(x) for x in at)}][account % 5 + 1] AS INTEGER) AS {role}" for role, at in ROLE_COLUMNS.items())} FROM v_balanced""",
+    V.LEDGER,
+    V.BALANCED,
+)
+def column_maps(spark, d):
+    maps = tables.column_maps(V.layout_rows(spark, d), V.layouts(spark))
+    return maps.select("statement_id", "layout", "trusted", *[F.try_element_at("mapping", F.lit(role)).alias(role) for role in ROLE_COLUMNS])
+
+
+RECEIPTS = "SELECT CAST(user_id AS VARCHAR) AS sheet, event_id AS row_no, gl_date, rc_no, raw_name, raw_name IS NULL AS nameless, amount FROM v_receipts"
+
+
+def _receipts(cells):
+    return cash.receipts(cells).select("sheet", F.col("row_no").cast("long").alias("row_no"), "gl_date", "rc_no", "raw_name", (F.col("name") == lexicon.UNKNOWN).alias("nameless"), "amount")
+
+
+@query(RECEIPTS, V.CASH)
 def cash_receipts(spark, d):
-    return cash.receipts(V.cash_cells(spark, d)).select("sheet", "row_no", "gl_date", "rc_no", "raw_name", "amount")
+    return _receipts(V.cash_cells(spark, d))
+
+
+@query(RECEIPTS, V.CASH)
+def workbook_receipts(spark, d):
+    """The same receipts out of .xlsx files, whose date cells are serial numbers in either date system."""
+    return _receipts(readers.cash_cells(readers.workbook_rows(V.workbook_files(spark, d))))
 
 
 @query("SELECT strftime(gl_date, '%b %Y') AS month_label, CAST(date_trunc('month', any_value(gl_date)) AS DATE) AS month, count(*) AS n, CAST(sum(amount) AS DECIMAL(18,2)) AS total, CAST(0 AS DECIMAL(18,2)) AS credit, count(*) FILTER (n_same > 1) AS repeated_numbers FROM (SELECT *, count(*) OVER (PARTITION BY rc_no) AS n_same FROM v_receipts) GROUP BY 1", V.CASH)
@@ -538,6 +616,38 @@ def lexicon_lookup(spark, d):
     return cash.apply_lexicon(rows, words).select("o_orderkey", "spelled")
 
 
+#: A Telugu letter, sign or mark for each letter a to z, so that part names become clusters of them.
+TELUGU = "ా్కదెఖగహిజఱలమనొపంరసతువఅఃయ౩"
+LATIN = ", ".join(f"('{c}', '{said}', {c in script.CONSONANTS}, {c in script.SIGNS or c == script.VIRAMA})" for c, said in script.LETTERS.items())
+
+
+@query(
+    f"""SELECT p_partkey, string_agg(coalesce(said, c) || CASE WHEN consonant AND NOT coalesce(after, false) THEN 'a' ELSE '' END, '' ORDER BY i) AS spelled FROM (
+SELECT p_partkey, i, c, said, coalesce(consonant, false) AS consonant, lead(coalesce(joins, false)) OVER (PARTITION BY p_partkey ORDER BY i) AS after FROM (
+SELECT p_partkey, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT p_partkey, translate(lower(p_name), 'abcdefghijklmnopqrstuvwxyz', '{TELUGU}') AS t FROM part))
+LEFT JOIN (VALUES {LATIN}) l(letter, said, consonant, joins) ON letter = c) GROUP BY p_partkey"""
+)
+def romanised_names(spark, d):
+    names = V.table(spark, d, "part").select("p_partkey", F.translate(F.lower("p_name"), "abcdefghijklmnopqrstuvwxyz", TELUGU).alias("name"))
+    return names.select("p_partkey", script.romanised(F.col("name")).alias("spelled"))
+
+
+INSIDE = """v_places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v_said),
+v_hits AS (
+  SELECT word, i, max(n) AS n, arg_max(target, n) AS target FROM (SELECT word, i, n, substr(word, i, n) AS piece FROM v_places, (SELECT DISTINCT length(source) AS n FROM v_entries) WHERE i + n - 1 <= length(word) AND n < length(word))
+  JOIN v_entries ON source = piece GROUP BY word, i),
+v_walk(word, i, done) AS (
+  SELECT word, CAST(1 AS BIGINT), '' FROM v_said
+  UNION ALL SELECT w.word, w.i + coalesce(n, 1), done || coalesce(target, substr(w.word, w.i, 1)) FROM v_walk w LEFT JOIN v_hits h ON h.word = w.word AND h.i = w.i WHERE w.i <= length(w.word))"""
+
+
+@query("SELECT word, done AS replaced FROM v_walk WHERE i > length(word)", V.WORDS_SAID, INSIDE)
+def lexicon_inside_words(spark, d):
+    """All words of the conversations by a lexicon that the same words make."""
+    words = V.said_words(spark, d)
+    return lexicon.replace_inside(words, V.said_lexicon(words))
+
+
 def _vouchers(spark, d):
     return vouchers.double_entries(V.ledger(spark, d), F.lit("Main Bank"), F.col("particulars"), ["account"]).withColumn("bank", F.lit("Main Bank"))
 
@@ -622,10 +732,10 @@ def amount_forms(spark, d):
     return rows.select("o_orderkey", amounts.unsigned_amount(F.concat(F.lit("-"), t)).alias("unsigned"), amounts.absolute_amount(F.concat(F.lit("-"), t)).alias("absolute"), amounts.suffixed_balance(F.concat(t, F.lit("Dr"))).alias("dr"), amounts.marked_amount(F.concat(t, F.lit(" Cr"))).alias("marked"))
 
 
-@query("SELECT o_orderkey, d AS a, d AS b, d AS c, d AS e FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)")
+@query("SELECT o_orderkey, d AS a, d AS b, d AS c, d AS e, d AS f, d AS g, d AS h FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)")
 def date_forms(spark, d):
     f = lambda p: dates.any_date(F.date_format("o_orderdate", p))
-    return V.table(spark, d, "orders").select("o_orderkey", f("dd/MM/yyyy").alias("a"), f("d-MMM-yyyy").alias("b"), f("yyyy-MM-dd HH:mm:ss").alias("c"), f("d.M.yyyy").alias("e"))
+    return V.table(spark, d, "orders").select("o_orderkey", f("dd/MM/yyyy").alias("a"), f("d-MMM-yyyy").alias("b"), f("yyyy-MM-dd HH:mm:ss").alias("c"), f("d.M.yyyy").alias("e"), f("MMMM d, yyyy").alias("f"), f("d MMMM yyyy").alias("g"), f("yyyyMMdd").alias("h"))
 
 
 @query(
@@ -649,17 +759,12 @@ def largest_months(spark, d):
     return L.largest_months(L.month_closings(V.ledger(spark, d)))
 
 
-def _annotated(spark, d):
-    """The ledger as annotated imports, every fifth a duplicate."""
-    return V.ledger(spark, d).withColumn("status", F.when(F.col("id") % 5 == 0, "Duplicate").otherwise("New"))
-
-
-@query("SELECT account, id FROM v_ledger WHERE id % 5 <> 0", V.LEDGER)
+@query("SELECT account, id FROM v_matched WHERE matched_seq IS NULL", *MATCHED)
 def new_imports(spark, d):
     return linkage.by_match_status(_annotated(spark, d), "New").select("account", "id")
 
 
-@query(f"SELECT account, {DEBIT} AS debit, {CREDIT} AS credit, count(*) AS n, CAST(1000 + coalesce(sum({S}), 0) AS DECIMAL(18,2)) AS closing FROM v_ledger WHERE id % 5 = 0 GROUP BY account", V.LEDGER)
+@query(f"SELECT account, {DEBIT} AS debit, {CREDIT} AS credit, count(*) AS n, CAST(1000 + coalesce(sum({S}), 0) AS DECIMAL(18,2)) AS closing FROM v_matched WHERE matched_seq IS NOT NULL GROUP BY account", *MATCHED)
 def duplicate_closing(spark, d):
     return linkage.duplicate_closing(_annotated(spark, d), F.lit(1000))
 
@@ -668,15 +773,14 @@ KINDS = ("imported", "booked", "duplicate")
 RECONCILED = f"""v_kinds AS (
   SELECT account, {MONTH} AS month, {', '.join(f"CAST(coalesce(sum(CASE WHEN kind = '{k}' AND type = '{s}' THEN amount END), 0) AS DECIMAL(18,2)) AS {k}_{s.lower()}" for k in KINDS for s in L.SIDES)},
     {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}_n" for k in KINDS)}
-  FROM (SELECT account, gl_date, amount, type, 'imported' AS kind FROM v_ledger UNION ALL SELECT account, gl_date, amount, type, 'booked' FROM v_booked UNION ALL SELECT account, gl_date, amount, type, 'duplicate' FROM v_ledger WHERE id % 5 = 0) GROUP BY ALL),
+  FROM (SELECT account, gl_date, amount, type, 'imported' AS kind FROM v_ledger UNION ALL SELECT account, gl_date, amount, type, 'booked' FROM v_booked UNION ALL SELECT account, gl_date, amount, type, 'duplicate' FROM v_matched WHERE matched_seq IS NOT NULL) GROUP BY ALL),
 v_closed AS (SELECT *, {', '.join(f"CAST(1000 + sum({k}_debit - {k}_credit) OVER (PARTITION BY account ORDER BY month) AS DECIMAL(18,2)) AS {k}_closing" for k in KINDS)} FROM v_kinds)"""
 
 
 @query(
     f"""SELECT * FROM v_closed UNION ALL BY NAME SELECT account, 'TOTAL' AS month, {', '.join(f"CAST(sum({k}_{c}) AS DECIMAL(18,2)) AS {k}_{c}" for k in KINDS for c in ('debit', 'credit'))},
 {', '.join(f"CAST(sum({k}_n) AS BIGINT) AS {k}_n, arg_max({k}_closing, month) AS {k}_closing" for k in KINDS)} FROM v_closed GROUP BY account""",
-    V.LEDGER,
-    V.BOOKED,
+    *MATCHED,
     RECONCILED,
 )
 def reconciliation_report(spark, d):

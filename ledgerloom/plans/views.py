@@ -162,26 +162,102 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cash_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as cash sheets: a sheet per user, dates blank in every third row, days alone in every fifth, every twentieth receipt number used twice."""
+    """Events as cash sheets: a sheet per user, dates blank in every third row, days or fragments of dates in some, every twentieth receipt number used twice, some names missing, some amounts no number."""
     e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    sheets = e.groupBy("user_id").agg(F.min("event_id").alias("first"))
     day = F.date_format("ts", "dd-MM-yyyy")
-    first = F.min("event_id").alias("first")
-    sheets = e.groupBy("user_id").agg(first)
-    cell = F.when(F.col("event_id") == F.col("first"), day).when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 5 == 0, F.dayofmonth("ts").cast("string")).otherwise(day)
-    return e.join(sheets, "user_id").select(F.lit("book").alias("workbook"), F.col("user_id").cast("string").alias("sheet"), F.col("event_id").alias("row_no"), cell.alias("c0"), F.concat((F.col("event_id") - (F.col("event_id") % 20 == 1).cast("int")).cast("string"), F.lit(".0")).alias("c1"), F.concat(F.lit("Sri "), F.col("event_type")).alias("c2"), F.lit("").alias("c3"), F.floor(F.abs("value")).cast("long").cast("string").alias("c4"))
+    cell = F.when(k == F.col("first"), day).when(k % 3 == 0, "").when(k % 5 == 0, F.dayofmonth("ts").cast("string")).when(k % 7 == 0, F.date_format("ts", "d-M-")).when(k % 11 == 0, F.date_format("ts", "d/M")).otherwise(day)
+    number = F.concat((k - (k % 20 == 1).cast("int")).cast("string"), F.lit(".0"))
+    name = F.when(k % 13 != 0, F.concat(F.lit("Sri "), F.col("event_type")))
+    amount = F.when((k % 17 == 0) & (k != F.col("first")), "n/a").otherwise(F.floor(F.abs("value")).cast("long").cast("string"))
+    return e.join(sheets, "user_id").select(F.lit("book").alias("workbook"), F.col("user_id").cast("string").alias("sheet"), k.alias("row_no"), cell.alias("c0"), number.alias("c1"), name.alias("c2"), F.lit("").alias("c3"), amount.alias("c4"))
 
 
 CASH = """v_cash AS (
-  SELECT user_id, event_id, ts, CAST(CAST(floor(abs(value)) AS BIGINT) AS DECIMAL(18,2)) AS amount, event_type,
-    min(event_id) OVER (PARTITION BY user_id) AS first,
-    CASE WHEN event_id = min(event_id) OVER (PARTITION BY user_id) THEN 'd' WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'n' ELSE 'd' END AS kind
+  SELECT user_id, event_id, ts, event_type, min(event_id) OVER (PARTITION BY user_id) AS first,
+    CAST(CASE WHEN event_id % 17 = 0 AND event_id <> min(event_id) OVER (PARTITION BY user_id) THEN 0 ELSE CAST(floor(abs(value)) AS BIGINT) END AS DECIMAL(18,2)) AS amount,
+    event_id % 3 <> 0 OR event_id = min(event_id) OVER (PARTITION BY user_id) AS dated
   FROM events),
 v_carried AS (
-  SELECT c.*, s.ts AS from_ts, s.kind AS from_kind, f.ts AS first_ts FROM (
-    SELECT *, max(CASE WHEN kind IS NOT NULL THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS src FROM v_cash) c
+  SELECT c.*, s.ts AS from_ts, f.ts AS first_ts FROM (
+    SELECT *, max(CASE WHEN dated THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS src FROM v_cash) c
   JOIN v_cash s ON s.user_id = c.user_id AND s.event_id = c.src JOIN v_cash f ON f.user_id = c.user_id AND f.event_id = c.first),
 v_receipts AS (
   SELECT user_id, event_id, amount, event_type, CAST(CASE WHEN event_id % 20 = 1 THEN event_id - 1 ELSE event_id END AS VARCHAR) AS rc_no,
-    CASE WHEN from_kind = 'd' THEN CAST(from_ts AS DATE)
-      WHEN day(from_ts) <= day(last_day(CAST(first_ts AS DATE))) THEN CAST(date_trunc('month', CAST(first_ts AS DATE)) AS DATE) + CAST(day(from_ts) - 1 AS INTEGER)
+    CASE WHEN event_id % 13 <> 0 THEN 'Sri ' || event_type END AS raw_name,
+    CASE WHEN day(from_ts) <= day(last_day(CAST(first_ts AS DATE))) THEN CAST(date_trunc('month', CAST(first_ts AS DATE)) AS DATE) + CAST(day(from_ts) - 1 AS INTEGER)
       ELSE CAST(first_ts AS DATE) END AS gl_date FROM v_carried)"""
+
+
+def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cash sheets of cash_cells() as .xlsx files (path, content), a file per user: dates are serial numbers with a date style, in the 1904 system for odd users."""
+    cells = cash_cells(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("row_no"), "ts"), "row_no")
+    dated = F.col("c0").rlike("^[0-9]{2}-[0-9]{2}-[0-9]{4}$")
+    from_1904 = F.col("sheet").cast("long") % 2 == 1
+    days = F.unix_date(F.col("ts").cast("date")) + F.when(from_1904, 24107).otherwise(25569)
+    cell = lambda column, value, text: F.when(value != "", F.concat(F.lit(f'<c r="{column}'), "row_no", F.lit('" t="inlineStr"><is><t>' if text else '"><v>'), value, F.lit("</t></is></c>" if text else "</v></c>"))).otherwise("")
+    date = F.when(dated, F.concat(F.lit('<c r="A'), "row_no", F.lit('" s="1"><v>'), days.cast("string"), F.lit("</v></c>"))).otherwise(cell("A", F.col("c0"), True))
+    parts = [date, cell("B", F.col("c1"), False), cell("C", F.coalesce("c2", F.lit("")), True), F.when(F.col("c4") == "n/a", cell("E", F.col("c4"), True)).otherwise(cell("E", F.col("c4"), False))]
+    rows = cells.select("sheet", "row_no", F.concat(F.lit('<row r="'), "row_no", F.lit('">'), *parts, F.lit("</row>")).alias("xml"))
+    sheets = rows.groupBy("sheet").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "xml"))), lambda x: x.xml), "").alias("xml"))
+
+    def zipped(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        for batch in batches:
+            out = []
+            for sheet, xml in zip(*(c.to_pylist() for c in batch.columns)):
+                with zipfile.ZipFile(held := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><workbookPr date1904="{int(sheet) % 2}"/><sheets><sheet name="{sheet}" r:id="r1"/></sheets></workbook>')
+                    z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+                    z.writestr("xl/styles.xml", f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+                    z.writestr("xl/worksheets/s.xml", f"<worksheet {main}><sheetData>{xml}</sheetData></worksheet>")
+                out.append({"path": "book", "content": held.getvalue()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return sheets.mapInArrow(zipped, "path string, content binary")
+
+
+#: Headers of document tables by account: usual ones, ones in another order, four columns with one amount, and two that no word tells.
+LAYOUTS = (("Txn Date", "Narration", "Withdrawal", "Deposit", "Balance"), ("Balance", "Paid In", "Paid Out", "Details", "Date"), ("Date", "Particulars", "Amount", "Balance"), ("Alpha", "Beta", "Gamma", "Delta", "Epsilon", "Zeta"), ("A", "B", "C", "D", "E"))
+SAVED_LAYOUT = ("house bank", {"date": 0, "narration": 1, "narration_2": 2, "debit": 3, "credit": 4, "balance": 5})
+
+
+def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balanced ledger as one table per account, in five layouts."""
+    rows = balanced(spark, sf_dir)
+    paid = F.col("type") == "CREDIT"
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    date, debit, credit, balance = F.date_format("gl_date", "d MMMM yyyy"), text(F.when(paid, F.col("amount"))), text(F.when(~paid, F.col("amount"))), F.col("balance").cast("string")
+    marked = F.concat(F.col("amount").cast("string"), F.when(paid, " Dr").otherwise(" Cr"))
+    cells = (F.array(date, "narration", debit, credit, balance), F.array(balance, credit, debit, "narration", date), F.array(date, "narration", marked, balance), F.array(date, "narration", "particulars", debit, credit, balance), F.array(date, "narration", debit, credit, balance))
+    kind = F.col("account") % len(LAYOUTS)
+    of_kind = lambda values: F.coalesce(*[F.when(kind == k, v) for k, v in enumerate(values)])
+    place = [F.col("account").alias("statement_id"), F.lit(0).alias("page"), F.lit(0).alias("table_no")]
+    heads = of_kind([F.array(*map(F.lit, h)) for h in LAYOUTS])
+    return rows.select(*place, F.col("seq").alias("row_no"), of_kind(cells).alias("cells")).union(rows.select("account").distinct().select(*place, F.lit(-1).cast("long"), heads))
+
+
+def layouts(spark: SparkSession) -> DataFrame:
+    """The one layout that was saved."""
+    name, mapping = SAVED_LAYOUT
+    return spark.createDataFrame([(name, mapping, list(LAYOUTS[3]), len(LAYOUTS[3]))], "name string, mapping map<string,int>, headers array<string>, col_count int")
+
+
+def said_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of all conversations, and of them the lexicon: those of two to four letters a to z, each in angle brackets."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word <> ''").distinct()
+    return words
+
+
+def said_lexicon(words: DataFrame) -> DataFrame:
+    return words.where(F.col("word").rlike("^[a-z]{2,4}$")).select(F.col("word").alias("source"), F.concat(F.lit("<"), "word", F.lit(">")).alias("target"))
+
+
+WORDS_SAID = """v_said AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM conversations),
+v_entries AS (SELECT word AS source, '<' || word || '>' AS target FROM v_said WHERE regexp_full_match(word, '[a-z]{2,4}'))"""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import MONEY
+from ledgerloom.sources import workbook
 
 #: Shape of a voucher in XML; tags as voucher files name them.
 VOUCHER_XML = "DATE string, VOUCHERTYPENAME string, VOUCHERNUMBER string, NARRATION string, `ALLLEDGERENTRIES.LIST` array<struct<LEDGERNAME: string, ISDEEMEDPOSITIVE: string, ISPARTYLEDGER: string, AMOUNT: string>>"
@@ -82,11 +83,20 @@ def read_lexicon(spark: SparkSession, path: str | None, default: dict[str, str]
 
 
 def read_workbook_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of .xlsx files as (workbook, sheet, row_no, cells): the zipped sheets are read with the standard library, one file a task row."""
-    from ledgerloom.sources.workbook import sheet_rows
+    """Rows of .xlsx files as (workbook, sheet, row_no, cells), by Spark's own file reader: any store Spark reads, a file at a time in a task."""
+    return workbook_rows(spark.read.format("binaryFile").load(path).select("path", "content"))
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(sheet_rows, "workbook string, sheet string, row_no int, cells array<string>")
+
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """Rows of workbooks held as (path, content)."""
+    return files.mapInPandas(workbook.sheet_rows, workbook.ROWS)
+
+
+def read_sheets(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """The same rows with a partition per sheet, for large workbooks on a path or URI that pyarrow opens."""
+    workbook.register(spark)
+    reader = spark.read.format("workbook")
+    return (reader.option("sheet", sheet) if sheet else reader).load(path)
 
 
 def cash_cells(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import amounts, dates, narration, tax
+from ledgerloom.functions import amounts, dates, narration, script, tax
 
 
 def values(spark, texts, *columns):
@@ -95,3 +95,16 @@ def test_tax_split_rounds_halves_up(spark):
     df = spark.createDataFrame([(D("0.50"), D("5"), True), (D("100.10"), D("5"), True), (D("100.10"), D("5"), False)], "t decimal(18,2), r decimal(9,3), s boolean")
     got = [tuple(r) for r in df.select(*tax.tax_split(F.col("t"), F.col("r"), F.col("s"))).collect()]
     assert got == [(D("0.02"), D("0.02"), D(0)), (D("2.51"), D("2.51"), D(0)), (D(0), D(0), D("5.01"))]
+
+
+def test_script_in_latin_letters(spark):
+    cases = {"రామ": "rāma", "కృష్ణ": "kr̥ṣṇa", "శ్రీ": "śrī", "లక్ష్మి": "lakṣmi", "అంబ": "aṁba", "దుఃఖం": "duḥkhaṁ", "సీతా 12 ౧౨ x": "sītā 12 12 x", "క్": "k", "క": "ka", "": "", "abc": "abc", "ఐఔఋ": "aiaur̥"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r[0]: r[1] for r in rows.select("t", script.romanised(F.col("t"))).collect()} == cases
+
+
+def test_dates_by_shape(spark):
+    day = dt.date(2024, 1, 5)
+    cases = {"January 5 2024": day, "5 January 24": day, "5 jan 2024": day, "Jan 5, 2024": day, "5/1/2024 10:15": day, "2024-01-05 00:00:00": day, "05.01.24": day, "20240105": day, "5 May 2024": dt.date(2024, 5, 5), "31-02-2024": None, "5-1": None, "x": None, None: None, "5 Janvember 2024": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r[0]: r[1] for r in rows.select("t", dates.any_date(F.col("t"))).collect()} == cases

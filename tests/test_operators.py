@@ -5,7 +5,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import cash, gst, ledger, linkage, signs, statements, tables
+from ledgerloom.operators import cash, gst, ledger, lexicon, linkage, scans, signs, statements, tables
 from ledgerloom.plans import jobs
 
 
@@ -110,16 +110,16 @@ def test_matching_equals_serving_one_by_one(spark):
             if own:
                 want[i] = min(own)[1]
                 left.remove(want[i])
-        assert {r["import_seq"]: r["booked_seq"] for r in linkage.assign(pairs, days=days).collect()} == want
+        assert {r["import_seq"]: r["booked_seq"] for r in linkage.assign(pairs).collect()} == want
 
 
 def test_tables(spark):
     head = ["Txn Date", "Narration", "Debit", "Credit", "Balance"]
     rows = [("d", 0, 0, 0, ["x"]), ("d", 1, 0, 0, head), ("d", 1, 0, 1, ["1/4/2024", "A", "10", "", "90"]), ("d", 1, 0, 2, ["", "more", "", "", ""]), ("d", 1, 0, 3, ["", None, "", "", " "]), ("d", 2, 0, 0, head), ("d", 2, 0, 1, ["2/4/2024", "B", "", "5", "95"]), ("d", 2, 0, 2, ["short"])]
     df = spark.createDataFrame(rows, "statement_id string, page int, table_no int, row_no int, cells array<string>")
-    mapping, sure = tables.map_headers(head)
-    assert mapping == {"date": 0, "narration": 1, "debit": 2, "credit": 3, "balance": 4} and sure
-    assert not tables.map_headers(["a", "b", "c"])[1]
+    found = tables.column_maps(df).first()
+    mapping = found["mapping"]
+    assert mapping == {"date": 0, "narration": 1, "debit": 2, "credit": 3, "balance": 4} and found["trusted"] and found["headers"] == head
     out = tables.transactions(df, mapping).orderBy("seq").collect()
     assert [(r["narration"], r["amount"], r["type"], r["balance"]) for r in out] == [("A more", D(10), "CREDIT", D(90)), ("B", D(5), "DEBIT", D(95))]
     assert [r["narration"] for r in tables.transactions(df, mapping, "2024-04-02").collect()] == ["B"]
@@ -144,10 +144,13 @@ def test_register(spark):
 
 def test_cash(spark):
     rows = [("w", "s", 1, "Date", "No", "Name", "Phone", "Amount"), ("w", "s", 2, "05-04-2024", "1.0", "Sri Ram", None, "100.9"), ("w", "s", 3, None, "2", "Sita", None, "50"), ("w", "s", 4, "31", "2", "Lava", None, "1,000"), ("w", "s", 5, "7", "3", None, None, "x")]
+    rows += [("w", "s", 6, "9-4", "4a", "Update Datta", None, "-7.9"), ("w", "s", 7, "soon", "5", "Kusa", None, "8"), ("w", "s", 8, "12.05.2024", "6", "Bala", None, "9"), ("w", "s", 9, "1", None, "Nobody", None, "9"), ("w", "s", 10, "1", "7", "Nobody", None, None), ("w", "t", 1, "x", "1", "A", None, "1")]
     df = spark.createDataFrame(rows, "workbook string, sheet string, row_no int, c0 string, c1 string, c2 string, c3 string, c4 string")
     out = jobs.convert_cash(df, spark.createDataFrame([("Ram", "Rama")], "source string, target string"))
     got = out["receipts"].orderBy("row_no").collect()
-    assert [(r["gl_date"].day, r["rc_no"], r["name"], r["amount"]) for r in got] == [(5, "1", "Rama", D(100)), (5, "2", "Sita", D(50)), (5, "2", "Lava", D(1000))]
+    want = [(5, "1", "Rama", D(100)), (5, "2", "Sita", D(50)), (5, "2", "Lava", D(1000)), (7, "3", "Unknown Person", D(0)), (9, "4a", "Update Datta", D(-7)), (9, "5", "Kusa", D(8)), (12, "6", "Bala", D(9))]
+    assert [(r["gl_date"].day, r["rc_no"], r["name"], r["amount"]) for r in got] == want and {r["gl_date"].month for r in got} == {4}
+    assert [(r["workbook"], r["sheet"]) for r in cash.undated_sheets(df).collect()] == [("w", "t")]
     assert out["audit"].first()["repeated_numbers"] == 2
     assert {r["vch_type"] for r in out["vouchers"].collect()} == {"Receipt"}
 
@@ -165,3 +168,132 @@ def test_edits(spark):
     out = {r["id"]: (r["particulars"], r["vch_type"], r["modified"]) for r in ledger.replace_ledger(df, df.where("id < 3"), "SUSPENSE", "Y", contra=True).collect()}
     assert out == {1: ("Y", "Contra", True), 2: ("Y", "Contra", True), 3: ("X", "Payment", False)}
     assert [r["id"] for r in ledger.delete_vouchers(df, df.where("id < 3")).collect()] == [3]
+
+
+def served(pairs):
+    """Imports one by one, each its best voucher left."""
+    want, used = {}, set()
+    for i in sorted({p[0] for p in pairs}):
+        own = [(-s, b) for j, b, s in pairs if j == i and b not in used]
+        if own:
+            want[i] = min(own)[1]
+            used.add(want[i])
+    return want
+
+
+def assigned(spark, pairs):
+    rows = spark.createDataFrame([(1, i, b, s) for i, b, s in pairs], "account int, import_seq int, booked_seq int, score int")
+    got = linkage.assign(rows).collect()
+    assert len({r["import_seq"] for r in got}) == len({r["booked_seq"] for r in got}) == len(got)
+    return {r["import_seq"]: r["booked_seq"] for r in got}
+
+
+def test_assignment_by_proposals_equals_serving_in_turn(spark):
+    chain = [(i, i + k, 90 - 20 * k) for i in range(12) for k in range(2)]  # each wants its own, then the next one's
+    late = [(i, b, 50 + b) for i in range(8) for b in range(6)]  # all want the same, best last
+    turned = [(i, b, 50 + (i + b) % 5) for i in range(15) for b in range(11) if (i * 7 + b) % 3]
+    for pairs in (chain, late, turned, [], [(1, 1, 50)]):
+        assert assigned(spark, pairs) == served(pairs)
+
+
+def test_equal_imports_are_served_at_once(spark):
+    pairs = [(i, b, 70) for i in range(60) for b in range(40)] + [(100, 50, 60)]
+    rows = spark.createDataFrame([(1, *p) for p in pairs], "account int, import_seq int, booked_seq int, score int")
+    first = linkage._like_minded(rows, ("account",))
+    assert first.where("_taken IS NULL").count() == 0
+    assert {(r["import_seq"], r["booked_seq"]) for r in first.where("_taken").collect()} == {(i, i) for i in range(40)} | {(100, 50)}
+
+
+def test_scans_of_cut_keys_equal_plain_windows(spark):
+    rng = random.Random(6)
+    rows = [(k, i, rng.choice((None, *range(9)))) for k, n in ((1, 2000), (2, 3), (None, 700)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, i int, v int").repartition(7)
+    for most in (100, 10_000):
+        for f in (scans.running_sum, scans.carried, scans.row_before):
+            df = f(df, ["k"], ["i"], F.col("v"), f"{f.__name__}_{most}", most)
+    for r in df.collect():
+        assert [r[f"{f}_100"] for f in ("running_sum", "carried", "row_before")] == [r[f"{f}_10000"] for f in ("running_sum", "carried", "row_before")]
+    got = {r["i"]: r for r in df.where("k = 1").collect()}
+    total, last, before = None, None, None
+    for i in range(2000):
+        v = got[i]["v"]
+        total = total if v is None else (total or 0) + v
+        last = last if v is None else v
+        assert (got[i]["running_sum_100"], got[i]["carried_100"], got[i]["row_before_100"]) == (total, last, before)
+        before = v
+    assert len({r[0] for r in scans._blocks(df, ["k"], "i", 100)[0].where("k = 1").select("_block").distinct().collect()}) > 10
+
+
+CELLS = "statement_id string, page int, table_no int, row_no int, cells array<string>"
+
+
+def test_layouts_by_document(spark):
+    usual = ["Txn Date", "Narration", "Debit", "Credit", "Balance"]
+    rows = [("narrow", 0, 0, i, c) for i, c in enumerate([["Date", "Details", "Amount", "Balance"], ["1/4/2024", "A", "10.00 Dr", "5 Dr"], ["", "more", "", ""], ["", "Details", "", ""], ["2/4/2024", "B", "7 Cr", "2"]])]
+    rows += [("house", 0, 0, i, c) for i, c in enumerate([[" K1 ", "K2", "K3", "K4"], ["x", "2024-04-03", "C", "30"], ["y", "2024-04-03", "D", "0"]])]
+    rows += [("odd", 0, 0, i, c) for i, c in enumerate([["a", "b"], ["1/4/2024", "lost"]])] + [("usual", 1, 0, 0, usual), ("usual", 1, 0, 1, ["January 5 2024", "E", "", "4", "9"]), ("empty", 0, 0, 0, [None, ""])]
+    df = spark.createDataFrame(rows, CELLS)
+    saved = spark.createDataFrame([("house", {"narration_2": 0, "date": 1, "narration": 2, "debit": 3, "credit": 3}, ["k1", "K2", "k3", "K4"]), ("later", {"date": 0}, ["k1", "K2", "k3", "K4"])], "name string, mapping map<string,int>, headers array<string>")
+    maps = tables.column_maps(df, saved)
+    assert {(r["statement_id"], r["layout"], r["trusted"]) for r in maps.collect()} == {("narrow", None, True), ("house", "house", True), ("odd", None, False), ("usual", None, True)}
+    got = {(r["statement_id"], r["narration"], r["amount"], r["type"], r["balance"]) for r in tables.transactions(df, maps).collect()}
+    assert got == {("narrow", "A more", D(10), "CREDIT", D(-5)), ("narrow", "B", D(7), "DEBIT", D(2)), ("house", "C | x", D(30), "CREDIT", D(0)), ("house", "D | y", D(0), "UNKNOWN", D(0)), ("usual", "E", D(4), "DEBIT", D(9))}
+
+
+def brute_inside(word, entries):
+    out, i = "", 0
+    while i < len(word):
+        n = max((n for n in range(1, len(word)) if word[i : i + n] in entries and i + n <= len(word)), default=0)
+        out, i = (out + entries[word[i : i + n]], i + n) if n else (out + word[i], i + 1)
+    return out
+
+
+def test_lexicon_entries_inside_words(spark):
+    rng = random.Random(9)
+    letter = "abcఅక్é"
+    words = ["".join(rng.choice(letter) for _ in range(rng.randrange(0, 12))) for _ in range(300)] + [None, "", "a"]
+    entries = {"".join(rng.choice(letter) for _ in range(n)): f"<{k}>" for k, n in enumerate([1, 2, 2, 3, 3, 3, 5, 8] * 3) if k}
+    lex = spark.createDataFrame([*entries.items(), (None, "x"), ("", "y")], "source string, target string")
+    got = {r["word"]: r["replaced"] for r in lexicon.replace_inside(spark.createDataFrame([(w,) for w in words], "word string"), lex).collect()}
+    assert got == {w: brute_inside(w, entries) for w in words if w is not None}
+    none = lexicon.replace_inside(spark.createDataFrame([("ab",)], "word string"), lex.limit(0)).collect()
+    assert [(r["word"], r["replaced"]) for r in none] == [("ab", "ab")]
+
+
+def test_large_lexicon_is_not_broadcast(spark):
+    words = spark.range(2000).select(F.concat(F.lit("x"), F.col("id").cast("string"), F.lit("y")).alias("word"))
+    lex = spark.range(100_000).select(F.concat(F.col("id").cast("string"), F.lit("y")).alias("source"), F.lit("!").alias("target"))
+    got = {r["word"]: r["replaced"] for r in lexicon.replace_inside(words, lex).collect()}
+    assert got == {f"x{i}y": "x!" for i in range(2000)}
+
+
+def test_names_are_spelled(spark):
+    lex = spark.createDataFrame([("రామ", "Rāma"), ("సీత దేవి", "Seetha Devi"), ("శ్రీ", "Sri"), ("rao", "Rao")], "source string, target string")
+    cases = {
+        "సీత  దేవి గారు": ("Seetha Devi", False),
+        "రామ-rao": ("Rama Rao", True),
+        "శ్రీనివాస్": ("Sri Nivas", True),
+        "కృష్ణ": ("Krsna", True),
+        "K.లక్ష్మి": ("K. Laksmi", True),
+        "Ravi garu": ("Ravi", False),
+        "abcdefghijklmnopq": ("Abcdefghijklmnopq", True),
+        " ": ("Unknown Person", False),
+        None: ("Unknown Person", False),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "raw_name string")
+    assert {r["raw_name"]: (r["spelled"], r["flagged"]) for r in lexicon.spell_names(rows, lex).collect()} == cases
+
+
+def test_openings_by_label(spark):
+    said = {
+        "a": "Opening Balance (as on 01-04-2024) : 1,500.00 Cr",
+        "b": "Balance as on 1 Apr 2024 : 1,500.00",
+        "c": "Clear Balance : 1,500.00Dr",
+        "d": "Balance as on 31/03/2024 :& 1500",
+        "e": "Opening balance as on 01-04-2024: -1,500.00",
+        "f": "Closing Balance as on 31 Mar 2024 : 9.00",
+        "g": "BALANCE BROUGHT FORWARD 1,500.00",
+    }
+    lines = spark.createDataFrame([(k, 0, v) for k, v in said.items()], "statement_id string, line_no int, line string")
+    got = {r["statement_id"]: r["opening"] for r in statements.opening_balances(lines).collect()}
+    assert got == {"a": D(1500), "b": D(1500), "c": D(-1500), "d": D(1500), "e": D(-1500), "g": D(1500)}

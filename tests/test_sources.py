@@ -155,3 +155,28 @@ def test_stream_counts_repeats_once(spark, tmp_path):
         assert [(r["day"], r["n"], r["debit"]) for r in got] == [(dt.date(2024, 4, 1), 2, D(20))]
     finally:
         query.stop()
+
+
+STYLES = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="164" formatCode="dd\\-mmm"/><numFmt numFmtId="165" formatCode="0.00&quot; dry&quot;[Red]"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="20"/></cellXfs></styleSheet>'
+
+
+def dated_book(path, date1904):
+    cells = "".join(f'<c r="{c}1" s="{s}"><v>{v}</v></c>' for c, s, v in (("A", 1, 45387), ("B", 0, 45387), ("C", 2, "45387.5"), ("D", 3, 45387), ("E", 4, "0.25"), ("F", 1, 60), ("G", 1, 1)))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><workbookPr date1904="{date1904}"/><sheets><sheet name="One" r:id="r1"/><sheet name="Two" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/a.xml"/><Relationship Id="r2" Target="/xl/worksheets/b.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", STYLES)
+        for name in "ab":
+            z.writestr(f"xl/worksheets/{name}.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1">{cells}</row></sheetData></worksheet>')
+
+
+def test_dates_of_workbooks(spark, tmp_path):
+    dated_book(tmp_path / "x.xlsx", 0)
+    dated_book(tmp_path / "y.xlsx", 1)
+    (tmp_path / "z.txt").write_text("no workbook")
+    want = {"x": ["2024-04-05", "45387", "2024-04-05 12:00:00", "45387", "06:00:00", "1900-02-28", "1900-01-01"], "y": ["2028-04-06", "45387", "2028-04-06 12:00:00", "45387", "1904-01-01 06:00:00", "1904-03-01", "1904-01-02"]}
+    for rows in (readers.read_sheets(spark, str(tmp_path)), readers.read_workbook_pages(spark, f"{tmp_path}/*.xlsx")):
+        got = {(r["workbook"].rsplit("/", 1)[1][0], r["sheet"]): r["cells"] for r in rows.collect()}
+        assert got == {(book, sheet): cells for book, cells in want.items() for sheet in ("One", "Two")}
+    assert readers.read_sheets(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+    assert {r["sheet"] for r in readers.read_sheets(spark, f"file://{tmp_path}/x.xlsx", "two ").collect()} == {"Two"}
