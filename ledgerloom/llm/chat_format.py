@@ -87,18 +87,23 @@ def read_back(rendered: DataFrame) -> DataFrame:
 def conversation_events(conversations: DataFrame, pieces: int = 4, trained_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Rows (conv_id, turn, role, text) as the log of a chat that streams: what fold_events makes of it are these rows.
 
-    Every row is a message of its own. A draft, the first piece, is streamed and then replaced by a
-    regeneration (of trained roles) or an edit (of others) without text, after which the text's
-    pieces follow as deltas. Events come in no order but their seq.
+    Every row is a message of its own, and all events of a conversation are numbered in one sequence. A draft, the
+    first piece, is streamed; once the next message's draft has been streamed too, the message is replaced
+    and its pieces follow as deltas. Trained roles are replaced by a regeneration, which voids the draft after
+    it; that one is then streamed again without a replacement of its own, and other messages are edited.
+    Events come in no order but their seq.
     """
-    again = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    message = F.struct(F.col("turn"), F.row_number().over(again).alias("again"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    stride = pieces + 2
     text, size = F.coalesce("text", F.lit("")), F.ceil(F.length(F.coalesce("text", F.lit(""))) / F.lit(pieces)).cast("int")
-    event = lambda seq, op, text: F.struct(F.lit(seq).cast("long").alias("seq"), op.alias("op"), text.alias("text"))
+    trained = F.coalesce(F.col("role").isin(*trained_roles), F.lit(False))
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("k", F.row_number().over(order).cast("long") * stride).withColumn("void", F.coalesce(F.lag(trained).over(order), F.lit(False)))
+    event = lambda seq, op, text: F.struct((F.col("k") + seq).alias("seq"), op.alias("op"), text.alias("text"))
     piece = lambda i: F.substring(text, F.lit(i) * size + 1, size)
-    replaced = F.when(F.col("role").isin(*trained_roles), "regenerate").otherwise("edit")
-    log = F.array(event(0, F.lit("delta"), piece(0)), event(1, replaced, F.lit("")), *[event(2 + i, F.lit("delta"), piece(i)) for i in range(pieces)])
-    messages = conversations.select("conv_id", message.alias("message"), "role", log.alias("log"))
+    delta = F.lit("delta")
+    replaced = F.when(trained, event(stride + 1, F.lit("regenerate"), F.lit(""))).when(~F.col("void"), event(stride + 1, F.lit("edit"), F.lit("")))
+    log = F.array_compact(F.array(event(0, delta, piece(0)), replaced, *[event(stride + 2 + i, delta, piece(i)) for i in range(pieces)]))
+    messages = rows.select("conv_id", F.struct("turn", "k").alias("message"), "role", log.alias("log"))
     return messages.select("conv_id", "message", "role", F.inline("log")).select("conv_id", "message", "seq", "op", "role", "text")
 
 

@@ -49,6 +49,8 @@ BLOCK_ROWS = 1024
 BLOCK_BYTES = 1 << 20
 TILE_BITS = 3
 FAN_OUT = 8
+#: Tasks of the comparison at most; a task takes its tiles one after the other and holds one.
+MOST_TASKS = 20_000
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +205,11 @@ def _linked(a: np.ndarray, b: np.ndarray, lead_a: np.ndarray, lead_b: np.ndarray
     return mask
 
 
+def tile_tasks(tiles: int, cores: int) -> int:
+    """Tasks for so many tiles: two a tile as long as that is few, so that small ones even out."""
+    return max(2 * cores, min(2 * tiles, MOST_TASKS))
+
+
 def _block_links(x: dict, y: dict, cosine: float) -> pa.RecordBatch | None:
     """For each vector of two blocks that links: its number of links and the least vector of its component, in this pair of blocks."""
     same = x["block"] == y["block"]
@@ -288,7 +295,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     run = lambda c: F.shiftright(c, TILE_BITS)
     tiles = pairs.select(run("i").alias("i"), run("j").alias("j"), F.explode(F.array("i", "j")).alias("block")).distinct()
-    tasks = max(2 * spark.sparkContext.defaultParallelism, 2 * tiles.select("i", "j").distinct().count())
+    tasks = tile_tasks(tiles.select("i", "j").distinct().count(), spark.sparkContext.defaultParallelism)
     work = tiles.join(blocks, "block").repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "block")
     work = work.select("i", "j", "block", "width", "reps", "sizes", "matrix", "low", "high")
     found = staged(work.mapInArrow(_compare(basis, cosine, eps), "rep long, links long, root long"), "ego-links")

@@ -10,9 +10,10 @@ and its lines are dropped, all of them or, with keep_first, all but the one of t
 and line. A document counts once, however many variants of a template it holds.
 
 The tree needs no order of arrival: what a token is depends on counts over all documents only.
-min_docs is 1 to 3: a variant held by fewer documents is held by its least and its greatest one
+With a min_docs of 1 to 3 a variant held by fewer documents is held by its least and its greatest one
 alone, so these two tell, for every token and template, the distinct documents of all its variants
-up to min_docs, and no document is looked up again.
+up to min_docs, and no document is looked up again. With a greater one, the variants that fewer documents hold
+are looked up again for all of them, at most min_docs - 1 each.
 
 Blank lines are kept and never counted. Lines of at most DEPTH tokens are matched whole, whatever
 their length. Null texts stay null, empty ones empty; rows with a null doc_id are not counted and
@@ -32,6 +33,8 @@ DEPTH = 3
 MIN_DOCS = 3
 ALIKE = 0.6
 FIELD = "<*>"
+#: What tells by which documents a variant is held.
+HELD = ("docs", "least", "greatest", "holders")
 #: Rows of two 64-bit hashes that may be broadcast after they were counted.
 BROADCAST_KEYS = 1_000_000
 #: What lines that stay as they are don't hold.
@@ -53,7 +56,8 @@ def masked_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def _held_by_enough(rows: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
     """The keys of rows (keys, docs, least, greatest: of one variant) whose variants at least min_docs documents hold."""
-    each = rows.select(*keys, "docs", F.explode(F.array("least", "greatest")).alias("doc"))
+    holders = F.col("holders") if "holders" in rows.columns else F.array("least", "greatest")
+    each = rows.select(*keys, "docs", F.explode(holders).alias("doc"))
     each = each.groupBy(*keys, "doc").agg(F.max("docs").alias("docs"))
     return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("docs").alias("most")).where((F.col("n") >= min_docs) | (F.col("most") >= min_docs)).select(*keys)
 
@@ -64,11 +68,19 @@ def line_variants(slim: DataFrame) -> DataFrame:
     return once.groupBy("v1", "v2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
 
 
+def with_holders(variants: DataFrame, slim: DataFrame, min_docs: int) -> DataFrame:
+    """variants with holders: all documents of those that fewer than min_docs hold, one of any other."""
+    few = variants.where(F.col("docs") < min_docs).select("v1", "v2")
+    all_of = slim.select("v1", "v2", "doc_id").join(few, ["v1", "v2"]).groupBy("v1", "v2").agg(F.collect_set("doc_id").alias("holders"))
+    return variants.join(all_of, ["v1", "v2"], "left").withColumn("holders", F.coalesce("holders", F.array("least")))
+
+
 def line_templates(slim: DataFrame, mixed: DataFrame, min_docs: int, alike: float) -> DataFrame:
     """(v1, v2, t1, t2, docs, least, greatest) of the variants of mixed leaves whose constants make a template."""
     keys = small(mixed.select("v1", "v2"), BROADCAST_KEYS)
     texts = slim.select("v1", "v2", "masked").join(keys, ["v1", "v2"], "left_semi").dropDuplicates(["v1", "v2"])
-    tokens = mixed.join(texts, ["v1", "v2"]).select("leaf", "v1", "v2", "docs", "least", "greatest", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    held = [c for c in mixed.columns if c in HELD]
+    tokens = mixed.join(texts, ["v1", "v2"]).select("leaf", "v1", "v2", *held, F.posexplode(F.split("masked", " ")).alias("place", "token"))
     tokens = staged(tokens, "line-tokens")
     place = ["leaf", "place", "token"]
     constants = _held_by_enough(tokens.where((F.col("place") >= DEPTH) & (F.col("token") != FIELD)), place, min_docs).withColumn("constant", F.lit(True))
@@ -80,13 +92,13 @@ def line_templates(slim: DataFrame, mixed: DataFrame, min_docs: int, alike: floa
         F.count(F.when(late, 1)).alias("rest"),
     )
     made = made.where((F.col("constants") > 0) & (F.col("constants") >= alike * F.col("rest"))).select("v1", "v2", *_hashes(F.col("line"), "t1", "t2"))
-    return mixed.select("v1", "v2", "docs", "least", "greatest").join(made, ["v1", "v2"])
+    return mixed.select("v1", "v2", *held).join(made, ["v1", "v2"])
 
 
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
     """(doc_id, line_no, t1, t2): the lines of recurring templates and the template's hashes."""
-    if not 1 <= min_docs <= 3:
-        raise ValueError("min_docs must be 1 to 3")
+    if min_docs < 1:
+        raise ValueError("min_docs must be at least 1")
     lines = masked_lines(docs, doc_id, text)
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     leaf = F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf")
@@ -95,7 +107,8 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # leaves in which variants can make a template together; the sum is never less than the documents
     leaves = variants.where(F.col("n") > DEPTH).groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("docs").alias("all")).where((F.col("kinds") > 1) & (F.col("all") >= min_docs))
-    mixed = staged(variants.where(F.col("n") > DEPTH).join(leaves.select("leaf"), "leaf"), "line-mixed")
+    mixed = variants.where(F.col("n") > DEPTH).join(leaves.select("leaf"), "leaf")
+    mixed = staged(mixed if min_docs <= 3 else with_holders(mixed, slim, min_docs), "line-mixed")
     templates = staged(line_templates(slim, mixed, min_docs, alike), "line-templates")
 
     # a variant without a template stands for itself, and then recurs by its own count

@@ -76,7 +76,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 
 def trie_nodes(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, paths, ends): nodes (conv_id, depth, parent, n_convs, weight, saved), paths (member, depth, conv_id, parent), ends (conv_id, depth, member)."""
+    """(nodes, paths, ends): nodes (conv_id, depth, parent, n_convs, weight, saved, top: the root's conv_id), paths (member, depth, conv_id, parent), ends (conv_id, depth, member)."""
     hashed = staged(prefix_hashes(rebuilt_turns(own)), "trie-hashes")
     lengths = hashed.groupBy("conv_id").agg(F.max("depth").alias("length"))
     convs = staged(own.select("conv_id").distinct().join(lengths, "conv_id", "left").select("conv_id", F.coalesce("length", F.lit(0)).cast("long").alias("length")), "trie-lengths")
@@ -93,7 +93,7 @@ def trie_nodes(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     every = found.select("node", "depth", "n_convs", "weight", ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"))
     every = every.union(root.where("n_convs > 0").select("node", zero, "n_convs", "weight", zero))
     up = paths.select(F.col("member").alias("node"), "depth", "parent")
-    nodes = every.join(up, ["node", "depth"]).select(F.col("node").alias("conv_id"), "depth", "parent", "n_convs", "weight", "saved")
+    nodes = every.join(up, ["node", "depth"]).select(F.col("node").alias("conv_id"), "depth", "parent", "n_convs", "weight", "saved", F.lit(top).cast("long").alias("top"))
     ends = paths.join(convs.select(F.col("conv_id").alias("member"), F.col("length").alias("depth")), ["member", "depth"]).select("conv_id", "depth", "member")
     discard(hashed)
     return nodes, paths, ends
@@ -157,12 +157,10 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def centroid_rollup(nodes: DataFrame, paths: DataFrame, component: int = COMPONENT) -> DataFrame:
-    """(conv_id, depth, n_leaves, saved_tokens) of nodes with leaf and saved: sums over their subtrees."""
+    """(conv_id, depth, n_leaves, saved_tokens) of written nodes with leaf and saved: sums over their subtrees."""
     spark = nodes.sparkSession
     zero = F.lit(0).cast("long")
-    root = nodes.where("depth = 0").select("conv_id").first()
-    top = F.lit(root and root["conv_id"]).cast("long")
-    state = nodes.select("conv_id", "depth", "parent", "weight", "leaf", "saved", top.alias("top"), zero.alias("top_depth"), zero.alias("n_leaves"), zero.alias("saved_tokens"))
+    state = nodes.select("conv_id", "depth", "parent", "weight", "leaf", "saved", "top", zero.alias("top_depth"), zero.alias("n_leaves"), zero.alias("saved_tokens"))
     done, ready = [], []
     name = ["top", "top_depth"]
     while True:

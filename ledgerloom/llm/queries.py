@@ -180,7 +180,7 @@ sized AS (
     xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, steps),
 shuffled AS (SELECT *, {_signed(f"concat_ws('|', {sharding.SEED}, {ID}, text_crc32, size)")} AS h FROM sized),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST, text_crc32, size) AS r, count(*) OVER (PARTITION BY stratum) AS own, count(*) OVER () AS n FROM shuffled),
-placed AS (SELECT *, row_number() OVER (ORDER BY (CAST(r AS DOUBLE) - CAST(0.5 AS DOUBLE)) / CAST(own AS DOUBLE), stratum, h) - 1 AS p FROM ranked)
+placed AS (SELECT *, row_number() OVER (ORDER BY (CAST(r AS DOUBLE) - CAST(0.5 AS DOUBLE)) / CAST(own AS DOUBLE), h, stratum) - 1 AS p FROM ranked)
 SELECT doc_id, size, text_crc32, '{sharding.LAW}' AS law, CAST(p * {N_SHARDS} // n AS INTEGER) AS shard, CAST(p - ((p * {N_SHARDS} // n) * n + {N_SHARDS - 1}) // {N_SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
 FROM placed""",
     "op3_ngram_jaccard": r"""

@@ -9,10 +9,16 @@ file, so files stay near 64 MB. ZIP64 records are written where 32-bit fields ar
 always if asked. The writer's line ends fall between members; the last one is the ZIP's comment.
 
 Reading: the end-of-directory record, the ZIP64 record if there is one, and the central directory
-give each stored member's place; the index member gives each record's; records are then read by
-range and checked against their digests. Nothing is extracted. On local and shared paths only the
-ranges are read; on stores that only Spark reaches, each file's bytes come once through Spark's
-binaryFile source, which takes files up to 2 GB, and the ranges are taken from them.
+give each member's place; the index gives each record's; records are then read by range and checked
+against their digests. Nothing is extracted. Only the ranges are read, on local and shared paths and on
+stores that pyarrow opens by their URI; on stores that only Spark reaches, each file's bytes come once
+through Spark's binaryFile source, which takes files up to 2 GB, and the ranges are taken from them.
+
+Archives of other writers are read too. An archive member without an index of its own uses a common
+one (`indexes/*.cdxj` or `.cdx`, plain or gzipped; JSON lines, with or without key and time before the JSON); without
+any, its gzip members are walked from its start. A deflated archive member is inflated in its task. Records other than
+response, resource and revisit are left out. Without a digest header the payload's SHA-1 is given, without a
+length header a revisit's length is null; page_id and refers_to are null where the ids are not this writer's.
 
 Payloads are UTF-8 html (null: empty); a record is built whole in its task, so a very long page
 takes its own size there, and makes its member and file as long. Of equal payloads of at least min_bytes, the smallest
@@ -27,6 +33,7 @@ import binascii
 import hashlib
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -44,7 +51,10 @@ MEMBER_BYTES = 8 << 20
 ZIP_MEMBERS = 8
 DATE = "2020-01-01T00:00:00Z"
 LIMIT32, LIMIT16 = 0xFFFFFFFF, 0xFFFF
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, length long"
+KEPT_TYPES = ("response", "resource", "revisit")
+#: Bytes read at a time where a member is walked.
+WALK_BYTES = 1 << 20
+RECORD = "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, length long"
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -165,10 +175,36 @@ def _local(path: str) -> str | None:
     return url.path if url.scheme in ("", "file") else None
 
 
+def _opened(path: str):
+    """(file system, path in it) of a URI, by pyarrow."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def _by_range(path: str) -> bool:
+    """Whether ranges of the files under path can be read without Spark."""
+    if _local(path) is not None:
+        return True
+    try:
+        from pyarrow import fs
+
+        store, root = _opened(path)
+        return store.get_file_info(root).type != fs.FileType.NotFound
+    except (OSError, ValueError, ImportError, NotImplementedError):
+        return False
+
+
 def _ranges(path: str, content: bytes | None) -> tuple[int, Callable[[int, int], bytes]]:
     """Size of a file and a function that reads (offset, length) of it."""
     if content is not None:
         return len(content), lambda at, n: content[at : at + n]
+    if _local(path) is None:
+        store, name = _opened(path)
+        file = store.open_input_file(name)
+        ranged = lambda at, n: bytes(file.read_at(n, at)) if n > 0 else b""
+        ranged.close = file.close
+        return file.size(), ranged
     fd = os.open(_local(path), os.O_RDONLY)
 
     def read(at: int, n: int) -> bytes:
@@ -182,8 +218,8 @@ def _ranges(path: str, content: bytes | None) -> tuple[int, Callable[[int, int],
     return os.fstat(fd).st_size, read
 
 
-def zip_members(size: int, read: Callable[[int, int], bytes]) -> list[tuple[str, int, int]]:
-    """(name, offset of the data, size) of a ZIP's stored members, from its central directory."""
+def zip_members(size: int, read: Callable[[int, int], bytes]) -> list[tuple[str, int, int, bool]]:
+    """(name, offset of the data, size there, whether deflated) of a ZIP's stored and deflated members, from its central directory."""
     tail_at = max(0, size - 22 - LIMIT16)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
@@ -213,60 +249,116 @@ def zip_members(size: int, read: Callable[[int, int], bytes]) -> list[tuple[str,
                     packed = next(wide) if packed == LIMIT32 else packed
                     local = next(wide) if local == LIMIT32 else local
                 e += 4 + n
-        if method != 0:
-            raise ValueError(f"{name} is not stored")
-        n_name, n_extra = struct.unpack("<HH", read(local + 26, 4))
-        out.append((name, local + 30 + n_name + n_extra, packed))
+        if method in (0, 8):
+            n_name, n_extra = struct.unpack("<HH", read(local + 26, 4))
+            out.append((name, local + 30 + n_name + n_extra, packed, method == 8))
     return out
 
 
 def parse_record(data: bytes) -> dict:
     """Headers and payload of one WARC record; the digest of a response is checked."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+    version, *lines = head.decode(errors="replace").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     block = rest[: int(headers["content-length"])]
-    payload = block.partition(b"\r\n\r\n")[2]
-    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-    size = int(headers["payload-length"])
-    if headers["warc-type"] == "response":
-        size = len(payload)
-        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-            raise ValueError(f"{headers['warc-record-id']}: the payload differs from its digest")
-    page = lambda urn: int(urn[10:-1]) if urn and urn[10:-1] else None
-    return {"page_id": page(headers["warc-record-id"]), "url": headers["warc-target-uri"], "payload_bytes": size, "payload_digest": digest, "record_type": headers["warc-type"], "refers_to": page(headers.get("warc-refers-to")), "payload": payload}
+    kind, record_id = headers["warc-type"], headers.get("warc-record-id", "")
+    payload = block if kind == "resource" else block.partition(b"\r\n\r\n")[2]
+    named = headers.get("warc-payload-digest", "")
+    digest = named.removeprefix("sha1:") if named.startswith("sha1:") or kind == "revisit" else None
+    size = int(headers["payload-length"]) if headers.get("payload-length", "").isdigit() else None
+    if kind != "revisit":
+        size, own = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if digest is not None and own != digest.upper():
+            raise ValueError(f"{record_id}: the payload differs from its digest")
+        digest = own
+    ours = lambda urn: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")) else None
+    return {"page_id": ours(record_id), "record_id": record_id, "url": headers.get("warc-target-uri", ""), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": ours(headers.get("warc-refers-to")), "payload": payload}
 
 
-FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+FIELDS = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+PLACES = pa.schema([("path", pa.string()), ("name", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("deflated", pa.bool_()), ("index_name", pa.string()), ("index_at", pa.int64()), ("index_size", pa.int64()), ("index_deflated", pa.bool_())])
 
 
 def _member_places(size: int, read: Callable[[int, int], bytes]) -> list[dict]:
-    """Where a ZIP's archive members and their indexes stand."""
-    found = {name: (at, n) for name, at, n in zip_members(size, read)}
-    index_of = lambda name: found["indexes/" + name[8:].removesuffix(".warc.gz") + ".cdxj"]
-    return [{"at": at, "index_at": index_of(name)[0], "index_size": index_of(name)[1]} for name, (at, _) in found.items() if name.startswith("archive/")]
+    """Where a ZIP's archive members and the indexes that may name their records stand."""
+    members = {name: (at, n, deflated) for name, at, n, deflated in zip_members(size, read)}
+    common = next((name for name in sorted(members) if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", name)), None)
+    out = []
+    for name, (at, n, deflated) in members.items():
+        if name.startswith("archive/") and name.endswith(".warc.gz"):
+            own = "indexes/" + name[8:].removesuffix(".warc.gz") + ".cdxj"
+            index = own if own in members else common
+            place = members[index] if index else (None, None, None)
+            out.append({"name": name, "at": at, "size": n, "deflated": deflated, "index_name": index, "index_at": place[0], "index_size": place[1], "index_deflated": place[2]})
+    return out
+
+
+def _index_entries(data: bytes, name: str, archive: str) -> list[tuple[int, int]]:
+    """(offset, length) of the archive member's records, in order; lines that name another file are left out."""
+    if name.endswith(".gz"):
+        packed, data = data, b""
+        while packed:
+            data += (d := zlib.decompressobj(31)).decompress(packed)
+            packed = d.unused_data
+    out = []
+    for line in data.splitlines():
+        if (cut := line.find(b"{")) >= 0:
+            entry = json.loads(line[cut:])
+            if "offset" in entry and "length" in entry and entry.get("filename", archive) in (archive, archive.rpartition("/")[2]):
+                out.append((int(entry["offset"]), int(entry["length"])))
+    return sorted(out)
+
+
+def _walked(size: int, read: Callable[[int, int], bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, data) of the gzip members that follow each other in so many bytes."""
+    at = start = 0
+    held = b""
+    while start < size:
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if not held:
+                held = read(at, min(WALK_BYTES, size - at))
+                at += len(held)
+                if not held:
+                    raise ValueError("a record is cut off")
+            parts.append(unpacker.decompress(held))
+            held = unpacker.unused_data
+        length = at - len(held) - start
+        yield start, length, b"".join(parts)
+        start += length
 
 
 def _member_records(path: str, member: dict, read: Callable[[int, int], bytes]) -> pa.RecordBatch:
+    base, n, within = member["at"], member["size"], read
+    if member["deflated"]:
+        inflated = zlib.decompress(read(base, n), -15)
+        base, n, within = 0, len(inflated), lambda at, k: inflated[at : at + k]
+    entries = []
+    if member["index_name"]:
+        index = read(member["index_at"], member["index_size"])
+        entries = _index_entries(zlib.decompress(index, -15) if member["index_deflated"] else index, member["index_name"], member["name"])
+    if entries:
+        found = ((at, length, zlib.decompress(within(base + at, length), 31)) for at, length in entries)
+    else:
+        found = _walked(n, lambda at, k: within(base + at, k))
     rows = []
-    for line in read(member["index_at"], member["index_size"]).splitlines():
-        entry = json.loads(line)
-        at = member["at"] + entry["offset"]
-        record = parse_record(zlib.decompress(read(at, entry["length"]), 31))
-        record.pop("payload")
-        rows.append(record | {"path": path, "offset": at, "length": entry["length"]})
+    for at, length, data in found:
+        head = data[: data.find(b"\r\n\r\n")].lower()
+        if re.search(rb"warc-type:\s*(%s)" % "|".join(KEPT_TYPES).encode(), head):
+            record = parse_record(data)
+            record.pop("payload")
+            rows.append(record | {"path": path, "offset": base + at, "length": length})
     return pa.RecordBatch.from_pylist(rows, FIELDS)
 
 
 def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places = pa.schema([("path", pa.string()), ("at", pa.int64()), ("index_at", pa.int64()), ("index_size", pa.int64())])
     for batch in batches:
         for row in batch.to_pylist():
             if row["length"]:
                 size, read = _ranges(row["path"], None)
-                yield pa.RecordBatch.from_pylist([m | {"path": row["path"]} for m in _member_places(size, read)], places)
+                yield pa.RecordBatch.from_pylist([m | {"path": row["path"]} for m in _member_places(size, read)], PLACES)
                 read.close()
 
 
@@ -289,9 +381,9 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the ZIP files under path: its headers and where it stands (path, offset, length)."""
+    """One row per record of the ZIP files under path: its headers and where it stands (path, offset, length; in the inflated member if that is deflated)."""
     files = spark.read.format("binaryFile").load(path)
-    if _local(path) is None:
+    if not _by_range(path):
         return files.select("path", "content").mapInArrow(_read_files, RECORD)
-    members = files.select("path", "length").mapInArrow(_list_members, "path string, at long, index_at long, index_size long")
+    members = files.select("path", "length").mapInArrow(_list_members, "path string, name string, at long, size long, deflated boolean, index_name string, index_at long, index_size long, index_deflated boolean")
     return members.mapInArrow(_read_members, RECORD)

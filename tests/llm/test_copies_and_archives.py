@@ -1,6 +1,9 @@
 import base64
 import glob
+import gzip
 import hashlib
+import json
+import os
 import random
 import zipfile
 from collections import Counter
@@ -158,7 +161,7 @@ def test_warc_round_trip(spark, monkeypatch, always64, member_bytes, zip_members
     rows = warc.read_archives(spark, path).collect()
     got = {r["page_id"]: r for r in rows}
     with monkeypatch.context() as m:  # as on a store that only Spark reaches
-        m.setattr(warc, "_local", lambda path: None)
+        m.setattr(warc, "_by_range", lambda path: False)
         assert sorted(warc.read_archives(spark, path).collect(), key=str) == sorted(rows, key=str)
     first = {}
     for i, _, h in PAGES:
@@ -190,3 +193,49 @@ def test_damage_is_found(spark):
         warc.parse_record(record.replace(b"hello", b"hallo"))
     with pytest.raises(ValueError):
         warc.zip_members(5, lambda at, n: b"hello"[at : at + n])
+
+
+def foreign_record(kind, record_id, payload, **more):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n" if kind in ("response", "revisit") else b""
+    block = http + payload
+    head = {"WARC-Type": kind, "WARC-Record-ID": record_id, "WARC-Target-URI": f"http://x/{record_id}", "Content-Length": str(len(block))} | more
+    return gzip.compress(b"WARC/1.0\r\n" + "".join(f"{k}:{v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(spark):
+    records = [foreign_record("warcinfo", "i", b"software: x"), foreign_record("response", "<urn:uuid:1>", b"one"), foreign_record("request", "q", b"GET"), foreign_record("resource", "<urn:uuid:2>", b"two \r\n\r\n two"), foreign_record("revisit", "<urn:uuid:3>", b"", **{"WARC-Payload-Digest": "sha1:ABC"}), foreign_record("response", "<urn:page:7>", b"x" * 3_000_000, **{"WARC-Payload-Digest": "sha256:zz"})]
+    places, at = [], 0
+    for r in records:
+        places.append((at, len(r)))
+        at += len(r)
+    line = lambda k, n: f'com,x)/ 2020 {json.dumps({"url": "u", "filename": n, "offset": str(places[k][0]), "length": str(places[k][1])})}\n'
+    index = "".join(line(k, "a.warc.gz") for k in (5, 1, 3, 4)) + line(0, "other.warc.gz")
+    want = {("<urn:uuid:1>", None, 3, "response"), ("<urn:uuid:2>", None, 12, "resource"), ("<urn:uuid:3>", None, None, "revisit"), ("<urn:page:7>", 7, 3_000_000, "response")}
+    kinds = {"indexed": (0, ("indexes/index.cdxj", index.encode())), "gzipped": (0, ("indexes/index.cdx.gz", gzip.compress(index.encode()[:100]) + gzip.compress(index.encode()[100:]))), "bare": (0, None), "deflated": (8, ("indexes/index.cdxj", index.encode()))}
+    for kind, (method, second) in kinds.items():
+        path = scratch_path(spark, f"warc-{kind}")
+        os.makedirs(path.removeprefix("file:"))
+        with zipfile.ZipFile(f"{path.removeprefix('file:')}/x.wacz", "w") as z:
+            z.writestr("datapackage.json", "{}" * 99, zipfile.ZIP_DEFLATED)
+            z.writestr("archive/a.warc.gz", b"".join(records), method)
+            if second:
+                z.writestr(*second, zipfile.ZIP_DEFLATED if kind == "deflated" else zipfile.ZIP_STORED)
+        rows = warc.read_archives(spark, path).collect()
+        assert {(r["record_id"], r["page_id"], r["payload_bytes"], r["record_type"]) for r in rows} == want, kind
+        assert {r["payload_digest"] for r in rows if r["record_id"] == "<urn:uuid:1>"} == {base64.b32encode(hashlib.sha1(b"one").digest()).decode()}
+
+
+def test_ranges_by_uri(spark, tmp_path, monkeypatch):
+    (tmp_path / "f").write_bytes(bytes(range(200)))
+    monkeypatch.setattr(warc, "_local", lambda path: None)
+    size, read = warc._ranges(f"file://{tmp_path}/f", None)
+    assert size == 200 and read(10, 3) == bytes((10, 11, 12)) and read(198, 9) == bytes((198, 199))
+    read.close()
+    assert warc._by_range(f"file://{tmp_path}") and not warc._by_range("nosuchstore://x/y") and not warc._by_range(f"file://{tmp_path}/none")
+
+
+def test_tasks_of_the_grid_join_stay_bounded():
+    assert ego_join.tile_tasks(3, 8) == 16 and ego_join.tile_tasks(500, 8) == 1000
+    blocks = 10**6 // ego_join.BLOCK_ROWS
+    runs = blocks >> ego_join.TILE_BITS
+    assert ego_join.tile_tasks(runs * (runs + 1) // 2, 8) <= ego_join.MOST_TASKS and ego_join.tile_tasks(10**12, 8) == ego_join.MOST_TASKS

@@ -165,7 +165,7 @@ def test_simhash_blocks_hold_all_within_radius():
     assert decontaminate.RADIUS // decontaminate.BLOCKS == 1 and decontaminate.BLOCKS * 8 == decontaminate.BITS
 
 
-def lines_by_force(docs, keep_first=False):
+def lines_by_force(docs, keep_first=False, min_docs=3):
     """Places of the lines dropped, from sets of documents."""
     rows = []
     for i, t in docs:
@@ -185,7 +185,7 @@ def lines_by_force(docs, keep_first=False):
     for leaf, own in kinds.items():
         for m in own if leaf[0] > 3 and len(own) > 1 else ():
             tokens = m.split(" ")
-            const = [p >= 3 and len(support.get((leaf, p, t), ())) >= 3 for p, t in enumerate(tokens)]
+            const = [p >= 3 and len(support.get((leaf, p, t), ())) >= min_docs for p, t in enumerate(tokens)]
             if sum(const) and sum(const) >= 0.6 * (len(tokens) - 3):
                 template[m] = " ".join(t if p < 3 or const[p] else "<*>" for p, t in enumerate(tokens))
     said = {}
@@ -193,7 +193,7 @@ def lines_by_force(docs, keep_first=False):
         said.setdefault(template[m], set()).update(own)
     places = {}
     for i, n, m in rows:
-        if len(said[template[m]]) >= 3:
+        if len(said[template[m]]) >= min_docs:
             places.setdefault(template[m], set()).add((i, n))
     return {x for own in places.values() for x in own if not keep_first or x != min(own)}
 
@@ -236,7 +236,8 @@ def test_line_templates_on_random_words(spark):
     for seed in range(2):
         rng = random.Random(seed)
         docs = [(i, "\n".join(" ".join(rng.choice(["a", "b", "c", "d1", "e"]) for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(8)))) for i in range(40)]
-        assert dropped_places(spark, docs)
+        for min_docs in (1, 3, 4, 7):
+            assert dropped_places(spark, docs, min_docs=min_docs) or min_docs > 3
 
 
 def test_line_templates_count_a_document_once(spark):
@@ -248,7 +249,7 @@ def test_line_templates_count_a_document_once(spark):
     rows = {r["doc_id"]: r["n_dropped"] for r in line_templates.dedup_lines(df).collect()}
     assert rows == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0}
     with pytest.raises(ValueError):
-        line_templates.dedup_lines(df, min_docs=4)
+        line_templates.dedup_lines(df, min_docs=0)
 
 
 def toxic_corpus():

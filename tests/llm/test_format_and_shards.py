@@ -48,6 +48,8 @@ def test_digests_and_repeats(spark):
     got = {r["conv_id"]: r for r in chat_format.format_digests(chat_format.render(chat_format.fold_events(chat_format.conversation_events(conv)))).collect()}
     log = chat_format.conversation_events(conv).collect()
     assert {r["op"] for r in log} == {"delta", "edit", "regenerate"} and len(log) == 6 * len(rows)
+    seqs = sorted(r["seq"] for r in log if r["conv_id"] == 5)
+    assert len(set(seqs)) == len(seqs)
     whole = f"user\n{SAID}\nassistant\nb\nassistant\nb\n"
     assert got[5]["n_turns"] == 3 and got[5]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
     assert got[5]["loss_chars"] == 2 and got[5]["loss_sha256"] == hashlib.sha256(b"bb").hexdigest()
@@ -124,3 +126,39 @@ def test_mixing_keeps_every_document_and_odd_rows(spark, docs, no_docs):
     assert mixing.mix_sources(no_docs).count() == 0
     few = mixing.mix_sources(docs, budget=500)
     assert few.agg(F.sum("n_tokens")).first()[0] <= 500
+
+
+def test_regenerations_void_what_later_messages_held(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t} " * t) for t in range(6)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat_format.conversation_events(conv)
+    want = [(r[2], r[3]) for r in rows]
+    got = chat_format.fold_events(log).orderBy("message").collect()
+    assert [(r["role"], r["text"]) for r in got] == want
+    edits = log.where("op = 'regenerate'").withColumn("op", F.lit("edit"))
+    kept = chat_format.fold_events(log.where("op <> 'regenerate'").unionByName(edits)).orderBy("message").collect()
+    assert [r["text"] for r in kept if r["message"].turn in (0, 1, 3, 5)] == [r[3] for r in rows if r[1] in (0, 1, 3, 5)]
+    assert all(k["text"] != r[3] for k, r in zip(kept, rows) if r[1] in (2, 4))
+
+
+def test_many_sources_of_one_size_spread(spark):
+    n = 30_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("s"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("p"), F.floor(F.col("id") / 6).cast("string"))).alias("source"))
+    got = sharding.interleave_shards(rows, 7)
+    plan = [(r["part"], r["h"], r["stratum"], r["doc_id"]) for r in _parts(rows).collect()]
+    want = {d: i * 7 // n for i, (*_, d) in enumerate(sorted(plan))}
+    assert {r["doc_id"]: r["shard"] for r in got.collect()} == want
+    heavy = sharding._tie_ranks(_parts(rows).withColumn("slice", F.floor(F.col("part") * 8)), 500, ["part", "h", "stratum"])
+    assert [r["doc_id"] for r in heavy.orderBy("place").collect()] == [d for *_, d in sorted(plan)]
+    assert heavy.groupBy("slice", "bucket").count().agg(F.max("count")).first()[0] < 1500
+
+
+def _parts(rows):
+    """Fractional ranks by plain windows."""
+    from pyspark.sql import Window
+
+    from ledgerloom.llm.common import portable_hash, stratum
+
+    made = rows.select("doc_id", stratum("source").alias("stratum"), portable_hash(sharding.SEED, "doc_id").alias("h"))
+    own = Window.partitionBy("stratum")
+    return made.withColumn("part", (F.row_number().over(own.orderBy("h", "doc_id")) - F.lit(0.5)) / F.count(F.lit(1)).over(own))
