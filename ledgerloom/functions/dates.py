@@ -21,13 +21,20 @@ SHAPES = {
 
 
 def any_date(c: Column) -> Column:
-    """A date in any of SHAPES, after a time of day is dropped and / . and spaces become dashes; else null. One pattern is tried."""
+    """A date in any of SHAPES, after a time of day is dropped and / . and spaces become dashes; else null. One pattern is tried.
+
+    The text is bound once, by the one-element array around it.
+    """
     text = F.trim(F.regexp_replace(c, r"[ T]\d{1,2}:\d{2}(:\d{2})?.*$", ""))
-    text = F.regexp_replace(F.regexp_replace(text, r"[/.,\s]+", "-"), "-+", "-")
-    read = F
-    for shape, pattern in SHAPES.items():
-        read = read.when(text.rlike(f"^{shape}$"), F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
-    return read
+    text = F.regexp_replace(text, r"[/.,\s-]+", "-")
+
+    def read(t: Column) -> Column:
+        found = F
+        for shape, pattern in SHAPES.items():
+            found = found.when(t.rlike(f"^{shape}$"), F.try_to_timestamp(t, F.lit(pattern)).cast("date"))
+        return found
+
+    return F.get(F.transform(F.array(text), read), 0)
 
 
 def day_month_year(c: Column) -> Column:

@@ -9,7 +9,7 @@ from ledgerloom.functions.amounts import MONEY
 from ledgerloom.functions.dates import any_date, day_of_month
 from ledgerloom.functions.narration import clean_name, odd_name
 from ledgerloom.operators import scans
-from ledgerloom.operators.lexicon import UNKNOWN
+from ledgerloom.operators.lexicon import ADDRESS_SPELLINGS, UNKNOWN, plain_name
 
 #: Words of a heading row.
 HEADINGS = ("date", "rc.no", "amount")
@@ -51,7 +51,7 @@ def receipts(rows: DataFrame, cutoff: str | None = None, most: int = scans.MOST)
     fragment = F.regexp_extract(cell, r"^(\d+)(?:\.0+)?(?:[-./\s]+\d+[-./\s]*)?$", 1)
     day = F.coalesce(F.dayofmonth(any_date(cell)), fragment.try_cast("int"))
     given = rows.where(F.col("c1").isNotNull() & F.col("c4").isNotNull() & ~_heading()).withColumn("_given", day)
-    dated = scans.carried(given, ["workbook", "sheet"], ["row_no"], F.col("_given"), "_day", most)
+    dated = scans.carried(given, ["workbook", "sheet"], ["row_no"], F.col("_given"), "_day", most, rows)
     dated = dated.join(reference_dates(rows), ["workbook", "sheet"])
     date = F.when(F.col("_day").isNull(), F.col("reference")).otherwise(day_of_month(F.col("reference"), F.col("_day").cast("string")))
     name = F.nullif(F.trim("c2"), F.lit(""))
@@ -85,6 +85,9 @@ def update_lexicon(lexicon: DataFrame, corrections: DataFrame) -> DataFrame:
     return new.groupBy("source").agg(F.max_by("target", F.struct("seq", "rank")).alias("target")).where("target <> ''")
 
 
-def clean_lexicon(lexicon: DataFrame, script: str = r"\x{0C00}-\x{0C7F}") -> DataFrame:
-    """Single words of the script only (by default Telugu)."""
-    return lexicon.where(F.col("source").rlike(f"^[{script}]+$"))
+def clean_lexicon(entries: DataFrame, script: str = r"\x{0C00}-\x{0C7F}") -> DataFrame:
+    """Single words with letters of the script (by default Telugu), without the address in source or target; the least target where words meet."""
+    source = plain_name(F.col("source"))
+    target = F.trim(F.regexp_replace(F.regexp_replace("target", r"(?iU)\b(" + "|".join(ADDRESS_SPELLINGS) + r")\b", ""), r"\s+", " "))
+    own = entries.where(F.col("source").rlike(f"[{script}]")).select(source.alias("source"), target.alias("target"))
+    return own.where("source <> '' AND target <> '' AND NOT contains(source, ' ')").groupBy("source").agg(F.min("target").alias("target"))

@@ -10,7 +10,7 @@ from ledgerloom.functions.script import romanised
 
 #: The address after a name, in script and in Latin letters; it is no part of the name.
 ADDRESS = ("గారూ", "గారు")
-ADDRESS_LATIN = "garu"
+ADDRESS_SPELLINGS = ("garu", "garū", "gaaru", "gaarū")
 UNKNOWN = "Unknown Person"
 
 
@@ -73,7 +73,7 @@ def spell_names(names: DataFrame, lexicon: DataFrame, name: str = "raw_name") ->
     both = looked.join(inside, "word", "left").withColumn("_said", F.coalesce("target", "_letters"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_said"))), lambda x: x._said), " ")
     by_words = both.groupBy("_plain").agg(joined.alias("_words"), F.bool_or(F.coalesce("_foreign", F.lit(False))).alias("_foreign"))
-    by_words = by_words.withColumn("_words", F.trim(F.regexp_replace("_words", rf"(?i)\b{ADDRESS_LATIN}\b|\bgarū\b", "")))
+    by_words = by_words.withColumn("_words", F.trim(F.regexp_replace("_words", r"(?iU)\b(" + "|".join(ADDRESS_SPELLINGS) + r")\b", "")))
     whole = known.select(F.col("source").alias("_plain"), F.col("target").alias("_whole"))
     out = plain.join(by_words, "_plain", "left").join(whole, "_plain", "left")
     text = F.coalesce("_whole", "_words")

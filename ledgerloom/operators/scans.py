@@ -20,9 +20,12 @@ MOST = 1_000_000
 BLOCK = "_block"
 
 
-def _blocks(df: DataFrame, keys: list[str], order: str, most: int) -> tuple[DataFrame, bool]:
-    """df with _block, and whether any key is cut: null in keys of at most `most` rows, else the number of quantiles of order below the row's."""
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+def _blocks(df: DataFrame, keys: list[str], order: str, most: int, sized_by: DataFrame | None) -> tuple[DataFrame, bool]:
+    """df with _block, and whether any key is cut: null in keys of at most `most` rows, else the number of quantiles of order below the row's.
+
+    sized_by: what is counted instead of df, if that costs less and has no fewer rows of any key.
+    """
+    large = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
     top = large.agg(F.max("_n")).first()[0]
     if top is None:
         return df.withColumn(BLOCK, F.lit(None).cast("int")), False
@@ -37,39 +40,46 @@ def _within(keys: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*keys, BLOCK).orderBy(*order)
 
 
-def _with_earlier(df: DataFrame, keys: list[str], of_block: Column, earlier) -> DataFrame:
-    """df with _earlier: what the blocks before the row's one leave; earlier folds the blocks' values in a window."""
+def _with_earlier(df: DataFrame, keys: list[str], of_block: dict[str, Column], earlier) -> DataFrame:
+    """df with what the blocks before the row's one leave of each value; earlier folds the blocks' values in a window."""
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = df.where(F.col(BLOCK).isNotNull()).groupBy(*keys, BLOCK).agg(of_block.alias("_own"))
-    left = blocks.withColumn("_earlier", earlier(F.col("_own")).over(before)).where(f"{BLOCK} > 0").drop("_own")
+    blocks = df.where(F.col(BLOCK).isNotNull()).groupBy(*keys, BLOCK).agg(*[v.alias(name) for name, v in of_block.items()])
+    left = blocks.withColumns({name: earlier(F.col(name)).over(before) for name in of_block}).where(f"{BLOCK} > 0")
     return df.join(left, [*keys, BLOCK], "left")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, most: int = MOST) -> DataFrame:
-    """df with out: the sum of value over the key's rows up to this one, by order (which must tell rows apart)."""
-    rows, cut = _blocks(df, keys, order[0], most)
-    upto = F.sum(value).over(_within(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], most: int = MOST, sized_by: DataFrame | None = None) -> DataFrame:
+    """df with the sums of values over the key's rows up to this one, by order (which must tell rows apart), in one pass."""
+    rows, cut = _blocks(df, keys, order[0], most, sized_by)
+    window = _within(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = {out: F.sum(value).over(window) for out, value in values.items()}
     if not cut:
-        return rows.withColumn(out, upto).drop(BLOCK)
-    rows = _with_earlier(rows, keys, F.sum(value), F.sum)
-    return rows.withColumn(out, F.coalesce(upto + F.col("_earlier"), upto, "_earlier")).drop(BLOCK, "_earlier")
+        return rows.withColumns(upto).drop(BLOCK)
+    rows = _with_earlier(rows, keys, {f"_earlier_{out}": F.sum(value) for out, value in values.items()}, F.sum)
+    earlier = {out: F.col(f"_earlier_{out}") for out in values}
+    return rows.withColumns({out: F.coalesce(upto[out] + earlier[out], upto[out], earlier[out]) for out in values}).drop(BLOCK, *[f"_earlier_{out}" for out in values])
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, most: int = MOST, sized_by: DataFrame | None = None) -> DataFrame:
+    """running_sums() of one value."""
+    return running_sums(df, keys, order, {out: value}, most, sized_by)
 
 
-def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, most: int = MOST) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, most: int = MOST, sized_by: DataFrame | None = None) -> DataFrame:
     """df with out: the last value that isn't null among the key's rows up to this one."""
-    rows, cut = _blocks(df, keys, order[0], most)
+    rows, cut = _blocks(df, keys, order[0], most, sized_by)
     last = F.last(value, ignorenulls=True).over(_within(keys, order).rowsBetween(Window.unboundedPreceding, 0))
     if not cut:
         return rows.withColumn(out, last).drop(BLOCK)
-    rows = _with_earlier(rows, keys, F.max_by(value, F.when(value.isNotNull(), F.struct(*order))), lambda c: F.last(c, ignorenulls=True))
+    rows = _with_earlier(rows, keys, {"_earlier": F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))}, lambda c: F.last(c, ignorenulls=True))
     return rows.withColumn(out, F.coalesce(last, "_earlier")).drop(BLOCK, "_earlier")
 
 
-def row_before(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, most: int = MOST) -> DataFrame:
+def row_before(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, most: int = MOST, sized_by: DataFrame | None = None) -> DataFrame:
     """df with out: value in the key's row before this one; null in the first row."""
-    rows, cut = _blocks(df, keys, order[0], most)
+    rows, cut = _blocks(df, keys, order[0], most, sized_by)
     if not cut:
         return rows.withColumn(out, F.lag(value).over(_within(keys, order))).drop(BLOCK)
     kept = F.struct(value.alias("v"))
-    rows = _with_earlier(rows, keys, F.max_by(kept, F.struct(*order)), F.last)
+    rows = _with_earlier(rows, keys, {"_earlier": F.max_by(kept, F.struct(*order))}, F.last)
     return rows.withColumn(out, F.coalesce(F.lag(kept).over(_within(keys, order)), "_earlier")["v"]).drop(BLOCK, "_earlier")

@@ -17,6 +17,7 @@ from ledgerloom.functions import amounts
 from ledgerloom.functions.dates import any_date, day_month_year
 from ledgerloom.operators import scans
 from ledgerloom.operators.ledger import from_date
+from ledgerloom.operators.rounds import written
 from ledgerloom.operators.signs import balance_errors, by_delta
 
 DASHED = r"^\d{1,2}-\d{1,2}-\d{4}$"
@@ -61,7 +62,7 @@ def _starts(pattern: str, least: int) -> Column:
 def _numbered_islands(lines: DataFrame, start: Column, most: int = scans.MOST) -> DataFrame:
     """lines with _start and _island, the running count of starts, from the first start on."""
     marked = lines.withColumn("_start", F.coalesce(start, F.lit(False)))
-    return scans.running_sum(marked, ["statement_id"], ["line_no"], F.col("_start").cast("int"), "_island", most).where("_island > 0")
+    return scans.running_sum(marked, ["statement_id"], ["line_no"], F.col("_start").cast("int"), "_island", most, lines).where("_island > 0")
 
 
 def islands(lines: DataFrame, start: Column, stop: Column | None = None, most: int = scans.MOST) -> DataFrame:
@@ -74,9 +75,9 @@ def islands(lines: DataFrame, start: Column, stop: Column | None = None, most: i
     return marked.groupBy("statement_id", "_island").agg(F.min("line_no").alias("seq"), F.first(F.when(F.col("_start"), F.col("t")), ignorenulls=True).alias("t"), F.array_join(F.transform(F.sort_array(F.collect_list(more)), lambda x: x.line), " ").alias("more"))
 
 
-def _joined(tokens: Column, more: str | None = None) -> Column:
+def _joined(tokens: Column, more: Column | None = None) -> Column:
     text = F.array_join(tokens, " ")
-    return F.trim(F.concat_ws(" ", text, F.nullif(F.col(more), F.lit("")))) if more else text
+    return text if more is None else F.trim(F.concat_ws(" ", text, F.nullif(more, F.lit(""))))
 
 
 def dash_two_dates(lines: DataFrame) -> DataFrame:
@@ -96,29 +97,51 @@ def printed_side(lines: DataFrame) -> DataFrame:
     rows = islands(_tokens(lines), _starts(DASHED, 6), F.trim("line") == "")
     side = F.filter(F.transform("t", lambda w, i: F.struct(i.alias("i"), F.upper(w).alias("w"))), lambda x: (x.i > 2) & x.w.isin("DR", "CR"))
     rows = rows.withColumn("_side", F.get(side, F.lit(0))).where("_side IS NOT NULL").withColumn("_at", F.col("_side.i"))
-    return rows.select("statement_id", "seq", day_month_year(F.col("t")[0]).alias("gl_date"), day_month_year(F.col("t")[1]).alias("value_date"), _joined(F.slice("t", F.lit(3), F.col("_at") - 3), "more").alias("narration"), amounts.unsigned_amount(F.get("t", F.col("_at") - 1)).alias("amount"), amounts.unsigned_amount(F.get("t", F.col("_at") + 1)).alias("balance"), F.col("_side.w").alias("bank_indicator"))
+    return rows.select("statement_id", "seq", day_month_year(F.col("t")[0]).alias("gl_date"), day_month_year(F.col("t")[1]).alias("value_date"), _joined(F.slice("t", F.lit(3), F.col("_at") - 3), F.col("more")).alias("narration"), amounts.unsigned_amount(F.get("t", F.col("_at") - 1)).alias("amount"), amounts.unsigned_amount(F.get("t", F.col("_at") + 1)).alias("balance"), F.col("_side.w").alias("bank_indicator"))
 
 
-def _numeric_tail(rows: DataFrame, candidates: Column, dates: tuple[Column, Column]) -> DataFrame:
+def _read(amount: Column, gl_date: Column, value_date: Column, narration: Column, balance: Column) -> Column:
+    """What a parser reads of an island; null without an amount."""
+    return F.when(amount.isNotNull(), F.struct(gl_date.alias("gl_date"), value_date.alias("value_date"), F.coalesce(narration, F.lit("")).alias("narration"), amount.alias("amount"), balance.alias("balance")))
+
+
+def _rows_read(rows: DataFrame, read: Column) -> DataFrame:
+    return rows.withColumn("_read", read).where("_read IS NOT NULL").select("statement_id", "seq", "_read.*")
+
+
+def _numeric_tail(t: Column, more: Column, candidates: Column, gl_date: Column, value_date: Column) -> Column:
     """Balance from the last token, amount from the last numeric candidate before it; the rest is narration."""
-    rows = rows.withColumn("_amount", F.try_element_at(candidates, F.lit(-1))).where("_amount IS NOT NULL")
-    last = F.try_element_at(F.col("t"), F.lit(-1))
-    text = F.filter(F.slice("t", F.lit(3), F.size("t") - 2), lambda w: (w != last) & (w != F.col("_amount")))
-    return rows.select("statement_id", "seq", dates[0].alias("gl_date"), dates[1].alias("value_date"), _joined(text, "more").alias("narration"), amounts.unsigned_amount(F.col("_amount")).alias("amount"), amounts.unsigned_amount(last).alias("balance"))
+    amount, last = F.try_element_at(candidates, F.lit(-1)), F.try_element_at(t, F.lit(-1))
+    text = F.filter(F.slice(t, F.lit(3), F.greatest(F.size(t) - 2, F.lit(0))), lambda w: (w != last) & (w != amount))
+    return F.when(amount.isNotNull(), _read(amounts.unsigned_amount(amount), gl_date, value_date, _joined(text, more), amounts.unsigned_amount(last)))
+
+
+def _posted_start() -> Column:
+    return _starts(SLASHED, 4) & F.try_element_at(F.col("t"), F.lit(-1)).rlike(DECIMAL)
+
+
+def _posted(t: Column, more: Column) -> Column:
+    numbers = F.filter(F.slice(t, F.lit(3), F.greatest(F.size(t) - 3, F.lit(0))), lambda w: w.rlike(DECIMAL))
+    return _numeric_tail(t, more, numbers, day_month_year(F.get(t, F.lit(0))), day_month_year(F.get(t, F.lit(1))))
 
 
 def slash_posted(lines: DataFrame) -> DataFrame:
     """d/m/y posted, d/m/y value, description... amount balance; any number before the balance can be the amount, the last is."""
-    rows = islands(_tokens(lines), _starts(SLASHED, 4) & F.try_element_at(F.col("t"), F.lit(-1)).rlike(DECIMAL))
-    numbers = F.filter(F.slice("t", F.lit(3), F.size("t") - 3), lambda w: w.rlike(DECIMAL))
-    return _numeric_tail(rows, numbers, (day_month_year(F.col("t")[0]), day_month_year(F.col("t")[1])))
+    return _rows_read(islands(_tokens(lines), _posted_start()), _posted(F.col("t"), F.col("more")))
+
+
+def _valued_start() -> Column:
+    return _starts(SLASHED, 5) & F.try_element_at(F.col("t"), F.lit(-1)).rlike(DECIMAL)
+
+
+def _valued(t: Column, more: Column) -> Column:
+    near = F.slice(t, F.greatest(F.size(t) - 3, F.lit(3)), F.greatest(F.least(F.lit(3), F.size(t) - 3), F.lit(0)))
+    return _numeric_tail(t, more, F.filter(near, lambda w: w.rlike(r"^[0-9,]+(\.[0-9]+)?$")), day_month_year(F.get(t, F.lit(1))), day_month_year(F.get(t, F.lit(0))))
 
 
 def slash_valued(lines: DataFrame) -> DataFrame:
     """d/m/y value, d/m/y posted, description... ; the amount is among the three tokens before the balance."""
-    rows = islands(_tokens(lines), _starts(SLASHED, 5) & F.try_element_at(F.col("t"), F.lit(-1)).rlike(DECIMAL))
-    near = F.slice("t", F.greatest(F.size("t") - 3, F.lit(3)), F.least(F.lit(3), F.size("t") - 3))
-    return _numeric_tail(rows, F.filter(near, lambda w: w.rlike(r"^[0-9,]+(\.[0-9]+)?$")), (day_month_year(F.col("t")[1]), day_month_year(F.col("t")[0])))
+    return _rows_read(islands(_tokens(lines), _valued_start()), _valued(F.col("t"), F.col("more")))
 
 
 MONTH_DATE = r"\d{1,2} (?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
@@ -134,39 +157,77 @@ def stitch_years(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", stitched)
 
 
+MONTH_HEAD = rf"^\s*({MONTH_DATE} \d{{4}}) ({MONTH_DATE} \d{{4}})\b"
+
+
+def _by_month(head: Column, lines: Column) -> Column:
+    """Of an island's lines (start, line), in order: dates from the head, amount and balance from the last line with two numbers, the rest is narration."""
+    words = F.transform(lines, lambda x: words_of(F.when(x["start"], F.regexp_replace(x["line"], MONTH_HEAD, "")).otherwise(x["line"])))
+    numbers = F.transform(words, lambda t: F.filter(t, lambda w: w.rlike(DECIMAL)))
+    pair = F.try_element_at(F.filter(numbers, lambda n: F.size(n) >= 2), F.lit(-1))
+    text = F.array_join(F.flatten(F.transform(words, lambda t: F.filter(t, lambda w: ~w.rlike(DECIMAL)))), " ")
+    date = lambda i: any_date(F.regexp_extract(head, MONTH_HEAD, i))
+    number = lambda i: amounts.strict_amount(F.try_element_at(pair, F.lit(i)))
+    return F.when(pair.isNotNull(), _read(number(-2), date(1), date(2), text, number(-1)))
+
+
 def month_names(lines: DataFrame) -> DataFrame:
     """d Mon y d Mon y description, then lines; the last line with two two-decimal numbers gives amount and balance."""
-    head = rf"^\s*({MONTH_DATE} \d{{4}}) ({MONTH_DATE} \d{{4}})\b"
-    rows = _numbered_islands(stitch_years(lines), F.col("line").rlike(head))
-    rows = rows.withColumn("_rest", F.when(F.col("_start"), F.regexp_replace("line", head, "")).otherwise(F.col("line"))).withColumn("_t", words_of(F.col("_rest")))
-    numbers = F.filter("_t", lambda w: w.rlike(DECIMAL))
-    rows = rows.withColumn("_n", F.when(F.size(numbers) >= 2, numbers)).withColumn("_text", F.array_join(F.filter("_t", lambda w: ~w.rlike(DECIMAL)), " "))
-    blocks = rows.groupBy("statement_id", "_island").agg(F.min("line_no").alias("seq"), F.max(F.when(F.col("_start"), F.col("line"))).alias("_head"), F.max_by("_n", F.when(F.col("_n").isNotNull(), F.col("line_no"))).alias("_n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "_text"))), lambda x: x._text), " ").alias("narration"))
-    date = lambda i: any_date(F.regexp_extract("_head", head, i))
-    return blocks.where("_n IS NOT NULL").select("statement_id", "seq", date(1).alias("gl_date"), date(2).alias("value_date"), F.trim(F.regexp_replace("narration", r"\s+", " ")).alias("narration"), amounts.strict_amount(F.try_element_at(F.col("_n"), F.lit(-2))).alias("amount"), amounts.strict_amount(F.try_element_at(F.col("_n"), F.lit(-1))).alias("balance"))
+    rows = _numbered_islands(stitch_years(lines), F.col("line").rlike(MONTH_HEAD))
+    each = F.sort_array(F.collect_list(F.struct("line_no", F.col("_start").alias("start"), "line")))
+    blocks = rows.groupBy("statement_id", "_island").agg(F.min("line_no").alias("seq"), F.max(F.when(F.col("_start"), F.col("line"))).alias("head"), each.alias("lines"))
+    return _rows_read(blocks, _by_month(F.col("head"), F.col("lines")))
 
 
-def wrapped(lines: DataFrame) -> DataFrame:
-    """Older wrapped layout: at least eight tokens, two month-name dates of three tokens each, amount and balance last."""
-    rows = _tokens(lines).where(~F.lower("line").rlike("balance brought|page no|txn date"))
-    dated = (F.size("t") >= 8) & F.array_join(F.slice("t", F.lit(1), F.lit(6)), " ").rlike(rf"^{MONTH_DATE} \d{{4}} {MONTH_DATE} \d{{4}}$") & F.try_element_at(F.col("t"), F.lit(-1)).rlike(DECIMAL) & F.get("t", F.size("t") - 2).rlike(DECIMAL)
-    rows = islands(rows, dated)
-    date = lambda i: any_date(F.array_join(F.slice("t", F.lit(i), F.lit(3)), " "))
-    return rows.select("statement_id", "seq", date(1).alias("gl_date"), date(4).alias("value_date"), _joined(F.slice("t", F.lit(7), F.size("t") - 8), "more").alias("narration"), amounts.unsigned_amount(F.get("t", F.size("t") - 2)).alias("amount"), amounts.unsigned_amount(F.try_element_at(F.col("t"), F.lit(-1))).alias("balance"))
+NOISE = "balance brought|page no|txn date"
+
 
+def _wrapped_start() -> Column:
+    dates = F.array_join(F.slice("t", F.lit(1), F.lit(6)), " ").rlike(rf"^{MONTH_DATE} \d{{4}} {MONTH_DATE} \d{{4}}$")
+    return (F.size("t") >= 8) & dates & F.try_element_at(F.col("t"), F.lit(-1)).rlike(DECIMAL) & F.get("t", F.size("t") - 2).rlike(DECIMAL)
 
-CASCADE = (slash_posted, slash_valued, month_names, wrapped)
 
+def _wrapped(t: Column, more: Column) -> Column:
+    date = lambda i: any_date(F.array_join(F.slice(t, F.lit(i), F.lit(3)), " "))
+    text = _joined(F.slice(t, F.lit(7), F.greatest(F.size(t) - 8, F.lit(0))), more)
+    return _read(amounts.unsigned_amount(F.get(t, F.size(t) - 2)), date(1), date(4), text, amounts.unsigned_amount(F.try_element_at(t, F.lit(-1))))
 
-def cascade(lines: DataFrame, openings: DataFrame | None = None, parsers: tuple[Callable[[DataFrame], DataFrame], ...] = CASCADE) -> DataFrame:
-    """Rows of the first parser, in their order, whose balances add up in the statement; none if no parser's do.
 
-    All parsers run; the choice is one aggregation and a join on the few (statement, parser) pairs.
+def wrapped(lines: DataFrame) -> DataFrame:
+    """Older wrapped layout: at least eight tokens, two month-name dates of three tokens each, amount and balance last."""
+    rows = _tokens(lines).where(~F.lower("line").rlike(NOISE))
+    return _rows_read(islands(rows, _wrapped_start()), _wrapped(F.col("t"), F.col("more")))
+
+
+def candidates(lines: DataFrame, most: int = scans.MOST) -> DataFrame:
+    """(statement_id, parser, seq, what the parser reads): the rows of all parsers of the cascade, from one scan of the lines.
+
+    Each line is split into words once and told to begin an island or not for each parser; one window counts the
+    islands of all four; a line then goes to the island it is in, for each parser that has one there.
+    """
+    rows = stitch_years(lines.withColumn("_plain", F.col("line"))).withColumnsRenamed({"line": "_stitched", "_plain": "line"})
+    rows = _tokens(rows)
+    starts = (_posted_start(), _valued_start(), F.col("_stitched").rlike(MONTH_HEAD), _wrapped_start() & ~F.lower("line").rlike(NOISE))
+    rows = rows.withColumns({f"_start{k}": F.coalesce(start, F.lit(False)) for k, start in enumerate(starts)}).drop("t")
+    rows = scans.running_sums(rows, ["statement_id"], ["line_no"], {f"_island{k}": F.col(f"_start{k}").cast("int") for k in range(len(starts))}, most, lines)
+    line = lambda k: F.col("_stitched" if k == 2 else "line")
+    held = lambda k: (F.col(f"_island{k}") > 0) & (F.lit(True) if k != 3 else ~F.lower("line").rlike(NOISE))
+    of_parser = [F.when(held(k), F.struct(F.lit(k).alias("parser"), F.col(f"_island{k}").alias("island"), F.col(f"_start{k}").alias("start"), line(k).alias("line"))) for k in range(len(starts))]
+    each = rows.select("statement_id", "line_no", F.inline(F.array_compact(F.array(*of_parser))))
+    gathered = each.groupBy("statement_id", "parser", "island").agg(F.min("line_no").alias("seq"), F.max(F.when(F.col("start"), F.col("line"))).alias("head"), F.sort_array(F.collect_list(F.struct("line_no", "start", "line"))).alias("lines"))
+    more = F.array_join(F.transform(F.filter("lines", lambda x: ~x["start"] & (F.trim(x["line"]) != "")), lambda x: F.trim(x["line"])), " ")
+    gathered = gathered.withColumns({"t": words_of(F.col("head")), "more": more})
+    t, more = F.col("t"), F.col("more")
+    read = F.when(F.col("parser") == 0, _posted(t, more)).when(F.col("parser") == 1, _valued(t, more)).when(F.col("parser") == 2, _by_month(F.col("head"), F.col("lines"))).otherwise(_wrapped(t, more))
+    return gathered.withColumn("_read", read).where("_read IS NOT NULL").select("statement_id", "parser", "seq", "_read.*")
+
+
+def cascade(lines: DataFrame, openings: DataFrame | None = None) -> DataFrame:
+    """Rows of the first parser (slash_posted, slash_valued, month_names, wrapped) whose balances add up in the statement; none if no parser's do.
+
+    The choice is one aggregation over candidates() and a join on the few (statement, parser) pairs.
     """
-    tried = None
-    for rank, parse in enumerate(parsers):
-        one = parse(lines).select(*RESULT).withColumn("parser", F.lit(rank))
-        tried = one if tried is None else tried.unionByName(one)
+    tried = written(candidates(lines), "statement-candidates")
     if openings is not None:
         tried = tried.join(openings.select("statement_id", "opening"), "statement_id", "left")
     else:

@@ -100,7 +100,7 @@ def transactions(rows: DataFrame, mapping: dict[str, int] | DataFrame | None = N
     body = body_rows(rows, maps)
     cells = body.select("statement_id", *PLACE, any_date(at("date")).alias("gl_date"), text.alias("_text"), amounts.absolute_amount(at("debit")).alias("_debit"), amounts.absolute_amount(at("credit")).alias("_credit"), at("debit").alias("_cell"), single.alias("_single"), amounts.marked_balance(at("balance")).alias("balance"))
     dated = F.col("gl_date").isNotNull()
-    cells = scans.running_sum(cells, ["statement_id"], list(PLACE), dated.cast("int"), "_island", most).where("_island > 0")
+    cells = scans.running_sum(cells, ["statement_id"], list(PLACE), dated.cast("int"), "_island", most, rows).where("_island > 0")
     told = cells.where(dated | ~F.lower("_text").isin(*ROLES["narration"]))
     first = lambda c: F.min_by(c, F.struct(*PLACE)).alias(c)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*PLACE, F.col("_text").alias("text")))), lambda x: x.text), " ")

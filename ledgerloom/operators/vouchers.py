@@ -57,7 +57,7 @@ def of_ledger(vouchers: DataFrame, bank: str, key: str = "id") -> DataFrame:
     own = lambda e: F.lower(e.ledger) == bank.lower()
     entry = F.get(F.filter("entries", own), F.lit(0))
     others = F.transform(F.filter("entries", lambda e: ~own(e)), lambda e: e.ledger)
-    return vouchers.where(F.exists("entries", own)).select(key, F.col("number").alias("vch_no"), "date", "vch_type", F.abs(entry.amount).alias("amount"), F.when(entry.is_debit, "DEBIT").otherwise("CREDIT").alias("type"), "narration", F.array_join(others, ", ").alias("particulars"))
+    return vouchers.where(F.exists("entries", own)).select(key, F.col("number").alias("vch_no"), "date", "vch_type", F.abs(entry.amount).alias("amount"), F.when(entry.is_debit, "DEBIT").otherwise("CREDIT").alias("type"), "narration", F.coalesce(F.nullif(F.array_join(others, ", "), F.lit("")), F.lit("Suspense")).alias("particulars"))
 
 
 def audit_rows(vouchers: DataFrame, keys: list[str], opening: Column | None = None) -> DataFrame:

@@ -143,6 +143,24 @@ def statement_lines(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     return lines.union(head) if layout == "dash" else lines.union(more).union(head)
 
 
+def cascade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balanced ledger printed in four layouts, by account, of which each parser of the cascade reads one.
+
+    Amounts of the second have three decimals, so that the first parser knows none. The third has amount and balance in a line of
+    their own. The fourth is followed by lines of two numbers that are neither, but for accounts of one row.
+    """
+    rows = balanced(spark, sf_dir).join(balanced(spark, sf_dir).groupBy("account").agg(F.count(F.lit(1)).alias("n")), "account")
+    plain, amount, kind = F.abs("balance").cast("string"), F.col("amount").cast("string"), F.col("account") % 4
+    dates = lambda f: F.concat_ws(" ", F.date_format("gl_date", f), F.date_format("gl_date", f), "narration")
+    slashed, named = dates("dd/MM/yyyy"), dates("d MMM yyyy")
+    line = F.when(kind == 0, F.concat_ws(" ", slashed, amount, plain)).when(kind == 1, F.concat_ws(" ", slashed, F.concat(amount, F.lit("0")), plain)).when(kind == 2, named).otherwise(F.concat_ws(" ", named, amount, plain))
+    after = F.when(kind == 2, F.concat_ws(" ", amount, plain)).when(kind == 3, F.when(F.col("n") > 1, "at 1.00 2.00")).when(F.col("id") % 4 == 0, "to shop")
+    lines = rows.select(F.col("account").alias("statement_id"), (F.col("seq") * 10).alias("line_no"), line.alias("line"))
+    more = rows.select(F.col("account").alias("statement_id"), (F.col("seq") * 10 + 1).alias("line_no"), after.alias("line")).where("line IS NOT NULL")
+    head = rows.select(F.col("account").alias("statement_id")).distinct().select("statement_id", F.lit(-1).cast("long").alias("line_no"), F.lit("Opening Balance : 1,000.00 Cr").alias("line"))
+    return lines.union(more).union(head)
+
+
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The balanced ledger as document tables: pages of 20 rows, the header repeated, some narrations going on in an undated row."""
     rows = balanced(spark, sf_dir)

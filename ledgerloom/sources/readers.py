@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import MONEY
-from ledgerloom.sources import workbook
+from ledgerloom.sources import connector, workbook
 
 #: Shape of a voucher in XML; tags as voucher files name them.
-VOUCHER_XML = "DATE string, VOUCHERTYPENAME string, VOUCHERNUMBER string, NARRATION string, `ALLLEDGERENTRIES.LIST` array<struct<LEDGERNAME: string, ISDEEMEDPOSITIVE: string, ISPARTYLEDGER: string, AMOUNT: string>>"
+ENTRIES_XML = "array<struct<LEDGERNAME: string, ISDEEMEDPOSITIVE: string, ISPARTYLEDGER: string, AMOUNT: string>>"
+VOUCHER_XML = f"DATE string, VOUCHERTYPENAME string, VOUCHERNUMBER string, NARRATION string, `ALLLEDGERENTRIES.LIST` {ENTRIES_XML}, `LEDGERENTRIES.LIST` {ENTRIES_XML}"
 
 
 def scrub_references(text: Column) -> Column:
@@ -22,10 +23,11 @@ def scrub_references(text: Column) -> Column:
 
 
 def shape_vouchers(raw: DataFrame) -> DataFrame:
-    """VOUCHER_XML rows as date, vch_type, number, narration, entries; entries without a party tag keep a null flag."""
+    """VOUCHER_XML rows as date, vch_type, number, narration, entries (of both lists that files use); entries without a party tag keep a null flag."""
     yes = lambda c: F.lower(c) == "yes"
-    entries = F.transform("`ALLLEDGERENTRIES.LIST`", lambda e: F.struct(e.LEDGERNAME.alias("ledger"), F.coalesce(yes(e.ISDEEMEDPOSITIVE), F.lit(False)).alias("is_debit"), yes(e.ISPARTYLEDGER).alias("is_party"), e.AMOUNT.try_cast(MONEY).alias("amount")))
-    return raw.select(F.col("DATE").alias("date"), F.col("VOUCHERTYPENAME").alias("vch_type"), F.col("VOUCHERNUMBER").alias("number"), F.col("NARRATION").alias("narration"), F.coalesce(entries, F.array().cast("array<struct<ledger:string,is_debit:boolean,is_party:boolean,amount:decimal(18,2)>>")).alias("entries"))
+    none = F.array().cast(ENTRIES_XML)
+    entries = F.transform(F.concat(F.coalesce("`ALLLEDGERENTRIES.LIST`", none), F.coalesce("`LEDGERENTRIES.LIST`", none)), lambda e: F.struct(e.LEDGERNAME.alias("ledger"), F.coalesce(yes(e.ISDEEMEDPOSITIVE), F.lit(False)).alias("is_debit"), yes(e.ISPARTYLEDGER).alias("is_party"), e.AMOUNT.try_cast(MONEY).alias("amount")))
+    return raw.select(F.col("DATE").alias("date"), F.col("VOUCHERTYPENAME").alias("vch_type"), F.col("VOUCHERNUMBER").alias("number"), F.col("NARRATION").alias("narration"), entries.alias("entries"))
 
 
 def read_vouchers(spark: SparkSession, path: str) -> DataFrame:
@@ -136,9 +138,9 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return full.groupBy("statement_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "page_text"))), lambda x: x.page_text), "\n").alias("text"))
 
 
-def booked_vouchers(fetch, spark: SparkSession, first: str, last: str) -> DataFrame:
-    """Vouchers a fetch function returns as XML strings for a date range; the range is the server's to apply."""
-    return parse_voucher_text(spark.createDataFrame([(x,) for x in fetch(first, last)], "xml string"))
+def booked_vouchers(spark: SparkSession, url: str, company: str, first: str, last: str, days: int = 31) -> DataFrame:
+    """Vouchers that a server has booked between two dates, fetched span by span in tasks."""
+    return parse_voucher_text(connector.fetch_vouchers(spark, url, company, first, last, days))
 
 
 def row_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -161,6 +161,8 @@ def test_lexicon_updates(spark):
     assert {(r[0], r[1]) for r in cash.update_lexicon(lexicon, fixes).collect()} == {("a", "Aa"), ("x", "Xx"), ("a x", "Aa Xx"), ("c d", "One")}
     words = spark.createDataFrame([("రామ", "rama"), ("రామ సీత", "x"), ("ram", "y")], "source string, target string")
     assert [r[0] for r in cash.clean_lexicon(words).collect()] == ["రామ"]
+    told = spark.createDataFrame([("సీత-గారు", "Seetha  Garū"), ("సీత గారూ", "Sita"), ("గారు", "Garu"), ("రావు", " gaaru "), (None, "x"), ("దేవ", None)], "source string, target string")
+    assert [tuple(r) for r in cash.clean_lexicon(told).collect()] == [("సీత", "Seetha")]
 
 
 def test_edits(spark):
@@ -221,7 +223,7 @@ def test_scans_of_cut_keys_equal_plain_windows(spark):
         last = last if v is None else v
         assert (got[i]["running_sum_100"], got[i]["carried_100"], got[i]["row_before_100"]) == (total, last, before)
         before = v
-    assert len({r[0] for r in scans._blocks(df, ["k"], "i", 100)[0].where("k = 1").select("_block").distinct().collect()}) > 10
+    assert len({r[0] for r in scans._blocks(df, ["k"], "i", 100, None)[0].where("k = 1").select("_block").distinct().collect()}) > 10
 
 
 CELLS = "statement_id string, page int, table_no int, row_no int, cells array<string>"

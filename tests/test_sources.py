@@ -1,5 +1,9 @@
 import datetime as dt
+import http.server
+import io
 import json
+import re
+import threading
 import time
 import zipfile
 from decimal import Decimal as D
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import statements
 from ledgerloom.operators import vouchers as V
 from ledgerloom.plans import jobs
-from ledgerloom.sources import readers, writers
+from ledgerloom.sources import connector, readers, writers
 from ledgerloom.streaming import ingest
 
 
@@ -105,10 +109,6 @@ def test_pages_and_connectors(spark):
     pages = spark.createDataFrame([("a", 1, "second"), ("a", 0, "first " * 20), ("a", 2, " "), ("b", 0, None)], "statement_id string, page int, page_text string")
     assert {r[0]: r[1] for r in statements.is_readable(pages).collect()} == {"a": True, "b": False}
     assert {r[0]: r[1] for r in readers.page_texts(pages).collect()} == {"a": "first " * 20 + "\nsecond"}
-    xml = writers.voucher_xml(made(spark)).select("xml").collect()
-    asked = []
-    booked = readers.booked_vouchers(lambda first, last: asked.append((first, last)) or [r[0] for r in xml], spark, "2024-04-01", "2024-04-03")
-    assert booked.count() == 3 and asked == [("2024-04-01", "2024-04-03")]
     placed = readers.row_order(spark.createDataFrame([("a", 5), ("a", 2), ("b", 1)], "k string, v int"), ["k"], ["v"])
     assert {(r["k"], r["v"], r["seq"]) for r in placed.collect()} == {("a", 2, 1), ("a", 5, 2), ("b", 1, 1)}
     texts = spark.createDataFrame([("Value Date x",), ("nothing",)], "t string")
@@ -180,3 +180,63 @@ def test_dates_of_workbooks(spark, tmp_path):
         assert got == {(book, sheet): cells for book, cells in want.items() for sheet in ("One", "Two")}
     assert readers.read_sheets(spark, str(tmp_path)).rdd.getNumPartitions() == 4
     assert {r["sheet"] for r in readers.read_sheets(spark, f"file://{tmp_path}/x.xlsx", "two ").collect()} == {"Two"}
+
+
+VOUCHER = "<VOUCHER><DATE>{0:%Y%m%d}</DATE><VOUCHERTYPENAME>Receipt</VOUCHERTYPENAME><VOUCHERNUMBER>{1}</VOUCHERNUMBER><NARRATION>a &amp; b&#4; {1}</NARRATION><{2}.LIST><LEDGERNAME>My Bank</LEDGERNAME><ISDEEMEDPOSITIVE>Yes</ISDEEMEDPOSITIVE><AMOUNT>-{1}.50</AMOUNT></{2}.LIST></VOUCHER>"
+
+
+@pytest.fixture
+def server():
+    """A server with a voucher for each day of 2024 that answers whole days, one too many, and keeps the ranges asked."""
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            said = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            if "<ID>Ledger</ID>" in said:
+                body = '<ENVELOPE><LEDGER NAME="Cash"/><LEDGER><NAME> My Bank </NAME></LEDGER><LEDGER NAME="Cash"/><LEDGER NAME=""/></ENVELOPE>'
+            else:
+                first, last = (dt.datetime.strptime(x, "%Y%m%d").date() for x in re.findall(r'DATE TYPE="Date">(\d+)<', said))
+                asked.append((first, last))
+                days = [first + dt.timedelta(days=k) for k in range(-1, (last - first).days + 1)]
+                body = "<ENVELOPE>" + "".join(VOUCHER.format(d, d.timetuple().tm_yday, ("ALLLEDGERENTRIES", "LEDGERENTRIES")[d.day % 2]) for d in days if d.year == 2024) + "<VOUCHER><DATE/></VOUCHER></ENVELOPE>"
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args):
+            pass
+
+    it = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=it.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{it.server_port}", asked
+    it.shutdown()
+
+
+def test_vouchers_are_fetched_by_spans(spark, server):
+    url, asked = server
+    got = readers.booked_vouchers(spark, url, "X & Y", "2024-03-01", "2024-04-10", days=10)
+    rows = {(r["date"], r["number"], r["narration"], r["entries"][0].amount) for r in got.collect()}
+    days = [dt.date(2024, 3, 1) + dt.timedelta(days=k) for k in range(41)]
+    assert rows == {(f"{d:%Y%m%d}", str(n), f"a & b {n}", D(f"-{n}.50")) for d in days for n in [d.timetuple().tm_yday]}
+    assert sorted(set(asked)) == [(days[k], days[min(k + 9, 40)]) for k in (0, 10, 20, 30, 40)]
+    own = V.of_ledger(got.withColumn("id", F.col("number")), "my bank").first()
+    assert (own["type"], own["particulars"]) == ("DEBIT", "Suspense")
+
+
+def test_a_filter_leaves_the_frame_as_it_is(spark, server):
+    url, asked = server
+    frame = connector.fetch_vouchers(spark, url, "c", "2024-05-01", "2024-05-31")
+    assert sorted(r[0] for r in frame.where("date > '2024-05-01' AND date <= '2024-05-04'").select("date").collect()) == [dt.date(2024, 5, d) for d in (2, 3, 4)]
+    assert frame.count() == 31 and set(asked) == {(dt.date(2024, 5, 1), dt.date(2024, 5, 31))}
+    assert connector.fetch_vouchers(spark, url, "c", "2024-05-02", "2024-05-01").count() == 0
+
+
+def test_ledger_names_are_fetched(spark, server):
+    assert {r[0] for r in connector.fetch_ledger_names(spark, server[0], "c").collect()} == {"Cash", "My Bank"}
+
+
+def test_answers_are_read_as_they_come():
+    said = "<E>" + "".join(f"<V><N>{i}&#x1F;&#233;&amp;ü</N></V>" for i in range(50)) + "</E>"
+    for size in (1, 3, 7, 1000):
+        assert [e.findtext("N") for e in connector.elements(io.BytesIO(said.encode()), "V", size)] == [f"{i}é&ü" for i in range(50)]
