@@ -77,9 +77,10 @@ def typed_register(register: DataFrame, gstin: str) -> DataFrame:
 
 def invoices(register: DataFrame) -> DataFrame:
     """By recipient and invoice: the first row's header, item count and sums."""
-    head = ("invoice_date", "invoice_value", "place", "state", "reverse_charge", "invoice_type")
     rows = taxed(register)
-    return rows.groupBy("recipient", "invoice").agg(*[F.min_by(c, "row_no").alias(c) for c in head if c in rows.columns], F.count(F.lit(1)).alias("items"), *[F.sum(c).cast(MONEY).alias(c) for c in TAXES])
+    head = [c for c in ("invoice_date", "invoice_value", "place", "state", "reverse_charge", "invoice_type") if c in rows.columns]
+    per = rows.groupBy("recipient", "invoice").agg(F.min(F.struct("row_no", *head)).alias("first"), F.count(F.lit(1)).alias("items"), *[F.sum(c).cast(MONEY).alias(c) for c in TAXES])
+    return per.select("recipient", "invoice", *[f"first.{c}" for c in head], "items", *TAXES)
 
 
 def register_totals(register: DataFrame) -> DataFrame:
@@ -97,9 +98,8 @@ def return_documents(register: DataFrame) -> DataFrame:
     """One row per recipient with its part of the return, nested as recipient, invoices, items, item details, in order."""
     items = item_numbers(taxed(register))
     detail = F.struct(F.col("rate").cast("double").alias("rt"), F.col("taxable").alias("txval"), F.col("cgst").alias("camt"), F.col("sgst").alias("samt"), F.col("igst").alias("iamt"), F.col("cess").alias("csamt"))
-    first = lambda c: F.min_by(c, "row_no")
-    head = [first("invoice_value").alias("val"), F.date_format(first("invoice_date"), "dd-MM-yyyy").alias("idt"), first("place").alias("pos"), first("reverse_charge").alias("rchrg"), first("invoice_type").alias("inv_typ")]
-    per = items.groupBy("recipient", "invoice").agg(*head, F.sort_array(F.collect_list(F.struct(F.col("item_no").alias("num"), detail.alias("itm_det")))).alias("itms"))
+    head = F.struct("row_no", F.col("invoice_value").alias("val"), F.date_format("invoice_date", "dd-MM-yyyy").alias("idt"), F.col("place").alias("pos"), F.col("reverse_charge").alias("rchrg"), F.col("invoice_type").alias("inv_typ"))
+    per = items.groupBy("recipient", "invoice").agg(F.min(head).alias("first"), F.sort_array(F.collect_list(F.struct(F.col("item_no").alias("num"), detail.alias("itm_det")))).alias("itms")).select("recipient", "invoice", "first.val", "first.idt", "first.pos", "first.rchrg", "first.inv_typ", "itms")
     inv = F.struct(F.col("invoice").cast("string").alias("inum"), "idt", "val", "pos", "rchrg", "inv_typ", "itms")
     return per.groupBy("recipient").agg(F.sort_array(F.collect_list(inv)).alias("inv")).select(F.col("recipient").alias("ctin"), "inv")
 

@@ -12,9 +12,9 @@ TOLERANCE = 0.01
 ACCEPTED_ERRORS = 0.25
 
 
-def _moves(rows: DataFrame, opening: str) -> DataFrame:
-    """balance_used (all -|balance| for an overdrawn opening) and delta to the row before, or to the opening."""
-    used = F.when(F.col(opening) < 0, -F.abs("balance")).otherwise(F.col("balance"))
+def _moves(rows: DataFrame, opening: str, overdrawn: str | None = None) -> DataFrame:
+    """balance_used (all -|balance| for an overdrawn opening, or where overdrawn says so) and delta to the row before, or to the opening."""
+    used = F.when(F.col(opening) < 0 if overdrawn is None else F.col(overdrawn), -F.abs("balance")).otherwise(F.col("balance"))
     rows = rows.withColumn("balance_used", used.cast(MONEY))
     rows = scans.row_before(rows, ["account"], ["seq"], F.col("balance_used"), "_before")
     return rows.withColumn("delta", (F.col("balance_used") - F.coalesce("_before", opening)).cast(MONEY)).drop("_before")
@@ -28,15 +28,15 @@ def _fits() -> Column:
     return F.abs(F.abs("delta") - F.col("amount")) <= F.lit(TOLERANCE).cast(MONEY)
 
 
-def by_delta(rows: DataFrame, opening: str = "opening") -> DataFrame:
+def by_delta(rows: DataFrame, opening: str = "opening", overdrawn: str | None = None) -> DataFrame:
     """Sign of the movement; where the balance stands still a positive amount is a DEBIT. Without an opening the first row stays UNKNOWN."""
     still = F.when((F.col("delta") == 0) & (F.col("amount") > 0), "DEBIT")
-    return _moves(rows, opening).withColumn("type", F.coalesce(_by_sign(), still, F.lit("UNKNOWN")))
+    return _moves(rows, opening, overdrawn).withColumn("type", F.coalesce(_by_sign(), still, F.lit("UNKNOWN")))
 
 
-def by_checked_delta(rows: DataFrame, opening: str = "opening") -> DataFrame:
+def by_checked_delta(rows: DataFrame, opening: str = "opening", overdrawn: str | None = None) -> DataFrame:
     """Sign of the movement if it equals the amount, else UNKNOWN."""
-    return _moves(rows, opening).withColumn("type", F.coalesce(F.when(_fits() & (F.col("delta") != 0), _by_sign()), F.lit("UNKNOWN")))
+    return _moves(rows, opening, overdrawn).withColumn("type", F.coalesce(F.when(_fits() & (F.col("delta") != 0), _by_sign()), F.lit("UNKNOWN")))
 
 
 def by_delta_or_mark(rows: DataFrame, opening: str = "opening", mark: str = "bank_indicator") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, narration, script, tax
-from ledgerloom.operators import cash, gst, lexicon, linkage, phrases, signs, statements, tables, validate, vouchers
+from ledgerloom.operators import cash, chunks, gst, lexicon, linkage, phrases, rounds, search, signs, statements, tables, validate, vouchers
 from ledgerloom.operators import ledger as L
 from ledgerloom.plans import jobs
 from ledgerloom.plans import views as V
@@ -120,6 +121,7 @@ def type_counts(spark, d):
 
 
 MONTH = "strftime(gl_date, '%Y-%m')"
+NORMAL_OF = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\pL\\pM\\pN]+', ' ', 'g'))"
 
 
 @query(
@@ -287,6 +289,22 @@ def viewport(spark, d):
     return L.viewport(V.ledger(spark, d).select("id", "gl_date"), ["gl_date", "id"], 100, 50)
 
 
+@query("SELECT id, CAST(place AS BIGINT) AS place FROM (SELECT id, row_number() OVER (ORDER BY gl_date, id) - 1 AS place FROM v_ledger) WHERE place BETWEEN 900 AND 1299", V.LEDGER)
+def page_of_ordered(spark, d):
+    """Rows 900 to 1299 of the ledger by date, from the ranges that hold them."""
+    path = f"{rounds.shared_dir(spark).rstrip('/')}/ordered-{uuid.uuid4().hex}"
+    table = search.write_ordered(V.ledger(spark, d).select("id", "gl_date"), path, ["gl_date", "id"], 16)
+    return search.page(table, 900, 400).select("id", "place")
+
+
+@query(f"SELECT id, narration FROM v_ledger WHERE contains({NORMAL_OF.format('narration')}, 'specified ref 14')", V.LEDGER)
+def search_by_trigrams(spark, d):
+    """Narrations that hold a phrase, by an index of the trigrams of all narrations."""
+    path = f"{rounds.shared_dir(spark).rstrip('/')}/trigrams-{uuid.uuid4().hex}"
+    index = search.write_trigram_index(V.ledger(spark, d).select("id", "narration"), path)
+    return search.search_phrase(index, "Specified  ref-14").select("id", "narration")
+
+
 @query("SELECT account, id, row_number() OVER (PARTITION BY account ORDER BY gl_date NULLS FIRST, seq) AS index FROM v_ledger WHERE type IN ('DEBIT', 'CREDIT')", V.LEDGER)
 def voucher_index(spark, d):
     return L.numbered(V.ledger(spark, d), ["account"]).select("account", "id", F.col("index").cast("long").alias("index"))
@@ -530,6 +548,25 @@ def parse_cascade(spark, d):
     return found.select("statement_id", "seq", F.col("parser").cast("long").alias("parser"), "type", "amount", "balance")
 
 
+@query(
+    """SELECT account AS statement_id, seq * 10 AS seq, narration || CASE WHEN id % 4 = 0 THEN ' to shop' ELSE '' END AS narration, CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance, type FROM v_sided JOIN v_printed_ids USING (account, seq)""",
+    V.LEDGER,
+    V.BALANCED,
+    CASCADE,
+    "v_printed_ids AS (SELECT account, seq, id, narration FROM v_balanced)",
+)
+def parse_in_chunks(spark, d):
+    """Statements that come in three chunks of lines, cut between a transaction and the line that goes on from it wherever that falls."""
+    lines = V.statement_lines(spark, d, "slash")
+    cuts = [0, *lines.where("line_no > 0").approxQuantile("line_no", [0.4, 0.8], 0.001), 1 << 62]
+    state, found = chunks.first_state(lines), None
+    for k in range(3):
+        own = lines.where(F.col("line_no").between(int(cuts[k]) + (k > 0), int(cuts[k + 1])) | (F.lit(k == 0) & (F.col("line_no") < 0)))
+        rows, state = chunks.parse_chunk(own, state, statements.slash_posted, signs.by_delta, last=k == 2)
+        found = rows if found is None else found.unionByName(rows)
+    return found.select("statement_id", "seq", "narration", F.col("amount").cast("double").alias("amount"), F.col("balance").cast("double").alias("balance"), "type")
+
+
 @query("SELECT DISTINCT account AS statement_id, 2 AS missed FROM v_balanced WHERE account % 3 = 0", V.LEDGER, V.BALANCED)
 def missed_lines(spark, d):
     """Every third statement ends with two later lines that no parser reads, an earlier one and one without an amount."""

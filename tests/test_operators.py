@@ -1,11 +1,12 @@
 import datetime as dt
 import random
+import re
 from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import cash, gst, ledger, lexicon, linkage, scans, signs, statements, tables
+from ledgerloom.operators import cash, chunks, gst, ledger, lexicon, linkage, scans, search, signs, statements, tables
 from ledgerloom.plans import jobs
 
 
@@ -299,3 +300,58 @@ def test_openings_by_label(spark):
     lines = spark.createDataFrame([(k, 0, v) for k, v in said.items()], "statement_id string, line_no int, line string")
     got = {r["statement_id"]: r["opening"] for r in statements.opening_balances(lines).collect()}
     assert got == {"a": D(1500), "b": D(1500), "c": D(-1500), "d": D(1500), "e": D(-1500), "g": D(1500)}
+
+
+def test_search_by_trigrams_equals_a_scan(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i * 1000, rng.choice(["NEFT rent april", "UPI tea-stall 12", "cheque", "", None, "rent  April!", "x", f"no {i}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, narration string")
+    search.write_trigram_index(df, f"{tmp_path}/index")
+    index = search.read_trigram_index(spark, f"{tmp_path}/index")
+    for phrase in ("rent april", "Rent", "tea stall 12", "no 7", "x", "", "nothing like it", "apr!!il"):
+        want = {r["id"] for r in ledger.by_phrase(df, df.select(ledger.normalised(F.lit(phrase))).first()[0]).collect()}
+        assert {r["id"] for r in search.search_phrase(index, phrase).collect()} == want, phrase
+    few = search.search_phrase(index, "tea stall 12")
+    assert re.search(r"PartitionFilters: \[.*block", few._jdf.queryExecution().toString()) and index.postings.where("gram = 'tea'").count() < index.postings.count() / 10
+
+
+def test_pages_are_read_by_range(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(i, rng.randrange(50)) for i in range(1000)]
+    table = search.write_ordered(spark.createDataFrame(rows, "id int, day int"), f"{tmp_path}/o", ["day", "id"], 9)
+    want = [i for _, i in sorted((d, i) for i, d in rows)]
+    for first, count in ((0, 5), (990, 50), (333, 400), (2000, 5), (10, 0)):
+        got = search.page(table, first, count).orderBy("place").collect()
+        assert [r["id"] for r in got] == want[first : first + count] and [r["place"] for r in got] == list(range(first, first + len(got)))
+    plan = search.page(table, 500, 10)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[.*range", plan) and len(table.starts) == 9
+
+
+def test_chunks_give_what_the_whole_gives(spark):
+    rng = random.Random(14)
+    lines, at = [], {}
+    for k, start in (("a", 1000), ("b", -500), ("c", None)):
+        balance, n = start or 0, 0
+        if start is not None:
+            lines.append((k, 0, f"Opening Balance : {abs(start)}.00 {'Dr' if start < 0 else 'Cr'}"))
+        for day in range(1, 25):
+            move = rng.choice((-1, 1)) * rng.randrange(1, 90)
+            balance += move
+            n += 1
+            lines.append((k, n, f"{day:02d}/04/2024 {day:02d}/04/2024 UPI {day} {abs(move)}.00 {abs(balance)}.00"))
+            for _ in range(rng.randrange(3)):
+                n += 1
+                lines.append((k, n, f"more {n}"))
+        at[k] = n
+    df = spark.createDataFrame(lines, "statement_id string, line_no int, line string")
+    whole, _ = chunks.parse_chunk(df, chunks.first_state(df), statements.slash_posted, signs.by_delta, last=True)
+    want = {tuple(r) for r in whole.select("statement_id", "seq", "narration", "amount", "balance", "balance_used", "type").collect()}
+    assert len(want) == 72
+    for cuts in ((7, 8, 30), (1, 2, 3)):
+        state, got, low = chunks.first_state(df), [], -1
+        for k, high in enumerate((*cuts, 10**6)):
+            own = df.where(F.col("line_no").between(low + 1, high))
+            rows, state = chunks.parse_chunk(own, state, statements.slash_posted, signs.by_delta, last=k == len(cuts))
+            got += [tuple(r) for r in rows.select("statement_id", "seq", "narration", "amount", "balance", "balance_used", "type").collect()]
+            low = high
+        assert len(got) == len(want) and set(got) == want
