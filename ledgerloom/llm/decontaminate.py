@@ -5,14 +5,16 @@ shares 5-word shingles with it; a shingle weighs ln(1 + N / (1 + the times it oc
 documents)). A document is contaminated if a window of as many words as an item holds at least
 THRESHOLD of the item's shingle weight.
 
-Pairs of document and item are proposed in two ways. For a shared shingle at word p of a text and
+A document that can pass holds one of the item's heaviest shingles, as many as weigh more than
+1 - THRESHOLD of it: whoever holds none of them can't hold THRESHOLD. Only there are windows looked at, so a
+stock phrase of many items, which is light in them, makes none. For such a shingle at word p of a text and
 word j of an item of L words, the SimHash (over distinct words) of the window of L words from p - j
 is looked up among the items of its length: the 64 bits are cut into BLOCKS of 8, and of two
 fingerprints at most RADIUS apart one block differs in at most RADIUS // BLOCKS = 1 bit, so items are
 indexed under every block value and its one-bit neighbours. No radius holds all windows that can
 pass, as few lost shingles can be many words and light shingles can be most of them. So a document
-is also proposed for every item with which it shares one of the item's heaviest shingles, as many
-as weigh more than 1 - THRESHOLD of it: whoever shares none of them can't hold THRESHOLD.
+is also proposed for every item of which it holds one of the heaviest shingles, and it is these that make the
+search whole (README: how many the fingerprints alone find).
 
 The check looks at every window that begins with one of the item's shingles. Any other window holds
 no more than the one from its first such shingle, so no window that passes is missed. Only DataFrame
@@ -77,12 +79,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     n_docs = docs.count()
 
     # places of the benchmark's shingles in all documents
-    places = items.select(F.posexplode("shingles").alias("at", "shingle"), "length")
-    wanted = staged(places.groupBy("shingle").agg(F.collect_set(F.struct("length", "at")).alias("items")), "leak-shingles")
+    wanted = staged(items.select(F.explode("shingles").alias("shingle")).distinct(), "leak-shingles")
     found = rows.select("doc_id", F.inline(_placed_shingles(F.col("words"), sizes)))
-    hits = staged(found.join(small(wanted.select("shingle"), BROADCAST_KEYS), "shingle", "left_semi"), "leak-hits")
+    hits = staged(found.join(small(wanted, BROADCAST_KEYS), "shingle", "left_semi"), "leak-hits")
     counts = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    starts = hits.join(wanted, "shingle").select("doc_id", "place", F.explode("items").alias("item")).select("doc_id", F.col("item.length").alias("length"), F.greatest(F.col("place") - F.col("item.at"), F.lit(0)).alias("start")).distinct()
+
+    # the heaviest shingles of each item, of which a document that can pass has one
+    weight = F.log(F.lit(1.0) + F.lit(float(n_docs)) / (F.lit(1.0) + F.coalesce("n", F.lit(0))))
+    weighed = items.select("item_id", "length", F.explode(F.array_distinct("shingles")).alias("shingle")).join(counts, "shingle", "left").select("item_id", "length", "shingle", weight.alias("weight"))
+    item = Window.partitionBy("item_id")
+    heavier = item.orderBy(F.desc("weight"), "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    weighed = staged(weighed.withColumn("whole", F.sum("weight").over(item)).withColumn("before", F.coalesce(F.sum("weight").over(heavier), F.lit(0.0))), "leak-weights")
+    heavy = staged(weighed.where(F.col("before") <= (1 - threshold + 1e-9) * F.col("whole")).select("shingle", "item_id"), "leak-heavy")
+
+    # where windows begin that hold them as the item does
+    places = items.select("item_id", "length", F.posexplode("shingles").alias("at", "shingle")).join(heavy, ["shingle", "item_id"])
+    shapes = staged(places.groupBy("shingle").agg(F.collect_set(F.struct("length", "at")).alias("items")), "leak-shapes")
+    starts = hits.join(small(shapes), "shingle").select("doc_id", "place", F.explode("items").alias("item")).select("doc_id", F.col("item.length").alias("length"), F.greatest(F.col("place") - F.col("item.at"), F.lit(0)).alias("start")).distinct()
     windows = staged(starts.groupBy("doc_id").agg(F.collect_list(F.struct("length", "start")).alias("windows")), "leak-windows")
 
     # fingerprints of those windows; short texts are one window, and a window ends where the text ends
@@ -100,13 +113,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     probe = probe.select("doc_id", "length", "start", "own", F.col("x.block").alias("block"), F.col("x.value").alias("value"))
     by_prints = probe.join(small(index), ["length", "block", "value"]).where(F.bit_count(F.col("own").bitwiseXOR(F.col("theirs"))) <= RADIUS)
 
-    # the heaviest shingles of each item, of which a document that can pass has one
-    weight = F.log(F.lit(1.0) + F.lit(float(n_docs)) / (F.lit(1.0) + F.coalesce("n", F.lit(0))))
-    weighed = items.select("item_id", "length", F.explode(F.array_distinct("shingles")).alias("shingle")).join(counts, "shingle", "left").select("item_id", "length", "shingle", weight.alias("weight"))
-    item = Window.partitionBy("item_id")
-    heavier = item.orderBy(F.desc("weight"), "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    weighed = staged(weighed.withColumn("whole", F.sum("weight").over(item)).withColumn("before", F.coalesce(F.sum("weight").over(heavier), F.lit(0.0))), "leak-weights")
-    heavy = weighed.where(F.col("before") <= (1 - threshold + 1e-9) * F.col("whole")).select("shingle", "item_id")
     spots = hits.select("doc_id", "shingle", "place").distinct()
     by_shingles = spots.select("doc_id", "shingle").distinct().join(small(heavy), "shingle")
     pairs = staged(by_prints.select("doc_id", "item_id").union(by_shingles.select("doc_id", "item_id")).distinct(), "leak-pairs")
