@@ -69,6 +69,11 @@ def month_closings(ledger: DataFrame, opening: Column | None = None, rolling: bo
     return months.withColumn("closing", (start + (F.sum("net").over(order) if rolling else F.col("net"))).cast(MONEY))
 
 
+def in_order(months: DataFrame) -> DataFrame:
+    """Month rows by account and month, as reports list them; a total comes last."""
+    return months.orderBy("account", F.col("month") == "TOTAL", "month")
+
+
 def largest_months(months: DataFrame) -> DataFrame:
     """By account: the largest sum of any month on either side, the scale of a chart of the months."""
     return months.groupBy("account").agg(F.max(F.greatest("debit", "credit")).alias("largest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, narration, script, tax
@@ -13,7 +13,7 @@ from ledgerloom.operators import cash, chunks, gst, lexicon, linkage, phrases, r
 from ledgerloom.operators import ledger as L
 from ledgerloom.plans import jobs
 from ledgerloom.plans import views as V
-from ledgerloom.sources import readers
+from ledgerloom.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,6 +133,17 @@ def month_closings(spark, d):
     return L.month_closings(V.ledger(spark, d))
 
 
+@query(
+    f"""SELECT account, month, n, row_number() OVER (ORDER BY account, month) AS place FROM (SELECT account, {MONTH} AS month, count(*) AS n FROM v_ledger WHERE type IN ('DEBIT', 'CREDIT') GROUP BY ALL)
+QUALIFY place <= 500""",
+    V.LEDGER,
+)
+def months_in_order(spark, d):
+    """The first 500 month rows of a report, with their places."""
+    first = L.in_order(L.month_closings(V.ledger(spark, d))).limit(500)
+    return first.select("account", "month", "n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("account", "month")).cast("long").alias("place"))
+
+
 @query(
     f"""SELECT account, month, n, debit, credit, CAST(debit - credit AS DECIMAL(18,2)) AS net, CAST(500 + debit - credit AS DECIMAL(18,2)) AS closing
 FROM (SELECT account, {MONTH} AS month, count(*) AS n, {DEBIT} AS debit, {CREDIT} AS credit FROM v_ledger WHERE type IN ('DEBIT', 'CREDIT') GROUP BY ALL)""",
@@ -455,6 +466,19 @@ def gst_documents(spark, d):
     return items.select("recipient", F.col("i.inum").alias("invoice"), F.col("i.idt").alias("dated"), F.col("i.val").alias("value"), F.col("i.pos").alias("place"), F.col("i.rchrg").alias("reverse_charge"), F.col("i.inv_typ").alias("invoice_type"), F.col("t.num").alias("item_no"), t("rt").alias("rate"), t("txval").alias("taxable"), t("camt").alias("cgst"), t("samt").alias("sgst"), t("iamt").alias("igst"), t("csamt").alias("cess"))
 
 
+@query(
+    """SELECT 1 AS section, recipient AS ctin, count(DISTINCT invoice) AS invoices, recipient = min(recipient) OVER () AS leads FROM v_register GROUP BY recipient
+UNION ALL SELECT 0, '', NULL, false UNION ALL SELECT 2, '', NULL, false""",
+    V.REGISTER,
+)
+def return_lines(spark, d):
+    """The lines of the written return, each recipient's read back."""
+    lines = writers.return_lines(gst.return_documents(_register(spark, d)), "27AAPFU0939F1ZV", "042024")
+    back = F.from_json(F.regexp_replace("line", "^,", ""), "ctin string, inv array<struct<inum: string>>")
+    read = lines.withColumn("r", F.when(F.col("section") == 1, back))
+    return read.select("section", F.coalesce("r.ctin", F.lit("")).alias("ctin"), F.size("r.inv").cast("long").alias("invoices"), ((F.col("section") == 1) & ~F.col("line").startswith(",")).alias("leads"))
+
+
 HSN = """v_hsn AS (
   SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY file ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'B2B') AS section FROM (
     SELECT p_partkey % 10 AS file, p_partkey AS row_no, p_size AS qty, CAST(p_retailprice AS DECIMAL(18,2)) AS value, CAST([0, 1.5, 5, 18][p_partkey % 4 + 1] AS DOUBLE) AS rate, trim(p_name) AS description,

@@ -58,20 +58,41 @@ def save_review(vouchers: DataFrame, audit: DataFrame, path: str, order: list[st
     write_audit(audit, f"{path}/audit")
 
 
+def _nil_block() -> Column:
+    """The fixed block of supplies at nil rate."""
+    #: The four kinds of supplies that the block lists.
+    kinds = ("INTRB2B", "INTRAB2B", "INTRB2C", "INTRAB2C")
+    zero = F.lit(0).cast("decimal(18,2)")
+    return F.struct(F.array(*[F.struct(F.lit(k).alias("sply_ty"), zero.alias("expt_amt"), zero.alias("nil_amt"), zero.alias("ngsup_amt")) for k in kinds]).alias("inv"))
+
+
 def return_json(documents: DataFrame, gstin: str, period: str) -> DataFrame:
     """The return as one JSON document, recipients in order and the fixed block of supplies at nil rate.
 
-    A return is one value, so its recipients meet in one row.
+    A return is one value here, so its recipients meet in one row; write_return() writes one of any size.
     """
-    #: The four kinds of supplies that the block lists.
-    kinds = ("INTRB2B", "INTRAB2B", "INTRB2C", "INTRAB2C")
-    zero = F.lit(0).cast("decimal(18,2)")
-    nil = F.struct(F.array(*[F.struct(F.lit(k).alias("sply_ty"), zero.alias("expt_amt"), zero.alias("nil_amt"), zero.alias("ngsup_amt")) for k in kinds]).alias("inv"))
     b2b = F.sort_array(F.collect_list(F.struct(*documents.columns))).alias("b2b")
-    head = F.struct(F.lit(gstin).alias("gstin"), F.lit(period).alias("fp"), "b2b", nil.alias("nil"))
+    head = F.struct(F.lit(gstin).alias("gstin"), F.lit(period).alias("fp"), "b2b", _nil_block().alias("nil"))
     return documents.agg(b2b).select(F.to_json(head).alias("json"))
 
 
+def return_lines(documents: DataFrame, gstin: str, period: str) -> DataFrame:
+    """(section, ctin, line): the same document as lines, which read in this order are it; each recipient is a line."""
+    first = documents.agg(F.min("ctin")).first()[0]
+    comma = F.when(F.col("ctin") == F.lit(first), "").otherwise(",")
+    body = documents.select(F.lit(1).alias("section"), "ctin", F.concat(comma, F.to_json(F.struct(*documents.columns))).alias("line"))
+    head = F.concat(F.regexp_replace(F.to_json(F.struct(F.lit(gstin).alias("gstin"), F.lit(period).alias("fp"))), r"\}$", ""), F.lit(',"b2b":['))
+    tail = F.concat(F.lit('],"nil":'), F.to_json(_nil_block()), F.lit("}"))
+    ends = documents.sparkSession.range(2).select((F.col("id") * 2).cast("int").alias("section"), F.lit("").alias("ctin"), F.when(F.col("id") == 0, head).otherwise(tail).alias("line"))
+    return body.unionByName(ends)
+
+
+def write_return(documents: DataFrame, gstin: str, period: str, path: str, files: int = 8) -> None:
+    """The return as text files which, one after the other by name, are the JSON document; no task holds more than its share."""
+    lines = return_lines(documents, gstin, period)
+    lines.repartitionByRange(files, "section", "ctin").sortWithinPartitions("section", "ctin").select("line").write.mode("overwrite").text(path)
+
+
 def hsn_json(rows: DataFrame) -> DataFrame:
     """By file one JSON document with the rows of its two sections, in order."""
     item = F.struct("num", F.col("hsn").alias("hsn_sc"), F.col("description").alias("desc"), "uqc", F.col("qty").cast("double").alias("qty"), F.col("rate").cast("double").alias("rt"), F.col("taxable").alias("txval"), F.col("igst").alias("iamt"), F.col("cgst").alias("camt"), F.col("sgst").alias("samt"), F.col("cess").alias("csamt"))

@@ -11,7 +11,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import statements
+from ledgerloom.operators import gst, statements
 from ledgerloom.operators import vouchers as V
 from ledgerloom.plans import jobs
 from ledgerloom.sources import connector, readers, writers
@@ -38,6 +38,13 @@ def test_voucher_files_come_back(spark, tmp_path):
     assert V.of_ledger(back.withColumn("id", F.col("number")), "MY BANK").count() == 3
 
 
+def test_missing_narrations_have_a_default(spark):
+    rows = [("a", i, dt.date(2024, 4, 1), D(1), "DEBIT", text, "P") for i, text in enumerate(["said", None, "", " "])]
+    df = spark.createDataFrame(rows, "account string, seq int, gl_date date, amount decimal(18,2), type string, narration string, particulars string")
+    out = V.double_entries(df, F.lit("My Bank"), F.col("particulars"), ["account"]).orderBy("index").collect()
+    assert [r["narration"] for r in out] == ["said", "Transaction", "Transaction", "Transaction"]
+
+
 def test_references_are_scrubbed(spark):
     df = spark.createDataFrame([("a&#4;b&#9;c&#x1F;d&#x0a;e&#31;f&#32;g&#x41;",)], "t string")
     assert df.select(readers.scrub_references(F.col("t"))).first()[0] == "ab&#9;cd&#x0a;ef&#32;g&#x41;"
@@ -69,6 +76,11 @@ def test_register_file_to_return(spark, tmp_path):
     assert first["inv"][0]["itms"] == [{"num": 1, "itm_det": {"rt": 18.0, "txval": 1000.0, "camt": 90.0, "samt": 90.0, "iamt": 0.0, "csamt": 2.5}}, {"num": 2, "itm_det": {"rt": 5.0, "txval": 100.0, "camt": 2.5, "samt": 2.5, "iamt": 0.0, "csamt": 0.0}}]
     assert {k: second["inv"][0][k] for k in ("inum", "idt", "val", "pos", "rchrg", "inv_typ")} == {"inum": "B7", "idt": "05-04-2024", "val": 50.0, "pos": "29", "rchrg": "Y", "inv_typ": "SEWP"}
     assert second["inv"][0]["itms"][0]["itm_det"]["iamt"] == 5.36 and second["inv"][0]["itms"][0]["itm_det"]["camt"] == 0
+    docs = jobs.gst_return(gst.typed_register(gst.rename_headers(readers.read_register(spark, f"{tmp_path}/r.csv"), gst.B2B_ALIASES), "27AAPFU0939F1ZV"))["documents"]
+    for files, some in ((1, docs), (3, docs), (2, docs.limit(0))):
+        writers.write_return(some, "27AAPFU0939F1ZV", "042024", f"{tmp_path}/json-{files}", files)
+        text = "".join(p.read_text() for p in sorted((tmp_path / f"json-{files}").glob("part-*")))
+        assert json.loads(text) == (said if files != 2 else said | {"b2b": []})
     heads = spark.createDataFrame([("27AAPFU0939F1ZV", "042024"), ("27AAPFU0939F1ZV", "132024"), ("x", "042024")], "gstin string, period string")
     assert [r["valid"] for r in jobs.check_return_head(heads).collect()] == [True, False, False]
 
