@@ -118,7 +118,10 @@ def ship(module: str) -> None:
 
 
 def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
-    """Cap the bytes of an Arrow batch, so that long texts or wide vectors can't fill a Python worker."""
+    """Cap the bytes of an Arrow batch, so that long texts or wide vectors can't fill a Python worker.
+
+    Sets spark.sql.execution.arrow.maxBytesPerBatch of the session, for good, unless it is that low already.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)
     if now is None or not now.isdigit() or int(now) > n_bytes:

@@ -145,11 +145,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         for p in sorted(parts, key=len, reverse=True):
             likely = likely & F.col("low").contains(p)
         pieces = F.col(f"pieces{i}")
-        rows = rows.withColumn(f"pieces{i}", F.when(likely, F.split("low", f"(?<!{word}){GAP.join(parts)}(?!{word})")))
+        # cut at the phrase's first word where the others follow, so that places may overlap
+        rest = "".join(f"{GAP}{p}" for p in parts[1:])
+        rows = rows.withColumn(f"pieces{i}", F.when(likely, F.split("low", f"(?<!{word}){parts[0]}(?={rest}(?!{word}))")))
         n = F.when(pieces.isNull(), 0).otherwise(F.size(pieces) - 1).cast("long")
         there = n > 0
         first = F.when(there, F.regexp_count(F.element_at(pieces, 1), F.lit(WORD)).cast("long"))
-        last = F.when(there, F.col("n_words") - F.regexp_count(F.element_at(pieces, -1), F.lit(WORD)) - F.lit(len(parts)))
+        last = F.when(there, F.col("n_words") - F.regexp_count(F.element_at(pieces, -1), F.lit(WORD)) - F.lit(1))
         found.append((n, first, last, F.when(there, F.lit(label))))
     counts, firsts, lasts, names = zip(*found)
     pick = lambda f, cols: f(*cols) if len(cols) > 1 else cols[0]

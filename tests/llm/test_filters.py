@@ -70,6 +70,8 @@ def test_license_scan_of_odd_tables(spark):
     assert sorted((r["t1"], r["low"] or "", r["labels"], r["text"]) for r in got) == [(1, "x", "mit", notice)] * 2 + [(2, "y", "all-rights-reserved", "all rights reserved"), (3, "", "", "nothing")]
     few = licenses.scan_licenses(df, templates={"mine": ("nothing",)}, phrases={"rights reserved": "base"}).collect()
     assert sorted(r["labels"] for r in few) == ["", "", "base", "mine"]
+    lapped = licenses.scan_licenses(spark.createDataFrame([(1, "A b-a b a, ab a b a"), (2, "a b")], "doc_id long, text string"), templates={"mine": ("nothing",)}, phrases={"a b a": "lap"}).collect()
+    assert {(r["doc_id"], r["n_base"], r["first_word"], r["last_word"]) for r in lapped} == {(1, 3, 0, 6), (2, 0, None, None)}
 
 
 def leaks_by_force(docs, items):
