@@ -17,8 +17,8 @@ the template did not write, so rendered text splits back into its turns without
 Null texts and roles are empty, a null op is a delta, events equal in seq are ordered by op, role
 and text, repeated rows count each time, an empty log gives no conversations. Null conv_ids are one
 conversation of their own, null messages and turns come first; other columns are left out, whatever
-their names. A rendered conversation is one value, so its turns meet in one row; nothing before
-that gathers more than a message.
+their names. A rendered conversation is one value, so its turns meet in one row, and one whose text passes 2 GB fails
+the job; nothing before that gathers more than a message.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ its documents are taken in permuted order while their running token sum stays wi
 
 Null sources form a source of their own; documents without words count one token, so that they
 are placed like any other; an empty table gives an empty result. Repeated rows are all taken or,
-where the cut falls between rows equal in the whole key, taken together or not at all.
+where the cut falls between rows equal in the whole key, taken together or not at all. Very long texts are
+counted whole where they are read. Other columns of mix_sources() come along, whatever their names; those of
+block_slots() must not be named _stratum, _h, _b or _r.
 """
 
 from __future__ import annotations

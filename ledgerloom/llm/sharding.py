@@ -10,7 +10,8 @@ the order, bucket counts give offsets, and only a bucket is sorted in a task. Ro
 rank, of which sources of equal size have one each, follow each other by the seeded hash; where more of
 them meet than a task should sort, they are bucketed by that hash.
 Null sources form a stratum of their own; repeated rows are placed like any others (rows alike in
-every ordering column are interchangeable); an empty table gives an empty result.
+every ordering column are interchangeable); an empty table gives an empty result. Other columns, whatever their
+names, come along, so whole rows are shuffled: where texts are very long, shard the keys and join.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ score; it is fitted on values from models that had not seen the document (two ha
 
 Models are fitted on a bounded sample of labelled rows: at most max_toxic and max_ordinary
 documents, taken by hash, whole texts. Scores read the text only. Null and empty texts have value
-0 and so the score of that value; null labels are left out; without both classes every score is 0;
+0 and so the score of that value; rows with a null doc_id are scored and never learnt from; null labels are left out; without both classes every score is 0;
 repeated rows are each scored; an empty table gives an empty result.
 
 Every gram counts, those met once too. What is broadcast is the deflated table of counts; each

@@ -23,7 +23,8 @@ length header a revisit's length is null; page_id and refers_to are null where t
 Payloads are UTF-8 html (null: empty); a record is built whole in its task, so a very long page
 takes its own size there, and makes its member and file as long. Of equal payloads of at least min_bytes, the smallest
 page_id is a response and the others revisit it. Repeated rows of that page_id are responses too;
-null page_ids come after all others. An empty table writes no archive and reads back no rows.
+null page_ids come after all others. Other columns are left out, whatever their names. An empty table writes no
+archive and reads back no rows.
 """
 
 from __future__ import annotations
