@@ -50,6 +50,7 @@ def read_register(spark: SparkSession, path: str, header_row: int = 4) -> DataFr
     """CSV register whose header stands in row header_row (from 1) of each file; columns in lower case, file and row_no added.
 
     Quoted cells may hold line ends; blank rows go. The header of the first file names the columns: one row reaches the driver.
+    A file is read whole by one task, 2 GB at most; give large registers as several files.
     """
 
     def cells(batches):
