@@ -18,6 +18,8 @@ from ledgerloom.operators.rounds import written
 #: Rows of one key that a task may scan.
 MOST = 1_000_000
 BLOCK = "_block"
+#: Cuts that a row is compared with at a time; a power of it holds all cuts of a key.
+FAN_OUT = 32
 
 
 def _blocks(df: DataFrame, keys: list[str], order: str, most: int, sized_by: DataFrame | None) -> tuple[DataFrame, bool]:
@@ -32,8 +34,27 @@ def _blocks(df: DataFrame, keys: list[str], order: str, most: int, sized_by: Dat
     pieces = math.ceil(top / most)
     cuts = F.percentile_approx(order, [k / pieces for k in range(1, pieces)], 20 * pieces).alias("_cuts")
     cuts = written(df.join(large.select(*keys), keys, "left_semi").groupBy(*keys).agg(cuts), "scan-cuts")
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return df.join(cuts, keys, "left").withColumn(BLOCK, F.when(F.col("_cuts").isNotNull(), below)).drop("_cuts"), True
+    return _placed(df, keys, order, cuts, pieces), True
+
+
+def _placed(df: DataFrame, keys: list[str], order: str, cuts: DataFrame, pieces: int) -> DataFrame:
+    """df with _block: how many of its key's sorted _cuts, fewer than pieces, are less than order; null for keys without cuts.
+
+    A tree of the cuts is walked, a level per join: a row meets FAN_OUT - 1 cuts at a time, never all of them.
+    """
+    each = cuts.select(*keys, F.posexplode("_cuts").alias("_at", "_cut")).withColumn("_at", F.col("_at") + 1)
+    stride = 1
+    while stride * FAN_OUT < pieces:
+        stride *= FAN_OUT
+    # the uppermost node of a key is there if the key has cuts, a lower one only if cuts fall into it
+    rows, missing = df.withColumn(BLOCK, F.lit(0)), F.lit(None).cast("int")
+    while stride:
+        own = each.where((F.col("_at") % stride == 0) & (F.col("_at") % (stride * FAN_OUT) != 0))
+        nodes = own.groupBy(*keys, F.expr(f"_at div {stride * FAN_OUT}").cast("int").alias(BLOCK)).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
+        below = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col(order)))).otherwise(missing)
+        rows = rows.join(F.broadcast(nodes), [*keys, BLOCK], "left").withColumn(BLOCK, F.col(BLOCK) * FAN_OUT + below).drop("_cuts")
+        stride, missing = stride // FAN_OUT, F.lit(0)
+    return rows
 
 
 def _within(keys: list[str], order: list[str]) -> Window:

@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 import random
 import re
@@ -227,6 +228,19 @@ def test_scans_of_cut_keys_equal_plain_windows(spark):
     assert len({r[0] for r in scans._blocks(df, ["k"], "i", 100, None)[0].where("k = 1").select("_block").distinct().collect()}) > 10
 
 
+def test_a_row_meets_a_bounded_number_of_cuts(spark):
+    rng = random.Random(15)
+    cuts = {1: sorted(rng.randrange(3000) for _ in range(2200)), 2: sorted(rng.randrange(50) for _ in range(2200))}
+    rows = [(k, i) for k in (1, 2, 3) for i in range(-1, 3002, 7)] + [(1, None), (None, 5)]
+    df = spark.createDataFrame(rows, "k int, i int")
+    placed = scans._placed(df, ["k"], "i", spark.createDataFrame(list(cuts.items()), "k int, _cuts array<int>"), 2201)
+    got = {(r["k"], r["i"]): r["_block"] for r in placed.collect()}
+    assert got == {(k, i): (0 if i is None else bisect.bisect_left(cuts[k], i)) if k in cuts else None for k, i in rows}
+    held = scans._blocks(spark.range(20000).selectExpr("1 AS k", "id"), ["k"], "id", 5, None)[0]
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Broadcast(Hash|NestedLoop)Join", plan)) == 3 and held.groupBy("_block").count().agg({"count": "max"}).first()[0] <= 20
+
+
 CELLS = "statement_id string, page int, table_no int, row_no int, cells array<string>"
 
 
