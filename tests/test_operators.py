@@ -369,3 +369,11 @@ def test_chunks_give_what_the_whole_gives(spark):
             got += [tuple(r) for r in rows.select("statement_id", "seq", "narration", "amount", "balance", "balance_used", "type").collect()]
             low = high
         assert len(got) == len(want) and set(got) == want
+
+
+def test_large_registers_are_grouped_in_more_tasks(spark):
+    rows = spark.range(1001).selectExpr("concat('C', id % 10) AS recipient", "id div 2 AS invoice", "id AS row_no", "date'2024-04-01' AS invoice_date", "CAST(10 AS DECIMAL(18,2)) AS invoice_value", "1 AS place", "2 AS state", "CAST(10 AS DECIMAL(18,2)) AS taxable", "CAST(5 AS DECIMAL(9,3)) AS rate")
+    assert gst.tasks_for(rows) == 4 and gst.tasks_for(rows, 100) == 11
+    few, many = gst.return_documents(rows), gst.return_documents(rows, 11)
+    assert {str(r) for r in few.collect()} == {str(r) for r in many.collect()}
+    assert "hashpartitioning(recipient" in (plan := many._jdf.queryExecution().executedPlan().toString()) and ", 11), REPARTITION_BY_NUM" in plan
