@@ -6,6 +6,7 @@ reads the ranges that hold it.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,8 @@ from ledgerloom.functions.narration import normalised
 GRAM = 3
 #: Folders of postings, and ids in a block of rows.
 BUCKETS, BLOCK = 64, 1 << 16
+#: Rows, and postings, that a task which writes the index should sort.
+ROWS, POSTINGS = 200_000, 500_000
 #: Trigrams of a query that are looked up, its rarest; the text decides in the end.
 LOOKED_UP = 4
 
@@ -39,14 +42,23 @@ class TrigramIndex:
     rows: DataFrame
 
 
-def write_trigram_index(rows: DataFrame, path: str, text: str = "narration", id: str = "id") -> TrigramIndex:
-    """Index rows (id a long, each once) by the trigrams of their normalised text, in folders under path."""
+def write_trigram_index(rows: DataFrame, path: str, text: str = "narration", id: str = "id", most_rows: int = ROWS, most_postings: int = POSTINGS) -> TrigramIndex:
+    """Index rows (id a long, each once) by the trigrams of their normalised text, in folders under path.
+
+    A task sorts about most_rows rows or most_postings postings, and a block's rows or a block's postings of a trigram at least.
+    """
     spark = rows.sparkSession
     made = rows.withColumn("block", F.floor(F.col(id) / BLOCK).cast("long")).withColumn("_said", normalised(F.col(text)))
-    made.repartition("block").write.partitionBy("block").parquet(f"{path}/rows")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, math.ceil(rows.count() / most_rows))
+    made.repartition(tasks, "block").write.partitionBy("block").parquet(f"{path}/rows")
     made = spark.read.parquet(f"{path}/rows")
-    each = made.select("block", F.col(id).alias("id"), F.explode(trigrams(F.col("_said"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
-    each.repartition("bucket", "gram").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # a trigram of many rows is dealt by their blocks over as many pieces of its bucket as keep a task's share bounded
+    n = made.agg(F.sum(F.size(trigrams(F.col("_said"))).cast("long"))).first()[0] or 0
+    pieces = max(1, math.ceil(n / (BUCKETS * most_postings)))
+    piece = F.pmod(F.xxhash64("gram", "block"), F.lit(pieces))
+    each = made.select("block", F.col(id).alias("id"), "_said").repartition(tasks, "id").select("block", "id", F.explode(trigrams(F.col("_said"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
+    each.repartition(max(least, BUCKETS * pieces), "bucket", piece).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
     return TrigramIndex(postings, spark.read.parquet(f"{path}/counts"), made)

@@ -377,3 +377,13 @@ def test_large_registers_are_grouped_in_more_tasks(spark):
     few, many = gst.return_documents(rows), gst.return_documents(rows, 11)
     assert {str(r) for r in few.collect()} == {str(r) for r in many.collect()}
     assert "hashpartitioning(recipient" in (plan := many._jdf.queryExecution().executedPlan().toString()) and ", 11), REPARTITION_BY_NUM" in plan
+
+
+def test_a_trigram_of_many_rows_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 4000 << 8, 1 << 8).selectExpr("id", "concat('always the same ', id % 7) AS narration")
+    index = search.write_trigram_index(rows, f"{tmp_path}/i", most_rows=500, most_postings=200)
+    at = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+    assert max(r["n"] for r in index.postings.groupBy(at.alias("task")).agg(F.count("*").alias("n")).collect()) < 4000
+    assert index.postings.where("gram = 'alw'").select(at).distinct().count() >= 4
+    assert index.counts.where("gram = 'alw'").first()["n"] == 4000
+    assert search.search_phrase(index, "same 3").count() == rows.where("narration LIKE '%same 3'").count() > 0
