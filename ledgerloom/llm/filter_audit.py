@@ -20,6 +20,7 @@ text are ignored. A range of texts is held by one task: about TARGET bytes, or o
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import math
@@ -119,11 +120,12 @@ def _fingerprint(level: int) -> Column:
 
 
 def heavy_prefixes(rows: DataFrame, limit: int) -> dict[int, DataFrame]:
-    """By level the fingerprints of prefixes whose texts weigh more than limit, with weight and whether they are whole texts.
+    """By level the fingerprints (h, and root, that of their first level) of prefixes whose texts weigh more than limit, with weight and whether they are whole texts.
 
     There are at most total / limit of a level. A level is looked at where the level above is heavy and not whole.
     """
     found: dict[int, DataFrame] = {}
+    root = _fingerprint(FIRST_LEVEL).alias("root")
     levels = [FIRST_LEVEL * STEP**k for k in range(LEVELS)]
     while True:
         reached = []
@@ -131,11 +133,11 @@ def heavy_prefixes(rows: DataFrame, limit: int) -> dict[int, DataFrame]:
             _, whole = _prefix(level)
             looked_at = F.lit(True) if not k else ~_prefix(levels[k - 1])[1]
             reached.append(F.when(looked_at, F.struct(F.lit(level).alias("level"), _fingerprint(level).alias("h"), whole.alias("whole"))))
-        each = rows.select("weight", F.explode(F.filter(F.array(*reached), lambda x: x.isNotNull())).alias("p")).select("weight", "p.*")
-        heavy = staged(each.groupBy("level", "h", "whole").agg(F.sum("weight").alias("w")).where(F.col("w") > limit), "audit-prefixes")
+        each = rows.select("weight", root, F.explode(F.filter(F.array(*reached), lambda x: x.isNotNull())).alias("p")).select("weight", "root", "p.*")
+        heavy = staged(each.groupBy("level", "root", "h", "whole").agg(F.sum("weight").alias("w")).where(F.col("w") > limit), "audit-prefixes")
         deepest = set()
         for r in heavy.groupBy("level").agg(F.min("whole").alias("whole")).collect():
-            found[r["level"]] = heavy.where(F.col("level") == r["level"]).select("h", "whole", "w")
+            found[r["level"]] = heavy.where(F.col("level") == r["level"]).select("root", "h", "whole", "w")
             if not r["whole"]:
                 deepest.add(r["level"])
         if levels[-1] not in deepest:
@@ -153,16 +155,18 @@ def dealt_texts(docs: DataFrame, target: int = TARGET) -> DataFrame:
     limit = max(1, total // (SHARES * tasks))
     heavy = heavy_prefixes(rows, limit)
     key, salt, hot = F.col("text"), F.lit(0), F.lit(None).cast("string")
-    for level in sorted(heavy, reverse=True):
-        own = heavy[level].select(F.col("h").alias(f"h{level}"), F.col("whole").alias(f"whole{level}"), F.col("w").alias(f"w{level}"))
-        rows = rows.join(small(own), _fingerprint(level) == F.col(f"h{level}"), "left")
+    if heavy:
+        # one row per heavy first prefix, with all heavy prefixes that begin with it: one lookup of a row tells its levels
+        below = functools.reduce(DataFrame.unionByName, heavy.values()).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("h", F.struct("whole", "w")))).alias("below"))
+        rows = rows.join(small(below), _fingerprint(FIRST_LEVEL) == F.col("root"), "left")
     for level in sorted({FIRST_LEVEL, *heavy, *(STEP * k for k in heavy)}, reverse=True):
         prefix, whole = _prefix(level)
         if level not in heavy:
             key, salt, hot = prefix, F.lit(0), F.lit(None).cast("string")
             continue
-        weighs, salted = F.col(f"h{level}").isNotNull(), F.col(f"whole{level}")
-        split = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(f"w{level}") / limit)).cast("int")
+        own = F.try_element_at("below", _fingerprint(level))
+        weighs, salted = own.isNotNull(), own["whole"]
+        split = F.pmod(F.xxhash64("doc_id"), F.ceil(own["w"] / limit)).cast("int")
         key = F.when(weighs & ~salted, key).otherwise(prefix)
         hot = F.when(weighs, F.when(salted, F.sha2("text", 256)).otherwise(hot))
         salt = F.when(weighs, F.when(salted, split).otherwise(salt)).otherwise(0)

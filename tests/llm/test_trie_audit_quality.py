@@ -151,6 +151,17 @@ def test_audit_equals_brute_force(spark):
         assert got == brute_audit(rows, labels)
 
 
+def test_a_row_is_looked_up_once_however_deep_its_prefixes(spark):
+    rows = [(i, "same opening " * 200 + str(i // 5), "en") for i in range(60)] + [(60 + i, f"other {i}", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
+    held = docs.withColumn("weight", F.octet_length("text").cast("long"))
+    assert len(filter_audit.heavy_prefixes(held, 4000)) >= 5
+    plan = filter_audit.dealt_texts(docs, target=4000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    got = {r["doc_id"]: r["mask"] >> 4 for r in filter_audit.text_masks(docs, part="part", target=4000).collect()}
+    assert got == {i: int(i < 60 and i % 5 > 0) for i in range(120)}
+
+
 def test_audit_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert filter_audit.audit_filters(docs, spark.createDataFrame([], LABELS)).count() == 0
