@@ -387,3 +387,11 @@ def test_a_trigram_of_many_rows_is_written_by_many_tasks(spark, tmp_path):
     assert index.postings.where("gram = 'alw'").select(at).distinct().count() >= 4
     assert index.counts.where("gram = 'alw'").first()["n"] == 4000
     assert search.search_phrase(index, "same 3").count() == rows.where("narration LIKE '%same 3'").count() > 0
+
+
+def test_what_is_read_several_times_is_made_once(spark):
+    from ledgerloom.plans import queries
+
+    for name, made_by in (("workbook_receipts", "MapIn"), ("parse_cascade", "Union")):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert made_by not in plan
