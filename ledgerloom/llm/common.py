@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 4096
 #: Tables at or under this many (narrow) rows may be broadcast after they were counted.
 BROADCAST_ROWS = 100_000
+#: A key of more rows than this is dealt over several tasks in a lookup.
+HOT_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,10 +107,23 @@ def exact_rank(df: DataFrame, strata: list[str], bucket: str, order: list[str |
     return ranked.drop("_before")
 
 
+def salted_sides(rows: DataFrame, table: DataFrame, key: str, row_id: Column, salts: int) -> tuple[DataFrame, DataFrame]:
+    """rows and table with a _salt: rows of a key that many share (or of none) are dealt over so many, and only such keys of table are repeated."""
+    most = max(HOT_ROWS, rows.count() // BROADCAST_ROWS)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most)
+    hot = F.broadcast(staged(hot.where(F.col(key).isNotNull()).select(key, F.lit(True).alias("_hot")), "hot-keys"))
+    dealt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+    left = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), dealt).otherwise(0)).drop("_hot")
+    last = F.when(F.col("_hot"), salts - 1).otherwise(0)
+    return left, table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+
+
 def salted_lookup(rows: DataFrame, table: DataFrame, key: str, row_id: Column, salts: int = 32) -> DataFrame:
-    """Left join rows with a table of unique keys, each key dealt over so many salts: a hot key meets many tasks."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Left join rows with a table of unique keys; a hot key meets many tasks. rows is read three times.
+
+    The planner takes an exploded table for as small as its file, so it must not be one whole table many times over.
+    """
+    left, right = salted_sides(rows, table, key, row_id, salts)
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 

@@ -11,8 +11,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import ego_join, ngram_join, shingles, warc
+from ledgerloom.llm import common, ego_join, ngram_join, shingles, warc
 from ledgerloom.llm.common import scratch_path
 from ledgerloom.llm.components import connected_components
 
@@ -239,3 +240,17 @@ def test_tasks_of_the_grid_join_stay_bounded():
     blocks = 10**6 // ego_join.BLOCK_ROWS
     runs = blocks >> ego_join.TILE_BITS
     assert ego_join.tile_tasks(runs * (runs + 1) // 2, 8) <= ego_join.MOST_TASKS and ego_join.tile_tasks(10**12, 8) == ego_join.MOST_TASKS
+
+
+def test_lookup_repeats_only_hot_keys(spark):
+    """A table all of whose keys are repeated is broadcast as if it had the size of its file, and fills the driver."""
+    rows = spark.range(6000).selectExpr("id", "CASE WHEN id < 3000 THEN 'hot' WHEN id < 3100 THEN NULL ELSE CAST(id AS STRING) END AS k")
+    table = rows.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("first"))
+    n = table.count()
+    left, right = common.salted_sides(rows, table, "k", F.col("id"), 32)
+    assert right.count() == n + 31 and right.select("k", "_salt").distinct().count() == n + 31
+    salts = {r["k"]: r["n"] for r in left.where("k = 'hot' OR k IS NULL").groupBy("k").agg(F.count_distinct("_salt").alias("n")).collect()}
+    assert salts["hot"] == 32 and salts[None] > 16
+    found = common.salted_lookup(rows, table, "k", F.col("id"))
+    assert found.columns == ["k", "id", "first"]
+    assert {r["id"]: r["first"] for r in found.collect()} == {i: 0 if i < 3000 else None if i < 3100 else i for i in range(6000)}
