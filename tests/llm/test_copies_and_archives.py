@@ -3,6 +3,7 @@ import glob
 import gzip
 import hashlib
 import json
+import math
 import os
 import random
 import zipfile
@@ -254,3 +255,29 @@ def test_lookup_repeats_only_hot_keys(spark):
     found = common.salted_lookup(rows, table, "k", F.col("id"))
     assert found.columns == ["k", "id", "first"]
     assert {r["id"]: r["first"] for r in found.collect()} == {i: 0 if i < 3000 else None if i < 3100 else i for i in range(6000)}
+
+
+def test_all_block_pairs_come_once_and_nothing_is_shuffled(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    boxes = [(int(b), 4 + int(b) % 2, low.tolist(), (low + rng.random(4)).tolist()) for b, low in zip(rng.choice(200, 40, replace=False), rng.normal(size=(40, 4)))]
+    spark.createDataFrame(boxes, "block long, width int, low array<double>, high array<double>").repartition(5).write.parquet(f"{tmp_path}/boxes")
+    pairs = ego_join.all_block_pairs(spark.read.parquet(f"{tmp_path}/boxes"), 3, 0.5)
+    gap = lambda x, y: sum(max(a - d, c - b, 0) ** 2 for a, b, c, d in zip(x[2], x[3], y[2], y[3]))
+    want = Counter((min(x[0], y[0]), max(x[0], y[0])) for k, x in enumerate(boxes) for y in boxes[k:] if x[1] == y[1] and gap(x, y) <= 0.25)
+    assert Counter((min(r["x_block"], r["y_block"]), max(r["x_block"], r["y_block"])) for r in pairs.collect()) == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_both_ways_to_pair_blocks_agree(spark, monkeypatch):
+    df, _ = vectors(spark)
+    found = []
+    for few in (0, 10**9):
+        monkeypatch.setattr(ego_join, "FEW_TILES", few)
+        found.append(sorted(map(tuple, ego_join.near_duplicates(df, block_rows=4).collect())))
+    assert found[0] == found[1] and any(n for _, n, *_ in found[0])
+    # of doubles that floats can't tell apart from the threshold
+    a, b = 0.95 + 1e-9, 0.95 - 1e-9
+    near = [(1, [1.0, 0.0, 0.0]), (2, [a, math.sqrt(1 - a * a), 0.0]), (3, [b, 0.0, math.sqrt(1 - b * b)])]
+    got = ego_join.near_duplicates(spark.createDataFrame(near, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {1: 1, 2: 1, 3: 0}
